@@ -11,6 +11,10 @@ from starwright.session import ensure_checkpoint_dir
 
 _PID, _MID, _BASE = "__sw_pid", "__sw_mid", "__sw_base"
 
+# Tables up to this many rows are numbered by one ordered window in a
+# single task; the bound is checked, not assumed.
+SINGLE_TASK_ROWS = 1_000_000
+
 
 def assign_key(
     df: DataFrame,
@@ -18,25 +22,33 @@ def assign_key(
     order_by: str | Sequence[str],
     start: int = 1,
     partitions: int | None = None,
+    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Add ``key`` = start, start+1, ... in ``order_by`` order, dense and unique.
 
-    Equal to ``row_number() over (order by ...) + start - 1`` but never moves
-    the table into one task:
+    Equal to ``row_number() over (order by ...) + start - 1``.
+
+    * Small input (checked by reading at most ``single_task_rows + 1``
+      rows): exactly that window, whose single task is bounded by the check.
+    * Otherwise the table never moves into one task:
 
-    1. range-partition on the order columns and sort inside each partition;
-    2. tag every row with (partition id, position in partition) and pin the
-       result with a reliable ``checkpoint()`` (shared checkpoint folder), so
-       a lost executor or a second action cannot renumber rows;
-    3. count rows per partition (one row per partition), turn the counts
-       into running offsets, and broadcast them -- their size is bounded by
-       the partition count, not by the data;
-    4. key = start + offset(partition) + position.
+      1. range-partition on the order columns and sort inside each partition;
+      2. tag every row with (partition id, position in partition) and pin the
+         result with a reliable ``checkpoint()`` in the shared checkpoint
+         folder, so a lost executor or a second action cannot renumber rows;
+      3. count rows per partition (one row per partition), turn the counts
+         into running offsets and broadcast them -- their size is bounded by
+         the partition count, not by the data;
+      4. key = start + offset(partition) + position.
 
-    The order columns should be unique (a natural key); ties are numbered in
-    an arbitrary but, once checkpointed, fixed order.
+    The order columns should be unique (a natural key); ties get an
+    arbitrary order.
     """
     cols = [order_by] if isinstance(order_by, str) else list(order_by)
+    if single_task_rows > 0 and df.limit(single_task_rows + 1).count() <= single_task_rows:
+        w = Window.orderBy(*cols)
+        return df.select((F.row_number().over(w) + F.lit(start - 1)).cast("long").alias(key), *df.columns)
+
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -50,9 +62,10 @@ def assign_key(
     # monotonically_increasing_id = (partition index << 33) + row position.
     position = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
     counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__sw_n"))
+    # One row per partition: the running sum is a bounded single-task window.
     offsets = counts.select(
         _PID,
-        (F.sum("__sw_n").over(Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1))).alias(_BASE),
+        F.sum("__sw_n").over(Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)).alias(_BASE),
     ).fillna(0, subset=[_BASE])
     keyed = tagged.join(F.broadcast(offsets), _PID, "inner").withColumn(
         key, (F.lit(start) + F.col(_BASE) + position).cast("long")

@@ -56,14 +56,21 @@ def register(name: str, sql: str | None):
     return deco
 
 
-def _src(spark: SparkSession, sf_dir: str) -> OrderAdapter:
-    apply_runtime_conf(spark)
-    return OrderAdapter(TableSource(spark, sf_dir))
+_SOURCES: dict[tuple[int, str], TableSource] = {}
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> TableSource:
+    """One table source per (session, folder): each table is listed once."""
     apply_runtime_conf(spark)
-    return TableSource(spark, sf_dir)
+    key = (id(spark), sf_dir)
+    src = _SOURCES.get(key)
+    if src is None or src.spark is not spark:
+        src = _SOURCES[key] = TableSource(spark, sf_dir)
+    return src
+
+
+def _src(spark: SparkSession, sf_dir: str) -> OrderAdapter:
+    return OrderAdapter(_tables(spark, sf_dir))
 
 
 def _calendar(a: OrderAdapter) -> tuple[dt.date, dt.date]:
@@ -296,8 +303,9 @@ def q_film_actor_bridge(spark, sf_dir):
 @register("surrogate_keys", """
 SELECT row_number() OVER (ORDER BY o_orderkey) AS order_key, o_orderkey FROM orders""")
 def q_surrogate_keys(spark, sf_dir):
+    """The distributed numbering path (forced), checked against row_number."""
     orders = _tables(spark, sf_dir)("orders", ["o_orderkey"])
-    return assign_key(orders, "order_key", "o_orderkey")
+    return assign_key(orders, "order_key", "o_orderkey", single_task_rows=0)
 
 
 @register("location_rollup", f"""

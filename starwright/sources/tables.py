@@ -18,12 +18,17 @@ class TableSource:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._frames: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}.parquet"
 
     def read(self, name: str, columns: Sequence[str] | None = None) -> DataFrame:
-        df = self.spark.read.parquet(self.path(name))
+        """The table (listed and its footer read once per source object),
+        optionally projected; pruning reaches the Parquet scan."""
+        df = self._frames.get(name)
+        if df is None:
+            df = self._frames[name] = self.spark.read.parquet(self.path(name))
         return df.select(*columns) if columns else df
 
     def __call__(self, name: str, columns: Sequence[str] | None = None) -> DataFrame:
