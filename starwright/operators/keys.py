@@ -23,6 +23,7 @@ def assign_key(
     start: int = 1,
     partitions: int | None = None,
     single_task_rows: int = SINGLE_TASK_ROWS,
+    bound_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``key`` = start, start+1, ... in ``order_by`` order, dense and unique.
 
@@ -42,10 +43,14 @@ def assign_key(
       4. key = start + offset(partition) + position.
 
     The order columns should be unique (a natural key); ties get an
-    arbitrary order.
+    arbitrary order.  ``bound_by`` may name a cheaper frame with at least as
+    many rows as ``df`` (e.g. the source table ahead of an inner lookup on
+    a unique parent key) for the size check, so the check never has to
+    compute ``df``'s joins.
     """
     cols = [order_by] if isinstance(order_by, str) else list(order_by)
-    if single_task_rows > 0 and df.limit(single_task_rows + 1).count() <= single_task_rows:
+    probe = df if bound_by is None else bound_by
+    if single_task_rows > 0 and probe.limit(single_task_rows + 1).count() <= single_task_rows:
         w = Window.orderBy(*cols)
         return df.select((F.row_number().over(w) + F.lit(start - 1)).cast("long").alias(key), *df.columns)
 

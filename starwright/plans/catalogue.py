@@ -399,10 +399,14 @@ def _fact(spark, sf_dir) -> DataFrame:
     countries = dims.dim_country(a.country())
     cities = dims.dim_city(a.city(), countries)
     addresses = dims.dim_address(a.address(), cities)
+    customers = dims.dim_customer(a.customer(), addresses)
+    # Customer keys are resolved on orders; the inventory's store is the
+    # supplier's nation, i.e. the staff member's store.
+    lines = a.rental_lines(with_store=False, customers=customers)
     return facts.build_fact(
-        a.rental_lines(), dims.dim_customer(a.customer(), addresses), dims.dim_staff(a.staff()),
-        _film_flags(a, keyed=True), dims.dim_store(a.store(), addresses, a.staff()), _calendar(a),
-        carry=("inventory_film_id", "inventory_staff_id"))
+        lines, customers, dims.dim_staff(a.staff()), _film_flags(a, keyed=True),
+        dims.dim_store(a.store(), addresses, a.staff()), _calendar(a),
+        carry=("inventory_film_id", "inventory_staff_id"), store_from_staff=True)
 
 
 # ---------------------------------------------------------------------------

@@ -27,7 +27,7 @@ def dim_actor(actor: DataFrame) -> DataFrame:
     src = actor.select(
         F.col("actor_id"), F.col("first_name").alias("actor_first_name"),
         F.col("last_name").alias("actor_last_name"), F.col("last_update").alias("actor_last_update"))
-    keyed = assign_key(src, "actor_key", "actor_id")
+    keyed = assign_key(src, "actor_key", "actor_id", bound_by=actor)
     return apply_defaults(keyed, {"actor_last_update": NOW})
 
 
@@ -36,7 +36,7 @@ def dim_staff(staff: DataFrame) -> DataFrame:
         F.col("staff_id"), F.col("first_name").alias("staff_first_name"),
         F.col("last_name").alias("staff_last_name"), F.col("store_id").alias("staff_store_id"),
         F.col("last_update").alias("staff_last_update"))
-    keyed = assign_key(src, "staff_key", "staff_id")
+    keyed = assign_key(src, "staff_key", "staff_id", bound_by=staff)
     return apply_defaults(keyed, {"staff_last_update": NOW})
 
 
@@ -44,7 +44,7 @@ def dim_country(country: DataFrame, start: int = COUNTRY_KEY_START) -> DataFrame
     src = country.select(
         F.col("country_id").alias("location_country_id"), F.col("country").alias("location_country_name"),
         F.col("last_update").alias("location_country_last_update"))
-    keyed = assign_key(src, "location_country_key", "location_country_id", start=start)
+    keyed = assign_key(src, "location_country_key", "location_country_id", start=start, bound_by=country)
     return apply_defaults(keyed, {"location_country_last_update": NOW})
 
 
@@ -55,7 +55,7 @@ def dim_city(city: DataFrame, countries: DataFrame, start: int = CITY_KEY_START)
     src = city.join(parent, city.country_id == parent.location_country_id, "inner").select(
         "location_country_key", F.col("city_id").alias("location_city_id"),
         F.col("city").alias("location_city_name"), F.col("last_update").alias("location_city_last_update"))
-    keyed = assign_key(src, "location_city_key", "location_city_id", start=start)
+    keyed = assign_key(src, "location_city_key", "location_city_id", start=start, bound_by=city)
     return apply_defaults(keyed, {"location_city_last_update": NOW})
 
 
@@ -65,7 +65,7 @@ def dim_address(address: DataFrame, cities: DataFrame, start: int = ADDRESS_KEY_
         "location_city_key", F.col("address_id").alias("location_address_id"),
         F.col("address").alias("location_address"), F.col("postal_code").alias("location_address_postal_code"),
         F.col("last_update").alias("location_address_last_update"))
-    keyed = assign_key(src, "location_address_key", "location_address_id", start=start)
+    keyed = assign_key(src, "location_address_key", "location_address_id", start=start, bound_by=address)
     return apply_defaults(keyed, {"location_address_last_update": NOW})
 
 
@@ -81,7 +81,7 @@ def dim_store(store: DataFrame, addresses: DataFrame, staff: DataFrame) -> DataF
                 "store_id", F.col("manager_staff_id").alias("store_manager_staff_id"),
                 "store_manager_first_name", "store_manager_last_name")
     )
-    keyed = assign_key(src, "store_key", "store_id")
+    keyed = assign_key(src, "store_key", "store_id", bound_by=store)
     return apply_defaults(keyed, {"store_last_update": "CURRENT_TIMESTAMP"}).withColumn(
         "store_last_update", F.col("store_last_update").cast("string"))
 
@@ -93,7 +93,7 @@ def dim_customer(customer: DataFrame, addresses: DataFrame) -> DataFrame:
         F.col("first_name").alias("customer_first_name"), F.col("last_name").alias("customer_last_name"),
         F.col("email").alias("customer_email"), F.col("active").alias("customer_active"),
         F.col("create_date").alias("customer_created"))
-    keyed = assign_key(src, "customer_key", "customer_id")
+    keyed = assign_key(src, "customer_key", "customer_id", bound_by=customer)
     return apply_defaults(keyed, {"customer_last_update": NOW})
 
 
@@ -156,7 +156,8 @@ def dim_film(
     category flags in strict mode)."""
     src = film_flags(film, language, categories, labels, features, strict)
     order = ["film_id"] + ([category_column(lbl) for lbl in labels] if strict else [])
-    keyed = assign_key(src, "film_key", order)
+    # Default mode keeps one row per film: the film table bounds the size.
+    keyed = assign_key(src, "film_key", order, bound_by=None if strict else film)
     return apply_defaults(keyed, {"film_last_update": NOW})
 
 

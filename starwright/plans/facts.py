@@ -59,19 +59,32 @@ def build_fact(
     stores: DataFrame,
     calendar: tuple[dt.date, dt.date],
     carry: Sequence[str] = (),
+    store_from_staff: bool = False,
 ) -> DataFrame:
     """Fact rows: six surrogate keys, measures and any ``carry`` columns.
 
     Dimension lookups are equi-joins on natural ids (the planner picks
-    broadcast or shuffle from sizes; AQE splits skewed keys).  Date keys
-    are arithmetic on the gap-free calendar, so the two calendar joins
-    cost nothing.  ``rental_duration`` is the film's allowed days, taken
-    from the film dimension."""
+    broadcast or shuffle from sizes; AQE splits skewed keys).  A key already
+    present in ``lines`` (resolved upstream on a smaller table, e.g. the
+    customer key on orders before they meet their lines) is kept as is.
+    ``store_from_staff`` takes the store id from the staff dimension when
+    the inventory's store is the staff member's store, saving a lookup.
+    Date keys are arithmetic on the gap-free calendar, so the two calendar
+    joins cost nothing.  ``rental_duration`` is the film's allowed days,
+    taken from the film dimension."""
     df = date_keys(lines, calendar)
-    df = lookup_key(df, customers, "customer_id", "customer_id", "customer_key")
-    df = lookup_key(df, staff, "staff_id", "staff_id", "staff_key")
-    df = lookup_key(df, films, "film_id", "film_id", ["film_key", "film_rental_duration"])
-    df = lookup_key(df, stores, "store_id", "store_id", "store_key")
+    if "customer_key" not in df.columns:
+        df = lookup_key(df, customers, "customer_id", "customer_id", "customer_key")
+    if "staff_key" not in df.columns:
+        if store_from_staff:
+            df = lookup_key(df.drop("store_id"), staff.withColumnRenamed("staff_store_id", "store_id"),
+                            "staff_id", "staff_id", ["staff_key", "store_id"])
+        else:
+            df = lookup_key(df, staff, "staff_id", "staff_id", "staff_key")
+    if "film_key" not in df.columns:
+        df = lookup_key(df, films, "film_id", "film_id", ["film_key", "film_rental_duration"])
+    if "store_key" not in df.columns:
+        df = lookup_key(df, stores, "store_id", "store_id", "store_key")
     out = df.select(
         F.col("rental_id").cast("long"), "rental_last_update", "customer_key", "staff_key", "film_key",
         "store_key", "rental_date_key", "return_date_key", F.lit(1).alias("count_rentals"),

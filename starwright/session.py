@@ -60,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder for reliable checkpoints")
         configured = tempfile.mkdtemp(prefix="starwright-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

@@ -144,15 +144,25 @@ class OrderAdapter:
             F.col("l_partkey").alias("film_id"), F.col("l_suppkey").alias("actor_id")).distinct()
 
     # -- rentals -----------------------------------------------------------
-    def rental_lines(self, with_store: bool = True) -> DataFrame:
+    def rental_lines(self, with_store: bool = True, customers: DataFrame | None = None) -> DataFrame:
         """One row per rental line with its payment.
 
         Columns: rental_id, rental_line, customer_id, staff_id, film_id,
         store_id, rental_date, return_date, amount, inventory_film_id,
-        inventory_staff_id, rental_last_update."""
+        inventory_staff_id, rental_last_update (and customer_key when
+        ``customers`` is given).
+
+        ``customers`` (customer_id, customer_key) is looked up on orders,
+        before orders meet their lines: that lookup then shuffles the order
+        table rather than the four-times larger line table."""
         li = self.t("lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                  "l_extendedprice", "l_returnflag", "l_shipdate"])
         od = self.t("orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+        extra = []
+        if customers is not None:
+            ck = customers.select(F.col("customer_id").alias("__cust"), "customer_key")
+            od = od.join(ck, od.o_custkey == ck["__cust"], "inner").drop("__cust")
+            extra = ["customer_key"]
         lines = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
         if with_store:
             sup = self.t("supplier", ["s_suppkey", "s_nationkey"])
@@ -168,4 +178,4 @@ class OrderAdapter:
             F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("return_date"),
             F.col("l_extendedprice").alias("amount"),
             F.col("l_partkey").alias("inventory_film_id"), F.col("l_suppkey").alias("inventory_staff_id"),
-            _no_ts().alias("rental_last_update"))
+            _no_ts().alias("rental_last_update"), *extra)
