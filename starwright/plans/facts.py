@@ -24,9 +24,11 @@ def rental_lines(rental: DataFrame, inventory: DataFrame, payment: DataFrame) ->
     pay = payment.select(F.col("rental_id").alias("__pay_rental"), F.col("amount"))
     lines = rental.join(inv, "inventory_id", "inner")
     lines = lines.join(pay, F.col("rental_id") == F.col("__pay_rental"), "left").drop("__pay_rental")
+    known = {"rental_id", "customer_id", "staff_id", "rental_date", "return_date", "inventory_id", "last_update"}
+    extra = [c for c in rental.columns if c not in known]  # e.g. a customer key resolved upstream
     return lines.select(
         "rental_id", "customer_id", "staff_id", "film_id", "store_id", "rental_date", "return_date",
-        "amount", "inventory_id", F.col("last_update").alias("rental_last_update"))
+        "amount", "inventory_id", F.col("last_update").alias("rental_last_update"), *extra)
 
 
 def payment_per_rental(payment: DataFrame) -> DataFrame:
