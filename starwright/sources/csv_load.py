@@ -74,22 +74,22 @@ def null_tokens(fmt: CsvFormat, bare_n_is_null: bool = False) -> tuple[str, ...]
     return tuple(tokens)
 
 
+def reader_options(fmt: CsvFormat) -> dict[str, str]:
+    """Reader options of a profile (shared by batch and streaming reads)."""
+    return {
+        "sep": fmt.delimiter, "header": str(fmt.header).lower(), "encoding": fmt.encoding,
+        "mode": "PERMISSIVE", "multiLine": "false",
+        "ignoreLeadingWhiteSpace": str(fmt.trim_space).lower(),
+        "ignoreTrailingWhiteSpace": str(fmt.trim_space).lower(),
+        # NULL tokens are applied afterwards, from the profile's list.
+        "nullValue": "\u0000", "emptyValue": "",
+        "quote": fmt.quote if fmt.quote is not None else "\u0000",
+        "escape": fmt.escape if fmt.escape is not None else "\u0000",
+    }
+
+
 def _reader(spark: SparkSession, fmt: CsvFormat):
-    r = (
-        spark.read.format("csv")
-        .option("sep", fmt.delimiter)
-        .option("header", str(fmt.header).lower())
-        .option("encoding", fmt.encoding)
-        .option("mode", "PERMISSIVE")
-        .option("multiLine", "false")
-        .option("ignoreLeadingWhiteSpace", str(fmt.trim_space).lower())
-        .option("ignoreTrailingWhiteSpace", str(fmt.trim_space).lower())
-        .option("nullValue", "\u0000")  # NULL tokens are applied afterwards
-        .option("emptyValue", "")
-    )
-    r = r.option("quote", fmt.quote if fmt.quote is not None else "\u0000")
-    r = r.option("escape", fmt.escape if fmt.escape is not None else "\u0000")
-    return r
+    return spark.read.format("csv").options(**reader_options(fmt))
 
 
 def read_text_fields(
@@ -105,7 +105,7 @@ def read_text_fields(
         ]
         df = raw.select(*cols, F.col("_metadata.file_name").alias("__sw_file"))
     else:
-        schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
+        schema = text_schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
         raw = _reader(spark, fmt).option("enforceSchema", "true").schema(schema).load(path)
         df = raw.select(*columns, F.col("_metadata.file_name").alias("__sw_file"))
     return df
@@ -122,6 +122,21 @@ def _typed(raw: Column, dtype: T.DataType, fmt: CsvFormat) -> Column:
     return raw.try_cast(dtype)
 
 
+def clean_fields(text: DataFrame, schema: T.StructType, fmt: CsvFormat, bare_n_is_null: bool = False) -> DataFrame:
+    """Apply the profile's trimming, UTF-8 repair and NULL tokens to the
+    string fields named by ``schema`` (other columns pass through)."""
+    tokens = null_tokens(fmt, bare_n_is_null)
+    cols = {}
+    for f in schema.fields:
+        c = F.col(f.name)
+        if fmt.trim_space:
+            c = F.trim(c)
+        if fmt.replace_invalid:
+            c = F.make_valid_utf8(c)
+        cols[f.name] = null_if_tokens(c, tokens)
+    return text.withColumns(cols)
+
+
 def load_csv(
     spark: SparkSession,
     path: str,
@@ -134,44 +149,15 @@ def load_csv(
 
     ``rejects`` has one row per field that failed to convert:
     (file_name, column_name, raw_value, reason).  Both frames are lazy and
-    come from the same scan plan; write them in one job with
-    :func:`write_load` or persist first if both are consumed."""
+    come from the same scan plan; persist or checkpoint the text first if
+    both are consumed and the files are large."""
     if isinstance(fmt, str):
         fmt = profile(fmt)
     names = [f.name for f in schema.fields]
     text = read_text_fields(spark, path, names, fmt, by_name=by_name)
-    tokens = null_tokens(fmt, bare_n_is_null)
-    cleaned = {}
-    for f in schema.fields:
-        c = F.col(f.name)
-        if fmt.trim_space:
-            c = F.trim(c)
-        if fmt.replace_invalid:
-            c = F.make_valid_utf8(c)
-        cleaned[f.name] = null_if_tokens(c, tokens)
-    text = text.select(*[cleaned[n].alias(n) for n in names], "__sw_file")
-    errors = F.filter(
-        F.array(*[
-            F.struct(
-                F.lit(f.name).alias("column_name"),
-                F.col(f.name).alias("raw_value"),
-                F.lit(f"cannot convert to {f.dataType.simpleString()}").alias("reason"),
-                (F.col(f.name).isNotNull() & _typed(F.col(f.name), f.dataType, fmt).isNull()).alias("bad"),
-            )
-            for f in schema.fields
-        ]),
-        lambda e: e["bad"],
-    )
-    marked = text.withColumn("__sw_err", errors)
-    rows = marked.where(F.size("__sw_err") == 0).select(
-        *[_typed(F.col(f.name), f.dataType, fmt).alias(f.name) for f in schema.fields]
-    )
-    rejects = (
-        marked.where(F.size("__sw_err") > 0)
-        .select(F.col("__sw_file").alias("file_name"), F.explode("__sw_err").alias("e"))
-        .select("file_name", "e.column_name", "e.raw_value", "e.reason")
-    )
-    return LoadResult(rows, rejects)
+    text = clean_fields(text, schema, fmt, bare_n_is_null).withColumnRenamed("__sw_file", "file_name")
+    rows, rejects = split_typed(text, ["file_name"], schema, fmt)
+    return LoadResult(rows.drop("file_name"), rejects)
 
 
 def split_typed(df: DataFrame, key: list[str], fields: T.StructType, fmt: CsvFormat | str = "format") -> LoadResult:
@@ -205,6 +191,11 @@ def split_typed(df: DataFrame, key: list[str], fields: T.StructType, fmt: CsvFor
     return LoadResult(rows, rejects)
 
 
+def text_schema(schema: T.StructType) -> T.StructType:
+    """The all-string reading schema of a target schema."""
+    return T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
+
+
 def preview(spark: SparkSession, path: str, fmt: CsvFormat | str = "flex", n: int = 10, fields: int = 6) -> DataFrame:
     """File name, line number and the first ``fields`` fields of the first
     ``n`` data lines of every file (header lines skipped when the profile
