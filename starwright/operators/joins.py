@@ -50,7 +50,18 @@ def attach(small: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: st
     return small.join(F.broadcast(reduced), keys, how)
 
 
-def left_join_detail(df: DataFrame, detail: DataFrame, on: str | Sequence[str]) -> DataFrame:
+def left_join_detail(df: DataFrame, detail: DataFrame, on: str | Sequence[str], skew_safe: bool = True) -> DataFrame:
     """Left join to detail rows: unmatched rows kept once with NULL detail,
-    rows with several details repeated once per detail (fan-out)."""
-    return df.join(detail, on, "left")
+    rows with several details repeated once per detail (fan-out).
+
+    ``skew_safe`` (default) writes it as matched rows (an inner join, whose
+    skewed keys AQE can split on either side) plus unmatched rows (an anti
+    join against the detail's distinct keys, de-duplicated map-side).  A
+    plain left outer join can only be split on its left side, so a detail
+    key holding a large share of the rows would land in one task."""
+    keys = [on] if isinstance(on, str) else list(on)
+    if not skew_safe:
+        return df.join(detail, keys, "left")
+    matched = df.join(detail, keys, "inner")
+    unmatched = df.join(detail.select(*keys).distinct(), keys, "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)

@@ -363,8 +363,8 @@ def q_column_defaults(spark, sf_dir):
     return counts get their defaults, the absent rental count is added."""
     t = _tables(spark, sf_dir)
     orders = t("orders", ["o_orderkey"])
-    li = t("lineitem", ["l_orderkey", "l_extendedprice", "l_returnflag"])
-    joined = orders.join(li, orders.o_orderkey == li.l_orderkey, "left").select(
+    li = t("lineitem", ["l_orderkey", "l_extendedprice", "l_returnflag"]).withColumnRenamed("l_orderkey", "o_orderkey")
+    joined = left_join_detail(orders, li, "o_orderkey").select(
         "o_orderkey", F.col("l_extendedprice").alias("dollar_amount"),
         F.when(F.col("l_returnflag") == "R", F.lit(1)).alias("count_returns"))
     return apply_defaults(joined, FACT_DEFAULTS).select("o_orderkey", "dollar_amount", "count_rentals", "count_returns")

@@ -21,9 +21,8 @@ def rental_lines(rental: DataFrame, inventory: DataFrame, payment: DataFrame) ->
     One row per rental x payment: a rental without payment is kept with a
     NULL amount, a rental with several payments repeats."""
     inv = inventory.select("inventory_id", "film_id", "store_id")
-    pay = payment.select(F.col("rental_id").alias("__pay_rental"), F.col("amount"))
-    lines = rental.join(inv, "inventory_id", "inner")
-    lines = lines.join(pay, F.col("rental_id") == F.col("__pay_rental"), "left").drop("__pay_rental")
+    pay = payment.select("rental_id", "amount")
+    lines = left_join_detail(rental.join(inv, "inventory_id", "inner"), pay, "rental_id")
     known = {"rental_id", "customer_id", "staff_id", "rental_date", "return_date", "inventory_id", "last_update"}
     extra = [c for c in rental.columns if c not in known]  # e.g. a customer key resolved upstream
     return lines.select(
