@@ -202,3 +202,68 @@ def avg_duration_by_category(base: DataFrame, cat_map: DataFrame, film: str = "f
         .groupBy(label).agg((F.sum("__s").cast("double") / F.sum("__n")).alias("avg_rental_duration"))
         .orderBy(F.col("avg_rental_duration").desc())
     )
+
+
+# -- the dashboard: sections -> marts ---------------------------------------
+
+# FIXED VALUES -- the dashboard's section names and its default selection.
+SECTIONS = [
+    "Top 10 customers by revenue",
+    "Monthly revenue trend by category",
+    "Store performance",
+    "Inventory utilization",
+    "Avg rental duration by category",
+]
+DEFAULT_SECTIONS = SECTIONS[:3]
+
+
+def dashboard(
+    fact: DataFrame,
+    customers: DataFrame,
+    stores: DataFrame,
+    films: DataFrame,
+    calendar_start: str | dt.date,
+    start: str | dt.date,
+    end: str | dt.date,
+    store_ids: Iterable | None = None,
+    sections: Sequence[str] = DEFAULT_SECTIONS,
+    item: Sequence[str] = ("inventory_id",),
+) -> dict[str, DataFrame]:
+    """The data under each selected dashboard section, as lazy plans over
+    one filtered base read from the written fact and dimensions.
+
+    The store picker offers store ids; the filter resolves them to store
+    keys first (the fact holds keys).  The base is cached only when more
+    than one section reads it."""
+    wanted = [s for s in sections if s in SECTIONS]
+    if store_ids:
+        keys = [r.store_key for r in stores.where(F.col("store_id").isin(list(store_ids)))
+                .select("store_key").collect()]
+    else:
+        keys = None
+    base = base_filtered(base_from_fact(fact, calendar_start), start, end, keys, store_col="store_key")
+    if len(wanted) > 1:
+        base = base.cache()
+    out: dict[str, DataFrame] = {}
+    cat_map = category_map(films) if any("category" in s for s in wanted) else None
+    for s in wanted:
+        if s == SECTIONS[0]:
+            out[s] = top_customers(base, customers, 10)
+        elif s == SECTIONS[1]:
+            long = revenue_by_month_category(base, cat_map)
+            out[s] = long
+            labels = [c[len(CATEGORY_PREFIX):].title() for c in films.columns if c.startswith(CATEGORY_PREFIX)]
+            out[s + " (pivot)"] = revenue_pivot(long, labels)
+        elif s == SECTIONS[2]:
+            perf = store_performance(base, stores)
+            out[s] = perf
+            out[s + " (totals)"] = store_kpis(perf)
+        elif s == SECTIONS[3]:
+            util = inventory_utilization(base, item)
+            out[s] = util
+            out[s + " (stats)"] = inventory_stats(util)
+            out[s + " (histogram)"] = inventory_histogram(util)
+            out[s + " (top 25)"] = inventory_top(util, 25, item)
+        elif s == SECTIONS[4]:
+            out[s] = avg_duration_by_category(base, cat_map)
+    return out

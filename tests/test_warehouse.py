@@ -87,3 +87,23 @@ def test_build_on_reference_shaped_tables(spark, tmp_dir):
     assert all(v == 0 for (t, c, col), v in report.items() if c == "foreign_key")
     # two payments for rental 2 break the declared rental_id key (kept, reported)
     assert report[("fact_rental", "primary_key", "rental_id")] == 2
+
+
+def test_dashboard_over_written_warehouse(spark, tmp_dir):
+    from starwright.plans.marts import SECTIONS, dashboard
+    src_root = os.path.join(tmp_dir, "src")
+    _write_reference_tables(spark, src_root)
+    wh = build_warehouse(spark, RentalTables(TableSource(spark, src_root)), os.path.join(tmp_dir, "dw"),
+                         ("2005-01-01", "2017-01-01"))
+    out = dashboard(wh.read("fact_rental"), wh.read("dim_customer"), wh.read("dim_store"), wh.read("dim_film"),
+                    "2005-01-01", "2005-01-01", "2006-12-31", store_ids=[2], sections=SECTIONS)
+    top = out["Top 10 customers by revenue"].collect()
+    assert [(r.customer_name, r.total_revenue) for r in top] == [("MARY SMITH", 1.99)]
+    perf = out["Store performance"].collect()
+    assert [(r.store_id, r.store_label, r.txns) for r in perf] == [(2, "Store 2 (Jon Stephens)", 2)]
+    cats = {(r.film_category, r.revenue) for r in out["Monthly revenue trend by category"].collect()}
+    assert cats == {("Horror", 1.99)}
+    pivot = out["Monthly revenue trend by category (pivot)"].first()
+    assert pivot.Horror == 1.99 and pivot.Documentary == 0.0
+    assert out["Inventory utilization (stats)"].first()["items"] == 1
+    assert {r.film_category for r in out["Avg rental duration by category"].collect()} == {"Horror"}
