@@ -38,16 +38,31 @@ def lookup_key(
     return df.join(right, cond, how).drop(*renamed.values())
 
 
-def attach(small: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
-    """Left-join a small result (e.g. a top-k) to a large lookup table.
+def attach(small: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left",
+           max_small_rows: int | None = None) -> DataFrame:
+    """Join a small result (e.g. a top-k) to a lookup table.
 
-    The lookup is first reduced with a semi join against the small side's
-    keys (broadcasting the small side), so only matching lookup rows reach
-    the final join and the large table is never shuffled."""
+    With ``max_small_rows`` (a proven bound such as the k of a top-k) the
+    small result is computed once and its at most that many rows come back;
+    their keys reach the lookup's scan as an IN filter (row groups whose
+    key range misses them are skipped), and only the matching lookup rows
+    are broadcast to the join, so the large table is never shuffled.
+    Without a bound, it is a plain join whose strategy the planner picks."""
     keys = [on] if isinstance(on, str) else list(on)
-    small_keys = F.broadcast(small.select(*keys).dropDuplicates())
-    reduced = lookup.join(small_keys, keys, "left_semi")
-    return small.join(F.broadcast(reduced), keys, how)
+    if max_small_rows is None:
+        return small.join(lookup, keys, how)
+    rows = small.limit(max_small_rows + 1).collect()
+    if len(rows) > max_small_rows:
+        return small.join(lookup, keys, how)
+    spark = small.sparkSession
+    local = spark.createDataFrame(rows, small.schema)
+    reduced = lookup
+    if rows:
+        for k in keys:
+            reduced = reduced.where(F.col(k).isin(sorted({r[k] for r in rows if r[k] is not None})))
+    else:
+        reduced = reduced.limit(0)
+    return local.join(F.broadcast(reduced), keys, how)
 
 
 def left_join_detail(df: DataFrame, detail: DataFrame, on: str | Sequence[str], skew_safe: bool = True) -> DataFrame:

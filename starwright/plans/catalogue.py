@@ -578,10 +578,10 @@ WHERE p.p_size IS NOT NULL
 GROUP BY map.film_category""")
 def q_avg_duration_by_category(spark, sf_dir):
     a = _src(spark, sf_dir)
-    flags = _film_flags(a, keyed=False)
-    durations = flags.select("film_id", F.col("film_rental_duration").alias("rental_duration"))
+    durations = a.film().select("film_id", "rental_duration")
     base = _base(a).join(durations, "film_id", "inner")
-    return marts.avg_duration_by_category(base, marts.category_map(flags, key="film_id"), film="film_id")
+    cat_map = marts.category_map(_film_flags(a, keyed=False), key="film_id")
+    return marts.avg_duration_by_category(base, cat_map, film="film_id")
 
 
 # ---------------------------------------------------------------------------

@@ -74,7 +74,7 @@ def top_customers(base: DataFrame, customers: DataFrame, k: int = 10, key: str =
     revenue = sum_by(base, key, amount, "total_revenue")
     top = top_k(revenue, k, [F.col("total_revenue").desc(), F.col(key).asc()])
     names = customers.select(key, first, last)
-    return attach(top, names, key).select(
+    return attach(top, names, key, max_small_rows=k).select(
         key, full_name(F.col(first), F.col(last)).alias("customer_name"), "total_revenue")
 
 
@@ -137,7 +137,7 @@ def store_performance(base: DataFrame, stores: DataFrame, key: str = "store_key"
     }).withColumn("avg_ticket", safe_div(F.col("revenue"), F.col("txns")))
     cols = [key] + ([store_id] if store_id != key else []) + [first, last]
     lookup = stores.select(*cols).dropDuplicates([key])
-    labelled = attach(perf, lookup, key)
+    labelled = attach(perf, lookup, key)  # one row per store on each side: the planner picks
     return labelled.select(
         *([key] if store_id == key else [key, store_id]),
         store_label(F.col(store_id), F.col(first), F.col(last)).alias("store_label"),
