@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 def apply_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     """Replace NULL by the declared default; add the column with its default
     when it is missing.  A default of ``"CURRENT_TIMESTAMP"`` uses the
-    query's (single, consistent) current timestamp."""
+    query's (single, consistent) current time, zone-less for a
+    TIMESTAMP_NTZ column."""
     cols = {}
+    types = {f.name: f.dataType for f in df.schema.fields}
     for name, default in defaults.items():
-        lit = F.current_timestamp() if default == "CURRENT_TIMESTAMP" else F.lit(default)
+        if default == "CURRENT_TIMESTAMP":
+            ntz = name not in types or types[name].typeName() == "timestamp_ntz"
+            lit = F.localtimestamp() if ntz else F.current_timestamp()
+        else:
+            lit = F.lit(default)
         cols[name] = F.coalesce(F.col(name), lit) if name in df.columns else lit
     return df.withColumns(cols)
 

@@ -162,9 +162,11 @@ def dim_film(
 
 
 def film_actor_bridge(film_actor: DataFrame, actors: DataFrame, films: DataFrame) -> DataFrame:
-    """Distinct (film_key, actor_key) pairs; weights are left NULL."""
+    """Distinct (film_key, actor_key) pairs; weights are left NULL.  With a
+    strict-mode film dimension (one row per film category) each film row
+    gets the film's actors, as in the reference."""
     a = actors.select("actor_id", "actor_key")
-    f = films.select("film_id", "film_key").dropDuplicates(["film_id"])
+    f = films.select("film_id", "film_key")
     pairs = film_actor.select("film_id", "actor_id").distinct()
     return (
         pairs.join(a, "actor_id", "inner").join(f, "film_id", "inner")
