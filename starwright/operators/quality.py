@@ -71,14 +71,17 @@ def check_domain(
         checks.append((col, reason))
     if not checks:
         raise ValueError("no domain checks given")
-    # One scan: every row carries an array of (column, reason) findings,
-    # empty findings are filtered out inside the array, then exploded.
-    findings = F.filter(
-        F.array(*[F.struct(F.lit(col).alias("column_name"), reason.alias("reason")) for col, reason in checks]),
-        lambda x: x["reason"].isNotNull(),
-    )
+    # One scan, no lambdas (stays in codegen): rows with any finding expand
+    # into one row per (column, reason); empty slots are dropped.
+    any_finding = F.lit(False)
+    for _, reason in checks:
+        any_finding = any_finding | reason.isNotNull()
+    findings = F.array(*[
+        F.when(reason.isNotNull(), F.struct(F.lit(col).alias("column_name"), reason.alias("reason")))
+        for col, reason in checks
+    ])
     return (
-        df.select(*keys, F.explode(findings).alias("__sw_f"))
+        df.where(any_finding).select(*keys, F.explode(findings).alias("__sw_f")).where(F.col("__sw_f").isNotNull())
         .select(*keys, F.col("__sw_f.column_name").alias("column_name"), F.col("__sw_f.reason").alias("reason"))
     )
 

@@ -111,17 +111,46 @@ def read_text_fields(
     return df
 
 
-def _typed(raw: Column, dtype: T.DataType, fmt: CsvFormat) -> Column:
-    if isinstance(dtype, T.StringType):
-        return raw
+# Guards: each pattern matches a superset of the text the conversion can
+# accept, so guarding never changes a result; text outside it is NULL at
+# once instead of failing inside the cast, which is far slower per row.
+_PAD = r"[\s\p{Z}\p{C}]*"
+_GUARDS = {
+    "integral": rf"^{_PAD}[+-]?([0-9]+\.?[0-9]*|\.[0-9]+){_PAD}$",
+    "fractional": r"[0-9]|(?i)inf|(?i)nan",
+    "boolean": rf"(?i)^{_PAD}(t|true|y|yes|1|f|false|n|no|0){_PAD}$",
+    "datetime": r"[0-9]",
+}
+
+
+def _guard(raw: Column, dtype: T.DataType) -> Column | None:
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return raw.rlike(_GUARDS["integral"])
+    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return raw.rlike(_GUARDS["fractional"])
+    if isinstance(dtype, T.BooleanType):
+        return raw.rlike(_GUARDS["boolean"])
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return raw.rlike(_GUARDS["datetime"])
+    return None
+
+
+def _convert(raw: Column, dtype: T.DataType, fmt: CsvFormat) -> Column:
     if isinstance(dtype, T.DateType):
-        return F.try_to_date(raw, F.lit(fmt.date_format)) if hasattr(F, "try_to_date") else \
-            F.to_date(F.try_to_timestamp(raw, F.lit(fmt.date_format)))
+        return F.try_to_date(raw, fmt.date_format)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.try_to_timestamp(raw, F.lit(fmt.timestamp_format)).cast(dtype)
     return raw.try_cast(dtype)
 
 
+def _typed(raw: Column, dtype: T.DataType, fmt: CsvFormat) -> Column:
+    if isinstance(dtype, T.StringType):
+        return raw
+    guard = _guard(raw, dtype)
+    conv = _convert(raw, dtype, fmt)
+    return conv if guard is None else F.when(guard, conv)
+
+
 def clean_fields(text: DataFrame, schema: T.StructType, fmt: CsvFormat, bare_n_is_null: bool = False) -> DataFrame:
     """Apply the profile's trimming, UTF-8 repair and NULL tokens to the
     string fields named by ``schema`` (other columns pass through)."""
@@ -164,28 +193,27 @@ def split_typed(df: DataFrame, key: list[str], fields: T.StructType, fmt: CsvFor
     """The conversion half of :func:`load_csv` for an already-read text frame:
     ``fields`` names string columns of ``df`` and their target types.
     Returns (rows with key + typed fields, rejects with key + column_name,
-    raw_value, reason)."""
+    raw_value, reason).
+
+    Written without lambdas, so both outputs stay in whole-stage codegen:
+    a row passes when no field failed; only failing rows expand into one
+    reject per failed field."""
     if isinstance(fmt, str):
         fmt = profile(fmt)
-    errors = F.filter(
-        F.array(*[
-            F.struct(
-                F.lit(f.name).alias("column_name"),
-                F.col(f.name).alias("raw_value"),
-                F.lit(f"cannot convert to {f.dataType.simpleString()}").alias("reason"),
-                (F.col(f.name).isNotNull() & _typed(F.col(f.name), f.dataType, fmt).isNull()).alias("bad"),
-            )
-            for f in fields.fields
-        ]),
-        lambda e: e["bad"],
-    )
-    marked = df.withColumn("__sw_err", errors)
-    rows = marked.where(F.size("__sw_err") == 0).select(
-        *key, *[_typed(F.col(f.name), f.dataType, fmt).alias(f.name) for f in fields.fields]
-    )
+    typed = {f.name: _typed(F.col(f.name), f.dataType, fmt) for f in fields.fields}
+    bad = {f.name: F.col(f.name).isNotNull() & typed[f.name].isNull() for f in fields.fields}
+    any_bad = F.lit(False)
+    for b in bad.values():
+        any_bad = any_bad | b
+    rows = df.where(~any_bad).select(*key, *[typed[f.name].alias(f.name) for f in fields.fields])
+    findings = F.array(*[
+        F.when(bad[f.name], F.struct(
+            F.lit(f.name).alias("column_name"), F.col(f.name).alias("raw_value"),
+            F.lit(f"cannot convert to {f.dataType.simpleString()}").alias("reason")))
+        for f in fields.fields
+    ])
     rejects = (
-        marked.where(F.size("__sw_err") > 0)
-        .select(*key, F.explode("__sw_err").alias("e"))
+        df.where(any_bad).select(*key, F.explode(findings).alias("e")).where(F.col("e").isNotNull())
         .select(*key, "e.column_name", "e.raw_value", "e.reason")
     )
     return LoadResult(rows, rejects)
