@@ -219,6 +219,32 @@ def split_typed(df: DataFrame, key: list[str], fields: T.StructType, fmt: CsvFor
     return LoadResult(rows, rejects)
 
 
+def load_counts(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    fmt: CsvFormat | str = "utf8",
+    table_name: str | None = None,
+    by_name: bool = False,
+    bare_n_is_null: bool = False,
+) -> DataFrame:
+    """Load reconciliation in one pass over the files: one row
+    (table_name, rows_read, rows_loaded, rows_rejected, balanced) where a
+    rejected row counts once however many of its fields failed."""
+    if isinstance(fmt, str):
+        fmt = profile(fmt)
+    names = [f.name for f in schema.fields]
+    text = clean_fields(read_text_fields(spark, path, names, fmt, by_name=by_name), schema, fmt, bare_n_is_null)
+    any_bad = F.lit(False)
+    for f in schema.fields:
+        any_bad = any_bad | (F.col(f.name).isNotNull() & _typed(F.col(f.name), f.dataType, fmt).isNull())
+    counts = text.agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(~any_bad).alias("rows_loaded"),
+                      F.count_if(any_bad).alias("rows_rejected"))
+    return counts.select(
+        F.lit(table_name or path).alias("table_name"), "rows_read", "rows_loaded", "rows_rejected",
+        (F.col("rows_read") == F.col("rows_loaded") + F.col("rows_rejected")).alias("balanced"))
+
+
 def text_schema(schema: T.StructType) -> T.StructType:
     """The all-string reading schema of a target schema."""
     return T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])

@@ -127,3 +127,12 @@ def test_guards_never_change_a_conversion(spark):
         def norm(v):
             return "nan" if isinstance(v, float) and v != v else v
         assert [norm(r.g) for r in pairs] == [norm(r.c) for r in pairs], dtype
+
+
+def test_load_reconciliation(spark, tmp_dir):
+    from starwright.sources.csv_load import load_counts
+    p = _write(tmp_dir, "r.csv", b"id,name,ts\n1,a,\nx,b,zz\n3,c,2006-01-01 00:00:00\n4\n")
+    r = load_counts(spark, p, SCHEMA, "utf8", table_name="r").first()
+    assert (r.table_name, r.rows_read, r.rows_loaded, r.rows_rejected, r.balanced) == ("r", 4, 3, 1, True)
+    rows, rejects = load_csv(spark, p, SCHEMA, "utf8")
+    assert rows.count() == r.rows_loaded and rejects.count() == 2  # one row, two bad fields
