@@ -17,9 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starwright.functions.dates import as_date
 from starwright.functions.flags import contains_flags, null_if_tokens, one_hot
-from starwright.functions.money import cents, from_cents
 from starwright.operators import aggregates, calendar, quality
 from starwright.operators.defaults import apply_defaults
 from starwright.operators.joins import left_join_detail
@@ -27,7 +25,7 @@ from starwright.operators.keys import assign_key
 from starwright.plans import dimensions as dims
 from starwright.plans import facts, marts
 from starwright.schemas import (
-    ADDRESS_KEY_START, CATEGORY_PREFIX, CITY_KEY_START, COUNTRY_KEY_START, FACT_DEFAULTS, category_column,
+    ADDRESS_KEY_START, CITY_KEY_START, COUNTRY_KEY_START, FACT_DEFAULTS, category_column,
 )
 from starwright.session import apply_runtime_conf
 from starwright.sources.csv_load import split_typed

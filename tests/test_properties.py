@@ -1,0 +1,43 @@
+"""Property tests: load guards never change a conversion; distributed keys
+equal row_number on arbitrary id sets."""
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from starwright.operators.keys import assign_key
+from starwright.sources.csv_load import PROFILES, _convert, _typed
+
+ALPHABET = "0123456789 +-.eEdDxXpPinfaINFAtrueyso:TZ\t  "
+TYPES = [T.IntegerType(), T.LongType(), T.DoubleType(), T.DecimalType(12, 3), T.BooleanType(),
+         T.DateType(), T.TimestampNTZType()]
+SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+
+
+def _norm(v):
+    return "nan" if isinstance(v, float) and v != v else v
+
+
+@SETTINGS
+@given(st.lists(st.text(alphabet=ALPHABET, max_size=12), min_size=1, max_size=300))
+def test_guards_are_supersets(spark, samples):
+    df = spark.createDataFrame([(s,) for s in samples], "raw string")
+    fmt = PROFILES["format"]
+    cols = []
+    for i, dtype in enumerate(TYPES):
+        cols += [_typed(F.col("raw"), dtype, fmt).alias(f"g{i}"), _convert(F.col("raw"), dtype, fmt).alias(f"c{i}")]
+    for row in df.select(*cols).collect():
+        for i in range(len(TYPES)):
+            assert _norm(row[f"g{i}"]) == _norm(row[f"c{i}"]), (TYPES[i], row)
+
+
+@SETTINGS
+@given(st.sets(st.integers(min_value=-10**12, max_value=10**12), max_size=400), st.integers(1, 7),
+       st.integers(-5, 1000))
+def test_distributed_keys_equal_row_number(spark, ids, parts, start):
+    df = spark.createDataFrame([(i,) for i in ids], "nat long")
+    keyed = assign_key(df, "k", "nat", start=start, partitions=parts, single_task_rows=0)
+    expected = df.select((F.row_number().over(Window.orderBy("nat")) + start - 1).cast("long").alias("k"), "nat")
+    assert sorted(keyed.collect()) == sorted(expected.collect())
