@@ -12,6 +12,8 @@ replaces its own output instead of duplicating it.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +52,10 @@ def start_staged_load(
         fmt = profile(fmt)
     if checkpoint_location is None:
         base = ensure_checkpoint_dir(spark).rstrip("/")
-        checkpoint_location = f"{base}/staged_load/{abs(hash(table_path))}"
+        # A stable digest of the target (Python's hash() changes per process,
+        # which would make a restarted load forget what it already read).
+        digest = hashlib.sha1(table_path.encode()).hexdigest()[:16]
+        checkpoint_location = f"{base}/staged_load/{digest}"
     reader = spark.readStream.format("csv").options(**reader_options(fmt)).schema(text_schema(schema))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))

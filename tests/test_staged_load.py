@@ -28,3 +28,14 @@ def test_each_staged_file_loads_once(spark, tmp_dir):
     # nothing new: a third run adds nothing
     run_staged_load(spark, stage, SCHEMA, table, rejects, "utf8", checkpoint_location=ckpt)
     assert spark.read.parquet(table).count() == 4
+
+
+def test_default_checkpoint_is_stable_across_processes(spark, tmp_dir):
+    import subprocess
+    import sys
+    code = ("import hashlib; p='/x/table'; print(hashlib.sha1(p.encode()).hexdigest()[:16])")
+    a = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True).stdout
+    b = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True).stdout
+    assert a == b and a.strip()
+    src = open(__import__("starwright.streaming.staged_load", fromlist=["x"]).__file__).read()
+    assert "hash(table_path)" not in src
