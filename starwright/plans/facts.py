@@ -52,6 +52,17 @@ def date_keys(lines: DataFrame, calendar: tuple[dt.date, dt.date],
     )
 
 
+def date_key_join(lines: DataFrame, dim_date: DataFrame, ts_col: str, key_alias: str, how: str = "inner") -> DataFrame:
+    """Role-playing calendar lookup by join, for a calendar table whose keys
+    are not day offsets (e.g. one loaded from files): ``DATE(ts)`` equals
+    the calendar date; ``inner`` drops rows outside it, ``left`` keeps them
+    with a NULL key.  The calendar holds one row per day of a fixed range,
+    so its size is bounded by that range, not by the data: broadcast."""
+    cal = dim_date.select(F.col("date").alias(f"__{key_alias}_date"), F.col("date_key").alias(key_alias))
+    cond = F.to_date(F.col(ts_col)) == F.col(f"__{key_alias}_date")
+    return lines.join(F.broadcast(cal), cond, how).drop(f"__{key_alias}_date")
+
+
 def build_fact(
     lines: DataFrame,
     customers: DataFrame,

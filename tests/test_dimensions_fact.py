@@ -122,3 +122,20 @@ def test_payment_pre_aggregation_keeps_rental_grain(spark):
     _, _, _, _, _, _, payment = _fact_inputs(spark)
     agg = {r.rental_id: r.amount for r in facts.payment_per_rental(payment).collect()}
     assert agg == {1: 5.0, 3: 1.5, 4: 9.0}
+
+
+def test_date_key_join_equals_arithmetic(spark):
+    from starwright.operators.calendar import date_dim
+    lines = spark.createDataFrame(
+        [(1, dt.datetime(2005, 5, 24, 22, 53), dt.datetime(2005, 5, 26, 1, 0)),
+         (2, dt.datetime(2005, 12, 31, 23, 59), None),
+         (3, dt.datetime(2006, 6, 1, 0, 0), dt.datetime(2006, 6, 3, 0, 0)),
+         (4, dt.datetime(2004, 12, 31, 0, 0), None)],
+        "rental_id int, rental_date timestamp_ntz, return_date timestamp_ntz")
+    cal = (dt.date(2005, 1, 1), dt.date(2005, 12, 31))
+    by_math = facts.date_keys(lines, cal).select("rental_id", "rental_date_key", "return_date_key")
+    joined = facts.date_key_join(lines, date_dim(spark, *cal), "rental_date", "rental_date_key", "inner")
+    joined = facts.date_key_join(joined, date_dim(spark, *cal), "return_date", "return_date_key", "left")
+    by_join = joined.select("rental_id", "rental_date_key", "return_date_key")
+    assert sorted(by_math.collect()) == sorted(by_join.collect())
+    assert sorted(r.rental_id for r in by_join.collect()) == [1, 2]
