@@ -44,3 +44,15 @@ def test_defaults_and_fill(spark):
     assert rows == [(0.0, 0, 1, "Weekday"), (2.5, 1, 1, "Weekday")]
     f = fill(spark.createDataFrame([(None, None)], "a string, b double")).first()
     assert (f.a, f.b) == ("", 0.0)
+
+
+def test_bounded_broadcast_checks_size(spark):
+    from starwright.operators.joins import bounded_broadcast
+    small = spark.range(5)
+    big = spark.range(50)
+    j_small = spark.range(100).join(bounded_broadcast(small, 10), "id")
+    j_big = spark.range(100).join(bounded_broadcast(big, 10), "id")
+    assert j_small.count() == 5 and j_big.count() == 50
+    # the hint is present only where the bound held
+    assert "broadcast" in j_small._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in j_big._jdf.queryExecution().analyzed().toString().lower()
