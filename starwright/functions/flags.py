@@ -42,8 +42,7 @@ def one_hot(c: Column | str, labels: Iterable[str], column_name=category_column)
 def is_truthy(c: Column | str) -> Column:
     """True when the value's text form is one of the truthy tokens (an
     integer flag 1, a boolean true, or the text 'True' / 'TRUE' / 'true')."""
-    text = _c(c).cast("string")
-    return text.isin(TRUTHY_TEXT) | (text == F.lit("true"))
+    return _c(c).cast("string").isin(TRUTHY_TEXT)
 
 
 def null_if_tokens(c: Column | str, tokens: Iterable[str]) -> Column:
