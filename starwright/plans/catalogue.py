@@ -156,6 +156,17 @@ def q_dim_date(spark, sf_dir):
     return calendar.date_dim(spark, lo, hi)
 
 
+@register("numbers", f"""
+WITH {SQL_CAL}
+SELECT t.n AS number FROM cal, range(0, 100000) t(n) WHERE t.n <= date_diff('day', cal.lo, cal.hi)""")
+def q_numbers(spark, sf_dir):
+    """The number helper the calendar is generated from: one number per day
+    of the whole years spanned by the order dates (the reference's fixed
+    0..9999 helper is covered by unit tests)."""
+    lo, hi = _calendar(_src(spark, sf_dir))
+    return calendar.numbers(spark, (hi - lo).days + 1)
+
+
 # ---------------------------------------------------------------------------
 # dimensions
 # ---------------------------------------------------------------------------
