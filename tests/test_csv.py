@@ -136,3 +136,16 @@ def test_load_reconciliation(spark, tmp_dir):
     assert (r.table_name, r.rows_read, r.rows_loaded, r.rows_rejected, r.balanced) == ("r", 4, 3, 1, True)
     rows, rejects = load_csv(spark, p, SCHEMA, "utf8")
     assert rows.count() == r.rows_loaded and rejects.count() == 2  # one row, two bad fields
+
+
+def test_preview_numbers_each_file(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "stage")
+    os.makedirs(d)
+    for name, n in (("a.csv", 4), ("b.csv", 12)):
+        _write(d, name, b"id,name,ts\n" + b"".join(b"%d,x,\n" % i for i in range(n)))
+    pv = preview(spark, d, "flex", n=10).collect()
+    per_file = {}
+    for r in pv:
+        per_file.setdefault(r.file_name, []).append((r.line_number, r.col1))
+    assert per_file["a.csv"] == [(i + 1, str(i)) for i in range(4)]
+    assert per_file["b.csv"] == [(i + 1, str(i)) for i in range(10)]
