@@ -175,7 +175,7 @@ def film_actor_bridge(film_actor: DataFrame, actors: DataFrame, films: DataFrame
 
 
 def location_rollup(customers: DataFrame, addresses: DataFrame, cities: DataFrame, countries: DataFrame) -> DataFrame:
-    """Customers per (country, city) through the snowflaked location arm.
+    """Customers per (country, city) through the normalised location hierarchy.
 
     Customers are counted per address key first (partial aggregation), so
     only one row per address travels up the hierarchy joins."""
