@@ -39,3 +39,14 @@ def test_default_checkpoint_is_stable_across_processes(spark, tmp_dir):
     assert a == b and a.strip()
     src = open(__import__("starwright.streaming.staged_load", fromlist=["x"]).__file__).read()
     assert "hash(table_path)" not in src
+
+
+def test_one_file_per_batch(spark, tmp_dir):
+    stage, table, rejects, ckpt = (os.path.join(tmp_dir, d) for d in ("stage", "table", "rejects", "ckpt"))
+    os.makedirs(stage)
+    for i in range(3):
+        _put(stage, f"f{i}.csv", b"id,name\n%d,n%d\n" % (i, i))
+    run_staged_load(spark, stage, SCHEMA, table, rejects, "utf8", checkpoint_location=ckpt, max_files_per_trigger=1)
+    batches = sorted(d for d in os.listdir(table) if d.startswith("batch_id="))
+    assert batches == ["batch_id=0", "batch_id=1", "batch_id=2"]
+    assert sorted(r.id for r in spark.read.parquet(table).collect()) == [0, 1, 2]
