@@ -125,3 +125,16 @@ def test_export_and_reload_reconciles(spark, tmp_dir):
         assert r.rows_read == wh.read(name).count() == results[name].rows.count(), name
     back = {r.film_id: r for r in results["dim_film"].rows.collect()}
     assert back[1].film_has_deleted_scenes == 1 and back[2].film_in_category_horror == 1
+
+
+def test_command_line(spark, tmp_dir, capsys):
+    from starwright.__main__ import main
+    src_root = os.path.join(tmp_dir, "src")
+    _write_reference_tables(spark, src_root)
+    out = os.path.join(tmp_dir, "dw")
+    assert main(["build", src_root, out, "--calendar", "2005-01-01", "2017-01-01"], spark=spark) == 0
+    assert main(["check", out], spark=spark) == 0
+    assert main(["dashboard", out, "--calendar-start", "2005-01-01", "--range", "2005-01-01", "2006-12-31"],
+                spark=spark) == 0
+    text = capsys.readouterr().out
+    assert "fact_rental" in text and "primary_key" in text and "== Store performance" in text
