@@ -44,16 +44,30 @@ def date_bounds(dates: DataFrame, column: str = "date") -> DataFrame:
 
 # -- M2: filtered base -------------------------------------------------------
 
-def base_from_fact(fact: DataFrame, calendar_start: str | dt.date) -> DataFrame:
+def base_from_fact(fact: DataFrame, calendar_start: str | dt.date,
+                   start: str | dt.date | None = None, end: str | dt.date | None = None) -> DataFrame:
     """Fact rows with ``rental_date`` and ``payment_amount``.
 
     The reference left-joins the calendar on the rental date key and then
     filters on the calendar date, which makes the join inner.  The calendar
-    is keyed by day offset, so the date is ``start + key``: no join."""
-    return fact.withColumn("rental_date", F.date_add(as_date(calendar_start), F.col("rental_date_key").cast("int"))) \
+    is keyed by day offset, so the date is ``start + key``: no join.  A
+    date range given here becomes a literal range on ``rental_date_key``,
+    which reaches the Parquet scan (the written fact is sorted by that key,
+    so row groups outside the range are skipped)."""
+    origin = _py_date(calendar_start)
+    df = fact
+    if start is not None:
+        df = df.where(F.col("rental_date_key") >= F.lit((_py_date(start) - origin).days))
+    if end is not None:
+        df = df.where(F.col("rental_date_key") <= F.lit((_py_date(end) - origin).days))
+    return df.withColumn("rental_date", F.date_add(F.lit(origin), F.col("rental_date_key").cast("int"))) \
         .withColumnRenamed("dollar_amount", "payment_amount")
 
 
+def _py_date(value: str | dt.date) -> dt.date:
+    return dt.date.fromisoformat(value) if isinstance(value, str) else value
+
+
 def base_filtered(base: DataFrame, start: str | dt.date, end: str | dt.date,
                   stores: Iterable | None = None, store_col: str = "store_key",
                   date_col: str = "rental_date") -> DataFrame:
@@ -241,7 +255,7 @@ def dashboard(
                 .select("store_key").collect()]
     else:
         keys = None
-    base = base_filtered(base_from_fact(fact, calendar_start), start, end, keys, store_col="store_key")
+    base = base_filtered(base_from_fact(fact, calendar_start, start, end), start, end, keys, store_col="store_key")
     if len(wanted) > 1:
         base = base.cache()
     out: dict[str, DataFrame] = {}

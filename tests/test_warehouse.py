@@ -138,3 +138,21 @@ def test_command_line(spark, tmp_dir, capsys):
                 spark=spark) == 0
     text = capsys.readouterr().out
     assert "fact_rental" in text and "primary_key" in text and "== Store performance" in text
+
+
+def test_dashboard_date_range_reaches_the_fact_scan(spark, tmp_dir):
+    import contextlib
+    import io
+    from starwright.plans.marts import base_filtered, base_from_fact
+    path = os.path.join(tmp_dir, "fact")
+    spark.createDataFrame([(1, 0, 1, 2.0), (2, 143, 1, 3.0), (3, 500, 2, 4.0)],
+                          "rental_id long, rental_date_key long, store_key long, dollar_amount double") \
+        .write.parquet(path)
+    base = base_filtered(base_from_fact(spark.read.parquet(path), "2005-01-01", "2005-05-01", "2006-02-28"),
+                         "2005-05-01", "2006-02-28", [1], store_col="store_key")
+    assert [r.rental_id for r in base.collect()] == [2]
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        base.explain("formatted")
+    pushed = [line for line in buf.getvalue().splitlines() if "PushedFilters" in line][0]
+    assert "GreaterThanOrEqual(rental_date_key,120)" in pushed and "LessThanOrEqual(rental_date_key,423)" in pushed
