@@ -12,13 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starwright.plans.facts import rental_lines
+from starwright.plans.facts import payment_per_rental, rental_lines
 from starwright.sources.tables import TableSource
 
 
 class RentalTables:
-    def __init__(self, tables: TableSource):
+    """``payments_per_rental=True`` sums a rental's payments first (exact
+    cents), so the fact keeps one row per rental and its declared
+    ``rental_id`` key holds; by default each payment is its own fact row,
+    as in the reference."""
+
+    def __init__(self, tables: TableSource, payments_per_rental: bool = False):
         self.t = tables
+        self.payments_per_rental = payments_per_rental
 
     def actor(self) -> DataFrame:
         return self.t("actor", ["actor_id", "first_name", "last_name", "last_update"])
@@ -64,5 +70,7 @@ class RentalTables:
         if customers is not None:
             ck = customers.select(F.col("customer_id").alias("__cust"), "customer_key")
             rental = rental.join(ck, rental.customer_id == ck["__cust"], "inner").drop("__cust")
-        return rental_lines(rental, self.t("inventory", ["inventory_id", "film_id", "store_id"]),
-                            self.t("payment", ["rental_id", "amount"]))
+        payment = self.t("payment", ["rental_id", "amount"])
+        if self.payments_per_rental:
+            payment = payment_per_rental(payment)
+        return rental_lines(rental, self.t("inventory", ["inventory_id", "film_id", "store_id"]), payment)

@@ -156,3 +156,14 @@ def test_dashboard_date_range_reaches_the_fact_scan(spark, tmp_dir):
         base.explain("formatted")
     pushed = [line for line in buf.getvalue().splitlines() if "PushedFilters" in line][0]
     assert "GreaterThanOrEqual(rental_date_key,120)" in pushed and "LessThanOrEqual(rental_date_key,423)" in pushed
+
+
+def test_payments_per_rental_keeps_rental_grain(spark, tmp_dir):
+    src_root = os.path.join(tmp_dir, "src")
+    _write_reference_tables(spark, src_root)
+    wh = build_warehouse(spark, RentalTables(TableSource(spark, src_root), payments_per_rental=True),
+                         os.path.join(tmp_dir, "dw"), ("2005-01-01", "2017-01-01"))
+    fact = sorted((r.rental_id, r.dollar_amount) for r in wh.read("fact_rental").collect())
+    assert fact == [(1, 2.99), (2, 1.99)]
+    report = {(r.table_name, r.check, r.column_name): r.violations for r in check_warehouse(wh).collect()}
+    assert report[("fact_rental", "primary_key", "rental_id")] == 0
