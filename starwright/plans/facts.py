@@ -101,5 +101,8 @@ def build_fact(
         F.col("rental_id").cast("long"), "rental_last_update", "customer_key", "staff_key", "film_key",
         "store_key", "rental_date_key", "return_date_key", F.lit(1).alias("count_rentals"),
         "count_returns", F.col("film_rental_duration").cast("int").alias("rental_duration"),
-        F.col("amount").cast("double").alias("dollar_amount"), *carry)
+        F.col("amount").cast("double").alias("dollar_amount"),
+        # Days actually rented (NULL until returned); rental_duration is the
+        # film's allowed days, kept as the reference defines it.
+        F.datediff(F.to_date("return_date"), F.to_date("rental_date")).alias("actual_days"), *carry)
     return apply_defaults(out, {**FACT_DEFAULTS, "rental_last_update": "CURRENT_TIMESTAMP"})

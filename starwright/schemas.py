@@ -220,7 +220,9 @@ FACT_RENTAL = TableSpec(
        ("customer_key", L, False), ("staff_key", L, False), ("film_key", L, False),
        ("store_key", L, False), ("rental_date_key", L, False), ("return_date_key", L, True),
        ("count_rentals", I, False), ("count_returns", I, False),
-       ("rental_duration", I, False), ("dollar_amount", DB, False)),
+       ("rental_duration", I, False), ("dollar_amount", DB, False),
+       # ours: days actually rented, NULL until returned
+       ("actual_days", I, True)),
     primary_key=("rental_id",),
     foreign_keys={
         "customer_key": ("dim_customer", "customer_key"),

@@ -116,6 +116,7 @@ def test_fact_edges(spark):
         # rental 4 (2004-12-31) lies before the calendar: dropped
     ]
     assert fact.where("rental_last_update IS NULL").count() == 0
+    assert sorted({(r.rental_id, r.actual_days) for r in rows}) == [(1, 2), (2, None), (3, 3)]
 
 
 def test_payment_pre_aggregation_keeps_rental_grain(spark):
