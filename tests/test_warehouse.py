@@ -74,7 +74,8 @@ def test_build_on_reference_shaped_tables(spark, tmp_dir):
     src_root = os.path.join(tmp_dir, "src")
     _write_reference_tables(spark, src_root)
     wh = build_warehouse(spark, RentalTables(TableSource(spark, src_root)), os.path.join(tmp_dir, "dw"),
-                         ("2005-01-01", "2017-01-01"))
+                         ("2005-01-01", "2017-01-01"), count_drops=True)
+    assert wh.dropped_fact_rows == 0
     fact = sorted(wh.read("fact_rental").collect(), key=lambda r: (r.rental_id, r.dollar_amount))
     assert [(r.rental_id, r.rental_date_key, r.return_date_key, r.count_returns, r.dollar_amount, r.inventory_id)
             for r in fact] == [(1, 143, 145, 1, 2.99, 1), (2, 143, None, 0, 0.99, 2), (2, 143, None, 0, 1.0, 2)]
@@ -167,3 +168,12 @@ def test_payments_per_rental_keeps_rental_grain(spark, tmp_dir):
     assert fact == [(1, 2.99), (2, 1.99)]
     report = {(r.table_name, r.check, r.column_name): r.violations for r in check_warehouse(wh).collect()}
     assert report[("fact_rental", "primary_key", "rental_id")] == 0
+
+
+def test_dropped_rentals_are_counted(spark, tmp_dir):
+    src_root = os.path.join(tmp_dir, "src")
+    _write_reference_tables(spark, src_root)
+    # a calendar that starts after the first rental day drops all three lines
+    wh = build_warehouse(spark, RentalTables(TableSource(spark, src_root)), os.path.join(tmp_dir, "dw"),
+                         ("2005-06-01", "2017-01-01"), count_drops=True)
+    assert wh.read("fact_rental").count() == 0 and wh.dropped_fact_rows == 3
