@@ -409,13 +409,15 @@ def _fact(spark, sf_dir) -> DataFrame:
     cities = dims.dim_city(a.city(), countries)
     addresses = dims.dim_address(a.address(), cities)
     customers = dims.dim_customer(a.customer(), addresses)
-    # Customer keys are resolved on orders; the inventory's store is the
-    # supplier's nation, i.e. the staff member's store.
-    lines = a.rental_lines(with_store=False, customers=customers)
-    return facts.build_fact(
-        lines, customers, dims.dim_staff(a.staff()), _film_flags(a, keyed=True),
-        dims.dim_store(a.store(), addresses, a.staff()), _calendar(a),
-        carry=("inventory_film_id", "inventory_staff_id"), store_from_staff=True)
+    staff, films = dims.dim_staff(a.staff()), _film_flags(a, keyed=True)
+    stores = dims.dim_store(a.store(), addresses, a.staff())
+    # Customer keys are resolved on orders; staff, film and store keys once
+    # per inventory item (part from a supplier, whose nation is the store).
+    items = facts.resolve_items(a.inventory_items(), staff, films, stores, store_from_staff=True)
+    lines = a.rental_lines(with_store=False, customers=customers).drop("store_id")
+    lines = lines.join(items, ["film_id", "staff_id"], "inner")
+    return facts.build_fact(lines, customers, staff, films, stores, _calendar(a),
+                            carry=("inventory_film_id", "inventory_staff_id"))
 
 
 # ---------------------------------------------------------------------------

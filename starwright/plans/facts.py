@@ -63,6 +63,25 @@ def date_key_join(lines: DataFrame, dim_date: DataFrame, ts_col: str, key_alias:
     return lines.join(F.broadcast(cal), cond, how).drop(f"__{key_alias}_date")
 
 
+def resolve_items(items: DataFrame, staff: DataFrame, films: DataFrame, stores: DataFrame,
+                  store_from_staff: bool = False) -> DataFrame:
+    """Staff, film and store keys resolved once per inventory item.
+
+    ``items`` holds distinct (film_id, staff_id[, store_id]) pairs.  When
+    the item determines the staff member, film and store, lines joined to
+    the resolved items need one shuffle (on the item) instead of one per
+    dimension, and the lookups run on the items, which are far fewer than
+    the lines."""
+    df = items
+    if store_from_staff:
+        df = lookup_key(df.drop("store_id"), staff.withColumnRenamed("staff_store_id", "store_id"),
+                        "staff_id", "staff_id", ["staff_key", "store_id"])
+    else:
+        df = lookup_key(df, staff, "staff_id", "staff_id", "staff_key")
+    df = lookup_key(df, films, "film_id", "film_id", ["film_key", "film_rental_duration"])
+    return lookup_key(df, stores, "store_id", "store_id", "store_key")
+
+
 def build_fact(
     lines: DataFrame,
     customers: DataFrame,

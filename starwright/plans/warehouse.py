@@ -81,6 +81,11 @@ def build_warehouse(
     wh.write("dim_film_actor_bridge", dims.film_actor_bridge(src.film_actor(), wh.read("dim_actor"), films))
 
     lines = src.rental_lines(with_store=not store_from_staff, customers=customers)
+    if hasattr(src, "inventory_items") and store_from_staff:
+        # Staff, film and store are functions of the inventory item: resolve
+        # them once per item, then one join (one shuffle) brings them to lines.
+        items = facts.resolve_items(src.inventory_items(), staff, films, stores, store_from_staff=True)
+        lines = lines.drop("store_id").join(items, ["film_id", "staff_id"], "inner")
     fact = facts.build_fact(lines, customers, staff, films, stores, (lo, hi), carry=carry,
                             store_from_staff=store_from_staff)
     # Sorted by date key inside each file: row-group statistics then let a

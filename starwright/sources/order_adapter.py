@@ -139,6 +139,12 @@ class OrderAdapter:
                               F.upper(F.split_part(F.col("p_name"), F.lit(" "), F.lit(1))).alias("name"))
         return by_type.unionByName(by_word)
 
+    def inventory_items(self) -> DataFrame:
+        """Distinct inventory items (film_id, staff_id): a part from a
+        supplier.  Partial aggregation de-duplicates before the shuffle."""
+        return self.t("lineitem", ["l_partkey", "l_suppkey"]).select(
+            F.col("l_partkey").alias("film_id"), F.col("l_suppkey").alias("staff_id")).distinct()
+
     def film_actor(self) -> DataFrame:
         return self.t("lineitem", ["l_partkey", "l_suppkey"]).select(
             F.col("l_partkey").alias("film_id"), F.col("l_suppkey").alias("actor_id")).distinct()
