@@ -25,10 +25,15 @@ from starwright.sources.csv_load import CsvFormat, clean_fields, profile, reader
 
 def _batch_writer(schema: T.StructType, fmt: CsvFormat, table_path: str, rejects_path: str, bare_n_is_null: bool):
     def write(batch: DataFrame, batch_id: int) -> None:
-        text = clean_fields(batch, schema, fmt, bare_n_is_null)
-        rows, rejects = split_typed(text, ["file_name"], schema, fmt)
-        rows.drop("file_name").write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
-        rejects.write.mode("overwrite").parquet(f"{rejects_path}/batch_id={batch_id}")
+        # Two outputs from one micro-batch: keep the cleaned text for both
+        # writes instead of reading the batch's files twice.
+        text = clean_fields(batch, schema, fmt, bare_n_is_null).persist()
+        try:
+            rows, rejects = split_typed(text, ["file_name"], schema, fmt)
+            rows.drop("file_name").write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+            rejects.write.mode("overwrite").parquet(f"{rejects_path}/batch_id={batch_id}")
+        finally:
+            text.unpersist()
     return write
 
 
