@@ -8,13 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after checking it holds at most ``max_rows``
-    rows; beyond that, return it unchanged so the planner shuffles.
+# Largest dimension (in rows) this package broadcasts on its own decision;
+# lookup dimensions are projected to a key and a few columns first.
+BROADCAST_ROWS = 1_000_000
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """True when ``df`` holds at most ``max_rows`` rows.  The check reads at
+    most ``max_rows + 1`` rows (on a Parquet source with every column
+    pruned, only row-group metadata)."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
-    The check reads at most ``max_rows + 1`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after checking it holds at most ``max_rows``
+    rows; beyond that, return it unchanged so the planner shuffles."""
+    return F.broadcast(df) if fits(df, max_rows) else df
 
 
 def lookup_key(
@@ -24,16 +33,20 @@ def lookup_key(
     right_on: str | Sequence[str],
     take: str | Sequence[str],
     how: str = "inner",
+    broadcast: bool = False,
 ) -> DataFrame:
     """Resolve a natural id to a dimension's surrogate key (and/or other
     columns).  The dimension is projected to the join and taken columns
     first; the physical strategy (broadcast or shuffle) is left to the
-    planner's size estimate and AQE."""
+    planner's size estimate and AQE, unless ``broadcast`` says the caller
+    has checked the dimension's size."""
     lk = [left_on] if isinstance(left_on, str) else list(left_on)
     rk = [right_on] if isinstance(right_on, str) else list(right_on)
     tk = [take] if isinstance(take, str) else list(take)
     renamed = {r: f"__sw_r_{i}" for i, r in enumerate(rk)}
     right = dim.select(*[F.col(r).alias(renamed[r]) for r in rk], *[c for c in tk if c not in rk])
+    if broadcast:  # only for a dimension whose size the caller has checked
+        right = F.broadcast(right)
     cond = [df[lcol] == right[renamed[rcol]] for lcol, rcol in zip(lk, rk)]
     return df.join(right, cond, how).drop(*renamed.values())
 

@@ -21,7 +21,7 @@ from starwright.functions.flags import contains_flags, null_if_tokens, one_hot
 from starwright.functions.text import full_name
 from starwright.operators import aggregates, calendar, quality
 from starwright.operators.defaults import apply_defaults
-from starwright.operators.joins import left_join_detail
+from starwright.operators.joins import fits, left_join_detail
 from starwright.operators.keys import assign_key
 from starwright.plans import dimensions as dims
 from starwright.plans import facts, marts
@@ -411,11 +411,13 @@ def _fact(spark, sf_dir) -> DataFrame:
     customers = dims.dim_customer(a.customer(), addresses)
     staff, films = dims.dim_staff(a.staff()), _film_flags(a, keyed=True)
     stores = dims.dim_store(a.store(), addresses, a.staff())
-    # Customer keys are resolved on orders; staff, film and store keys once
-    # per inventory item (part from a supplier, whose nation is the store).
-    items = facts.resolve_items(a.inventory_items(), staff, films, stores, store_from_staff=True)
-    lines = a.rental_lines(with_store=False, customers=customers).drop("store_id")
-    lines = lines.join(items, ["film_id", "staff_id"], "inner")
+    # Customer keys are resolved on orders.  Staff, film and store follow
+    # from the inventory item (a part from a supplier, whose nation is the
+    # store): broadcast lookups when the source tables are proven small,
+    # otherwise keys resolved once per item.
+    small = fits(a.t("supplier", ["s_suppkey"])) and fits(a.t("part", ["p_partkey"]))
+    lines = facts.attach_item_keys(a.rental_lines(with_store=False, customers=customers), a.inventory_items(),
+                                   staff, films, stores, small)
     return facts.build_fact(lines, customers, staff, films, stores, _calendar(a),
                             carry=("inventory_film_id", "inventory_staff_id"))
 

@@ -82,6 +82,24 @@ def resolve_items(items: DataFrame, staff: DataFrame, films: DataFrame, stores:
     return lookup_key(df, stores, "store_id", "store_id", "store_key")
 
 
+def attach_item_keys(lines: DataFrame, items: DataFrame, staff: DataFrame, films: DataFrame,
+                     stores: DataFrame, small_dims: bool) -> DataFrame:
+    """Staff, film and store keys for lines whose inventory item (film_id,
+    staff_id) determines them, the store being the staff member's.
+
+    ``small_dims`` (the caller checked the staff and film dimensions'
+    sizes): broadcast lookups, the lines are not shuffled for them.
+    Otherwise the keys are resolved once per distinct item and one join on
+    the item brings them to the lines: one shuffle instead of two."""
+    if small_dims:
+        df = lookup_key(lines.drop("store_id"), staff.withColumnRenamed("staff_store_id", "store_id"),
+                        "staff_id", "staff_id", ["staff_key", "store_id"], broadcast=True)
+        df = lookup_key(df, films, "film_id", "film_id", ["film_key", "film_rental_duration"], broadcast=True)
+        return lookup_key(df, stores, "store_id", "store_id", "store_key")
+    resolved = resolve_items(items, staff, films, stores, store_from_staff=True)
+    return lines.drop("store_id").join(resolved, ["film_id", "staff_id"], "inner")
+
+
 def build_fact(
     lines: DataFrame,
     customers: DataFrame,

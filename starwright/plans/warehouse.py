@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starwright.operators import quality
+from starwright.operators.joins import fits
 from starwright.operators.calendar import date_dim, numbers, numbers_small
 from starwright.plans import dimensions as dims
 from starwright.plans import facts
@@ -82,10 +83,11 @@ def build_warehouse(
 
     lines = src.rental_lines(with_store=not store_from_staff, customers=customers)
     if hasattr(src, "inventory_items") and store_from_staff:
-        # Staff, film and store are functions of the inventory item: resolve
-        # them once per item, then one join (one shuffle) brings them to lines.
-        items = facts.resolve_items(src.inventory_items(), staff, films, stores, store_from_staff=True)
-        lines = lines.drop("store_id").join(items, ["film_id", "staff_id"], "inner")
+        # Staff, film and store are functions of the inventory item: broadcast
+        # lookups when both dimensions are proven small, else keys resolved
+        # once per item and brought to the lines by one join.
+        small = fits(staff) and fits(films)
+        lines = facts.attach_item_keys(lines, src.inventory_items(), staff, films, stores, small)
     fact = facts.build_fact(lines, customers, staff, films, stores, (lo, hi), carry=carry,
                             store_from_staff=store_from_staff)
     # Sorted by date key inside each file: row-group statistics then let a

@@ -54,3 +54,23 @@ def test_kpis_agree_with_store_rows(spark):
     assert k.total_rentals == perf.agg(F.sum("rentals")).first()[0]
     assert round(k.total_revenue * 100) == perf.agg(F.sum(F.round(F.col("revenue") * 100))).first()[0]
     assert _q(spark, "base_filtered").count() == k.total_rentals
+
+
+def test_item_key_paths_agree(spark):
+    """Broadcast lookups (small dimensions) and per-item resolution (large
+    ones) give the same keyed lines."""
+    from starwright.plans import dimensions as dims
+    from starwright.plans import facts
+    from starwright.plans.catalogue import _film_flags
+    from starwright.sources.order_adapter import OrderAdapter
+    from starwright.sources.tables import TableSource
+    a = OrderAdapter(TableSource(spark, SF))
+    addresses = dims.dim_address(a.address(), dims.dim_city(a.city(), dims.dim_country(a.country())))
+    staff, films = dims.dim_staff(a.staff()), _film_flags(a, keyed=True)
+    stores = dims.dim_store(a.store(), addresses, a.staff())
+    lines = a.rental_lines(with_store=False)
+    cols = ["rental_id", "rental_line", "staff_key", "film_key", "store_key", "store_id", "film_rental_duration"]
+    x = facts.attach_item_keys(lines, a.inventory_items(), staff, films, stores, True).select(*cols)
+    y = facts.attach_item_keys(lines, a.inventory_items(), staff, films, stores, False).select(*cols)
+    assert x.count() == y.count() == _t(spark, "lineitem").count()
+    assert x.exceptAll(y).count() == 0
