@@ -23,7 +23,7 @@ from starwright.functions.flags import safe_div
 from starwright.functions.money import cents, from_cents
 from starwright.functions.text import full_name, store_label
 from starwright.operators.aggregates import agg_by, bounds, sum_by, top_k, value_counts
-from starwright.operators.filters import between_dates, distinct_values, filter_in
+from starwright.operators.filters import between_dates, distinct_values, drop_null, filter_in
 from starwright.operators.joins import attach
 from starwright.operators.reshape import unpivot_flags
 from starwright.schemas import CATEGORY_PREFIX, FALLBACK_DATE_RANGE
@@ -113,12 +113,12 @@ def revenue_by_month_category(base: DataFrame, cat_map: DataFrame, film: str = "
     one per rental; groups whose amounts are all NULL drop out, as rows
     with a NULL amount do."""
     per_film_month = (
-        base.where(F.col(date_col).isNotNull())
+        drop_null(base, [date_col])
         .groupBy(F.col(film).alias("__film"), month_start(F.col(date_col)).alias("rental_month"))
         .agg(F.sum(cents(amount)).alias("__cents"))
         .where(F.col("__cents").isNotNull())
     )
-    m = cat_map.select(F.col(film).alias("__film"), label).where(F.col(label).isNotNull())
+    m = drop_null(cat_map.select(F.col(film).alias("__film"), label), [label])
     return (
         per_film_month.join(m, "__film", "inner")
         .groupBy("rental_month", label).agg(from_cents(F.sum("__cents")).alias("revenue"))
@@ -206,11 +206,11 @@ def avg_duration_by_category(base: DataFrame, cat_map: DataFrame, film: str = "f
     Pre-aggregated per film (sum and count of non-NULL durations) before
     the many-to-many join; integer sums keep the mean exact."""
     per_film = (
-        base.where(F.col(duration).isNotNull())
+        drop_null(base, [duration])
         .groupBy(F.col(film).alias("__film"))
         .agg(F.sum(F.col(duration).cast("long")).alias("__s"), F.count(F.lit(1)).alias("__n"))
     )
-    m = cat_map.select(F.col(film).alias("__film"), label).where(F.col(label).isNotNull())
+    m = drop_null(cat_map.select(F.col(film).alias("__film"), label), [label])
     return (
         per_film.join(m, "__film", "inner")
         .groupBy(label).agg((F.sum("__s").cast("double") / F.sum("__n")).alias("avg_rental_duration"))

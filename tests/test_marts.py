@@ -118,3 +118,11 @@ def test_base_from_fact_has_no_calendar_join(spark):
     b = marts.base_from_fact(fact, "2005-01-01")
     assert sorted((r.rental_id, r.rental_date) for r in b.collect()) == [(1, D(2005, 1, 1)), (2, D(2006, 1, 2))]
     assert "Join" not in b._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pivot_fill_generic(spark):
+    from starwright.operators.reshape import pivot_fill
+    long = spark.createDataFrame([(D(2005, 5, 1), "A", 2), (D(2005, 5, 1), "B", 3), (D(2005, 6, 1), "A", 4)],
+                                 "m date, c string, v int")
+    rows = {r.m: (r.A, r.B, r.C) for r in pivot_fill(long, "m", "c", "v", ["A", "B", "C"]).collect()}
+    assert rows == {D(2005, 5, 1): (2, 3, 0), D(2005, 6, 1): (4, 0, 0)}
