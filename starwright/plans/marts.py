@@ -23,7 +23,7 @@ from starwright.functions.flags import safe_div
 from starwright.functions.money import cents, from_cents
 from starwright.functions.text import full_name, store_label
 from starwright.operators.aggregates import agg_by, bounds, sum_by, top_k, value_counts
-from starwright.operators.filters import between_dates, distinct_values, drop_null, filter_in
+from starwright.operators.filters import between_dates, cols_with_prefix, distinct_values, drop_null, filter_in
 from starwright.operators.joins import attach
 from starwright.operators.reshape import unpivot_flags
 from starwright.schemas import CATEGORY_PREFIX, FALLBACK_DATE_RANGE
@@ -98,7 +98,7 @@ def category_map(films: DataFrame, key: str = "film_key", label: str = "film_cat
                  prefix: str = CATEGORY_PREFIX) -> DataFrame:
     """(film, category) pairs recovered from the one-hot flag columns found
     by prefix: unpivot, keep set flags, strip prefix, title-case, dedupe."""
-    flag_cols = [c for c in films.columns if c.lower().startswith(prefix)]
+    flag_cols = cols_with_prefix(films, prefix)
     return unpivot_flags(films, key, flag_cols, label, strip_prefix=prefix)
 
 
