@@ -36,3 +36,14 @@ def store_label(store_id: Column | str, first: Column | str, last: Column | str)
 def money_text(c: Column | str) -> Column:
     """'$1,234.56' display text; numbers stay numeric in the marts."""
     return F.concat(F.lit("$"), F.format_number(_c(c), 2))
+
+
+def is_utf8(c: Column | str) -> Column:
+    """True when the value (text, or binary taken as text) is valid UTF-8."""
+    return F.is_valid_utf8(_c(c).cast("string"))
+
+
+def repair_utf8(c: Column | str) -> Column:
+    """Replace invalid UTF-8 sequences with U+FFFD (binary input is taken as
+    text first; valid text is returned unchanged)."""
+    return F.make_valid_utf8(_c(c).cast("string"))

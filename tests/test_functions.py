@@ -52,3 +52,12 @@ def test_projection_helpers_and_timestamp_default(spark):
     out = apply_defaults(df, {"last_update": "CURRENT_TIMESTAMP"})
     assert out.schema["last_update"].dataType.typeName() == "timestamp_ntz"
     assert out.first().last_update is not None
+
+
+def test_utf8_repair(spark):
+    from starwright.functions import is_utf8, repair_utf8
+    df = spark.createDataFrame([(bytearray(b"ab\xff\xfecd"),), (bytearray("ok é".encode()),)], "raw binary")
+    rows = df.select(is_utf8("raw").alias("ok"), repair_utf8("raw").alias("fixed")).collect()
+    assert [r.ok for r in rows] == [False, True]
+    assert rows[0].fixed.startswith("ab") and rows[0].fixed.endswith("cd") and "�" in rows[0].fixed
+    assert rows[1].fixed == "ok é"
