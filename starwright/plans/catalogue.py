@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starwright.functions.flags import contains_flags, null_if_tokens, one_hot
-from starwright.functions.text import full_name
+from starwright.functions.text import full_name, is_utf8
 from starwright.operators import aggregates, calendar, quality
 from starwright.operators.defaults import apply_defaults
 from starwright.operators.joins import fits, left_join_detail
@@ -648,7 +648,7 @@ def q_utf8_check(spark, sf_dir):
     oracle's constant 0.)"""
     d = _tables(spark, sf_dir)("documents", ["text"])
     return d.agg(F.count(F.lit(1)).alias("docs"),
-                 F.count_if(~F.is_valid_utf8("text")).cast("long").alias("invalid_docs"),
+                 F.count_if(~is_utf8("text")).cast("long").alias("invalid_docs"),
                  F.count_if(F.col("text").contains("�")).cast("long").alias("docs_with_replacement"))
 
 
