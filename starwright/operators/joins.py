@@ -13,11 +13,23 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+# Answers of size checks, per session and canonical plan.  A check only
+# picks a strategy (single-task window or distributed numbering, broadcast
+# or shuffled lookup); every strategy gives the same rows, so a remembered
+# answer can change cost, never results.
+_FITS: dict[tuple[int, int, int], bool] = {}
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` holds at most ``max_rows`` rows.  The check reads at
     most ``max_rows + 1`` rows (on a Parquet source with every column
-    pruned, only row-group metadata)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    pruned, only row-group metadata); its answer is remembered for the
+    session and the same plan."""
+    key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    hit = _FITS.get(key)
+    if hit is None:
+        hit = _FITS[key] = df.limit(max_rows + 1).count() <= max_rows
+    return hit
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

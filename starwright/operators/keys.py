@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from starwright.operators.joins import fits
 from starwright.session import ensure_checkpoint_dir
 
 _PID, _MID, _BASE = "__sw_pid", "__sw_mid", "__sw_base"
@@ -50,7 +51,7 @@ def assign_key(
     """
     cols = [order_by] if isinstance(order_by, str) else list(order_by)
     probe = df if bound_by is None else bound_by
-    if single_task_rows > 0 and probe.limit(single_task_rows + 1).count() <= single_task_rows:
+    if single_task_rows > 0 and fits(probe, single_task_rows):
         w = Window.orderBy(*cols)
         return df.select((F.row_number().over(w) + F.lit(start - 1)).cast("long").alias(key), *df.columns)
 
