@@ -592,9 +592,8 @@ GROUP BY map.film_category""")
 def q_avg_duration_by_category(spark, sf_dir):
     a = _src(spark, sf_dir)
     durations = a.film().select("film_id", "rental_duration")
-    base = _base(a).join(durations, "film_id", "inner")
     cat_map = marts.category_map(_film_flags(a, keyed=False), key="film_id")
-    return marts.avg_duration_by_category(base, cat_map, film="film_id")
+    return marts.avg_duration_by_category(_base(a), cat_map, film="film_id", durations=durations)
 
 
 # ---------------------------------------------------------------------------

@@ -200,16 +200,27 @@ def inventory_top(util: DataFrame, k: int = 25, item: Sequence[str] = ("inventor
 # -- M7: average rental duration by category --------------------------------
 
 def avg_duration_by_category(base: DataFrame, cat_map: DataFrame, film: str = "film_key",
-                             duration: str = "rental_duration", label: str = "film_category") -> DataFrame:
+                             duration: str = "rental_duration", label: str = "film_category",
+                             durations: DataFrame | None = None) -> DataFrame:
     """Mean rental duration per category over base rows.
 
     Pre-aggregated per film (sum and count of non-NULL durations) before
-    the many-to-many join; integer sums keep the mean exact."""
-    per_film = (
-        drop_null(base, [duration])
-        .groupBy(F.col(film).alias("__film"))
-        .agg(F.sum(F.col(duration).cast("long")).alias("__s"), F.count(F.lit(1)).alias("__n"))
-    )
+    the many-to-many join; integer sums keep the mean exact.  When the
+    duration is a film attribute held elsewhere, pass ``durations`` (film,
+    duration): base rows are then counted per film first and the film
+    table meets one row per film, not one per rental."""
+    if durations is None:
+        per_film = (
+            drop_null(base, [duration])
+            .groupBy(F.col(film).alias("__film"))
+            .agg(F.sum(F.col(duration).cast("long")).alias("__s"), F.count(F.lit(1)).alias("__n"))
+        )
+    else:
+        counts = base.groupBy(F.col(film).alias("__film")).agg(F.count(F.lit(1)).alias("__rows"))
+        d = drop_null(durations.select(F.col(film).alias("__film"), F.col(duration).cast("long").alias("__d")),
+                      ["__d"])
+        per_film = counts.join(d, "__film", "inner").select(
+            "__film", (F.col("__d") * F.col("__rows")).alias("__s"), F.col("__rows").alias("__n"))
     m = drop_null(cat_map.select(F.col(film).alias("__film"), label), [label])
     return (
         per_film.join(m, "__film", "inner")

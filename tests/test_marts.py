@@ -126,3 +126,14 @@ def test_pivot_fill_generic(spark):
                                  "m date, c string, v int")
     rows = {r.m: (r.A, r.B, r.C) for r in pivot_fill(long, "m", "c", "v", ["A", "B", "C"]).collect()}
     assert rows == {D(2005, 5, 1): (2, 3, 0), D(2005, 6, 1): (4, 0, 0)}
+
+
+def test_avg_duration_with_film_durations(spark):
+    cat_map = spark.createDataFrame([(10, "Action"), (11, "Action"), (12, "Drama")],
+                                    "film_key int, film_category string")
+    durations = spark.createDataFrame([(10, 3), (11, 5), (12, None)], "film_key int, rental_duration int")
+    base = _base(spark).drop("rental_duration")
+    rows = {r.film_category: r.avg_rental_duration
+            for r in marts.avg_duration_by_category(base, cat_map, durations=durations).collect()}
+    # film 12 has no duration: its rows drop out, as NULL durations do
+    assert rows == {"Action": (3 + 3 + 5 + 5) / 4}
