@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,30 +45,33 @@ def check_not_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return wide.unpivot([], cols, "column_name", "nulls")
 
 
-def check_domain(
-    df: DataFrame,
-    key: str | Sequence[str],
-    lengths: Mapping[str, int] | None = None,
-    decimals: Mapping[str, tuple[int, int]] | None = None,
-) -> DataFrame:
-    """Rows whose value does not fit the declared type.
-
-    Returns (key..., column_name, reason) with reason one of
+def domain_reasons(lengths: Mapping[str, int] | None = None,
+                   decimals: Mapping[str, tuple[int, int]] | None = None) -> list[tuple[str, Column]]:
+    """(column, reason) pairs; a reason is NULL when the value fits:
     ``too_long`` (more than n characters), ``overflow`` (does not fit
     DECIMAL(p, s)) or ``scale`` (fits only after rounding, which a cast
     would do silently)."""
-    keys = [key] if isinstance(key, str) else list(key)
     checks = []
     for col, n in (lengths or {}).items():
-        reason = F.when(F.length(F.col(col)) > n, F.lit("too_long"))
-        checks.append((col, reason))
+        checks.append((col, F.when(F.length(F.col(col)) > n, F.lit("too_long"))))
     for col, (p, s) in (decimals or {}).items():
         fitted = F.col(col).try_cast(f"decimal({p},{s})")
-        reason = (
-            F.when(F.col(col).isNotNull() & fitted.isNull(), F.lit("overflow"))
-            .when(fitted.isNotNull() & (fitted.cast("double") != F.col(col).cast("double")), F.lit("scale"))
-        )
-        checks.append((col, reason))
+        checks.append((col, F.when(F.col(col).isNotNull() & fitted.isNull(), F.lit("overflow"))
+                       .when(fitted.isNotNull() & (fitted.cast("double") != F.col(col).cast("double")),
+                             F.lit("scale"))))
+    return checks
+
+
+def check_domain(
+    df: DataFrame,
+    key: str | Sequence[str],
+    lengths: Mapping[str, int] | None = None,
+    decimals: Mapping[str, tuple[int, int]] | None = None,
+) -> DataFrame:
+    """Rows whose value does not fit the declared type: (key...,
+    column_name, reason), reasons as in :func:`domain_reasons`."""
+    keys = [key] if isinstance(key, str) else list(key)
+    checks = domain_reasons(lengths, decimals)
     if not checks:
         raise ValueError("no domain checks given")
     # One scan, no lambdas (stays in codegen): rows with any finding expand
@@ -86,6 +89,26 @@ def check_domain(
     )
 
 
+def violation_counts(
+    df: DataFrame,
+    not_null: Sequence[str] = (),
+    lengths: Mapping[str, int] | None = None,
+    decimals: Mapping[str, tuple[int, int]] | None = None,
+) -> DataFrame:
+    """NULLs in NOT NULL columns and domain violations, counted in one pass:
+    (check, column_name, violations) rows."""
+    parts = [("not_null", c, F.count_if(F.col(c).isNull())) for c in not_null]
+    parts += [("domain", c, F.count_if(reason.isNotNull())) for c, reason in domain_reasons(lengths, decimals)]
+    if not parts:
+        raise ValueError("nothing to count")
+    wide = df.agg(*[e.cast("long").alias(f"c{i}") for i, (_, _, e) in enumerate(parts)])
+    stacked = F.explode(F.array(*[
+        F.struct(F.lit(check).alias("check"), F.lit(col).alias("column_name"), F.col(f"c{i}").alias("violations"))
+        for i, (check, col, _) in enumerate(parts)
+    ]))
+    return wide.select(stacked.alias("v")).select("v.check", "v.column_name", "v.violations")
+
+
 def reconcile(read: Mapping[str, int], loaded: Mapping[str, int], rejected: Mapping[str, int]) -> list[dict]:
     """Load reconciliation per table: rows read = loaded + rejected."""
     out = []

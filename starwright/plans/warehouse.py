@@ -121,14 +121,11 @@ def check_warehouse(wh: Warehouse) -> DataFrame:
                 n = quality.check_orphans(df, wh.read(parent), col, pcol).count()
                 rows.append((name, "foreign_key", col, n))
         nn = [c for c in spec.not_null if c in cols]
-        if nn:
-            for r in quality.check_not_null(df, nn).collect():
-                rows.append((name, "not_null", r.column_name, int(r.nulls)))
         lengths = {c: n for c, n in spec.lengths.items() if c in cols}
         decimals = {c: ps for c, ps in spec.decimals.items()
                     if c in cols and df.schema[c].dataType.typeName() in ("double", "float", "decimal")}
-        if lengths or decimals:
-            found = quality.check_domain(df, list(spec.primary_key or df.columns[:1]), lengths, decimals)
-            for r in found.groupBy("column_name").count().collect():
-                rows.append((name, "domain", r.column_name, int(r["count"])))
+        if nn or lengths or decimals:
+            # NOT NULL and domain counts share one pass over the table.
+            for r in quality.violation_counts(df, nn, lengths, decimals).collect():
+                rows.append((name, r.check, r.column_name, int(r.violations)))
     return spark.createDataFrame(rows, "table_name string, check string, column_name string, violations long")

@@ -56,3 +56,11 @@ def test_bounded_broadcast_checks_size(spark):
     # the hint is present only where the bound held
     assert "broadcast" in j_small._jdf.queryExecution().analyzed().toString().lower()
     assert "broadcast" not in j_big._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_violation_counts_one_pass(spark):
+    df = spark.createDataFrame([(1, 12.34, "abc"), (None, 12.345, "abcdef"), (3, 1000.0, None)],
+                               "id int, v double, s string")
+    got = {(r.check, r.column_name): r.violations
+           for r in quality.violation_counts(df, ["id", "s"], {"s": 5}, {"v": (5, 2)}).collect()}
+    assert got == {("not_null", "id"): 1, ("not_null", "s"): 1, ("domain", "s"): 1, ("domain", "v"): 2}
