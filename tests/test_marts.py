@@ -137,3 +137,18 @@ def test_avg_duration_with_film_durations(spark):
             for r in marts.avg_duration_by_category(base, cat_map, durations=durations).collect()}
     # film 12 has no duration: its rows drop out, as NULL durations do
     assert rows == {"Action": (3 + 3 + 5 + 5) / 4}
+
+
+def test_filter_in_long_list_uses_semi_join(spark):
+    import contextlib
+    import io
+    from starwright.operators.filters import filter_in
+    df = spark.range(0, 5000).withColumnRenamed("id", "store_key")
+    short = filter_in(df, "store_key", [1, 2, 3])
+    long = filter_in(df, "store_key", list(range(0, 3000, 2)))
+    assert short.count() == 3 and long.count() == 1500
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        long.explain()
+    assert "LeftSemi" in buf.getvalue()
+    assert filter_in(df, "store_key", []).count() == 5000
