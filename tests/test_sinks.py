@@ -40,3 +40,39 @@ def test_table_sources_and_three_part_names(spark, tmp_dir):
     assert table(spark, None, None, "t1").count() == 1
     spark.createDataFrame([(2,), (3,)], "x int").createOrReplaceGlobalTempView("t2")
     assert table(spark, None, "global_temp", "t2").count() == 2
+
+
+def test_checkpoint_dir_guard():
+    """A cluster session without spark.checkpoint.dir is refused; a local
+    one gets a scratch folder; a configured folder is used as is."""
+    import pytest
+    from starwright.session import ensure_checkpoint_dir
+
+    class Conf:
+        def __init__(self, d):
+            self.d = d
+
+        def get(self, k, default=None):
+            return self.d.get(k, default)
+
+    class SC:
+        def __init__(self, master, conf):
+            self.master, self._conf, self.dir = master, Conf(conf), None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def getConf(self):
+            return self._conf
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+    class S:
+        def __init__(self, sc):
+            self.sparkContext = sc
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(S(SC("yarn", {})))
+    assert ensure_checkpoint_dir(S(SC("yarn", {"spark.checkpoint.dir": "hdfs:///ckpt"}))) == "hdfs:///ckpt"
+    assert ensure_checkpoint_dir(S(SC("local[2]", {}))).startswith("/")
