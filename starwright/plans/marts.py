@@ -253,13 +253,16 @@ def dashboard(
     store_ids: Iterable | None = None,
     sections: Sequence[str] = DEFAULT_SECTIONS,
     item: Sequence[str] = ("inventory_id",),
+    cache_base: bool = False,
 ) -> dict[str, DataFrame]:
     """The data under each selected dashboard section, as lazy plans over
     one filtered base read from the written fact and dimensions.
 
     The store picker offers store ids; the filter resolves them to store
-    keys first (the fact holds keys).  The base is cached only when more
-    than one section reads it."""
+    keys first (the fact holds keys).  Each section re-reads the fact with
+    the date and store filters pushed to the scan; ``cache_base`` keeps the
+    filtered base instead, worth it only when it is small (a short range
+    read by several sections).
     wanted = [s for s in sections if s in SECTIONS]
     if store_ids:
         keys = [r.store_key for r in stores.where(F.col("store_id").isin(list(store_ids)))
@@ -267,7 +270,7 @@ def dashboard(
     else:
         keys = None
     base = base_filtered(base_from_fact(fact, calendar_start, start, end), start, end, keys, store_col="store_key")
-    if len(wanted) > 1:
+    if cache_base and len(wanted) > 1:
         base = base.cache()
     out: dict[str, DataFrame] = {}
     cat_map = category_map(films) if any("category" in s for s in wanted) else None
