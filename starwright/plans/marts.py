@@ -262,7 +262,7 @@ def dashboard(
     keys first (the fact holds keys).  Each section re-reads the fact with
     the date and store filters pushed to the scan; ``cache_base`` keeps the
     filtered base instead, worth it only when it is small (a short range
-    read by several sections).
+    read by several sections)."""
     wanted = [s for s in sections if s in SECTIONS]
     if store_ids:
         keys = [r.store_key for r in stores.where(F.col("store_id").isin(list(store_ids)))
