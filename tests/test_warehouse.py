@@ -70,11 +70,20 @@ def _write_reference_tables(spark, root):
         spark.createDataFrame(rows, ddl).write.mode("overwrite").parquet(f"{root}/{name}.parquet")
 
 
-def test_build_on_reference_shaped_tables(spark, tmp_dir):
-    src_root = os.path.join(tmp_dir, "src")
+@pytest.fixture(scope="module")
+def ref_wh(spark):
+    """One warehouse built from the reference-shaped fixture, shared by the
+    tests that only read it."""
+    import tempfile
+    root = tempfile.mkdtemp(prefix="starwright-wh-")
+    src_root = os.path.join(root, "src")
     _write_reference_tables(spark, src_root)
-    wh = build_warehouse(spark, RentalTables(TableSource(spark, src_root)), os.path.join(tmp_dir, "dw"),
-                         ("2005-01-01", "2017-01-01"), count_drops=True)
+    return build_warehouse(spark, RentalTables(TableSource(spark, src_root)), os.path.join(root, "dw"),
+                           ("2005-01-01", "2017-01-01"), count_drops=True)
+
+
+def test_build_on_reference_shaped_tables(ref_wh):
+    wh = ref_wh
     assert wh.dropped_fact_rows == 0
     fact = sorted(wh.read("fact_rental").collect(), key=lambda r: (r.rental_id, r.dollar_amount))
     assert [(r.rental_id, r.rental_date_key, r.return_date_key, r.count_returns, r.dollar_amount, r.inventory_id)
@@ -90,12 +99,9 @@ def test_build_on_reference_shaped_tables(spark, tmp_dir):
     assert report[("fact_rental", "primary_key", "rental_id")] == 2
 
 
-def test_dashboard_over_written_warehouse(spark, tmp_dir):
+def test_dashboard_over_written_warehouse(ref_wh):
     from starwright.plans.marts import SECTIONS, dashboard
-    src_root = os.path.join(tmp_dir, "src")
-    _write_reference_tables(spark, src_root)
-    wh = build_warehouse(spark, RentalTables(TableSource(spark, src_root)), os.path.join(tmp_dir, "dw"),
-                         ("2005-01-01", "2017-01-01"))
+    wh = ref_wh
     out = dashboard(wh.read("fact_rental"), wh.read("dim_customer"), wh.read("dim_store"), wh.read("dim_film"),
                     "2005-01-01", "2005-01-01", "2006-12-31", store_ids=[2], sections=SECTIONS)
     top = out["Top 10 customers by revenue"].collect()
@@ -110,13 +116,10 @@ def test_dashboard_over_written_warehouse(spark, tmp_dir):
     assert {r.film_category for r in out["Avg rental duration by category"].collect()} == {"Horror"}
 
 
-def test_export_and_reload_reconciles(spark, tmp_dir):
+def test_export_and_reload_reconciles(spark, tmp_dir, ref_wh):
     from starwright.plans.migration import export_warehouse, load_exported
     from starwright.sources.csv_load import PROFILES
-    src_root = os.path.join(tmp_dir, "src")
-    _write_reference_tables(spark, src_root)
-    wh = build_warehouse(spark, RentalTables(TableSource(spark, src_root)), os.path.join(tmp_dir, "dw"),
-                         ("2005-01-01", "2017-01-01"))
+    wh = ref_wh
     paths = export_warehouse(wh, os.path.join(tmp_dir, "export"))
     assert {"fact_rental", "dim_film", "dim_date"} <= set(paths)
     results, report = load_exported(spark, paths, PROFILES["utf8"].with_options(escape='"'))
