@@ -16,10 +16,12 @@ from starwright.sources.sinks import conform, export_tables
 
 
 def export_warehouse(wh: Warehouse, root: str, names: Sequence[str] | None = None) -> dict[str, str]:
-    """Write each warehouse table, conformed to its declared schema (column
-    order is the file's field order), as CSV under ``{root}/{name}``."""
+    """Write each warehouse table as CSV under ``{root}/{name}``, fields in
+    the declared column order (the order a positional load expects).
+    Values are written as they are: one that does not fit its declared
+    type is rejected, with its reason, when the files are loaded back."""
     chosen = [n for n in (names or sorted(wh.paths)) if n in WAREHOUSE]
-    return export_tables({n: conform(wh.read(n), WAREHOUSE[n].schema) for n in chosen}, root)
+    return export_tables({n: conform(wh.read(n), WAREHOUSE[n].schema, cast=False) for n in chosen}, root)
 
 
 def load_exported(

@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select and cast the schema's columns by name (missing -> NULL)."""
+def conform(df: DataFrame, schema: T.StructType, cast: bool = True) -> DataFrame:
+    """Select the schema's columns by name, in its order (missing -> NULL).
+
+    ``cast=True`` casts to the declared types (ANSI: a value that does not
+    fit raises rather than turning NULL); ``cast=False`` keeps the values
+    as they are, e.g. for text export, where the loader's type check then
+    rejects what does not fit."""
     cols = []
     for f in schema.fields:
-        c = F.col(f.name) if f.name in df.columns else F.lit(None)
-        cols.append(c.cast(f.dataType).alias(f.name))
+        c = F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType)
+        cols.append((c.cast(f.dataType) if cast else c).alias(f.name))
     return df.select(*cols)
 
 

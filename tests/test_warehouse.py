@@ -15,11 +15,18 @@ SF = "/root/testdata/sf0.001"
 TS = dt.datetime(2006, 2, 15, 4, 57, 20)
 
 
-@pytest.mark.skipif(not os.path.exists(SF), reason="test tables absent")
-def test_build_on_order_tables(spark, tmp_dir):
+@pytest.fixture(scope="module")
+def order_wh(spark):
+    import tempfile
     src = OrderAdapter(TableSource(spark, SF))
-    wh = build_warehouse(spark, src, tmp_dir, ("1995-01-01", "2002-12-31"), CATEGORY_LABELS, PART_FEATURES,
-                         store_from_staff=True, carry=("inventory_film_id", "inventory_staff_id"))
+    return build_warehouse(spark, src, tempfile.mkdtemp(prefix="starwright-owh-"), ("1995-01-01", "2002-12-31"),
+                           CATEGORY_LABELS, PART_FEATURES, store_from_staff=True,
+                           carry=("inventory_film_id", "inventory_staff_id"))
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="test tables absent")
+def test_build_on_order_tables(spark, order_wh):
+    wh = order_wh
     lineitems = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert wh.read("fact_rental").count() == lineitems
     assert wh.read("dim_date").count() == 2922
@@ -180,3 +187,20 @@ def test_dropped_rentals_are_counted(spark, tmp_dir):
     wh = build_warehouse(spark, RentalTables(TableSource(spark, src_root)), os.path.join(tmp_dir, "dw"),
                          ("2005-06-01", "2017-01-01"), count_drops=True)
     assert wh.read("fact_rental").count() == 0 and wh.dropped_fact_rows == 3
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="test tables absent")
+def test_export_rejects_values_that_do_not_fit(spark, tmp_dir, order_wh):
+    """Part prices exceed the declared DECIMAL(4,2) rental rate: the export
+    writes them as they are and the reload rejects those film rows, with
+    the reconciliation still balanced."""
+    from starwright.plans.migration import export_warehouse, load_exported
+    from starwright.sources.csv_load import PROFILES
+    paths = export_warehouse(order_wh, os.path.join(tmp_dir, "export"), ["dim_film", "dim_customer"])
+    results, report = load_exported(spark, paths, PROFILES["utf8"].with_options(escape='"'))
+    rows = {r.table_name: r for r in report.collect()}
+    films = order_wh.read("dim_film").count()
+    assert rows["dim_film"].balanced and rows["dim_film"].rows_rejected == films
+    assert rows["dim_customer"].rows_rejected == 0
+    reasons = {(r.column_name, r.reason) for r in results["dim_film"].rejects.collect()}
+    assert reasons == {("film_rental_rate", "cannot convert to decimal(4,2)")}
