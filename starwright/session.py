@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every job in this package assumes.  UTC pins epoch seconds and
@@ -57,17 +55,12 @@ def apply_runtime_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only if none is set.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only a session without one (local tests) gets a scratch folder.
+    ``spark.checkpoint.dir`` names a shared folder and is used as is.  Where it
+    is unset, the folder is one below the warehouse, which driver and executors
+    share by definition; machine-local temporary folders are never used.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder for reliable checkpoints")
-        configured = tempfile.mkdtemp(prefix="starwright-ckpt-")
-    sc.setCheckpointDir(configured)
+    if not sc.getCheckpointDir():
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
     return sc.getCheckpointDir()

@@ -43,9 +43,8 @@ def test_table_sources_and_three_part_names(spark, tmp_dir):
 
 
 def test_checkpoint_dir_guard():
-    """A cluster session without spark.checkpoint.dir is refused; a local
-    one gets a scratch folder; a configured folder is used as is."""
-    import pytest
+    """A configured folder is used as is; where it is unset, the folder lies
+    below the shared warehouse."""
     from starwright.session import ensure_checkpoint_dir
 
     class Conf:
@@ -70,9 +69,7 @@ def test_checkpoint_dir_guard():
 
     class S:
         def __init__(self, sc):
-            self.sparkContext = sc
+            self.sparkContext, self.conf = sc, Conf({"spark.sql.warehouse.dir": "hdfs:///warehouse"})
 
-    with pytest.raises(RuntimeError):
-        ensure_checkpoint_dir(S(SC("yarn", {})))
+    assert ensure_checkpoint_dir(S(SC("yarn", {}))) == "hdfs:///warehouse/_checkpoints"
     assert ensure_checkpoint_dir(S(SC("yarn", {"spark.checkpoint.dir": "hdfs:///ckpt"}))) == "hdfs:///ckpt"
-    assert ensure_checkpoint_dir(S(SC("local[2]", {}))).startswith("/")
