@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starwright.llm import chat_format, exact_dedup
-from starwright.llm.common import table
+from starwright.llm import chat_format, exact_dedup, packing, token_files
+from starwright.llm.common import Scratch, table
+from starwright.llm.tokens import tokenizer_path
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,18 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 """
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in the packed sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to compressed files and read back."""
+    path = f"{Scratch(spark, 'token-file-set').root}"
+    token_files.write_files(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return token_files.read_digests(spark, path)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts hold control strings, formatted
     and read back from the formatted text and its loss spans."""
@@ -63,6 +76,8 @@ FROM t GROUP BY conv_id
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_token_files": op8_token_files,
     "op9_chat_format": op9_chat_format,
 }
 
