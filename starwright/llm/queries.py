@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starwright.llm import chat_format, exact_dedup, packing, token_files
+from starwright.llm import chat_format, exact_dedup, packing, suffix_dedup, token_files
 from starwright.llm.common import Scratch, table
 from starwright.llm.tokens import tokenizer_path
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the removal of repeated 400-byte passages leaves of every text."""
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of exact de-duplication for every document."""
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
@@ -75,6 +80,7 @@ FROM t GROUP BY conv_id
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_token_files": op8_token_files,
