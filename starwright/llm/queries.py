@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starwright.llm import chat_format, exact_dedup, packing, suffix_dedup, token_files
+from starwright.llm import chat_format, exact_dedup, packing, quality, suffix_dedup, token_files, toxicity
 from starwright.llm.common import Scratch, table
+from starwright.llm.labels import remainder
 from starwright.llm.tokens import tokenizer_path
 
 
@@ -27,6 +28,18 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 """
 
 
+def _judged(scores: DataFrame, held_out, threshold: float) -> DataFrame:
+    return scores.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels not held out."""
+    docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 4) == 2
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _judged(toxicity.score(docs, model), held_out, toxicity.THRESHOLD)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in the packed sequences."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -79,12 +92,21 @@ FROM t GROUP BY conv_id
 """
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels not held out."""
+    docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _judged(quality.score(docs, model), held_out, quality.THRESHOLD)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_toxicity": op4_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_token_files": op8_token_files,
     "op9_chat_format": op9_chat_format,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
