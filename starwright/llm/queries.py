@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starwright.llm import chat_format, exact_dedup, packing, quality, suffix_dedup, token_files, toxicity
+from starwright.llm import chat_format, exact_dedup, ngram_join, packing, quality, suffix_dedup, token_files, toxicity
 from starwright.llm.common import Scratch, table
 from starwright.llm.labels import remainder
 from starwright.llm.tokens import tokenizer_path
@@ -45,6 +45,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of every document over links of 5-word shingles at 0.8."""
+    return ngram_join.linked_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to compressed files and read back."""
     path = f"{Scratch(spark, 'token-file-set').root}"
@@ -104,6 +109,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_ngram_join": op7_ngram_join,
     "op8_token_files": op8_token_files,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
