@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starwright.llm.common import Scratch, batch_limits, whole_text
-from starwright.llm.tokens import WordEncoder
+from starwright.llm.tokens import word_encoder
 
 CAPACITY, END_ID = 2048, 0
 
@@ -95,7 +95,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col
                         ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
-        encoder, ranks, part = WordEncoder(tokenizer), Counter(), TaskContext.get().partitionId()
+        encoder, ranks, part = word_encoder(tokenizer), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             rows = []
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

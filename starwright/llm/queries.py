@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starwright.llm import chat_format, exact_dedup, ngram_join, packing, quality, suffix_dedup, token_files, toxicity
+from starwright.llm import (chat_format, exact_dedup, lz_fingerprint, ngram_join, packing, piece_fst, quality,
+                            suffix_dedup, token_files, toxicity)
 from starwright.llm.common import Scratch, table
 from starwright.llm.labels import remainder
 from starwright.llm.tokens import tokenizer_path
@@ -28,6 +29,16 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 """
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to pieces and decoded again."""
+    model = piece_fst.model_path()
+    docs = table(spark, sf_dir, "documents")
+    back = piece_fst.decode_ids(piece_fst.encode_texts(docs, model), model)
+    return back.select("doc_id", "n_tokens", "ids_crc32",
+                       F.length("text").cast("long").alias("decoded_chars"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def _judged(scores: DataFrame, held_out, threshold: float) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -40,6 +51,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, model), held_out, toxicity.THRESHOLD)
 
 
+def op5_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text."""
+    return lz_fingerprint.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in the packed sequences."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -107,7 +123,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_toxicity": op4_toxicity,
+    "op5_lz_fingerprint": op5_lz_fingerprint,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_ngram_join": op7_ngram_join,
     "op8_token_files": op8_token_files,

@@ -17,7 +17,7 @@ import zlib
 
 import numpy as np
 
-SCALE, LANES = 20, 256
+SCALE, LANES = 20, 512
 SYMBOLS = 1 << 16
 _MAGIC, _HEAD = 0x534E4152, struct.Struct("<5I")
 _LOW = np.uint64(1 << 31)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from starwright.llm import rans
 from starwright.llm.common import (Scratch, batch_limits, bucket_of, range_cuts, shuffle_partitions,
                                    whole_text)
-from starwright.llm.tokens import WordEncoder
+from starwright.llm.tokens import word_encoder
 
 BLOCK, END_ID = 1 << 17, 1
 RUN = ("doc_id", "start", "skip", "length", "whole")
@@ -47,7 +47,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches):
-        encoder = WordEncoder(tokenizer, "<u2")
+        encoder = word_encoder(tokenizer, "<u2")
         for batch in batches:
             ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])

@@ -1,20 +1,23 @@
 """Token ids of whole texts by a public word BPE, encoded word by word.
 
 The tokenizer drops white space and never joins what it separates, so the ids
-of a text are the ids of its words one after the other.  Each worker keeps the
-packed ids of words it has seen (a bounded number); a text then costs one
-look-up per word.  Chunks over ``LONG`` characters are encoded each time.
+of a text are the ids of its words one after the other.  Each worker process
+keeps the packed ids of words it has seen (a bounded number) from task to task;
+a text then costs one look-up per word.  Chunks over ``LONG`` characters are
+encoded each time.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
 
-CACHED_WORDS, LONG = 400_000, 64
+CACHED_WORDS, LONG = 1_000_000, 64
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 # The tokenizer always cuts between a letter or digit and a mark after it.
 _ENDS = re.compile(r"[.,](?<=[^\W_][.,])(?=[ \n])")
@@ -37,11 +40,12 @@ class WordEncoder:
         self.dtype = np.dtype(dtype)
         if self.tokenizer.get_vocab_size() > np.iinfo(self.dtype).max:
             raise ValueError(f"ids of {path} do not fit into {dtype}")
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.seen: dict[str, bytes] = {"": b""}
 
     def _pack(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        return [array(self.code, e.ids).tobytes() for e in found]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Packed ids of each text."""
@@ -60,3 +64,9 @@ class WordEncoder:
             return [b"".join(map(seen.__getitem__, words)) for words in split]
         once = dict(zip(long, self._pack(list(long))))
         return [b"".join([once[w] if w in once else seen[w] for w in words]) for words in split]
+
+
+@functools.lru_cache(maxsize=2)
+def word_encoder(path: str, dtype: str = "<u4") -> WordEncoder:
+    """The encoder of this process."""
+    return WordEncoder(path, dtype)
