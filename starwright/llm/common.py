@@ -30,6 +30,14 @@ def whole_text(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, or a variant of it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables of one operator run in the shared folder ``spark.checkpoint.dir``.
 

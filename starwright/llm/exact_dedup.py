@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starwright.llm.common import Scratch, whole_text
+from starwright.llm.common import Scratch, unused, whole_text
 
 PREFIX_CHARS = 256
 # Runs of white space other than a single space; a single space stays.
@@ -76,10 +76,11 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without the copies, columns as they are."""
     groups = copy_groups(docs, id_col, text_col)
-    copies = groups.where("doc_id <> keep_id").select(F.col("doc_id").alias(id_col), "text_sha256")
-    again = groups.where("doc_id = keep_id and rows > 1").select(F.col("doc_id").alias(id_col), "text_sha256")
-    hashed = docs.withColumn("__sha", text_hash(text_col))
-    on = lambda other: (hashed[id_col] == other[id_col]) & (hashed["__sha"] == other["text_sha256"])
-    left = hashed.join(copies, on(copies), "left_anti")
-    once = left.join(again, on(again), "left_semi").dropDuplicates([id_col, "__sha"])
-    return left.join(again, on(again), "left_anti").unionByName(once).drop("__sha")
+    copies = groups.where("doc_id <> keep_id").select("doc_id", "text_sha256")
+    again = groups.where("doc_id = keep_id and rows > 1").select("doc_id", "text_sha256")
+    sha = unused("text_sha256", docs)
+    hashed = docs.withColumn(sha, text_hash(text_col))
+    on = lambda left, other: (left[id_col] == other["doc_id"]) & (left[sha] == other["text_sha256"])
+    left = hashed.join(copies, on(hashed, copies), "left_anti")
+    once = left.join(again, on(left, again), "left_semi").dropDuplicates([id_col, sha])
+    return left.join(again, on(left, again), "left_anti").unionByName(once).drop(sha)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starwright.llm.common import Scratch, batch_limits, shuffle_partitions, whole_text
+from starwright.llm.common import Scratch, batch_limits, shuffle_partitions, unused, whole_text
 from starwright.llm.components import components
 
 N, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -459,5 +459,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` without the documents linked, over any path, with
     one of smaller id; columns as they are."""
     groups = linked_groups(docs, id_col, text_col)
-    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(copies, docs[id_col].cast("long") == copies["__copy"], "left_anti")
+    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(unused("copy", docs))).distinct()
+    return docs.join(copies, docs[id_col].cast("long") == copies[0], "left_anti")

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starwright.llm.common import Scratch, batch_limits, whole_text
+from starwright.llm.common import Scratch, batch_limits, unused, whole_text
 
 DEPTH, GRAM, STEP = 400, 64, 42
 # Bytes looked at together; positions in a buffer take the low bits of a key.
@@ -319,10 +319,12 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """``docs`` with the repeated bytes taken out of the text, columns as they
     are.  Characters of which only some bytes are left are dropped with them."""
-    spans = repeated_spans(docs, id_col, text_col, depth).withColumnsRenamed(
-        {"doc_id": "__id", "text_key": "__key", "spans": "__spans"})
-    keyed = docs.withColumn("__text_key", F.xxhash64(whole_text(text_col)))
-    on = keyed[id_col].cast("long").eqNullSafe(spans["__id"]) & (keyed["__text_key"] == spans["__key"])
+    spans = repeated_spans(docs, id_col, text_col, depth)
+    key, cut_at = unused("text_key", docs), unused("spans", docs)
+    keyed = docs.withColumn(key, F.xxhash64(whole_text(text_col)))
+    spans = spans.select(F.col("doc_id").alias(unused("own_id", keyed)), F.col("text_key").alias(unused("own_key", keyed)),
+                         F.col("spans").alias(cut_at))
+    on = keyed[id_col].cast("long").eqNullSafe(spans[0]) & (keyed[key] == spans[1])
     joined = keyed.join(spans, on, "left")
     others = [c for c in docs.columns if c != text_col]
 
@@ -332,7 +334,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(others)], pa.array(kept, pa.string())],
                                              [*others, text_col])
 
-    clean = joined.where("__spans is null").select(*docs.columns)
-    cut = joined.where("__spans is not null").select(*others, text_col, "__spans")
+    clean = joined.where(F.col(cut_at).isNull()).select(*docs.columns)
+    cut = joined.where(F.col(cut_at).isNotNull()).select(*others, text_col, cut_at)
     schema = docs.select(*others, text_col).schema
     return clean.unionByName(cut.mapInArrow(run, schema))

@@ -1,0 +1,86 @@
+import hashlib
+
+from pyspark.sql import functions as F
+
+from starwright.llm import chat_format as c
+
+ROWS = [
+    (1, 0, "system", "be brief"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello\nthere"), (1, 3, "user", "bye"),
+    (2, 1, "assistant", "out of order"), (2, 0, "user", None),
+    (3, 0, "assistant", "starts wrongly"), (3, 1, "user", ""),
+    (4, 0, "tool:x", "\\h \\b \\e ### #### ## </turn></turn> </turn"), (4, 1, "user", "\\### User: </turn>\n\\"),
+    (5, 0, "user", "tie b"), (5, 0, "user", "tie a"), (5, None, "user", "first"), (5, 0, "user", "tie a"),
+    (6, 0, None, "no role"), (None, 0, "user", "no conversation"),
+    (7, 0, "user", "é" * 20000 + "### "), (7, 1, "assistant", "</turn>" * 3000),
+]
+
+
+def chats(spark, rows=ROWS):
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn(
+        "formatted", F.lit(1)).repartition(3)
+
+
+def read(spark, rows=ROWS):
+    out = c.format_chats(chats(spark, rows))
+    return {r["conv_id"]: r for r in out.select(
+        "conv_id", "n_turns", "valid", "segments", "formatted", "loss_spans", c.read_turns(F.col("formatted")).alias("turns"),
+        c.read_loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss_text")).collect()}
+
+
+def expected_turns(conv):
+    own = [(t is not None, t or 0, r or "", x or "") for i, t, r, x in ROWS if i == conv]
+    return [(r, x) for *_, r, x in sorted(own)]
+
+
+def test_round_trip_and_loss(spark):
+    got = read(spark)
+    assert set(got) == {1, 2, 3, 4, 5, 6, 7}
+    for conv, row in got.items():
+        turns = expected_turns(conv)
+        assert [(t["role"], t["text"]) for t in row["turns"]] == turns
+        assert row["loss_text"] == "".join(x for r, x in turns if r == "assistant")
+        assert row["formatted"] == "".join(s["text"] for s in row["segments"])
+        flagged = [row["formatted"][s["start"]:s["start"] + s["length"]] for s in row["loss_spans"]]
+        assert flagged == [s["text"] for s in row["segments"] if s["loss"]]
+        assert row["n_turns"] == len(turns)
+
+
+def test_control_strings_only_from_the_template(spark):
+    row = read(spark)[4]
+    assert row["formatted"].count("###") == 2 and row["formatted"].count("</turn>") == 2
+
+
+def test_turn_order(spark):
+    assert {k: v["valid"] for k, v in read(spark).items()} == {
+        1: True, 2: True, 3: False, 4: False, 5: False, 6: False, 7: True}
+
+
+def test_other_template(spark):
+    t = c.Template((c.Role("q", ("", "a")), c.Role("a", ("q",), loss=True)), open="<<", colon="|", close=">>\n",
+                   escape="%", codes=(("<<", "l"), (">>", "r"), ("|", "p")))
+    rows = [(1, 0, "q", "a|b << %l"), (1, 1, "a", ">>\n%%")]
+    out = c.format_chats(chats(spark, rows), t)
+    row = out.select("valid", c.read_turns(F.col("formatted"), t).alias("turns")).first()
+    assert row["valid"] and [(x["role"], x["text"]) for x in row["turns"]] == [(r, x) for *_, r, x in rows]
+
+
+def test_empty_table(spark):
+    assert read(spark, []) == {}
+
+
+def test_query_matches_brute_force(spark):
+    from starwright.llm.queries import op9_chat_format
+
+    sf = "/root/testdata/sf0.001"
+    rows = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        rows.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"] or ""))
+    rows[-7] = [(0, "user", "\\### Assistant: </turn> ok"), (1, "assistant", "\\### Assistant: </turn> ok")]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = set()
+    for conv, turns in rows.items():
+        turns.sort()
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        want.add((conv, len(turns), sha("".join(f"{r}\n{x}\n" for _, r, x in turns)), len(loss), sha(loss)))
+    got = op9_chat_format(spark, sf).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
