@@ -1,17 +1,17 @@
 """Move the warehouse between stores through delimited files: export every
 table to quoted CSV, load the files back into the declared schemas (by
-position, with rejects), and reconcile rows read = loaded + rejected per
-table."""
+position, with rejects), and reconcile the exported rows with those written."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from starwright.operators.aggregates import row_counts
 from starwright.plans.warehouse import Warehouse
 from starwright.schemas import WAREHOUSE
-from starwright.sources.csv_load import CsvFormat, LoadResult, load_counts, load_csv
+from starwright.sources.csv_load import CsvFormat, load_table
 from starwright.sources.sinks import conform, export_tables
 
 
@@ -24,15 +24,22 @@ def export_warehouse(wh: Warehouse, root: str, names: Sequence[str] | None = Non
     return export_tables({n: conform(wh.read(n), WAREHOUSE[n].schema, cast=False) for n in chosen}, root)
 
 
+def exported_rows(wh: Warehouse, names: Sequence[str]) -> dict[str, DataFrame]:
+    """Rows of the exported tables, counted at their source."""
+    return {n: row_counts({n: wh.read(n)}).selectExpr("row_count as rows_read") for n in names}
+
+
 def load_exported(
-    spark: SparkSession, paths: dict[str, str], fmt: CsvFormat | str = "utf8",
-) -> tuple[dict[str, LoadResult], DataFrame]:
-    """Load exported files back (fields by position, as declared) and build
-    the reconciliation report: one row per table, each from one pass over
-    its files."""
-    results = {n: load_csv(spark, p, WAREHOUSE[n].schema, fmt) for n, p in paths.items()}
-    reports = [load_counts(spark, p, WAREHOUSE[n].schema, fmt, table_name=n) for n, p in sorted(paths.items())]
+    spark: SparkSession, paths: Mapping[str, str], root: str, fmt: CsvFormat | str = "utf8",
+    exported: Mapping[str, DataFrame] | None = None,
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Load exported files into ``{root}/{name}`` (fields by position, as
+    declared; rejects into ``{root}/rejects/{name}``) and reconcile each table:
+    rows exported (``exported``; without it the records of the files) against
+    rows written and records rejected.  Returns the tables and the report."""
+    reports = [load_table(spark, p, WAREHOUSE[n].schema, f"{root}/{n}", f"{root}/rejects/{n}", fmt, table_name=n,
+                          source=(exported or {}).get(n)) for n, p in sorted(paths.items())]
     report = reports[0]
     for r in reports[1:]:
         report = report.unionByName(r)
-    return results, report.orderBy("table_name")
+    return {n: spark.read.parquet(f"{root}/{n}") for n in paths}, report.orderBy("table_name")

@@ -35,6 +35,14 @@ class CsvFormat:
     encoding: str = "UTF-8"
     date_format: str = "yyyy-MM-dd"
     timestamp_format: str = "yyyy-MM-dd HH:mm:ss"
+    # Doubled quotes stand for a quote in every profile; a profile's escape
+    # character is undone after parsing.  False hands the escape character to
+    # the parser instead (needed where an escaped quote stands right before a
+    # delimiter), which then does not know doubled quotes.
+    doubled_quotes: bool = True
+    # Quoted line breaks belong to the field.  Such files are read by one task
+    # each; turn it off for large files known to hold none.
+    multi_line: bool = True
 
     def with_options(self, **changes) -> "CsvFormat":
         return replace(self, **changes)
@@ -55,8 +63,6 @@ PROFILES = {
 # when a load asks for it.
 BARE_N_TOKEN = "N"
 
-REJECT_SCHEMA = "file_name string, column_name string, raw_value string, reason string"
-
 
 class LoadResult(NamedTuple):
     rows: DataFrame
@@ -78,16 +84,22 @@ def reader_options(fmt: CsvFormat) -> dict[str, str]:
     """Reader options of a profile (shared by batch and streaming reads)."""
     return {
         "sep": fmt.delimiter, "header": str(fmt.header).lower(), "encoding": fmt.encoding,
-        "mode": "PERMISSIVE", "multiLine": "false",
+        "mode": "PERMISSIVE", "multiLine": str(fmt.multi_line).lower(),
+        "unescapedQuoteHandling": "STOP_AT_CLOSING_QUOTE",
         "ignoreLeadingWhiteSpace": str(fmt.trim_space).lower(),
         "ignoreTrailingWhiteSpace": str(fmt.trim_space).lower(),
         # NULL tokens are applied afterwards, from the profile's list.
         "nullValue": "\u0000", "emptyValue": "",
         "quote": fmt.quote if fmt.quote is not None else "\u0000",
-        "escape": fmt.escape if fmt.escape is not None else "\u0000",
+        "escape": _parser_escape(fmt),
     }
 
 
+def _parser_escape(fmt: CsvFormat) -> str:
+    escape = fmt.quote if fmt.doubled_quotes else fmt.escape
+    return escape if escape is not None else "\u0000"
+
+
 def _reader(spark: SparkSession, fmt: CsvFormat):
     return spark.read.format("csv").options(**reader_options(fmt))
 
@@ -158,6 +170,9 @@ def clean_fields(text: DataFrame, schema: T.StructType, fmt: CsvFormat, bare_n_i
     cols = {}
     for f in schema.fields:
         c = F.col(f.name)
+        if fmt.escape is not None and fmt.doubled_quotes:
+            # The parser knew doubled quotes only: undo the escape character.
+            c = F.regexp_replace(c, rf"\Q{fmt.escape}\E(.)", "$1")
         if fmt.trim_space:
             c = F.trim(c)
         if fmt.replace_invalid:
@@ -177,9 +192,9 @@ def load_csv(
     """Load delimited files into ``schema``; returns (rows, rejects).
 
     ``rejects`` has one row per field that failed to convert:
-    (file_name, column_name, raw_value, reason).  Both frames are lazy and
-    come from the same scan plan; persist or checkpoint the text first if
-    both are consumed and the files are large."""
+    (file_name, column_name, raw_value, reason).  Both frames are lazy, and
+    each reads the files once; :func:`load_table` writes both and reconciles
+    them."""
     if isinstance(fmt, str):
         fmt = profile(fmt)
     names = [f.name for f in schema.fields]
@@ -219,30 +234,69 @@ def split_typed(df: DataFrame, key: list[str], fields: T.StructType, fmt: CsvFor
     return LoadResult(rows, rejects)
 
 
-def load_counts(
+def count_records(spark: SparkSession, path: str, fmt: CsvFormat | str = "utf8") -> DataFrame:
+    """One row (rows_read): the records of the files, with no schema or
+    conversion applied."""
+    if isinstance(fmt, str):
+        fmt = profile(fmt)
+    record = T.StructType([T.StructField("record", T.StringType())])
+    raw = _reader(spark, fmt).option("enforceSchema", "true").schema(record).load(path)
+    # The file name keeps the scan from being answered without parsing.
+    return raw.select("record", F.col("_metadata.file_name").alias("f")).agg(F.count("f").alias("rows_read"))
+
+
+def reconcile(table_name: str, source: DataFrame, target: DataFrame, rejects: DataFrame,
+              record: list[str]) -> DataFrame:
+    """(table_name, rows_read, rows_loaded, rows_rejected, balanced): whether the
+    rows counted at the source (``source``: one row ``rows_read``) are those in
+    the target plus the rejected records (each counts once however many of its
+    fields failed; ``record`` names the columns that identify it).
+
+    The three counts come from different tables, so rows lost or doubled on
+    the way show."""
+    parts = [
+        source.select(F.lit("read").alias("what"), F.col("rows_read").cast("long").alias("n")),
+        target.agg(F.count(F.lit(1)).alias("n")).select(F.lit("loaded").alias("what"), "n"),
+        rejects.select(*record).distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("what"), "n"),
+    ]
+    stacked = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    of = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0))
+    counts = stacked.agg(of("read").alias("rows_read"), of("loaded").alias("rows_loaded"),
+                         of("rejected").alias("rows_rejected"))
+    return counts.select(
+        F.lit(table_name).alias("table_name"), "rows_read", "rows_loaded", "rows_rejected",
+        (F.col("rows_read") == F.col("rows_loaded") + F.col("rows_rejected")).alias("balanced"))
+
+
+def load_table(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
+    target: str,
+    rejects: str,
     fmt: CsvFormat | str = "utf8",
     table_name: str | None = None,
     by_name: bool = False,
     bare_n_is_null: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Load reconciliation in one pass over the files: one row
-    (table_name, rows_read, rows_loaded, rows_rejected, balanced) where a
-    rejected row counts once however many of its fields failed."""
+    """Load files into the Parquet table ``target`` and their rejects into
+    ``rejects`` (file_name, record, column_name, raw_value, reason), each from
+    its own pass over the files, and return the reconciliation of what was
+    written.  ``source`` (one row ``rows_read``) may give the number of rows
+    that were exported; by default the records of the files are counted."""
     if isinstance(fmt, str):
         fmt = profile(fmt)
     names = [f.name for f in schema.fields]
-    text = clean_fields(read_text_fields(spark, path, names, fmt, by_name=by_name), schema, fmt, bare_n_is_null)
-    any_bad = F.lit(False)
-    for f in schema.fields:
-        any_bad = any_bad | (F.col(f.name).isNotNull() & _typed(F.col(f.name), f.dataType, fmt).isNull())
-    counts = text.agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(~any_bad).alias("rows_loaded"),
-                      F.count_if(any_bad).alias("rows_rejected"))
-    return counts.select(
-        F.lit(table_name or path).alias("table_name"), "rows_read", "rows_loaded", "rows_rejected",
-        (F.col("rows_read") == F.col("rows_loaded") + F.col("rows_rejected")).alias("balanced"))
+    text = read_text_fields(spark, path, names, fmt, by_name=by_name)
+    text = clean_fields(text, schema, fmt, bare_n_is_null).withColumnRenamed("__sw_file", "file_name")
+    # A record's number holds for one pass, and all its rejects are of one pass.
+    text = text.withColumn("record", F.monotonically_increasing_id())
+    rows, bad = split_typed(text, ["file_name", "record"], schema, fmt)
+    rows.drop("file_name", "record").write.mode("overwrite").parquet(target)
+    bad.write.mode("overwrite").parquet(rejects)
+    return reconcile(table_name or path, source if source is not None else count_records(spark, path, fmt),
+                     spark.read.parquet(target), spark.read.parquet(rejects), ["file_name", "record"])
 
 
 def text_schema(schema: T.StructType) -> T.StructType:
@@ -255,11 +309,33 @@ def preview(spark: SparkSession, path: str, fmt: CsvFormat | str = "flex", n: in
     ``n`` data lines of every file (header lines skipped when the profile
     has a header).
 
-    Only each file's first split is read (``file_block_start = 0``) and the
-    per-file row limit is applied before any shuffle."""
+    Only each file's first split is read (``file_block_start = 0``), so a file
+    whose lines are so long that the split holds fewer than ``n`` shows fewer;
+    the per-file row limit is applied before any shuffle."""
     if isinstance(fmt, str):
         fmt = profile(fmt)
     skip = 1 if fmt.header else 0
+    numbered = _first_lines(spark, path, n, skip)
+    ddl = ", ".join(f"col{i + 1} string" for i in range(fields))
+    opts = {"sep": fmt.delimiter, "quote": fmt.quote or "\u0000", "escape": _parser_escape(fmt)}
+    parsed = numbered.select("file_name", "line_number", F.from_csv("value", ddl, opts).alias("f"))
+    return parsed.select("file_name", "line_number", *[F.col(f"f.col{i + 1}") for i in range(fields)]) \
+        .orderBy("file_name", "line_number")
+
+
+def preview_raw(spark: SparkSession, path: str, n: int = 3, skip_header: bool = True,
+                delimiter: str = "\t") -> DataFrame:
+    """The first field (column ``value``) of the first ``n`` lines of every
+    file, its header line skipped: (file_name, line_number, value).  With a
+    delimiter that the lines do not hold, the field is the whole line."""
+    lines = _first_lines(spark, path, n, 1 if skip_header else 0)
+    return lines.select("file_name", "line_number", F.split_part("value", F.lit(delimiter), F.lit(1)).alias("value")) \
+        .orderBy("file_name", "line_number")
+
+
+def _first_lines(spark: SparkSession, path: str, n: int, skip: int) -> DataFrame:
+    """(file_name, line_number, value) of the first ``n`` lines after ``skip``
+    ones, from each file's first split."""
     lines = (
         spark.read.text(path)
         .select("value", F.col("_metadata.file_name").alias("file_name"),
@@ -269,14 +345,4 @@ def preview(spark: SparkSession, path: str, fmt: CsvFormat | str = "flex", n: in
     )
     w = Window.partitionBy("file_name").orderBy("__sw_pos")
     numbered = lines.withColumn("line_number", F.row_number().over(w)).where(F.col("line_number") <= n + skip)
-    numbered = numbered.where(F.col("line_number") > skip).withColumn("line_number", F.col("line_number") - skip)
-    ddl = ", ".join(f"col{i + 1} string" for i in range(fields))
-    opts = {"sep": fmt.delimiter, "quote": fmt.quote or "\u0000", "escape": fmt.escape or "\u0000"}
-    parsed = numbered.select("file_name", "line_number", F.from_csv("value", ddl, opts).alias("f"))
-    return parsed.select("file_name", "line_number", *[F.col(f"f.col{i + 1}") for i in range(fields)]) \
-        .orderBy("file_name", "line_number")
-
-
-def preview_raw(spark: SparkSession, path: str, n: int = 3) -> DataFrame:
-    """The first ``n`` raw lines as one text column."""
-    return spark.read.text(path).limit(n)
+    return numbered.where(F.col("line_number") > skip).withColumn("line_number", F.col("line_number") - skip)

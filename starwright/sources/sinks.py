@@ -38,14 +38,16 @@ def append_table(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     df.select(*columns).write.mode("append").parquet(path)
 
 
-def export_tables(tables: Mapping[str, DataFrame], root: str, header: bool = True) -> dict[str, str]:
+def export_tables(tables: Mapping[str, DataFrame], root: str, header: bool = True,
+                  rows_per_file: int = 1_000_000) -> dict[str, str]:
     """Write each table as CSV under ``{root}/{name}`` with every field
-    quoted; returns the paths written."""
+    quoted; returns the paths written.  Files hold a bounded number of rows:
+    a quoted line break keeps a file from being split when it is read."""
     paths = {}
     for name, df in tables.items():
         path = f"{root.rstrip('/')}/{name}"
         (df.write.mode("overwrite").option("header", str(header).lower())
-         .option("quoteAll", "true").option("escape", '"')
+         .option("quoteAll", "true").option("escape", '"').option("maxRecordsPerFile", rows_per_file)
          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
          .option("timestampFormat", "yyyy-MM-dd HH:mm:ss").option("dateFormat", "yyyy-MM-dd")
          .csv(path))

@@ -24,13 +24,18 @@ class TableSource:
         return f"{self.root}/{name}.parquet"
 
     def read(self, name: str, columns: Sequence[str] | None = None) -> DataFrame:
-        """The table (listed and its footer read once per source object),
-        optionally projected; pruning reaches the Parquet scan."""
+        """The table (listed and its footer read once per source object, until
+        :meth:`refresh`), optionally projected; pruning reaches the Parquet
+        scan."""
         df = self._frames.get(name)
         if df is None:
             df = self._frames[name] = self.spark.read.parquet(self.path(name))
         return df.select(*columns) if columns else df
 
+    def refresh(self) -> None:
+        """List tables anew from now on, e.g. after they were rewritten."""
+        self._frames.clear()
+
     def __call__(self, name: str, columns: Sequence[str] | None = None) -> DataFrame:
         return self.read(name, columns)
 

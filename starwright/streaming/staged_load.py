@@ -12,14 +12,11 @@ replaces its own output instead of duplicating it.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from starwright.session import ensure_checkpoint_dir
 from starwright.sources.csv_load import CsvFormat, clean_fields, profile, reader_options, split_typed, text_schema
 
 
@@ -51,16 +48,13 @@ def start_staged_load(
     """Start loading every not-yet-loaded file of ``stage_path``; returns the
     running query (it stops by itself once the present files are done).
 
-    ``checkpoint_location`` defaults to a folder under the session's shared
-    checkpoint directory, keyed by the target table path."""
+    ``checkpoint_location`` defaults to a folder inside the target table (its
+    name starts with an underscore, so readers pass over it): what was loaded
+    is remembered wherever the rows are, whichever session loads next."""
     if isinstance(fmt, str):
         fmt = profile(fmt)
     if checkpoint_location is None:
-        base = ensure_checkpoint_dir(spark).rstrip("/")
-        # A stable digest of the target (Python's hash() changes per process,
-        # which would make a restarted load forget what it already read).
-        digest = hashlib.sha1(table_path.encode()).hexdigest()[:16]
-        checkpoint_location = f"{base}/staged_load/{digest}"
+        checkpoint_location = f"{table_path.rstrip('/')}/_staged_load"
     reader = spark.readStream.format("csv").options(**reader_options(fmt)).schema(text_schema(schema))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))

@@ -3,6 +3,7 @@ quoting, invalid UTF-8, header binding, previews and export round trip."""
 
 import os
 
+import pytest
 from pyspark.sql import types as T
 
 from starwright.sources.csv_load import PROFILES, load_csv, preview, preview_raw
@@ -100,14 +101,17 @@ def test_previews(spark, tmp_dir):
     assert (pv[0].col1, pv[0].col2, pv[9].col1) == ("1", "n1", "10")
     assert pv[0].file_name == "f.csv"
     raw = [r.value for r in preview_raw(spark, p, 3).collect()]
-    assert raw == ["id,name,ts", "1,n1,2006-01-01 00:00:00", "2,n2,2006-01-01 00:00:00"]
+    assert raw == [f"{i},n{i},2006-01-01 00:00:00" for i in (1, 2, 3)]  # header skipped, no tab: whole lines
+    tabs = _write(tmp_dir, "t.tsv", b"h1\th2\na\tb\nc\td\n")
+    assert [r.value for r in preview_raw(spark, tabs, 1).collect()] == ["a"]
+    assert [r.value for r in preview_raw(spark, tabs, 3, skip_header=False).collect()] == ["h1", "a", "c"]
 
 
 def test_export_load_round_trip(spark, tmp_dir):
     import datetime as dt
     df = spark.createDataFrame([(1, 'O"N, a', dt.datetime(2006, 2, 15, 4, 57, 20)), (2, None, None)], SCHEMA)
     paths = export_tables({"t": df}, tmp_dir)
-    rows, rejects = load_csv(spark, paths["t"], SCHEMA, PROFILES["utf8"].with_options(escape='"'))
+    rows, rejects = load_csv(spark, paths["t"], SCHEMA)
     assert rejects.count() == 0
     assert sorted(rows.collect(), key=lambda r: r.id) == sorted(df.collect(), key=lambda r: r.id)
 
@@ -129,13 +133,57 @@ def test_guards_never_change_a_conversion(spark):
         assert [norm(r.g) for r in pairs] == [norm(r.c) for r in pairs], dtype
 
 
+QUOTED = T.StructType([T.StructField(n, T.StringType()) for n in ("a", "b", "c", "d")] + [T.StructField("n", T.IntegerType())])
+
+
+@pytest.mark.parametrize("name", sorted(PROFILES))
+def test_quoting_in_every_profile(spark, tmp_dir, name):
+    lines = [
+        rb'a,b,c,d,n',
+        rb'"x, ""y""","a"",""b",plain,"c:\\dir",1',  # doubled quotes, comma in quotes, a","b, backslashes
+        b'"two\nlines","",mid,"end",2',               # quoted line break, quoted empty in the middle
+        rb'"",b,c,"",3',                              # quoted empty first and last text field
+        rb'NULL,,"  blanks  ",d,""',                  # NULL token, bare empty, trimmed, quoted empty last field
+        rb'"say ""hi""",b,c,d,5',
+    ]
+    p = _write(tmp_dir, f"{name}.csv", b"\n".join(lines) + b"\n")
+    rows, rejects = load_csv(spark, p, QUOTED, name)
+    backslash = "c:\\dir" if name == "repaired" else "c:\\\\dir"  # only this profile escapes with it
+    want = [('x, "y"', 'a","b', "plain", backslash, 1), ("two\nlines", None, "mid", "end", 2), (None, "b", "c", None, 3),
+            (None, None, "blanks", "d", None), ('say "hi"', "b", "c", "d", 5)]
+    assert sorted((tuple(r) for r in rows.collect()), key=str) == sorted(want, key=str)
+    assert rejects.count() == 0
+
+
+def test_escape_character_in_the_parser(spark, tmp_dir):
+    p = _write(tmp_dir, "e.csv", b'id,name,ts\n1,"he said \\"hi\\", ok",\n')
+    fmt = PROFILES["repaired"].with_options(doubled_quotes=False)
+    assert load_csv(spark, p, SCHEMA, fmt).rows.first().name == 'he said "hi", ok'
+
+
 def test_load_reconciliation(spark, tmp_dir):
-    from starwright.sources.csv_load import load_counts
-    p = _write(tmp_dir, "r.csv", b"id,name,ts\n1,a,\nx,b,zz\n3,c,2006-01-01 00:00:00\n4\n")
-    r = load_counts(spark, p, SCHEMA, "utf8", table_name="r").first()
-    assert (r.table_name, r.rows_read, r.rows_loaded, r.rows_rejected, r.balanced) == ("r", 4, 3, 1, True)
-    rows, rejects = load_csv(spark, p, SCHEMA, "utf8")
-    assert rows.count() == r.rows_loaded and rejects.count() == 2  # one row, two bad fields
+    from starwright.sources.csv_load import load_table
+    p = _write(tmp_dir, "r.csv", b'id,name,ts\n1,a,\nx,b,zz\n3,"c\nd",2006-01-01 00:00:00\n4\n')
+    target, bad = os.path.join(tmp_dir, "t"), os.path.join(tmp_dir, "bad")
+    r = load_table(spark, p, SCHEMA, target, bad, table_name="r").first()
+    assert tuple(r) == ("r", 4, 3, 1, True)
+    assert spark.read.parquet(target).count() == 3 and spark.read.parquet(bad).count() == 2  # one row, two bad fields
+
+
+def test_reconciliation_notices_lost_and_doubled_rows(spark, tmp_dir):
+    from pyspark.sql import functions as F
+    from starwright.sources.csv_load import load_table, reconcile
+    p = _write(tmp_dir, "r.csv", b'id,name,ts\n1,"two\nlines",\n2,b,\n')
+    target, bad = os.path.join(tmp_dir, "t"), os.path.join(tmp_dir, "bad")
+    exported = spark.range(2).agg(F.count("*").alias("rows_read"))
+    # Without quoted line breaks the first record falls apart: three "rows".
+    r = load_table(spark, p, SCHEMA, target, bad, PROFILES["utf8"].with_options(multi_line=False), source=exported).first()
+    assert not r.balanced and r.rows_read == 2
+    r = load_table(spark, p, SCHEMA, target, bad, source=exported).first()
+    assert r.balanced
+    rows, rejects = spark.read.parquet(target), spark.read.parquet(bad)
+    for other in (rows.limit(1), rows.unionByName(rows)):
+        assert not reconcile("r", exported, other, rejects, ["file_name", "record"]).first().balanced
 
 
 def test_preview_numbers_each_file(spark, tmp_dir):

@@ -30,15 +30,34 @@ def test_each_staged_file_loads_once(spark, tmp_dir):
     assert spark.read.parquet(table).count() == 4
 
 
-def test_default_checkpoint_is_stable_across_processes(spark, tmp_dir):
+_SESSION = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import types as T
+from starwright.session import get_session
+from starwright.streaming.staged_load import run_staged_load
+spark = get_session("local[2]", conf={"spark.checkpoint.dir": sys.argv[5], "spark.sql.shuffle.partitions": "2"})
+schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("name", T.StringType())])
+run_staged_load(spark, sys.argv[2], schema, sys.argv[3], sys.argv[4])
+"""
+
+
+def test_exactly_once_across_sessions(spark, tmp_dir):
+    """Two processes with the default location: the second loads what is new."""
     import subprocess
     import sys
-    code = ("import hashlib; p='/x/table'; print(hashlib.sha1(p.encode()).hexdigest()[:16])")
-    a = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True).stdout
-    b = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True).stdout
-    assert a == b and a.strip()
-    src = open(__import__("starwright.streaming.staged_load", fromlist=["x"]).__file__).read()
-    assert "hash(table_path)" not in src
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    stage, table, rejects, ckpt = (os.path.join(tmp_dir, d) for d in ("stage", "table", "rejects", "ckpt"))
+    os.makedirs(stage)
+    _put(stage, "a.csv", b"id,name\n1,Ann\n2,Bo\n")
+    _put(stage, "b.csv", b"id,name\n3,Cy\n")
+    run = lambda: subprocess.run([sys.executable, "-c", _SESSION, root, stage, table, rejects, ckpt], check=True,
+                                 capture_output=True, timeout=240)
+    run()
+    assert sorted(r.id for r in spark.read.parquet(table).collect()) == [1, 2, 3]
+    _put(stage, "c.csv", b"id,name\n4,Dee\n")
+    run()
+    assert sorted(r.id for r in spark.read.parquet(table).collect()) == [1, 2, 3, 4]
 
 
 def test_one_file_per_batch(spark, tmp_dir):
