@@ -10,13 +10,13 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def title_label(c: Column | str, strip_prefix: str = "") -> Column:
-    """Strip a literal prefix, then title-case: 'film_in_category_scifi'
-    -> 'Scifi'.  Word boundaries are underscores and blanks."""
-    value = _c(c)
-    if strip_prefix:
-        value = F.replace(value, F.lit(strip_prefix), F.lit(""))
-    return F.initcap(value)
+def title_label(name: str, prefix: str = "") -> str:
+    """Label of a column name: without its prefix (found in any case, taken
+    off by length), words in title case: 'FILM_IN_CATEGORY_SCIFI' -> 'Scifi',
+    'film_in_category_80s' -> '80s'.  Blanks separate words."""
+    if prefix and name.lower().startswith(prefix.lower()):
+        name = name[len(prefix):]
+    return " ".join(w[:1].upper() + w[1:].lower() for w in name.split(" "))
 
 
 def full_name(first: Column | str, last: Column | str) -> Column:

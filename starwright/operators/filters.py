@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from starwright.functions.dates import as_date
 
-# Above this many values a membership filter becomes a broadcast semi join
-# instead of an IN list inlined into the plan.
-INLINE_IN_LIMIT = 1000
-
 
 def project(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """Rename projection ``{source: target}`` (only listed columns kept)."""
@@ -26,16 +22,17 @@ def between_dates(df: DataFrame, column: str, start: str | dt.date, end: str | d
 
 
 def filter_in(df: DataFrame, column: str, values: Iterable | None) -> DataFrame:
-    """Keep rows whose ``column`` is in ``values``; no filter when the list
-    is empty or None."""
+    """Keep rows whose ``column`` is in a selection of ``values``; an empty
+    selection (or None) means no selection: no filter.  To filter by the
+    rows of a table, which may well be none, use :func:`filter_by`."""
     vals = list(values or [])
-    if not vals:
-        return df
-    if len(vals) <= INLINE_IN_LIMIT:
-        return df.where(F.col(column).isin(vals))
-    spark = df.sparkSession
-    keys = spark.createDataFrame([(v,) for v in sorted(set(vals))], [column])
-    return df.join(F.broadcast(keys), column, "left_semi")
+    return df.where(F.col(column).isin(vals)) if vals else df
+
+
+def filter_by(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Keep rows whose ``column`` occurs in the column of that name of
+    ``keys``; no keys, no rows."""
+    return df.join(keys.select(column), column, "left_semi")
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

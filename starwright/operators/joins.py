@@ -1,4 +1,4 @@
-"""Join helpers: key lookups, size-checked broadcast, late attach."""
+"""Join helpers: key lookups, late attach, skew-safe detail joins."""
 
 from __future__ import annotations
 
@@ -8,36 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-# Largest dimension (in rows) this package broadcasts on its own decision;
-# lookup dimensions are projected to a key and a few columns first.
-BROADCAST_ROWS = 1_000_000
-
-
-# Answers of size checks, per session and canonical plan.  A check only
-# picks a strategy (single-task window or distributed numbering, broadcast
-# or shuffled lookup); every strategy gives the same rows, so a remembered
-# answer can change cost, never results.
-_FITS: dict[tuple[int, int, int], bool] = {}
-
-
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows.  The check reads at
-    most ``max_rows + 1`` rows (on a Parquet source with every column
-    pruned, only row-group metadata); its answer is remembered for the
-    session and the same plan."""
-    key = (id(df.sparkSession), df.semanticHash(), max_rows)
-    hit = _FITS.get(key)
-    if hit is None:
-        hit = _FITS[key] = df.limit(max_rows + 1).count() <= max_rows
-    return hit
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it holds at most ``max_rows``
-    rows; beyond that, return it unchanged so the planner shuffles."""
-    return F.broadcast(df) if fits(df, max_rows) else df
-
-
 def lookup_key(
     df: DataFrame,
     dim: DataFrame,
@@ -45,49 +15,35 @@ def lookup_key(
     right_on: str | Sequence[str],
     take: str | Sequence[str],
     how: str = "inner",
-    broadcast: bool = False,
 ) -> DataFrame:
     """Resolve a natural id to a dimension's surrogate key (and/or other
     columns).  The dimension is projected to the join and taken columns
     first; the physical strategy (broadcast or shuffle) is left to the
-    planner's size estimate and AQE, unless ``broadcast`` says the caller
-    has checked the dimension's size."""
+    planner's size estimate and AQE."""
     lk = [left_on] if isinstance(left_on, str) else list(left_on)
     rk = [right_on] if isinstance(right_on, str) else list(right_on)
     tk = [take] if isinstance(take, str) else list(take)
     renamed = {r: f"__sw_r_{i}" for i, r in enumerate(rk)}
     right = dim.select(*[F.col(r).alias(renamed[r]) for r in rk], *[c for c in tk if c not in rk])
-    if broadcast:  # only for a dimension whose size the caller has checked
-        right = F.broadcast(right)
     cond = [df[lcol] == right[renamed[rcol]] for lcol, rcol in zip(lk, rk)]
     return df.join(right, cond, how).drop(*renamed.values())
 
 
-def attach(small: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left",
-           max_small_rows: int | None = None) -> DataFrame:
-    """Join a small result (e.g. a top-k) to a lookup table.
+def attach(small: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
+    """Join a small result to a lookup table; the planner picks the strategy."""
+    return small.join(lookup, [on] if isinstance(on, str) else list(on), how)
+
+
+def attach_top(top: DataFrame, lookup: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """Left join of a top-k result to a lookup table, without moving the table.
 
-    With ``max_small_rows`` (a proven bound such as the k of a top-k) the
-    small result is computed once and its at most that many rows come back;
-    their keys reach the lookup's scan as an IN filter (row groups whose
-    key range misses them are skipped), and only the matching lookup rows
-    are broadcast to the join, so the large table is never shuffled.
-    Without a bound, it is a plain join whose strategy the planner picks."""
+    The k keys of the result are broadcast to reduce the lookup by a semi
+    join, and the reduced lookup (rows of at most k keys) is broadcast back.
+    Both broadcasts are bounded by k; nothing is computed when the plan is
+    built."""
     keys = [on] if isinstance(on, str) else list(on)
-    if max_small_rows is None:
-        return small.join(lookup, keys, how)
-    rows = small.limit(max_small_rows + 1).collect()
-    if len(rows) > max_small_rows:
-        return small.join(lookup, keys, how)
-    spark = small.sparkSession
-    local = spark.createDataFrame(rows, small.schema)
-    reduced = lookup
-    if rows:
-        for k in keys:
-            reduced = reduced.where(F.col(k).isin(sorted({r[k] for r in rows if r[k] is not None})))
-    else:
-        reduced = reduced.limit(0)
-    return local.join(F.broadcast(reduced), keys, how)
+    reduced = lookup.join(F.broadcast(top.select(*keys)), keys, "left_semi")
+    return top.join(F.broadcast(reduced), keys, "left")
 
 
 def left_join_detail(df: DataFrame, detail: DataFrame, on: str | Sequence[str], skew_safe: bool = True) -> DataFrame:

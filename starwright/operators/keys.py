@@ -7,59 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starwright.operators.joins import fits
 from starwright.session import ensure_checkpoint_dir
 
 _PID, _MID, _BASE = "__sw_pid", "__sw_mid", "__sw_base"
 
-# Tables up to this many rows are numbered by one ordered window in a
-# single task; the bound is checked, not assumed.
-SINGLE_TASK_ROWS = 1_000_000
 
-
-def assign_key(
-    df: DataFrame,
-    key: str,
-    order_by: str | Sequence[str],
-    start: int = 1,
-    partitions: int | None = None,
-    single_task_rows: int = SINGLE_TASK_ROWS,
-    bound_by: DataFrame | None = None,
-) -> DataFrame:
+def assign_key(df: DataFrame, key: str, order_by: str | Sequence[str], start: int = 1) -> DataFrame:
     """Add ``key`` = start, start+1, ... in ``order_by`` order, dense and unique.
 
-    Equal to ``row_number() over (order by ...) + start - 1``.
-
-    * Small input (checked by reading at most ``single_task_rows + 1``
-      rows): exactly that window, whose single task is bounded by the check.
-    * Otherwise the table never moves into one task:
+    Equal to ``row_number() over (order by ...) + start - 1``, without moving
+    the table into one task:
 
-      1. range-partition on the order columns and sort inside each partition;
-      2. tag every row with (partition id, position in partition) and pin the
-         result with a reliable ``checkpoint()`` in the shared checkpoint
-         folder, so a lost executor or a second action cannot renumber rows;
-      3. count rows per partition (one row per partition), turn the counts
-         into running offsets and broadcast them -- their size is bounded by
-         the partition count, not by the data;
-      4. key = start + offset(partition) + position.
+    1. range-partition on the order columns and sort inside each partition
+       (AQE coalesces the ranges of a small table);
+    2. tag every row with (partition id, position in partition) and pin the
+       result with a reliable ``checkpoint()`` in the shared checkpoint
+       folder, so a lost executor or a second action cannot renumber rows;
+    3. count rows per partition (one row per partition), turn the counts
+       into running offsets and broadcast them -- their size is bounded by
+       the partition count, not by the data;
+    4. key = start + offset(partition) + position.
 
     The order columns should be unique (a natural key); ties get an
-    arbitrary order.  ``bound_by`` may name a cheaper frame with at least as
-    many rows as ``df`` (e.g. the source table ahead of an inner lookup on
-    a unique parent key) for the size check, so the check never has to
-    compute ``df``'s joins.
+    arbitrary order.
     """
     cols = [order_by] if isinstance(order_by, str) else list(order_by)
-    probe = df if bound_by is None else bound_by
-    if single_task_rows > 0 and fits(probe, single_task_rows):
-        w = Window.orderBy(*cols)
-        return df.select((F.row_number().over(w) + F.lit(start - 1)).cast("long").alias(key), *df.columns)
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
     tagged = (
-        df.repartitionByRange(max(1, n), *cols)
+        df.repartitionByRange(*cols)
         .sortWithinPartitions(*cols)
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(_MID, F.monotonically_increasing_id())

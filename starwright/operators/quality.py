@@ -109,11 +109,15 @@ def violation_counts(
     return wide.select(stacked.alias("v")).select("v.check", "v.column_name", "v.violations")
 
 
-def reconcile(read: Mapping[str, int], loaded: Mapping[str, int], rejected: Mapping[str, int]) -> list[dict]:
-    """Load reconciliation per table: rows read = loaded + rejected."""
-    out = []
-    for name in sorted(read):
-        r, l_, j = read[name], loaded.get(name, 0), rejected.get(name, 0)
-        out.append({"table_name": name, "rows_read": r, "rows_loaded": l_, "rows_rejected": j,
-                    "balanced": r == l_ + j})
-    return out
+def orphan_counts(child: DataFrame, references: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Orphans of every reference of a table in one pass over it: (column_name,
+    violations).  ``references``: child column -> (parent, parent column).
+    NULL references are exempt.  Each parent is reduced to its distinct keys and
+    left-joined, so rows neither vanish nor multiply."""
+    df = child.select(*references)
+    for i, (col, (parent, pcol)) in enumerate(references.items()):
+        keys = parent.select(F.col(pcol).alias(f"__sw_p{i}")).where(F.col(pcol).isNotNull()).distinct()
+        df = df.join(keys, df[col] == keys[f"__sw_p{i}"], "left")
+    wide = df.agg(*[F.count_if(F.col(col).isNotNull() & F.col(f"__sw_p{i}").isNull()).cast("long").alias(col)
+                    for i, col in enumerate(references)])
+    return wide.unpivot([], list(references), "column_name", "violations")

@@ -18,18 +18,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starwright.functions.flags import contains_flags, null_if_tokens, one_hot
-from starwright.functions.text import full_name, is_utf8
+from starwright.functions.text import full_name, is_utf8, repair_utf8, title_label
 from starwright.operators import aggregates, calendar, quality
 from starwright.operators.defaults import apply_defaults
-from starwright.operators.joins import fits, left_join_detail
+from starwright.operators.joins import left_join_detail
 from starwright.operators.keys import assign_key
 from starwright.plans import dimensions as dims
 from starwright.plans import facts, marts
 from starwright.schemas import (
-    ADDRESS_KEY_START, CITY_KEY_START, COUNTRY_KEY_START, FACT_DEFAULTS, category_column,
+    ADDRESS_KEY_START, CATEGORY_PREFIX, CITY_KEY_START, COUNTRY_KEY_START, FACT_DEFAULTS, category_column,
 )
 from starwright.session import apply_runtime_conf
-from starwright.sources.csv_load import split_typed
+from starwright.sources.csv_load import reconcile, split_typed
 from starwright.sources.order_adapter import CATEGORY_LABELS, PART_FEATURES, PART_TYPES, OrderAdapter
 from starwright.sources.tables import TableSource
 
@@ -55,17 +55,10 @@ def register(name: str, sql: str | None):
     return deco
 
 
-_SOURCES: dict[tuple[int, str], TableSource] = {}
-
-
 def _tables(spark: SparkSession, sf_dir: str) -> TableSource:
-    """One table source per (session, folder): each table is listed once."""
+    """A table source of its own for each query: files are listed anew."""
     apply_runtime_conf(spark)
-    key = (id(spark), sf_dir)
-    src = _SOURCES.get(key)
-    if src is None or src.spark is not spark:
-        src = _SOURCES[key] = TableSource(spark, sf_dir)
-    return src
+    return TableSource(spark, sf_dir)
 
 
 def _src(spark: SparkSession, sf_dir: str) -> OrderAdapter:
@@ -76,10 +69,6 @@ def _calendar(a: OrderAdapter) -> tuple[dt.date, dt.date]:
     return calendar.calendar_bounds(a.t("orders", ["o_orderdate"]), "o_orderdate")
 
 
-def _title(label: str) -> str:
-    return label[:1].upper() + label[1:].lower()
-
-
 # ---------------------------------------------------------------------------
 # shared SQL fragments
 # ---------------------------------------------------------------------------
@@ -271,9 +260,8 @@ def q_category_one_hot(spark, sf_dir):
     return part.select(F.col("p_partkey").alias("film_id"), *[c.alias(n) for n, c in hot.items()])
 
 
-def _film_flags(a: OrderAdapter, keyed: bool) -> DataFrame:
-    fn = dims.dim_film if keyed else dims.film_flags
-    return fn(a.film(), a.language(), a.film_category_names(), CATEGORY_LABELS, PART_FEATURES)
+def _films(a: OrderAdapter) -> DataFrame:
+    return dims.dim_film(a.film(), a.language(), a.film_category_names(), CATEGORY_LABELS, PART_FEATURES)
 
 
 _CAT_FLAG_SQL = ", ".join(
@@ -289,13 +277,18 @@ SELECT row_number() OVER (ORDER BY p_partkey) AS film_key, p_partkey AS film_id,
        p_brand AS film_rating_code, {_FEATURE_SQL}, {_CAT_FLAG_SQL}
 FROM part""")
 def q_dim_film(spark, sf_dir):
-    return _film_flags(_src(spark, sf_dir), keyed=True).select(*_FILM_COLS)
+    return _films(_src(spark, sf_dir)).select(*_FILM_COLS)
+
+
+def _category_map(a: OrderAdapter) -> DataFrame:
+    """Category pairs straight from the flags: no film attribute is needed."""
+    flags = dims.category_flags(a.film_category_names(), CATEGORY_LABELS)
+    return marts.category_map(flags, key="film_id", unique_key=True)
 
 
 @register("category_map", f"WITH {SQL_MAP} SELECT film_id, film_category FROM map")
 def q_category_map(spark, sf_dir):
-    flags = _film_flags(_src(spark, sf_dir), keyed=False)
-    return marts.category_map(flags, key="film_id")
+    return _category_map(_src(spark, sf_dir))
 
 
 @register("film_actor_bridge", """
@@ -305,16 +298,16 @@ JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS actor_key FROM
 JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS film_key FROM part) f ON fa.l_partkey = f.p_partkey""")
 def q_film_actor_bridge(spark, sf_dir):
     a = _src(spark, sf_dir)
-    bridge = dims.film_actor_bridge(a.film_actor(), dims.dim_actor(a.actor()), _film_flags(a, keyed=True))
+    bridge = dims.film_actor_bridge(a.film_actor(), dims.dim_actor(a.actor()), _film_keys(a))
     return bridge.select("film_key", "actor_key")
 
 
 @register("surrogate_keys", """
 SELECT row_number() OVER (ORDER BY o_orderkey) AS order_key, o_orderkey FROM orders""")
 def q_surrogate_keys(spark, sf_dir):
-    """The distributed numbering path (forced), checked against row_number."""
+    """Distributed numbering, checked against row_number."""
     orders = _tables(spark, sf_dir)("orders", ["o_orderkey"])
-    return assign_key(orders, "order_key", "o_orderkey", single_task_rows=0)
+    return assign_key(orders, "order_key", "o_orderkey")
 
 
 @register("location_rollup", f"""
@@ -325,11 +318,7 @@ FROM customer c JOIN city ON c.c_nationkey = city.location_city_id
 GROUP BY 1, 2""")
 def q_location_rollup(spark, sf_dir):
     a = _src(spark, sf_dir)
-    countries = dims.dim_country(a.country())
-    cities = dims.dim_city(a.city(), countries)
-    addresses = dims.dim_address(a.address(), cities)
-    customers = dims.dim_customer(a.customer(), addresses)
-    return dims.location_rollup(customers, addresses, cities, countries)
+    return dims.location_rollup(a.customer(), a.address(), a.city(), a.country())
 
 
 # ---------------------------------------------------------------------------
@@ -351,6 +340,25 @@ def q_fact_dates(spark, sf_dir):
                         "rental_date_key", "return_date_key", "count_returns")
 
 
+@register("fact_dates_narrow", f"""
+WITH whole AS (SELECT min(year(o_orderdate)) + 1 AS a, max(year(o_orderdate)) - 1 AS b FROM orders),
+cal AS (SELECT make_date(CAST(a AS INTEGER), 1, 1) AS lo, make_date(CAST(b AS INTEGER), 12, 31) AS hi FROM whole)
+SELECT l.l_orderkey, l.l_linenumber, {_sql_date_key('o.o_orderdate')} AS rental_date_key,
+       CASE WHEN l.l_returnflag = 'R' THEN {_sql_date_key('l.l_shipdate')} END AS return_date_key,
+       CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END AS count_returns
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey, cal
+WHERE CAST(o.o_orderdate AS DATE) BETWEEN cal.lo AND cal.hi""")
+def q_fact_dates_narrow(spark, sf_dir):
+    """Date keys over a calendar without the first and last year of the data:
+    rentals outside it are dropped, returns outside it get no key."""
+    a = _src(spark, sf_dir)
+    lo, hi = _calendar(a)
+    lines = a.rental_lines(with_store=False)
+    keyed = facts.date_keys(lines, (dt.date(lo.year + 1, 1, 1), dt.date(hi.year - 1, 12, 31)))
+    return keyed.select(F.col("rental_id").alias("l_orderkey"), F.col("rental_line").alias("l_linenumber"),
+                        "rental_date_key", "return_date_key", "count_returns")
+
+
 @register("left_join_payment", """
 SELECT o.o_orderkey, coalesce(l.l_extendedprice, 0.0) AS amount
 FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey""")
@@ -409,17 +417,22 @@ def _fact(spark, sf_dir) -> DataFrame:
     cities = dims.dim_city(a.city(), countries)
     addresses = dims.dim_address(a.address(), cities)
     customers = dims.dim_customer(a.customer(), addresses)
-    staff, films = dims.dim_staff(a.staff()), _film_flags(a, keyed=True)
+    staff, films = dims.dim_staff(a.staff()), _film_keys(a)
     stores = dims.dim_store(a.store(), addresses, a.staff())
-    # Customer keys are resolved on orders.  Staff, film and store follow
-    # from the inventory item (a part from a supplier, whose nation is the
-    # store): broadcast lookups when the source tables are proven small,
-    # otherwise keys resolved once per item.
-    small = fits(a.t("supplier", ["s_suppkey"])) and fits(a.t("part", ["p_partkey"]))
-    lines = facts.attach_item_keys(a.rental_lines(with_store=False, customers=customers), a.inventory_items(),
-                                   staff, films, stores, small)
+    # Customer keys are resolved on orders, store keys on the staff (whose
+    # nation is the store); the lines then meet staff and films by plain
+    # equi-joins, whose strategy the planner picks.
+    lines = a.rental_lines(with_store=False, customers=customers)
     return facts.build_fact(lines, customers, staff, films, stores, _calendar(a),
-                            carry=("inventory_film_id", "inventory_staff_id"))
+                            carry=("inventory_film_id", "inventory_staff_id"), store_from_staff=True)
+
+
+def _film_keys(a: OrderAdapter) -> DataFrame:
+    """film_id, film_key and the allowed days: what the fact takes from the
+    film dimension.  Every part has a language, so numbering the ids gives the
+    dimension's keys."""
+    films = a.film().select("film_id", F.col("rental_duration").alias("film_rental_duration"))
+    return assign_key(films, "film_key", "film_id")
 
 
 # ---------------------------------------------------------------------------
@@ -487,11 +500,10 @@ FROM base JOIN map ON base.film_id = map.film_id
 GROUP BY 1, 2""")
 def q_revenue_by_month_category(spark, sf_dir):
     a = _src(spark, sf_dir)
-    cat_map = marts.category_map(_film_flags(a, keyed=False), key="film_id")
-    return marts.revenue_by_month_category(_base(a), cat_map, film="film_id")
+    return marts.revenue_by_month_category(_base(a), _category_map(a), film="film_id")
 
 
-_PIVOT_LABELS = [_title(lbl) for lbl in CATEGORY_LABELS]
+_PIVOT_LABELS = [title_label(category_column(lbl), CATEGORY_PREFIX) for lbl in CATEGORY_LABELS]
 _PIVOT_SQL = ", ".join(
     f"CAST(coalesce(sum(CASE WHEN film_category = '{lbl}' THEN cents END), 0) AS DOUBLE) / 100 AS \"{lbl}\""
     for lbl in _PIVOT_LABELS)
@@ -504,7 +516,9 @@ long AS (SELECT CAST(date_trunc('month', base.rental_date) AS DATE) AS rental_mo
          FROM base JOIN map ON base.film_id = map.film_id GROUP BY 1, 2)
 SELECT rental_month, {_PIVOT_SQL} FROM long GROUP BY rental_month""")
 def q_revenue_pivot(spark, sf_dir):
-    return marts.revenue_pivot(q_revenue_by_month_category(spark, sf_dir), _PIVOT_LABELS)
+    a = _src(spark, sf_dir)
+    long = marts.revenue_by_month_category(_base(a), _category_map(a), film="film_id", ordered=False)
+    return marts.revenue_pivot(long, _PIVOT_LABELS)
 
 
 def _store_lookup(a: OrderAdapter) -> DataFrame:
@@ -592,8 +606,7 @@ GROUP BY map.film_category""")
 def q_avg_duration_by_category(spark, sf_dir):
     a = _src(spark, sf_dir)
     durations = a.film().select("film_id", "rental_duration")
-    cat_map = marts.category_map(_film_flags(a, keyed=False), key="film_id")
-    return marts.avg_duration_by_category(_base(a), cat_map, film="film_id", durations=durations)
+    return marts.avg_duration_by_category(_base(a), _category_map(a), film="film_id", durations=durations)
 
 
 # ---------------------------------------------------------------------------
@@ -631,12 +644,16 @@ def q_load_rejects(spark, sf_dir):
     """A text column that should hold integers; rows that do not convert
     are rejected with column and reason, the rest load."""
     o = _tables(spark, sf_dir)("orders", ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey"])
-    text = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority"))
-                    .otherwise(F.col("o_custkey").cast("string")).alias("raw_value"))
-    _, rejects = split_typed(text, ["o_orderkey"], T.StructType([T.StructField("raw_value", T.IntegerType())]))
+    _, rejects = split_typed(_order_text(o), ["o_orderkey"], T.StructType([T.StructField("raw_value", T.IntegerType())]))
     return rejects
 
 
+def _order_text(o: DataFrame) -> DataFrame:
+    """A text column in which partly filled orders hold a word, not a number."""
+    return o.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority"))
+                    .otherwise(F.col("o_custkey").cast("string")).alias("raw_value"))
+
+
 @register("utf8_check", """
 SELECT count(*) AS docs, CAST(0 AS BIGINT) AS invalid_docs,
        count(*) FILTER (WHERE contains(text, chr(65533))) AS docs_with_replacement
@@ -651,11 +668,42 @@ def q_utf8_check(spark, sf_dir):
                  F.count_if(F.col("text").contains("�")).cast("long").alias("docs_with_replacement"))
 
 
+@register("utf8_invalid", """
+SELECT count(*) AS docs, count(*) FILTER (WHERE n_chars % 2 = 0) AS invalid_docs,
+       count(*) FILTER (WHERE n_chars % 2 = 0) AS repaired_docs
+FROM documents""")
+def q_utf8_invalid(spark, sf_dir):
+    """Every document's bytes, with a byte that no text holds after those of an
+    even length: found invalid, and repaired to the text and U+FFFD."""
+    d = _tables(spark, sf_dir)("documents", ["text", "n_chars"])
+    spoiled = F.concat(F.col("text").cast("binary"),
+                       F.when(F.col("n_chars") % 2 == 0, F.unhex(F.lit("FF"))).otherwise(F.lit(b"")))
+    d = d.select("text", spoiled.alias("data"))
+    repaired = repair_utf8("data") == F.concat("text", F.lit("\ufffd"))
+    return d.agg(F.count(F.lit(1)).alias("docs"), F.count_if(~is_utf8("data")).cast("long").alias("invalid_docs"),
+                 F.count_if(repaired).cast("long").alias("repaired_docs"))
+
+
+@register("load_reconcile", """
+WITH t AS (SELECT CASE WHEN o_orderstatus = 'P' THEN o_orderpriority ELSE CAST(o_custkey AS VARCHAR) END AS raw FROM orders),
+c AS (SELECT count(*) AS rows_read, count(*) FILTER (WHERE raw IS NULL OR TRY_CAST(raw AS INTEGER) IS NOT NULL) AS rows_loaded,
+             count(*) FILTER (WHERE raw IS NOT NULL AND TRY_CAST(raw AS INTEGER) IS NULL) AS rows_rejected FROM t)
+SELECT 'orders' AS table_name, rows_read, rows_loaded, rows_rejected,
+       rows_read = rows_loaded + rows_rejected AS balanced FROM c""")
+def q_load_reconcile(spark, sf_dir):
+    """The load of :func:`q_load_rejects` reconciled: the rows of the source,
+    of the loaded table and of the rejects are counted apart."""
+    o = _tables(spark, sf_dir)("orders", ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey"])
+    rows, rejects = split_typed(_order_text(o), ["o_orderkey"], T.StructType([T.StructField("raw_value", T.IntegerType())]))
+    return reconcile("orders", o.agg(F.count(F.lit(1)).alias("rows_read")), rows, rejects, ["o_orderkey"])
+
+
 # ---------------------------------------------------------------------------
 # counts and constraint checks
 # ---------------------------------------------------------------------------
 
-ROW_COUNT_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+ROW_COUNT_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+                    "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 @register("row_counts", " UNION ALL ".join(

@@ -27,7 +27,7 @@ def dim_actor(actor: DataFrame) -> DataFrame:
     src = actor.select(
         F.col("actor_id"), F.col("first_name").alias("actor_first_name"),
         F.col("last_name").alias("actor_last_name"), F.col("last_update").alias("actor_last_update"))
-    keyed = assign_key(src, "actor_key", "actor_id", bound_by=actor)
+    keyed = assign_key(src, "actor_key", "actor_id")
     return apply_defaults(keyed, {"actor_last_update": NOW})
 
 
@@ -36,7 +36,7 @@ def dim_staff(staff: DataFrame) -> DataFrame:
         F.col("staff_id"), F.col("first_name").alias("staff_first_name"),
         F.col("last_name").alias("staff_last_name"), F.col("store_id").alias("staff_store_id"),
         F.col("last_update").alias("staff_last_update"))
-    keyed = assign_key(src, "staff_key", "staff_id", bound_by=staff)
+    keyed = assign_key(src, "staff_key", "staff_id")
     return apply_defaults(keyed, {"staff_last_update": NOW})
 
 
@@ -44,7 +44,7 @@ def dim_country(country: DataFrame, start: int = COUNTRY_KEY_START) -> DataFrame
     src = country.select(
         F.col("country_id").alias("location_country_id"), F.col("country").alias("location_country_name"),
         F.col("last_update").alias("location_country_last_update"))
-    keyed = assign_key(src, "location_country_key", "location_country_id", start=start, bound_by=country)
+    keyed = assign_key(src, "location_country_key", "location_country_id", start=start)
     return apply_defaults(keyed, {"location_country_last_update": NOW})
 
 
@@ -55,7 +55,7 @@ def dim_city(city: DataFrame, countries: DataFrame, start: int = CITY_KEY_START)
     src = city.join(parent, city.country_id == parent.location_country_id, "inner").select(
         "location_country_key", F.col("city_id").alias("location_city_id"),
         F.col("city").alias("location_city_name"), F.col("last_update").alias("location_city_last_update"))
-    keyed = assign_key(src, "location_city_key", "location_city_id", start=start, bound_by=city)
+    keyed = assign_key(src, "location_city_key", "location_city_id", start=start)
     return apply_defaults(keyed, {"location_city_last_update": NOW})
 
 
@@ -65,7 +65,7 @@ def dim_address(address: DataFrame, cities: DataFrame, start: int = ADDRESS_KEY_
         "location_city_key", F.col("address_id").alias("location_address_id"),
         F.col("address").alias("location_address"), F.col("postal_code").alias("location_address_postal_code"),
         F.col("last_update").alias("location_address_last_update"))
-    keyed = assign_key(src, "location_address_key", "location_address_id", start=start, bound_by=address)
+    keyed = assign_key(src, "location_address_key", "location_address_id", start=start)
     return apply_defaults(keyed, {"location_address_last_update": NOW})
 
 
@@ -81,7 +81,7 @@ def dim_store(store: DataFrame, addresses: DataFrame, staff: DataFrame) -> DataF
                 "store_id", F.col("manager_staff_id").alias("store_manager_staff_id"),
                 "store_manager_first_name", "store_manager_last_name")
     )
-    keyed = assign_key(src, "store_key", "store_id", bound_by=store)
+    keyed = assign_key(src, "store_key", "store_id")
     return apply_defaults(keyed, {"store_last_update": "CURRENT_TIMESTAMP"}).withColumn(
         "store_last_update", F.col("store_last_update").cast("string"))
 
@@ -93,7 +93,7 @@ def dim_customer(customer: DataFrame, addresses: DataFrame) -> DataFrame:
         F.col("first_name").alias("customer_first_name"), F.col("last_name").alias("customer_last_name"),
         F.col("email").alias("customer_email"), F.col("active").alias("customer_active"),
         F.col("create_date").alias("customer_created"))
-    keyed = assign_key(src, "customer_key", "customer_id", bound_by=customer)
+    keyed = assign_key(src, "customer_key", "customer_id")
     return apply_defaults(keyed, {"customer_last_update": NOW})
 
 
@@ -102,6 +102,13 @@ def film_category_names(film_category: DataFrame, category: DataFrame) -> DataFr
     return film_category.join(category, "category_id", "inner").select("film_id", "name")
 
 
+def category_flags(categories: DataFrame, labels: Sequence[str] = FILM_CATEGORIES) -> DataFrame:
+    """One row per film with a category: film_id and one 0/1 column per label,
+    folded from (film_id, name) memberships by one shuffle on the film."""
+    hot = one_hot(F.col("name"), labels)
+    return categories.groupBy("film_id").agg(*[F.max(c).alias(n) for n, c in hot.items()])
+
+
 def film_flags(
     film: DataFrame,
     language: DataFrame,
@@ -137,9 +144,7 @@ def film_flags(
         return base.join(member, "film_id", "inner").select(
             *attrs, *[c.alias(n) for n, c in feature_cols.items()],
             *[c.alias(n) for n, c in one_hot(F.col("__cat"), labels).items()])
-    hot = one_hot(F.col("name"), labels)
-    folded = categories.groupBy("film_id").agg(*[F.max(c).alias(n) for n, c in hot.items()])
-    return base.join(folded, "film_id", "left").select(
+    return base.join(category_flags(categories, labels), "film_id", "left").select(
         *attrs, *[c.alias(n) for n, c in feature_cols.items()],
         *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in flag_names])
 
@@ -156,13 +161,13 @@ def dim_film(
     category flags in strict mode)."""
     src = film_flags(film, language, categories, labels, features, strict)
     order = ["film_id"] + ([category_column(lbl) for lbl in labels] if strict else [])
-    # Default mode keeps one row per film: the film table bounds the size.
-    keyed = assign_key(src, "film_key", order, bound_by=None if strict else film)
+    keyed = assign_key(src, "film_key", order)
     return apply_defaults(keyed, {"film_last_update": NOW})
 
 
 def film_actor_bridge(film_actor: DataFrame, actors: DataFrame, films: DataFrame) -> DataFrame:
-    """Distinct (film_key, actor_key) pairs; weights are left NULL.  With a
+    """Distinct (film_key, actor_key) pairs; weights are left NULL.  This is the
+    only place that removes repeated pairs.  With a
     strict-mode film dimension (one row per film category) each film row
     gets the film's actors, as in the reference."""
     a = actors.select("actor_id", "actor_key")
@@ -174,20 +179,16 @@ def film_actor_bridge(film_actor: DataFrame, actors: DataFrame, films: DataFrame
     )
 
 
-def location_rollup(customers: DataFrame, addresses: DataFrame, cities: DataFrame, countries: DataFrame) -> DataFrame:
-    """Customers per (country, city) through the normalised location hierarchy.
+def location_rollup(customer: DataFrame, address: DataFrame, city: DataFrame, country: DataFrame) -> DataFrame:
+    """Customers per (country, city) through the normalised location hierarchy
+    of source tables.
 
-    Customers are counted per address key first (partial aggregation), so
-    only one row per address travels up the hierarchy joins."""
-    per_addr = customers.groupBy("location_address_key").agg(F.count(F.lit(1)).alias("n"))
-    per_city = (
-        per_addr.join(addresses.select("location_address_key", "location_city_key"), "location_address_key")
-        .groupBy("location_city_key").agg(F.sum("n").alias("n"))
-    )
+    Customers are counted by the city of their address, so that after partial
+    aggregation one row per city and task meets the names."""
+    of_city = customer.select("address_id").join(address.select("address_id", "city_id"), "address_id")
+    per_city = of_city.groupBy("city_id").agg(F.count(F.lit(1)).alias("customers"))
     return (
-        per_city.join(cities.select("location_city_key", "location_country_key", "location_city_name"),
-                      "location_city_key")
-        .join(countries.select("location_country_key", "location_country_name"), "location_country_key")
-        .select(F.col("location_country_name").alias("country_name"),
-                F.col("location_city_name").alias("city_name"), F.col("n").cast("long").alias("customers"))
+        per_city.join(city.select("city_id", "country_id", F.col("city").alias("city_name")), "city_id")
+        .join(country.select("country_id", F.col("country").alias("country_name")), "country_id")
+        .select("country_name", "city_name", F.col("customers").cast("long").alias("customers"))
     )

@@ -63,41 +63,11 @@ def date_key_join(lines: DataFrame, dim_date: DataFrame, ts_col: str, key_alias:
     return lines.join(F.broadcast(cal), cond, how).drop(f"__{key_alias}_date")
 
 
-def resolve_items(items: DataFrame, staff: DataFrame, films: DataFrame, stores: DataFrame,
-                  store_from_staff: bool = False) -> DataFrame:
-    """Staff, film and store keys resolved once per inventory item.
-
-    ``items`` holds distinct (film_id, staff_id[, store_id]) pairs.  When
-    the item determines the staff member, film and store, lines joined to
-    the resolved items need one shuffle (on the item) instead of one per
-    dimension, and the lookups run on the items, which are far fewer than
-    the lines."""
-    df = items
-    if store_from_staff:
-        df = lookup_key(df.drop("store_id"), staff.withColumnRenamed("staff_store_id", "store_id"),
-                        "staff_id", "staff_id", ["staff_key", "store_id"])
-    else:
-        df = lookup_key(df, staff, "staff_id", "staff_id", "staff_key")
-    df = lookup_key(df, films, "film_id", "film_id", ["film_key", "film_rental_duration"])
-    return lookup_key(df, stores, "store_id", "store_id", "store_key")
-
-
-def attach_item_keys(lines: DataFrame, items: DataFrame, staff: DataFrame, films: DataFrame,
-                     stores: DataFrame, small_dims: bool) -> DataFrame:
-    """Staff, film and store keys for lines whose inventory item (film_id,
-    staff_id) determines them, the store being the staff member's.
-
-    ``small_dims`` (the caller checked the staff and film dimensions'
-    sizes): broadcast lookups, the lines are not shuffled for them.
-    Otherwise the keys are resolved once per distinct item and one join on
-    the item brings them to the lines: one shuffle instead of two."""
-    if small_dims:
-        df = lookup_key(lines.drop("store_id"), staff.withColumnRenamed("staff_store_id", "store_id"),
-                        "staff_id", "staff_id", ["staff_key", "store_id"], broadcast=True)
-        df = lookup_key(df, films, "film_id", "film_id", ["film_key", "film_rental_duration"], broadcast=True)
-        return lookup_key(df, stores, "store_id", "store_id", "store_key")
-    resolved = resolve_items(items, staff, films, stores, store_from_staff=True)
-    return lines.drop("store_id").join(resolved, ["film_id", "staff_id"], "inner")
+def staff_with_store(staff: DataFrame, stores: DataFrame) -> DataFrame:
+    """(staff_id, staff_key, store_key): staff joined to their store, two
+    dimensions, before either meets the lines."""
+    own = staff.select("staff_id", "staff_key", F.col("staff_store_id").alias("store_id"))
+    return own.join(stores.select("store_id", "store_key"), "store_id", "inner").drop("store_id")
 
 
 def build_fact(
@@ -116,8 +86,8 @@ def build_fact(
     broadcast or shuffle from sizes; AQE splits skewed keys).  A key already
     present in ``lines`` (resolved upstream on a smaller table, e.g. the
     customer key on orders before they meet their lines) is kept as is.
-    ``store_from_staff`` takes the store id from the staff dimension when
-    the inventory's store is the staff member's store, saving a lookup.
+    ``store_from_staff``: the store is the staff member's, so staff and store
+    are joined first and the lines meet them once.
     Date keys are arithmetic on the gap-free calendar, so the two calendar
     joins cost nothing.  ``rental_duration`` is the film's allowed days,
     taken from the film dimension."""
@@ -126,8 +96,8 @@ def build_fact(
         df = lookup_key(df, customers, "customer_id", "customer_id", "customer_key")
     if "staff_key" not in df.columns:
         if store_from_staff:
-            df = lookup_key(df.drop("store_id"), staff.withColumnRenamed("staff_store_id", "store_id"),
-                            "staff_id", "staff_id", ["staff_key", "store_id"])
+            df = lookup_key(df.drop("store_id"), staff_with_store(staff, stores), "staff_id", "staff_id",
+                            ["staff_key", "store_key"])
         else:
             df = lookup_key(df, staff, "staff_id", "staff_id", "staff_key")
     if "film_key" not in df.columns:

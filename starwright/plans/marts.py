@@ -23,9 +23,11 @@ from starwright.functions.flags import safe_div
 from starwright.functions.money import cents, from_cents
 from starwright.functions.text import full_name, store_label
 from starwright.operators.aggregates import agg_by, bounds, sum_by, top_k, value_counts
-from starwright.operators.filters import between_dates, cols_with_prefix, distinct_values, drop_null, filter_in
-from starwright.operators.joins import attach
-from starwright.operators.reshape import unpivot_flags
+from starwright.operators.filters import (
+    between_dates, cols_with_prefix, distinct_values, drop_null, filter_by, filter_in,
+)
+from starwright.operators.joins import attach, attach_top
+from starwright.operators.reshape import flag_labels, unpivot_flags
 from starwright.schemas import CATEGORY_PREFIX, FALLBACK_DATE_RANGE
 
 
@@ -84,28 +86,36 @@ def top_customers(base: DataFrame, customers: DataFrame, k: int = 10, key: str =
     """Top-k customers by revenue (ties broken by key), with their names.
 
     Revenue per customer is aggregated first; names are attached only to
-    the k winners (the customer table is semi-join reduced, not shuffled)."""
+    the k winners (the customer table is semi-join reduced, not shuffled)
+    when the result is computed."""
     revenue = sum_by(base, key, amount, "total_revenue")
     top = top_k(revenue, k, [F.col("total_revenue").desc(), F.col(key).asc()])
     names = customers.select(key, first, last)
-    return attach(top, names, key, max_small_rows=k).select(
+    return attach_top(top, names, key).select(
         key, full_name(F.col(first), F.col(last)).alias("customer_name"), "total_revenue")
 
 
 # -- M4: monthly revenue by category ----------------------------------------
 
 def category_map(films: DataFrame, key: str = "film_key", label: str = "film_category",
-                 prefix: str = CATEGORY_PREFIX) -> DataFrame:
+                 prefix: str = CATEGORY_PREFIX, unique_key: bool = False) -> DataFrame:
     """(film, category) pairs recovered from the one-hot flag columns found
-    by prefix: unpivot, keep set flags, strip prefix, title-case, dedupe."""
+    by prefix (in any case): unpivot, keep set flags, strip prefix, title-case.
+    ``unique_key``: ``films`` has one row per key, so no pair can repeat."""
     flag_cols = cols_with_prefix(films, prefix)
-    return unpivot_flags(films, key, flag_cols, label, strip_prefix=prefix)
+    return unpivot_flags(films, key, flag_cols, label, strip_prefix=prefix, unique_key=unique_key)
+
+
+def category_labels(films: DataFrame, prefix: str = CATEGORY_PREFIX) -> list[str]:
+    """The labels :func:`category_map` can give, in column order."""
+    return list(flag_labels(cols_with_prefix(films, prefix), prefix))
 
 
 def revenue_by_month_category(base: DataFrame, cat_map: DataFrame, film: str = "film_key",
                               amount: str = "payment_amount", date_col: str = "rental_date",
-                              label: str = "film_category") -> DataFrame:
-    """(rental_month, film_category, revenue).
+                              label: str = "film_category", ordered: bool = True) -> DataFrame:
+    """(rental_month, film_category, revenue), by month and falling revenue
+    unless ``ordered`` is off (a pivot needs no order).
 
     A film in several categories counts its whole revenue in each.  Revenue
     is pre-aggregated per (film, month) in exact cents before the
@@ -119,11 +129,11 @@ def revenue_by_month_category(base: DataFrame, cat_map: DataFrame, film: str = "
         .where(F.col("__cents").isNotNull())
     )
     m = drop_null(cat_map.select(F.col(film).alias("__film"), label), [label])
-    return (
+    long = (
         per_film_month.join(m, "__film", "inner")
         .groupBy("rental_month", label).agg(from_cents(F.sum("__cents")).alias("revenue"))
-        .orderBy(F.col("rental_month").asc(), F.col("revenue").desc())
     )
+    return long.orderBy(F.col("rental_month").asc(), F.col("revenue").desc()) if ordered else long
 
 
 def revenue_pivot(long: DataFrame, labels: Sequence[str], label: str = "film_category") -> DataFrame:
@@ -133,9 +143,10 @@ def revenue_pivot(long: DataFrame, labels: Sequence[str], label: str = "film_cat
         long.withColumn("__cents", cents("revenue"))
         .groupBy("rental_month").pivot(label, list(labels)).agg(F.sum("__cents"))
     )
+    # One row per month: few enough to be sorted in one task, with no shuffle.
     return wide.select(
         "rental_month", *[F.coalesce(from_cents(F.col(f"`{lbl}`")), F.lit(0.0)).alias(lbl) for lbl in labels]
-    ).orderBy("rental_month")
+    ).coalesce(1).sortWithinPartitions("rental_month")
 
 
 # -- M5: store performance ---------------------------------------------------
@@ -144,9 +155,10 @@ def store_performance(base: DataFrame, stores: DataFrame, key: str = "store_key"
                       first: str = "store_manager_first_name", last: str = "store_manager_last_name",
                       amount: str = "payment_amount") -> DataFrame:
     """Per store: revenue, rentals, transactions, average ticket and label."""
+    # A store whose amounts (or counts) are all NULL has sums of 0.
     perf = agg_by(base, key, {
-        "revenue": from_cents(F.sum(cents(amount))),
-        "rentals": F.sum("count_rentals").cast("long"),
+        "revenue": from_cents(F.coalesce(F.sum(cents(amount)), F.lit(0))),
+        "rentals": F.coalesce(F.sum("count_rentals"), F.lit(0)).cast("long"),
         "txns": F.count("rental_id"),
     }).withColumn("avg_ticket", safe_div(F.col("revenue"), F.col("txns")))
     cols = [key] + ([store_id] if store_id != key else []) + [first, last]
@@ -179,7 +191,7 @@ def inventory_utilization(base: DataFrame, item: Sequence[str] = ("inventory_id"
     out = base
     for c in items:
         out = out.where(F.col(c).isNotNull())
-    return out.groupBy(*items).agg(F.sum("count_rentals").cast("long").alias("rentals"))
+    return out.groupBy(*items).agg(F.coalesce(F.sum("count_rentals"), F.lit(0)).cast("long").alias("rentals"))
 
 
 def inventory_stats(util: DataFrame) -> DataFrame:
@@ -258,30 +270,28 @@ def dashboard(
     """The data under each selected dashboard section, as lazy plans over
     one filtered base read from the written fact and dimensions.
 
-    The store picker offers store ids; the filter resolves them to store
-    keys first (the fact holds keys).  Each section re-reads the fact with
-    the date and store filters pushed to the scan; ``cache_base`` keeps the
-    filtered base instead, worth it only when it is small (a short range
-    read by several sections)."""
+    The store picker offers store ids; the fact holds keys, so it is semi-joined
+    to the stores picked: ids that no store has select no rows, while an empty
+    selection (or None) selects every store.  Each section re-reads the fact
+    with the date filter pushed to the scan; ``cache_base`` keeps the filtered
+    base instead, worth it only when it is small (a short range read by several
+    sections)."""
     wanted = [s for s in sections if s in SECTIONS]
+    base = base_filtered(base_from_fact(fact, calendar_start, start, end), start, end)
     if store_ids:
-        keys = [r.store_key for r in stores.where(F.col("store_id").isin(list(store_ids)))
-                .select("store_key").collect()]
-    else:
-        keys = None
-    base = base_filtered(base_from_fact(fact, calendar_start, start, end), start, end, keys, store_col="store_key")
+        base = filter_by(base, "store_key", filter_in(stores, "store_id", store_ids))
     if cache_base and len(wanted) > 1:
         base = base.cache()
     out: dict[str, DataFrame] = {}
-    cat_map = category_map(films) if any("category" in s for s in wanted) else None
+    # The film key is unique in the film dimension.
+    cat_map = category_map(films, unique_key=True) if any("category" in s for s in wanted) else None
     for s in wanted:
         if s == SECTIONS[0]:
             out[s] = top_customers(base, customers, 10)
         elif s == SECTIONS[1]:
-            long = revenue_by_month_category(base, cat_map)
-            out[s] = long
-            labels = [c[len(CATEGORY_PREFIX):].title() for c in films.columns if c.startswith(CATEGORY_PREFIX)]
-            out[s + " (pivot)"] = revenue_pivot(long, labels)
+            out[s] = revenue_by_month_category(base, cat_map)
+            long = revenue_by_month_category(base, cat_map, ordered=False)
+            out[s + " (pivot)"] = revenue_pivot(long, category_labels(films))
         elif s == SECTIONS[2]:
             perf = store_performance(base, stores)
             out[s] = perf

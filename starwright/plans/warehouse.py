@@ -14,13 +14,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starwright.operators import quality
-from starwright.operators.joins import fits
 from starwright.operators.calendar import date_dim, numbers, numbers_small
+from starwright.operators.defaults import apply_defaults
 from starwright.plans import dimensions as dims
 from starwright.plans import facts
-from starwright.schemas import FILM_CATEGORIES, FILM_FEATURES, WAREHOUSE
+from starwright.schemas import DATE_DEFAULTS, FILM_CATEGORIES, FILM_FEATURES, WAREHOUSE, category_column
 from starwright.sources.sinks import write_table
 
 
@@ -38,9 +39,12 @@ class Warehouse:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, name: str, df: DataFrame, sort_by: Sequence[str] = ()) -> DataFrame:
+    def write(self, name: str, df: DataFrame, sort_by: Sequence[str] = (),
+              schema: T.StructType | None = None) -> DataFrame:
+        """Create or replace a table with its declared columns and types (or
+        ``schema``).  A value that does not fit its type fails the write."""
         out = df.sortWithinPartitions(*sort_by) if sort_by else df
-        write_table(out, self.path(name))
+        write_table(out, self.path(name), schema or (WAREHOUSE[name].schema if name in WAREHOUSE else None))
         self.paths[name] = self.path(name)
         return self.read(name)
 
@@ -48,6 +52,24 @@ class Warehouse:
         return self.spark.read.parquet(self.path(name))
 
 
+def table_schema(name: str, df: DataFrame, labels: Sequence[str] = FILM_CATEGORIES,
+                 features: Mapping[str, str] = FILM_FEATURES, carry: Sequence[str] = (),
+                 wider: Mapping[str, Mapping[str, T.DataType]] | None = None) -> T.StructType:
+    """Declared schema of a table for one build: the film table's flag columns
+    follow the build's labels and features, the fact gets the carried columns
+    (typed as they come), and ``wider`` replaces declared types that the
+    source's values do not fit."""
+    fields = list(WAREHOUSE[name].schema.fields)
+    if name == "dim_film":
+        own = [category_column(lbl) for lbl in labels]
+        flags = [T.StructField(c, T.IntegerType(), True) for c in [*features, *own]]
+        fixed = set(FILM_FEATURES) | {category_column(lbl) for lbl in FILM_CATEGORIES}
+        fields = [f for f in fields if f.name not in fixed] + flags
+    fields += [df.schema[c] for c in carry]
+    changed = (wider or {}).get(name, {})
+    return T.StructType([T.StructField(f.name, changed.get(f.name, f.dataType), f.nullable) for f in fields])
+
+
 def build_warehouse(
     spark: SparkSession,
     src,
@@ -61,14 +83,15 @@ def build_warehouse(
     count_drops: bool = False,
 ) -> Warehouse:
     """Build every warehouse table from a rental-shaped source (``RentalTables``
-    or ``OrderAdapter``) into ``out_root``."""
+    or ``OrderAdapter``) into ``out_root``, with the declared columns and types
+    (a source may declare ``wider_types`` for values that do not fit)."""
     wh = Warehouse(spark, out_root)
     lo = dt.date.fromisoformat(calendar[0]) if isinstance(calendar[0], str) else calendar[0]
     hi = dt.date.fromisoformat(calendar[1]) if isinstance(calendar[1], str) else calendar[1]
 
     wh.write("numbers_small", numbers_small(spark))
     wh.write("numbers", numbers(spark))
-    wh.write("dim_date", date_dim(spark, lo, hi))
+    wh.write("dim_date", apply_defaults(date_dim(spark, lo, hi), DATE_DEFAULTS))
 
     wh.write("dim_actor", dims.dim_actor(src.actor()))
     staff = wh.write("dim_staff", dims.dim_staff(src.staff()))
@@ -77,22 +100,18 @@ def build_warehouse(
     addresses = wh.write("dim_location_address", dims.dim_address(src.address(), cities))
     stores = wh.write("dim_store", dims.dim_store(src.store(), addresses, src.staff()))
     customers = wh.write("dim_customer", dims.dim_customer(src.customer(), addresses))
-    films = wh.write("dim_film", dims.dim_film(src.film(), src.language(), src.film_category_names(),
-                                               labels, features, strict=strict_film))
+    films = dims.dim_film(src.film(), src.language(), src.film_category_names(), labels, features, strict=strict_film)
+    wider = getattr(src, "wider_types", None)
+    films = wh.write("dim_film", films, schema=table_schema("dim_film", films, labels, features, wider=wider))
     wh.write("dim_film_actor_bridge", dims.film_actor_bridge(src.film_actor(), wh.read("dim_actor"), films))
 
     lines = src.rental_lines(with_store=not store_from_staff, customers=customers)
-    if hasattr(src, "inventory_items") and store_from_staff:
-        # Staff, film and store are functions of the inventory item: broadcast
-        # lookups when both dimensions are proven small, else keys resolved
-        # once per item and brought to the lines by one join.
-        small = fits(staff) and fits(films)
-        lines = facts.attach_item_keys(lines, src.inventory_items(), staff, films, stores, small)
     fact = facts.build_fact(lines, customers, staff, films, stores, (lo, hi), carry=carry,
                             store_from_staff=store_from_staff)
     # Sorted by date key inside each file: row-group statistics then let a
     # date-range filter skip most of the fact.
-    wh.write("fact_rental", fact, sort_by=["rental_date_key"])
+    wh.write("fact_rental", fact, sort_by=["rental_date_key"],
+             schema=table_schema("fact_rental", fact, carry=carry, wider=wider))
     if count_drops:
         # One extra pass over the source lines; the fact count reads the
         # written files.
@@ -103,8 +122,10 @@ def build_warehouse(
 
 def check_warehouse(wh: Warehouse) -> DataFrame:
     """One row per check: (table_name, check, column_name, violations) for
-    primary keys (Q1), foreign keys (Q2), NOT NULL columns (Q3) and
-    declared lengths / decimals (Q4) of every written table."""
+    primary and unique keys (Q1), foreign keys (Q2), NOT NULL columns (Q3) and
+    declared lengths / decimals (Q4) of every written table.  A declared column
+    that is absent counts as one violation of the check ``absent``.  All foreign
+    keys of a table are checked in one pass, and so are its columns."""
     spark = wh.spark
     rows = []
     for name in sorted(wh.paths):
@@ -113,13 +134,17 @@ def check_warehouse(wh: Warehouse) -> DataFrame:
             continue
         df = wh.read(name)
         cols = set(df.columns)
-        if spec.primary_key and set(spec.primary_key) <= cols:
-            dup = quality.check_unique(df, list(spec.primary_key)).agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-            rows.append((name, "primary_key", ",".join(spec.primary_key), int(dup)))
-        for col, (parent, pcol) in spec.foreign_keys.items():
-            if col in cols and parent in wh.paths:
-                n = quality.check_orphans(df, wh.read(parent), col, pcol).count()
-                rows.append((name, "foreign_key", col, n))
+        rows += [(name, "absent", f.name, 1) for f in spec.schema.fields if f.name not in cols]
+        keys = [("primary_key", spec.primary_key)] if spec.primary_key else []
+        for check, key in keys + [("unique", u) for u in spec.unique]:
+            if set(key) <= cols:
+                dup = quality.check_unique(df, list(key)).agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+                rows.append((name, check, ",".join(key), int(dup)))
+        references = {col: (wh.read(parent), pcol) for col, (parent, pcol) in spec.foreign_keys.items()
+                      if col in cols and parent in wh.paths}
+        if references:
+            for r in quality.orphan_counts(df, references).collect():
+                rows.append((name, "foreign_key", r.column_name, int(r.violations)))
         nn = [c for c in spec.not_null if c in cols]
         lengths = {c: n for c, n in spec.lengths.items() if c in cols}
         decimals = {c: ps for c, ps in spec.decimals.items()

@@ -19,7 +19,7 @@ film, language        part; language = p_brand; duration = p_size
 film category         p_type, plus the first word of p_name (upper-cased), so a
                       film belongs to one or two categories
 special features      p_name
-film actor            distinct (l_partkey, l_suppkey)
+film actor            (l_partkey, l_suppkey)
 rental line           lineitem joined to orders (and the supplier's nation as
                       store); returned when l_returnflag = 'R', on l_shipdate;
                       payment = l_extendedprice
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starwright.sources.tables import TableSource
 
@@ -61,6 +62,10 @@ def _last(name: str) -> F.Column:
 
 
 class OrderAdapter:
+    # Part prices do not fit the rental rate's declared DECIMAL(4,2): the film
+    # table of this source declares a wider one.
+    wider_types = {"dim_film": {"film_rental_rate": T.DecimalType(12, 2)}}
+
     def __init__(self, tables: TableSource):
         self.t = tables
 
@@ -119,7 +124,7 @@ class OrderAdapter:
         return self.t("part", ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"]).select(
             F.col("p_partkey").alias("film_id"), F.col("p_name").alias("title"),
             F.lit(None).cast("string").alias("description"), F.lit(None).cast("int").alias("release_year"),
-            F.split_part(F.col("p_brand"), F.lit("#"), F.lit(2)).cast("int").alias("language_id"),
+            F.split_part(F.col("p_brand"), F.lit("#"), F.lit(2)).try_cast("int").alias("language_id"),
             F.col("p_size").alias("rental_duration"), F.col("p_retailprice").alias("rental_rate"),
             F.col("p_size").alias("length"), F.lit(None).cast("double").alias("replacement_cost"),
             F.col("p_brand").alias("rating"), F.col("p_name").alias("special_features"),
@@ -127,27 +132,20 @@ class OrderAdapter:
 
     def language(self) -> DataFrame:
         return self.t("part", ["p_brand"]).distinct().select(
-            F.split_part(F.col("p_brand"), F.lit("#"), F.lit(2)).cast("int").alias("language_id"),
+            F.split_part(F.col("p_brand"), F.lit("#"), F.lit(2)).try_cast("int").alias("language_id"),
             F.col("p_brand").alias("name"))
 
     def film_category_names(self) -> DataFrame:
         """(film_id, name): the part type and the upper-cased first word of
         the part name; a film can hold the same label from both."""
         part = self.t("part", ["p_partkey", "p_type", "p_name"])
-        by_type = part.select(F.col("p_partkey").alias("film_id"), F.col("p_type").alias("name"))
-        by_word = part.select(F.col("p_partkey").alias("film_id"),
-                              F.upper(F.split_part(F.col("p_name"), F.lit(" "), F.lit(1))).alias("name"))
-        return by_type.unionByName(by_word)
-
-    def inventory_items(self) -> DataFrame:
-        """Distinct inventory items (film_id, staff_id): a part from a
-        supplier.  Partial aggregation de-duplicates before the shuffle."""
-        return self.t("lineitem", ["l_partkey", "l_suppkey"]).select(
-            F.col("l_partkey").alias("film_id"), F.col("l_suppkey").alias("staff_id")).distinct()
+        word = F.upper(F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)))
+        return part.select(F.col("p_partkey").alias("film_id"), F.explode(F.array("p_type", word)).alias("name"))
 
     def film_actor(self) -> DataFrame:
+        """(film_id, actor_id) of every line; pairs repeat."""
         return self.t("lineitem", ["l_partkey", "l_suppkey"]).select(
-            F.col("l_partkey").alias("film_id"), F.col("l_suppkey").alias("actor_id")).distinct()
+            F.col("l_partkey").alias("film_id"), F.col("l_suppkey").alias("actor_id"))
 
     # -- rentals -----------------------------------------------------------
     def rental_lines(self, with_store: bool = True, customers: DataFrame | None = None) -> DataFrame:

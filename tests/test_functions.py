@@ -11,12 +11,13 @@ from starwright.operators.filters import cols_with_prefix, project
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("film_in_category_scifi", None, "Lee", 3, None, None),
-                                ("SCIFI", "Ann", None, None, "Jo", "Li")],
-                               "label string, first string, last string, sid int, mf string, ml string")
-    rows = df.select(title_label("label", "film_in_category_").alias("t"), full_name("first", "last").alias("n"),
-                     store_label("sid", "mf", "ml").alias("s")).collect()
-    assert [(r.t, r.n, r.s) for r in rows] == [("Scifi", "Lee", "Store 3 ( )"), ("Scifi", "Ann", None)]
+    df = spark.createDataFrame([(None, "Lee", 3, None, None), ("Ann", None, None, "Jo", "Li")],
+                               "first string, last string, sid int, mf string, ml string")
+    rows = df.select(full_name("first", "last").alias("n"), store_label("sid", "mf", "ml").alias("s")).collect()
+    assert [(r.n, r.s) for r in rows] == [("Lee", "Store 3 ( )"), ("Ann", None)]
+    for name, label in (("film_in_category_scifi", "Scifi"), ("SCIFI", "Scifi"), ("FILM_IN_CATEGORY_NEW AGE", "New Age"),
+                        ("film_in_category_80s", "80s"), ("x_film_in_category_a", "X_film_in_category_a")):
+        assert title_label(name, "film_in_category_") == label
     assert spark.range(1).select(money_text(F.lit(1234.5)).alias("m")).first().m == "$1,234.50"
 
 

@@ -56,21 +56,45 @@ def test_kpis_agree_with_store_rows(spark):
     assert _q(spark, "base_filtered").count() == k.total_rentals
 
 
-def test_item_key_paths_agree(spark):
-    """Broadcast lookups (small dimensions) and per-item resolution (large
-    ones) give the same keyed lines."""
+def test_staff_with_store_keeps_every_staff_member(spark):
     from starwright.plans import dimensions as dims
     from starwright.plans import facts
-    from starwright.plans.catalogue import _film_flags
     from starwright.sources.order_adapter import OrderAdapter
     from starwright.sources.tables import TableSource
     a = OrderAdapter(TableSource(spark, SF))
     addresses = dims.dim_address(a.address(), dims.dim_city(a.city(), dims.dim_country(a.country())))
-    staff, films = dims.dim_staff(a.staff()), _film_flags(a, keyed=True)
-    stores = dims.dim_store(a.store(), addresses, a.staff())
-    lines = a.rental_lines(with_store=False)
-    cols = ["rental_id", "rental_line", "staff_key", "film_key", "store_key", "store_id", "film_rental_duration"]
-    x = facts.attach_item_keys(lines, a.inventory_items(), staff, films, stores, True).select(*cols)
-    y = facts.attach_item_keys(lines, a.inventory_items(), staff, films, stores, False).select(*cols)
-    assert x.count() == y.count() == _t(spark, "lineitem").count()
-    assert x.exceptAll(y).count() == 0
+    staff, stores = dims.dim_staff(a.staff()), dims.dim_store(a.store(), addresses, a.staff())
+    both = facts.staff_with_store(staff, stores)
+    want = staff.join(stores, staff.staff_store_id == stores.store_id).select("staff_id", "staff_key", "store_key")
+    assert both.select("staff_id", "staff_key", "store_key").exceptAll(want).count() == 0
+    assert both.count() == staff.count()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_without_broadcast(spark):
+    """Shuffles and scans of the plans a large cluster would get."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, shuffles, parts in (
+                ("category_map", 10, 1), ("revenue_by_month_category", 10, 1), ("revenue_pivot", 10, 1),
+                ("avg_duration_by_category", 10, 2), ("location_rollup", 8, 0)):
+            plan = _plan(_q(spark, name))
+            assert plan.count("Exchange ") <= shuffles, (name, plan.count("Exchange "))
+            assert len([x for x in plan.splitlines() if "FileScan" in x and "part.parquet" in x]) <= parts, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_top_customers_collects_nothing_when_planned(spark, monkeypatch):
+    def fail(self):
+        raise AssertionError("collected while the plan was built")
+
+    frame = type(spark.range(1))
+    with monkeypatch.context() as m:
+        m.setattr(frame, "collect", fail)
+        df = _q(spark, "top_customers")
+    assert df.count() == 10

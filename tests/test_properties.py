@@ -34,10 +34,9 @@ def test_guards_are_supersets(spark, samples):
 
 
 @SETTINGS
-@given(st.sets(st.integers(min_value=-10**12, max_value=10**12), max_size=400), st.integers(1, 7),
-       st.integers(-5, 1000))
-def test_distributed_keys_equal_row_number(spark, ids, parts, start):
+@given(st.sets(st.integers(min_value=-10**12, max_value=10**12), max_size=400), st.integers(-5, 1000))
+def test_distributed_keys_equal_row_number(spark, ids, start):
     df = spark.createDataFrame([(i,) for i in ids], "nat long")
-    keyed = assign_key(df, "k", "nat", start=start, partitions=parts, single_task_rows=0)
+    keyed = assign_key(df, "k", "nat", start=start)
     expected = df.select((F.row_number().over(Window.orderBy("nat")) + start - 1).cast("long").alias("k"), "nat")
     assert sorted(keyed.collect()) == sorted(expected.collect())

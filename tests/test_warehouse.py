@@ -6,7 +6,10 @@ import os
 
 import pytest
 
+from pyspark.sql import types as T
+
 from starwright.plans.warehouse import build_warehouse, check_warehouse
+from starwright.schemas import WAREHOUSE
 from starwright.sources.order_adapter import CATEGORY_LABELS, PART_FEATURES, OrderAdapter
 from starwright.sources.rental_tables import RentalTables
 from starwright.sources.tables import TableSource
@@ -39,6 +42,13 @@ def test_build_on_order_tables(spark, order_wh):
     assert report[("fact_rental", "primary_key", "rental_id")] > 0
     # part prices do not fit the declared DECIMAL(4,2) rental rate
     assert report[("dim_film", "domain", "film_rental_rate")] > 0
+    assert not [k for k in report if k[1] == "absent" and k[0] != "dim_film"]  # its labels are the parts' own
+    # every table has its declared columns and types, the film rate a wider one
+    for name in wh.paths:
+        if name not in ("dim_film", "fact_rental"):
+            assert [(f.name, f.dataType) for f in wh.read(name).schema] == [
+                (f.name, f.dataType) for f in WAREHOUSE[name].schema], name
+    assert wh.read("dim_film").schema["film_rental_rate"].dataType == T.DecimalType(12, 2)
 
 
 def _write_reference_tables(spark, root):
@@ -124,18 +134,64 @@ def test_dashboard_over_written_warehouse(ref_wh):
 
 
 def test_export_and_reload_reconciles(spark, tmp_dir, ref_wh):
-    from starwright.plans.migration import export_warehouse, load_exported
-    from starwright.sources.csv_load import PROFILES
+    """Every table comes back as it was written (empty text is NULL and outer
+    blanks are trimmed, as the profile says)."""
+    from starwright.plans.migration import export_warehouse, exported_rows, load_exported
     wh = ref_wh
     paths = export_warehouse(wh, os.path.join(tmp_dir, "export"))
-    assert {"fact_rental", "dim_film", "dim_date"} <= set(paths)
-    results, report = load_exported(spark, paths, PROFILES["utf8"].with_options(escape='"'))
+    assert set(paths) == set(WAREHOUSE)
+    tables, report = load_exported(spark, paths, os.path.join(tmp_dir, "back"), exported=exported_rows(wh, list(paths)))
     rows = {r.table_name: r for r in report.collect()}
     for name, r in rows.items():
         assert r.balanced and r.rows_rejected == 0, name
-        assert r.rows_read == wh.read(name).count() == results[name].rows.count(), name
-    back = {r.film_id: r for r in results["dim_film"].rows.collect()}
-    assert back[1].film_has_deleted_scenes == 1 and back[2].film_in_category_horror == 1
+        written = wh.read(name).select(*[f.name for f in WAREHOUSE[name].schema])
+        assert r.rows_read == written.count(), name
+        assert tables[name].exceptAll(written).count() == 0 == written.exceptAll(tables[name]).count(), name
+
+
+def test_written_schemas(ref_wh):
+    for name in ref_wh.paths:
+        want = [(f.name, f.dataType) for f in WAREHOUSE[name].schema]
+        got = [(f.name, f.dataType) for f in ref_wh.read(name).schema if f.name != "inventory_id"]
+        assert sorted(got, key=str) == sorted(want, key=str), name
+
+
+def test_absent_column_and_repeated_date_are_reported(spark, tmp_dir, ref_wh):
+    from starwright.plans.warehouse import Warehouse
+    wh = Warehouse(spark, tmp_dir)
+    dates = ref_wh.read("dim_date")
+    dates.unionByName(dates.limit(1)).drop("weekend").write.parquet(wh.path("dim_date"))
+    wh.paths["dim_date"] = wh.path("dim_date")
+    report = {(r.check, r.column_name): r.violations for r in check_warehouse(wh).collect()}
+    assert report[("absent", "weekend")] == 1 and report[("unique", "date")] == 2 == report[("primary_key", "date_key")]
+
+
+def test_dashboard_edge_cases(spark):
+    """Unknown stores, upper-case flag columns, a label with a digit, a store
+    whose amounts are all NULL."""
+    from starwright.plans.marts import SECTIONS, dashboard
+    fact = spark.createDataFrame(
+        [(1, 1, 1, 1, 10, 10.0, 1, 3, 7), (2, 1, 2, 1, 10, 5.5, 1, 3, 7), (3, 2, 1, 2, 11, None, 1, 4, 8)],
+        "rental_id long, customer_key long, film_key long, store_key long, rental_date_key long, dollar_amount double, "
+        "count_rentals int, rental_duration int, inventory_id long")
+    customers = spark.createDataFrame([(1, "A", "B"), (2, "C", "D")],
+                                      "customer_key long, customer_first_name string, customer_last_name string")
+    stores = spark.createDataFrame([(1, 501, "M", "N"), (2, 502, None, None)],
+                                   "store_key long, store_id long, store_manager_first_name string, store_manager_last_name string")
+    films = spark.createDataFrame([(1, 1, 0, 1), (2, 0, 1, 0)],
+                                  "film_key long, FILM_IN_CATEGORY_ACTION int, film_in_category_80s int, Film_In_Category_sci_fi int")
+    run = lambda ids: dashboard(fact, customers, stores, films, "2005-01-01", "2005-01-01", "2005-12-31",
+                                store_ids=ids, sections=SECTIONS)
+    assert all(run([999])[s].count() == 0 for s in SECTIONS)
+    for ids in (None, []):
+        out = run(ids)
+        perf = {r.store_id: (r.revenue, r.txns, r.avg_ticket) for r in out["Store performance"].collect()}
+        assert perf == {501: (15.5, 2, 7.75), 502: (0.0, 1, 0.0)}
+        long = {(r.film_category, r.revenue) for r in out["Monthly revenue trend by category"].collect()}
+        assert long == {("Action", 10.0), ("80s", 5.5), ("Sci_fi", 10.0)}
+        wide = out["Monthly revenue trend by category (pivot)"].first().asDict()
+        assert {k: v for k, v in wide.items() if k != "rental_month"} == {"Action": 10.0, "80s": 5.5, "Sci_fi": 10.0}
+    assert {r.store_id for r in run([502])["Store performance"].collect()} == {502}
 
 
 def test_command_line(spark, tmp_dir, capsys):
@@ -195,12 +251,12 @@ def test_export_rejects_values_that_do_not_fit(spark, tmp_dir, order_wh):
     writes them as they are and the reload rejects those film rows, with
     the reconciliation still balanced."""
     from starwright.plans.migration import export_warehouse, load_exported
-    from starwright.sources.csv_load import PROFILES
     paths = export_warehouse(order_wh, os.path.join(tmp_dir, "export"), ["dim_film", "dim_customer"])
-    results, report = load_exported(spark, paths, PROFILES["utf8"].with_options(escape='"'))
+    root = os.path.join(tmp_dir, "back")
+    tables, report = load_exported(spark, paths, root)
     rows = {r.table_name: r for r in report.collect()}
     films = order_wh.read("dim_film").count()
-    assert rows["dim_film"].balanced and rows["dim_film"].rows_rejected == films
+    assert rows["dim_film"].balanced and rows["dim_film"].rows_rejected == films and tables["dim_film"].count() == 0
     assert rows["dim_customer"].rows_rejected == 0
-    reasons = {(r.column_name, r.reason) for r in results["dim_film"].rejects.collect()}
+    reasons = {(r.column_name, r.reason) for r in spark.read.parquet(f"{root}/rejects/dim_film").collect()}
     assert reasons == {("film_rental_rate", "cannot convert to decimal(4,2)")}
