@@ -12,7 +12,7 @@ from starwright.session import ensure_checkpoint_dir
 
 # Rows and bytes handed to a Python task at a time: bounds its memory
 # whatever the length of the texts.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
