@@ -1,0 +1,54 @@
+import random
+from array import array
+
+import pytest
+import sentencepiece
+from corpora import make
+
+from starwright.llm import piece_fst as f
+
+
+@pytest.fixture(scope="module")
+def pair():
+    return f.Transducer(f.model_path()), sentencepiece.SentencePieceProcessor(model_file=f.model_path())
+
+
+def test_equals_the_library(pair, documents):
+    fst, library = pair
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz      \n\t.,'0123ABCéßñ한글🙂"
+    pieces = list(fst.ids)
+    texts = [t or "" for _, t in documents]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts += ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))).replace(f.SPACE, " ") for _ in range(800)]
+    texts += [" " * k + "x" for k in range(40)] + [" ", "<s> </s><unk>", "\x00\x01", "a▁b ▁", "_" * 70, "a" * 200]
+    for text, ids in zip(texts, library.encode(texts)):
+        packed = fst.encode(text)
+        assert list(array("H", packed)) == ids
+        assert fst.decode(packed) == library.decode(ids)
+
+
+def test_decodes_any_ids(pair):
+    fst, library = pair
+    rng = random.Random(2)
+    for _ in range(300):
+        ids = [rng.randrange(259, 32_000) for _ in range(rng.randint(1, 9))]
+        assert fst.decode(array("H", ids).tobytes()) == library.decode(ids)
+
+
+def test_unigram_weights_decide(pair):
+    """With unigram weights the path of least total weight is taken."""
+    fst = f.Transducer(f.model_path())
+    fst.merges, fst.ids = False, {"a": 1, "b": 2, "ab": 3, "bb": 4}
+    fst.trie = {"a": {"": (1, "a", 1.0), "b": {"": (3, "ab", 3.0)}}, "b": {"": (2, "b", 5.0), "b": {"": (4, "bb", 1.5)}}}
+    assert fst._shortest("abb") == [1, 4] and fst._shortest("ab") == [3]
+
+
+def test_tables(spark, documents):
+    rows = documents + [(700, "▁ is an escape")]
+    model = f.model_path()
+    back = f.decode_ids(f.encode_texts(make(spark, rows, extra=True), model), model).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in back) == sorted(
+        (str(i), (t or "").replace(f.SPACE, " ")) for i, t in rows)
+    assert {r["n_tokens"] for r in back if r["doc_id"] in (100, 101)} == {0}
+    assert f.encode_texts(make(spark, []), model).count() == 0
