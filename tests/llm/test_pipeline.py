@@ -1,0 +1,76 @@
+import corpus_pipeline
+import numpy as np
+import zlib
+from corpora import make
+from test_exact_dedup import norm
+from test_ngram_join import brute
+from test_packing import library_ids
+
+from starwright.llm import suffix_dedup, toxicity
+
+
+def stages_by_hand(spark, rows, model):
+    distance = toxicity.Distance(model) if model.weights else None
+    if distance:
+        w = np.array(model.weights)
+        score = lambda t: 1 / (1 + np.exp(-(np.array(distance.features(t)) @ w[:-1] + w[-1])))
+        rows = [(i, t) for i, t in rows if score(t) < corpus_pipeline.REJECT]
+    first = {}
+    for i, t in sorted(rows):
+        first.setdefault(norm(t), (i, t))
+    rows = sorted(first.values())
+    keep = {i for i, _, low in brute(rows) if i == low}
+    rows = [(i, t) for i, t in rows if i in keep]
+    data = [(i, (t or "").encode()) for i, t in rows]
+    seen = {}
+    for _, t in data:
+        for p in range(len(t) - 399):
+            seen[t[p:p + 400]] = seen.get(t[p:p + 400], 0) + 1
+    out = []
+    for i, t in data:
+        gone = bytearray(len(t))
+        for p in range(len(t) - 399):
+            if seen[t[p:p + 400]] > 1:
+                gone[p:p + 400] = b"\1" * 400
+        out.append((i, bytes(b for b, g in zip(t, gone) if not g).decode("utf-8", "ignore")))
+    return out
+
+
+def test_matches_the_stages_by_hand(spark, tmp_dir):
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in source.select("doc_id", "text").collect()]
+    rows += [(5000, None), (5001, ""), (5002, rows[3][1]), (5003, (rows[4][1] or "") + " one more word")]
+    root = f"{tmp_dir}/sf"
+    make(spark, rows).write.parquet(f"{root}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{root}/labels.parquet")
+    from pyspark.sql import functions as F
+    model = toxicity.fit(spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet"), F.lit(True))
+    want = set()
+    kept = stages_by_hand(spark, rows, model)
+    for (i, _), ids in zip(kept, library_ids([t for _, t in kept])):
+        ids = np.array([*ids, 0], "<u4")
+        want |= {(i, k, zlib.crc32(ids[s:s + 2048].tobytes())) for k, s in enumerate(range(0, len(ids), 2048))}
+    got = [(r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, root).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_every_stage_takes_extra_columns_and_empty_tables(spark, documents, tmp_dir):
+    labels = spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    for rows, name in ((documents, "some"), ([], "none")):
+        root = f"{tmp_dir}/{name}"
+        make(spark, rows, extra=True).write.parquet(f"{root}/documents.parquet")
+        labels.write.parquet(f"{root}/labels.parquet")
+        docs = spark.read.parquet(f"{root}/documents.parquet")
+        columns = docs.columns
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            f(spark, docs, root).write.parquet(f"{root}/{k}")
+            docs = spark.read.parquet(f"{root}/{k}")
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert docs.columns == columns, stage
+        assert (docs.count() > 0) == bool(rows)
+
+
+def test_stages():
+    assert [n for n, _ in corpus_pipeline.STAGES] == [
+        "toxicity", "exact_dedup", "ngram_join", "suffix_dedup", "best_fit_packing"]
+    assert suffix_dedup.DEPTH == 400
