@@ -5,17 +5,18 @@ least NUMERATOR / DENOMINATOR.  Texts with equal sets are one class from the
 start; only classes are joined.
 
 1. *Order.*  All n-grams get one global order, rare ones first: by how many
-   documents have an n-gram of the same cell (a table of CELLS counts over the
+   documents have an n-gram of the same cell (a table of fixed size over the
    whole corpus, of fixed size), then by hash.  Any global order gives the same
    links; a good one only keeps common n-grams out of the prefixes.
 2. *Candidates.*  Sets of likeness t share an n-gram within their first
    n - ceil(t n) + 1 ones.  Prefix n-grams meet by key; those of one class are
    dropped.  In groups of up to SMALL classes the pairs are counted, and a pair
    must share as many prefix n-grams as its sizes ask for.
-3. *Large groups* never make all their pairs.  Each is compared with a few
-   leaders at a time; classes that are linked already, over any path, need no
-   further comparison.  What is left in more than one component after ROUNDS
-   rounds is compared block by block, across components only.
+3. *Large groups* never make all their pairs.  Their classes are held against
+   LEADERS of them first.  Classes that are linked over any path need no further
+   comparison, so in a second turn only those outside the largest component of
+   their group are held against the others, block by block.  A pair is made only
+   if the classes' bit patterns allow a link.
 4. *Prefix trees.*  The sets to be compared with one class, in blocks of BLOCK,
    form a trie in the global order.  The class's set walks down the trie: sets
    that begin alike share their partial overlap, and a subtree is left as soon
@@ -31,6 +32,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
 import numpy as np
@@ -43,11 +45,11 @@ from starwright.llm.common import Scratch, batch_limits, shuffle_partitions, unu
 from starwright.llm.components import components
 
 N, NUMERATOR, DENOMINATOR = 5, 80, 100
-CELL_BITS = 18
-SMALL, LEADERS, ROUNDS, BLOCK = 16, 3, 2, 256
+CELL_BITS = 20
+SMALL, LEADERS, BLOCK = 32, 4, 256
+BITS, GROUP_BLOCK = 4096, 1024
 HOT = 50_000  # records of a key from which on it is dealt out over several tasks
-KNOWN_WORDS = 300_000  # per task
-_CHUNK = 1 << 14  # cells in one record while they are summed
+_CHUNK = 1 << 16  # cells in one record while they are summed
 
 
 def needed(a: int, b: int) -> int:
@@ -61,64 +63,161 @@ def prefix_length(n: int) -> int:
 
 # ---------------------------------------------------------------- sets
 
+_BUFFER, _LONG_WORD = 1 << 20, 256
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
 class Shingler:
-    """Sorted distinct 64-bit hashes of the n-grams of a text."""
+    """Sorted distinct 64-bit hashes of the n-grams of texts.
+
+    Words are hashed together, by a polynomial over the bytes of a buffer of
+    texts; words over _LONG_WORD bytes are hashed one by one, wherever they
+    stand, and texts longer than the buffer are cut between words."""
 
     def __init__(self, n: int = N):
         self.n = n
-        self.words: dict[bytes, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII space splits
-        if len(self.words) > KNOWN_WORDS:
-            self.words = {}
-        known = self.words
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        width = min(self.n, len(h))
-        if not width:
-            return h
-        out = np.full(len(h) - width + 1, width, np.uint64)
-        for k in range(width):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + h[k:len(h) - width + 1 + k]
+        powers = np.full(_BUFFER, _BASE, np.uint64)
+        inverse = np.full(_BUFFER, pow(_BASE, -1, 1 << 64), np.uint64)
+        powers[0] = inverse[0] = 1
+        self.powers, self.inverse = np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
+
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and place of each word of at most _BUFFER bytes."""
+        low = _LOWER[np.frombuffer(data, np.uint8)]
+        word = np.concatenate(([False], ~_SPACE[low], [False]))
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        start, stop = edges[::2], edges[1::2]
+        sums = np.zeros(len(low) + 1, np.uint64)
+        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * self.powers[:len(low)], out=sums[1:])
+        h = _mixed((sums[stop] - sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64))
+        for i in np.flatnonzero(stop - start > _LONG_WORD):
+            h[i] = xxhash.xxh3_64_intdigest(low[start[i]:stop[i]].tobytes())
+        return h, start
+
+    def _long(self, data: bytes) -> np.ndarray:
+        """Word hashes of a text of any length."""
+        out, at = [], 0
+        while at < len(data):
+            end = min(at + _BUFFER, len(data))
+            if end < len(data):  # back to the last white space
+                cut = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8, end - at, at)])
+                if cut.size:
+                    end = at + int(cut[-1]) + 1
+                else:  # one word fills the buffer
+                    rest = np.frombuffer(data, np.uint8, len(data) - end, end)
+                    more = np.flatnonzero(_SPACE[rest])
+                    end += int(more[0]) if more.size else len(rest)
+                    word = _LOWER[np.frombuffer(data, np.uint8, end - at, at)].tobytes()
+                    out.append(np.array([xxhash.xxh3_64_intdigest(word)], np.uint64))
+                    at = end
+                    continue
+            out.append(self._words(data[at:end])[0])
+            at = end
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+    def _grams(self, h: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of all runs of ``width`` words."""
+        out = np.full(max(len(h) - width + 1, 0), width, np.uint64)
+        for k in range(width if len(out) else 0):
+            out = out * np.uint64(_BASE) + h[k:len(h) - width + 1 + k]
             out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique(out ^ (out >> np.uint64(32)))
+        return _mixed(out)
+
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The set of each text."""
+        out: list[np.ndarray] = []
+        held: list[bytes] = []
+        size = 0
+
+        def flush():
+            if not held:
+                return
+            h, start = self._words(b" ".join(held))
+            grams = self._grams(h, self.n)
+            ends = np.cumsum([len(d) + 1 for d in held])
+            cuts = np.searchsorted(start, np.concatenate(([0], ends)))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if b - a >= self.n:
+                    out.append(np.unique(grams[a:b - self.n + 1]))
+                else:
+                    out.append(self._grams(h[a:b], b - a) if b > a else h[:0])
+            held.clear()
+
+        for text in texts:
+            data = (text or "").encode()
+            if size + len(data) + 1 > _BUFFER:
+                flush()
+                size = 0
+            if len(data) >= _BUFFER:
+                h = self._long(data)
+                out.append(np.unique(self._grams(h, min(self.n, len(h)))) if len(h) else h)
+                continue
+            held.append(data)
+            size += len(data) + 1
+        flush()
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def shingler() -> Shingler:
+    """The shingler of this process."""
+    return Shingler()
 
 
 def _cell(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def cell_counts(docs: DataFrame) -> np.ndarray:
-    """How many documents have n-grams of each cell, over all documents."""
+def first_pass(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
+    """From one pass over all texts: doc_id, n and set_key of every document
+    (equal sets have equal keys), and how many documents have n-grams of each
+    cell (a table of fixed size, summed by Spark)."""
     size = 1 << CELL_BITS
 
-    def count(batches):
-        shingle, cells = Shingler(), np.zeros(size, np.int64)
+    def run(batches):
+        cells = np.zeros(size, np.int64)
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set_key", pa.int64()), ("chunk", pa.int32()),
+                            ("counts", pa.binary())])
         for batch in batches:
-            sets = [shingle(t) for t in batch.column(1).to_pylist()]
-            cells += np.bincount(_cell(np.concatenate(sets)), minlength=size)
+            sets = shingler().sets(batch.column(1).to_pylist())
+            if sets:
+                cells += np.bincount(_cell(np.concatenate(sets)), minlength=size)
+            none = pa.nulls(len(sets))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()),
+                 pa.array([_set_key(s) for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())],
+                schema=schema)
+        none = pa.nulls(size // _CHUNK)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(size // _CHUNK), pa.int32()),
-             pa.array([c.astype("<i8").tobytes() for c in cells.reshape(-1, _CHUNK)])], ["chunk", "counts"])
+            [none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(range(size // _CHUNK), pa.int32()),
+             pa.array([c.astype("<u4").tobytes() for c in cells.reshape(-1, _CHUNK)])], schema=schema)
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, "<i8")
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, "<u4").astype("<i8")
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())],
             ["chunk", "counts"])
 
-    schema = "chunk int, counts binary"
-    rows = docs.mapInArrow(count, schema).repartition(size // _CHUNK, "chunk").mapInArrow(total, schema).collect()
+    both = scratch.write(docs.mapInArrow(run, "doc_id long, n int, set_key long, chunk int, counts binary"), "members")
+    rows = both.where("chunk is not null").select("chunk", "counts").repartition(size // _CHUNK, "chunk").mapInArrow(
+        total, "chunk int, counts binary").collect()
     cells = np.zeros(size, np.int64)
-    for chunk, counts in rows:  # a table of fixed size
+    for chunk, counts in rows:
         cells[chunk * _CHUNK:(chunk + 1) * _CHUNK] = np.frombuffer(counts, "<i8")
-    return cells
+    return both.where("chunk is null").select("doc_id", "n", "set_key"), cells
 
 
 def _ordered(hashes: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -129,31 +228,15 @@ def _set_key(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def set_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, n and set_key of every document; equal sets have equal keys."""
-
-    def run(batches):
-        shingle = Shingler()
-        for batch in batches:
-            sets = [shingle(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([_set_key(s) for s in sets])],
-                ["doc_id", "n", "set_key"])
-
-    return docs.mapInArrow(run, "doc_id long, n int, set_key long")
-
-
 def prefix_records(docs: DataFrame, shared) -> DataFrame:
     """token, share, set_key, n: the prefix n-grams of all documents; ``share``
     deals a very frequent one out over several keys (0 of 1 if it is not)."""
 
     def run(batches):
-        shingle, cells = Shingler(), shared.value
+        cells = shared.value
         for batch in batches:
-            sent: dict[int, np.ndarray] = {}
-            for text in batch.column(1).to_pylist():
-                s = shingle(text)
-                sent.setdefault(_set_key(s), s)  # copies in one batch are sent once
+            # Copies in one batch are sent once.
+            sent = {_set_key(s): s for s in shingler().sets(batch.column(1).to_pylist())}
             keys, sets = list(sent), list(sent.values())
             prefixes = [_ordered(s, cells)[:prefix_length(len(s))] for s in sets]
             lengths = [len(p) for p in prefixes]
@@ -176,22 +259,27 @@ FOUND = "large boolean, a long, b long, na int, nb int, shared int"
 def meet(records: DataFrame) -> DataFrame:
     """Pairs of classes in small groups with the prefix n-grams they share so
     far (large = false), and the records of large groups (large = true: a is the
-    n-gram, b the class)."""
+    n-gram, b the class).  Records come sorted by n-gram; the group at the end
+    of a batch is held over, and once it is large only its key is."""
 
     def run(batches):
         pairs: Counter = Counter()
         large: list[tuple] = []
-        key, group, over = None, {}, False
-
-        def close():
-            if over or (key is not None and key[1]):
-                large.extend((key[0], k, 0, n) for k, n in group.items())
-            elif len(group) > 1:
-                own = sorted(group.items())
-                for i, (a, na) in enumerate(own):
-                    for b, nb in own[i + 1:]:
-                        if DENOMINATOR * min(na, nb) >= NUMERATOR * max(na, nb):
-                            pairs[a, b, na, nb] += 1
+        held, over = None, False
+
+        def pair_up(keys, sizes):
+            own = sorted(zip(keys.tolist(), sizes.tolist()))
+            for i, (a, na) in enumerate(own):
+                for b, nb in own[i + 1:]:
+                    if DENOMINATOR * min(na, nb) >= NUMERATOR * max(na, nb):
+                        pairs[a, b, na, nb] += 1
+
+        def group(token, share, keys, sizes, was_over):
+            keys, first = np.unique(keys, return_index=True)
+            if was_over or share or len(keys) > SMALL:
+                large.extend((token, k, 0, n) for k, n in zip(keys.tolist(), sizes[first].tolist()))
+            elif len(keys) > 1:
+                pair_up(keys, sizes[first])
 
         def out():
             rows = [(False, *p, c) for p, c in pairs.items()] + [(True, *r, 0) for r in large]
@@ -202,18 +290,33 @@ def meet(records: DataFrame) -> DataFrame:
                                               ["large", "a", "b", "na", "nb", "shared"])
 
         for batch in batches:
-            for token, share, k, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if (token, share) != key:
-                    close()
-                    key, group, over = (token, share), {}, False
-                group[k] = n
-                if len(group) > SMALL:  # handed on at once: the group may be of any size
-                    over = True
-                    large.extend((token, x, 0, m) for x, m in group.items())
-                    group = {}
-            if len(pairs) + len(large) > 20_000:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns)]
+            token, share, keys, sizes = columns
+            change = (token[1:] != token[:-1]) | (share[1:] != share[:-1])
+            starts = np.concatenate(([0], np.flatnonzero(change) + 1))
+            stops = np.append(starts[1:], len(token))
+            # Groups of one record are dropped here, by far the most.
+            some = (stops - starts > 1) | (share[starts] > 0)
+            some[0] |= over
+            some[-1] = False
+            for i in np.flatnonzero(some):
+                lo, hi = starts[i], stops[i]
+                group(int(token[lo]), int(share[lo]), keys[lo:hi], sizes[lo:hi], over and i == 0)
+            over = over and len(starts) == 1
+            lo = starts[-1]
+            kept, first = np.unique(keys[lo:], return_index=True)
+            if over or len(kept) > SMALL:
+                group(int(token[lo]), int(share[lo]), keys[lo:], sizes[lo:], True)
+                over, first = True, first[:1]
+            held = [c[lo:][first] for c in columns]
+            if len(pairs) + len(large) > 50_000:
                 yield out()
-        close()
+        if held is not None:
+            group(int(held[0][0]), int(held[1][0]), held[2], held[3], over)
         if pairs or large:
             yield out()
 
@@ -236,50 +339,85 @@ def pair_candidates(found: DataFrame, large: DataFrame) -> DataFrame:
     return pairs.where(F.col("shared") + more >= least).select("a", "b")
 
 
-def leader_candidates(large: DataFrame, turn: int) -> DataFrame:
-    """Each class of a large group with LEADERS classes of the group."""
-    one = lambda i: F.min(F.struct(F.xxhash64("set_key", F.lit(turn * LEADERS + i)), "set_key", "n"))
-    leaders = large.groupBy("token").agg(F.array(*[one(i) for i in range(LEADERS)]).alias("leaders"))
-    leaders = leaders.select("token", F.explode(F.array_distinct(F.transform(
-        "leaders", lambda x: F.struct(x["set_key"].alias("a"), x["n"].alias("na"))))).alias("l")).select("token", "l.*")
-    joined = large.join(leaders, "token").where("set_key <> a")
-    low, high = F.least("na", "n"), F.greatest("na", "n")
-    return joined.where(F.lit(DENOMINATOR) * low >= F.lit(NUMERATOR) * high).select(
-        "a", F.col("set_key").alias("b")).distinct()
-
-
-def cross_candidates(large: DataFrame, block: int = 64) -> DataFrame:
-    """Pairs of classes of one large group that lie in different components
-    (``large``: token, set_key, n, component), block against block."""
-    sizes = large.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = large.join(sizes, "token").withColumn("i", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"),
-        (F.col("i") < F.col("j")).alias("left"), (F.col("i") == F.col("j")).alias("inner"), "set_key", "n", "component")
+def leaders(large: DataFrame) -> DataFrame:
+    """``large`` with a component (each class its own) and whether the class
+    leads its group: the LEADERS classes that are in most large groups, as they
+    have fewest n-grams of their own."""
+    spread = large.groupBy("set_key").agg(F.count("*").alias("tokens"))
+    known = large.join(spread, "set_key")
+    first = lambda order: F.max(F.struct(*order, "set_key"))["set_key"]
+    of = known.groupBy("token").agg(F.array(
+        first(["tokens"]), *(first([F.xxhash64("set_key", F.lit(i))]) for i in range(1, LEADERS))).alias("first"))
+    return large.join(of, "token").select("token", "set_key", "n", F.col("set_key").alias("component"),
+                                          F.array_contains("first", F.col("set_key")).alias("walks"))
+
+
+def not_yet_linked(large: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """``large`` with components, without the groups that lie in one component;
+    the classes outside the largest component of their group walk."""
+    placed = scratch.write(large.join(groups, large["set_key"] == groups["node"], "left").select(
+        "token", "set_key", "n", F.coalesce("component", "set_key").alias("component")), "placed")
+    sizes = placed.groupBy("token", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("token").agg(F.max(F.struct("n", "component"))["component"].alias("largest"),
+                                         F.count("*").alias("components")).where("components > 1")
+    return placed.join(largest, "token").select("token", "set_key", "n", "component",
+                                                (F.col("component") != F.col("largest")).alias("walks"))
+
+
+def near_pairs(records: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a: a class that walks, b) of one large group in different
+    components that may link: their sizes allow it, and their sets, hashed to
+    BITS bits, differ in no more bits than linked sets differ in n-grams.
+
+    The classes of a group are dealt out in blocks of GROUP_BLOCK; those that
+    walk go to every block.  Only pairs that pass are made."""
+    blocks = records.groupBy("token").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"))
+    dealt = records.join(blocks, "token")
+    members = dealt.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")).withColumn(
+        "walks", F.lit(False))
+    walking = dealt.where("walks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["token", "block", "walks", "set_key", "n", "component"]
+    rows = members.select(*columns).unionByName(walking.select(*columns)).join(sets.select("set_key", "bits"), "set_key")
+
+    def passing(walkers, stay):
+        wk, wn, wc, wb = walkers
+        mk, mn, mc, mb = stay
+        low, high = np.minimum(wn[:, None], mn), np.maximum(wn[:, None], mn)
+        w, m = np.nonzero((DENOMINATOR * low >= NUMERATOR * high) & (wc[:, None] != mc))
+        out = []
+        for i in range(0, len(w), 4096):
+            x, y = w[i:i + 4096], m[i:i + 4096]
+            total = wn[x] + mn[y]
+            allowed = total - 2 * -(-NUMERATOR * total // (NUMERATOR + DENOMINATOR))
+            near = np.bitwise_count(wb[x] ^ mb[y]).sum(axis=1, dtype=np.int64) <= allowed
+            out.append(np.column_stack([wk[x[near]], mk[y[near]]]))
+        return out
 
     def run(batches):
-        key, rows = None, []
-
-        def pairs():
-            left = [r for r in rows if r[0] or r[1]]
-            right = [r for r in rows if not r[0]]
-            out = {(min(x[2], y[2]), max(x[2], y[2])) for x in left for y in right
-                   if x[4] != y[4] and DENOMINATOR * min(x[3], y[3]) >= NUMERATOR * max(x[3], y[3])}
-            return pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
-
+        at, stay = None, None
         for batch in batches:
-            for token, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (token, lo, hi) != key:
-                    if rows:
-                        yield pairs()
-                    key, rows = (token, lo, hi), []
-                rows.append(row)
-        if rows:
-            yield pairs()
+            if not batch.num_rows:
+                continue
+            token, block, walks, key, n, component = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 0, 4, 5))
+            bits = np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u8").reshape(-1, BITS // 64)
+            n = n.astype(np.int64)
+            change = (token[1:] != token[:-1]) | (block[1:] != block[:-1]) | (walks[1:] != walks[:-1])
+            cuts = np.concatenate(([0], np.flatnonzero(change) + 1, [len(token)]))
+            out = []
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                own = (key[lo:hi], n[lo:hi], component[lo:hi], bits[lo:hi])
+                here = (token[lo], block[lo])
+                if not walks[lo]:  # the block's own classes come first
+                    stay = own if here != at else tuple(np.concatenate(x) for x in zip(stay, own))
+                    at = here
+                else:
+                    out += passing(own, stay)
+            pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return dealt.repartition(shuffle_partitions(large.sparkSession), "token", "lo", "hi").sortWithinPartitions(
-        "token", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+    n = shuffle_partitions(records.sparkSession)
+    return rows.select("set_key", "token", "block", "walks", "n", "component", "bits").repartition(
+        n, "token", "block").sortWithinPartitions("token", "block", "walks").mapInArrow(run, "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- prefix trees
@@ -375,19 +513,27 @@ def _links(rows: list) -> pa.RecordBatch:
                                        pa.array([b for _, b in rows], pa.int64())], ["a", "b"])
 
 
+def _bits(hashes: np.ndarray) -> bytes:
+    """The set hashed to BITS bits."""
+    out = np.zeros(BITS, np.uint8)
+    out[(hashes % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
 def ordered_sets(docs: DataFrame, wanted: DataFrame, shared) -> DataFrame:
-    """set_key and hashes (in the global order) of the wanted documents."""
+    """set_key, hashes (in the global order) and bits of the wanted documents."""
 
     def run(batches):
-        shingle, cells = Shingler(), shared.value
+        cells = shared.value
         for batch in batches:
-            sets = [shingle(t) for t in batch.column(1).to_pylist()]
+            sets = shingler().sets(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_set_key(s) for s in sets], pa.int64()),
-                 pa.array([_ordered(s, cells).tobytes() for s in sets], pa.binary())], ["set_key", "hashes"])
+                 pa.array([_ordered(s, cells).tobytes() for s in sets], pa.binary()),
+                 pa.array([_bits(s) for s in sets], pa.binary())], ["set_key", "hashes", "bits"])
 
     return docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
-        run, "set_key long, hashes binary")
+        run, "set_key long, hashes binary, bits binary")
 
 
 # ---------------------------------------------------------------- the join
@@ -400,61 +546,45 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     batch_limits(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).where(
         F.col("doc_id").isNotNull())
-    shared = spark.sparkContext.broadcast(cell_counts(docs))  # CELLS numbers
-    members = scratch.write(set_sizes(docs), "members")
+    members, cells = first_pass(docs, scratch)
+    shared = spark.sparkContext.broadcast(cells)  # of fixed size
     found = scratch.write(meet(prefix_records(docs, shared)), "found")
-    large = found.where("large").select(F.col("a").alias("token"), F.col("b").alias("set_key"), F.col("nb").alias("n")).distinct()
-    large = scratch.write(large, "large")
-    candidates = scratch.write(
-        pair_candidates(found, large).unionByName(leader_candidates(large, 0)).distinct(), "candidates-0")
+    large = scratch.write(found.where("large").select(
+        F.col("a").alias("token"), F.col("b").alias("set_key"), F.col("nb").alias("n")).distinct(), "large")
+    candidates = scratch.write(pair_candidates(found, large), "candidates")
 
     # A class is named by its set and stands for its document of smallest id.
     classes = members.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    involved = candidates.select(F.col("a").alias("set_key")).unionByName(
-        candidates.select(F.col("b").alias("set_key"))).unionByName(large.select("set_key")).distinct()
-    wanted = scratch.write(classes.join(involved, "set_key", "left_semi"), "wanted")
-    sets = scratch.write(ordered_sets(docs, wanted.select("doc_id"), shared).dropDuplicates(["set_key"]), "sets")
+    involved = candidates.select(F.explode(F.array("a", "b")).alias("set_key")).unionByName(large.select("set_key"))
+    wanted = scratch.write(classes.join(involved.distinct(), "set_key", "left_semi").select("doc_id"), "wanted")
+    sets = scratch.write(ordered_sets(docs, wanted, shared).dropDuplicates(["set_key"]), "sets")
     scratch.drop("found")
 
-    links = scratch.write(compare(candidates, sets), "links-0")
-    turn, compared = 0, candidates
-    while not (open_ := _open(large, links, scratch, turn)).isEmpty():
-        turn += 1
-        last = turn >= ROUNDS
-        more = cross_candidates(open_) if last else leader_candidates(open_, turn)
-        more = scratch.write(more.join(compared, ["a", "b"], "left_anti"), f"candidates-{turn}")
-        compared = compared.unionByName(more)
-        links = links.unionByName(scratch.write(compare(more, sets), f"links-{turn}"))
-        if last:
-            break
-
-    ids = wanted.select("set_key", "doc_id")
-    edges = links.join(ids.withColumnsRenamed({"set_key": "a", "doc_id": "id_a"}), "a").join(
-        ids.withColumnsRenamed({"set_key": "b", "doc_id": "id_b"}), "b").select(
-        F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    of_node = components(edges)
-    named = classes.join(of_node, classes["doc_id"] == of_node["node"], "left").select(
-        "set_key", F.coalesce("component", "doc_id").alias("component_id"))
+    if large.isEmpty():
+        groups = components(compare(candidates, sets))
+    else:
+        led = scratch.write(near_pairs(leaders(large), sets).unionByName(candidates).distinct(), "led")
+        groups = components(compare(led, sets))
+        rest = near_pairs(not_yet_linked(large, groups, scratch), sets)
+        rest = scratch.write(rest.join(led, ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            groups = components(stars.unionByName(compare(rest, sets)))
+
+    # The smallest document of each component, then back to every document.
+    of = classes.join(groups, classes["set_key"] == groups["node"], "left").select(
+        "set_key", "doc_id", F.coalesce("component", "set_key").alias("component"))
+    of = scratch.write(of, "of")
+    lowest = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = of.join(lowest, "component").select("set_key", "component_id")
     out = scratch.write(
         members.join(named, "set_key", "left").select(
             "doc_id", F.col("n").cast("long").alias("n_shingles"),
             F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "out")
-    scratch.drop("members", "large", "wanted", "sets", *(f"{x}-{i}" for x in ("candidates", "links") for i in range(turn + 1)))
+    scratch.drop("members", "large", "candidates", "wanted", "sets", "led", "placed", "rest", "of")
     return out
 
 
-def _open(large: DataFrame, links: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
-    """Records of the large groups that do not lie in one component yet."""
-    if large.isEmpty():
-        return large
-    of_node = components(links)
-    placed = large.join(of_node, large["set_key"] == of_node["node"], "left").select(
-        "token", "set_key", "n", F.coalesce("component", "set_key").alias("component"))
-    placed = scratch.write(placed, f"placed-{turn}")
-    several = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return scratch.write(placed.join(several.select("token"), "token", "left_semi"), f"open-{turn}")
-
-
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without the documents linked, over any path, with
     one of smaller id; columns as they are."""

@@ -41,7 +41,7 @@ def test_matches_brute_force(spark, documents):
 
 
 def test_large_groups(spark, documents):
-    """Groups beyond SMALL go by leaders, then block by block."""
+    """Groups beyond SMALL go by leaders, then over tries of their cluster."""
     rng = random.Random(2)
     base = [f"w{i}" for i in range(60)]
     rows = list(documents)
@@ -54,11 +54,51 @@ def test_large_groups(spark, documents):
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
-def test_cross_candidates_are_all_pairs_between_components(spark):
-    rows = [(1, k, 100 + k % 7, k % 3) for k in range(200)] + [(2, 5, 100, 0), (2, 6, 200, 1)]
-    large = spark.createDataFrame(rows, "token long, set_key long, n int, component long")
-    got = {tuple(r) for r in j.cross_candidates(large, block=16).collect()}
-    assert got == {(a, b) for a in range(200) for b in range(a + 1, 200) if a % 3 != b % 3}
+def test_shingler_on_buffers_and_long_words():
+    """Hashes depend on the text alone, not on what it is hashed with."""
+    shingle = j.Shingler()
+    rng = random.Random(3)
+    texts = [None, "", " ", "A b\tC\x0bd\x0cE f", "x" * 300 + " y z u v w", "one", "É é é é é ß"]
+    texts += [" ".join(rng.choice("abcdef") * rng.randint(1, 5) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    long = " ".join(str(i) for i in range(400_000))  # several buffers
+    texts += [long, "q" * (j._BUFFER + 5) + " r s t u v", long.upper() + " end"]
+    alone = [shingle.sets([t])[0] for t in texts]
+    assert all((a == b).all() for a, b in zip(alone, shingle.sets(texts)))
+    assert [len(x) for x in alone] == [len(shingles(t)) for t in texts]
+    assert len(np.intersect1d(alone[-3], alone[-1])) == len(alone[-3])
+    seen = {}
+    for t, x in zip(texts, alone):
+        assert seen.setdefault(frozenset(shingles(t)), x.tobytes()) == x.tobytes()
+
+
+def test_meet_across_batches(spark):
+    """Groups that end in another batch than they begin in are put together."""
+    rng = random.Random(4)
+    rows = [(t, 0, rng.randrange(60), 0) for t in range(40) for _ in range(rng.choice([1, 2, 5, 30, 400]))]
+    rows = [(t, s, k, 100 + k % 9) for t, s, k, _ in rows] + [(99, 1, 7, 107), (99, 2, 8, 108)]
+    records = spark.createDataFrame(rows, "token long, share int, set_key long, n int")
+    groups = {}
+    for t, s, k, n in rows:
+        groups.setdefault(t, {})[k] = n
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found = j.meet(records).collect()
+        large = {(r["a"], r["b"], r["nb"]) for r in found if r["large"]}
+        assert large == {(t, k, n) for t, g in groups.items() if len(g) > j.SMALL or t == 99 for k, n in g.items()}
+        pairs = {}
+        for r in found:
+            if not r["large"]:
+                pairs[r["a"], r["b"]] = pairs.get((r["a"], r["b"]), 0) + r["shared"]
+        want = {}
+        for t, g in groups.items():
+            if len(g) <= j.SMALL and t != 99:
+                for a in g:
+                    for b in g:
+                        if a < b:
+                            want[a, b] = want.get((a, b), 0) + 1
+        assert pairs == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_trie_finds_what_brute_force_finds():
