@@ -43,7 +43,7 @@ from starwright.llm.common import batch_limits, whole_text
 
 SPACE = "▁"
 BYTE = 1000.0  # above any sum of piece weights of one character
-CHUNKS, PAIRS, LONG = 1_000_000, 1_000_000, 64
+CHUNKS, PAIRS, LONG = 600_000, 400_000, 64
 _NORMAL, _USER, _BYTE = 1, 4, 6  # kinds of pieces in the model format
 _UNIGRAM, _BPE = 1, 2
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
