@@ -380,17 +380,18 @@ def near_pairs(records: DataFrame, sets: DataFrame) -> DataFrame:
     rows = members.select(*columns).unionByName(walking.select(*columns)).join(sets.select("set_key", "bits"), "set_key")
 
     def passing(walkers, stay):
-        wk, wn, wc, wb = walkers
         mk, mn, mc, mb = stay
-        low, high = np.minimum(wn[:, None], mn), np.maximum(wn[:, None], mn)
-        w, m = np.nonzero((DENOMINATOR * low >= NUMERATOR * high) & (wc[:, None] != mc))
         out = []
-        for i in range(0, len(w), 4096):
-            x, y = w[i:i + 4096], m[i:i + 4096]
-            total = wn[x] + mn[y]
-            allowed = total - 2 * -(-NUMERATOR * total // (NUMERATOR + DENOMINATOR))
-            near = np.bitwise_count(wb[x] ^ mb[y]).sum(axis=1, dtype=np.int64) <= allowed
-            out.append(np.column_stack([wk[x[near]], mk[y[near]]]))
+        for lo in range(0, len(walkers[0]), 64):  # bounds the tables of all combinations
+            wk, wn, wc, wb = (x[lo:lo + 64] for x in walkers)
+            low, high = np.minimum(wn[:, None], mn), np.maximum(wn[:, None], mn)
+            w, m = np.nonzero((DENOMINATOR * low >= NUMERATOR * high) & (wc[:, None] != mc))
+            for i in range(0, len(w), 4096):
+                x, y = w[i:i + 4096], m[i:i + 4096]
+                total = wn[x] + mn[y]
+                allowed = total - 2 * -(-NUMERATOR * total // (NUMERATOR + DENOMINATOR))
+                near = np.bitwise_count(wb[x] ^ mb[y]).sum(axis=1, dtype=np.int64) <= allowed
+                out.append(np.column_stack([wk[x[near]], mk[y[near]]]))
         return out
 
     def run(batches):
