@@ -116,6 +116,38 @@ class Transducer:
 
     # -- composition and shortest path
 
+    def _arcs(self, text: str, i: int) -> list[tuple]:
+        """Arcs from position i: (end, ids, piece, weight), shortest first."""
+        node, j, found, n = self.trie, i, [], len(text)
+        while j < n and (node := node.get(text[j])) is not None:
+            j += 1
+            if "" in node:
+                found.append((j, *node[""]))
+        if text[i] not in self.ids:
+            ids = tuple(self.byte_ids[b] for b in text[i].encode())
+            found.append((i + 1, ids, None, BYTE * len(ids)))
+        return found
+
+    def _only_path(self, text: str) -> list[int]:
+        """Ids on the one path that the neighbour acceptor leaves (all others
+        weigh infinitely much): depth first, the longest pieces first; a state
+        from which no path goes on is not entered twice."""
+        n, at, last, dead = len(text), 0, None, set()
+        path: list[tuple] = []  # (ids, state before, arcs not tried there)
+        arcs = self._arcs(text, 0)
+        while at < n:
+            while arcs:
+                end, ids, piece, _ = arcs.pop()
+                if (end, piece) not in dead and self._may_follow(last, piece):
+                    path.append((ids, (at, last), arcs))
+                    at, last = end, piece
+                    arcs = self._arcs(text, at) if at < n else []
+                    break
+            else:
+                dead.add((at, last))
+                _, (at, last), arcs = path.pop()
+        return [i for ids, _, _ in path for i in (ids if isinstance(ids, tuple) else (ids,))]
+
     def _shortest(self, text: str) -> list[int]:
         """Ids on the path of least weight through a normalised text."""
         n = len(text)
@@ -126,15 +158,7 @@ class Transducer:
             here = states[i]
             if not here:
                 continue
-            node, j, found = self.trie, i, []
-            while j < n and (node := node.get(text[j])) is not None:
-                j += 1
-                if "" in node:
-                    found.append((j, *node[""]))
-            if text[i] not in self.ids:
-                bytes_ = tuple(self.byte_ids[b] for b in text[i].encode())
-                found.append((i + 1, bytes_, None, BYTE * len(bytes_)))
-            for j, ids, piece, weight in found:
+            for j, ids, piece, weight in self._arcs(text, i):
                 for last, (cost, *_rest) in here.items():
                     if self._may_follow(last, piece):
                         old = states[j].get(piece)
@@ -156,7 +180,7 @@ class Transducer:
                 part = chunk[start:i]
                 ids = self.chunks.get(part)
                 if ids is None:
-                    ids = array("H", self._shortest(part)).tobytes()
+                    ids = array("H", (self._only_path if self.merges else self._shortest)(part)).tobytes()
                     if len(part) <= LONG:
                         self.chunks[part] = ids
                 out.append(ids)
