@@ -21,6 +21,8 @@ from starwright.llm.tokens import tokenizer_path
 # Documents at or above this score are rejected.  It lies above the query's
 # threshold, as a clean document that is lost here cannot come back.
 REJECT = 0.5
+# The shortest repeated passage that is removed: over 50 words.
+PASSAGE_WORDS = 51
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +44,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes that occur more than once go from the texts; every
-    document stays, if need be with an empty text."""
-    return suffix_dedup.remove_repeats(docs)
+    """Passages of PASSAGE_WORDS words or of 400 bytes that occur more than once
+    go from the texts; every document stays, if need be with an empty text."""
+    return suffix_dedup.remove_repeats(docs, words=PASSAGE_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

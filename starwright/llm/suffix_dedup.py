@@ -24,6 +24,10 @@ Keys that decide (whole run, whole part, window) are 128-bit hashes; grams and
 cores only choose candidates.  A digit that many suffixes share is counted
 before it is shuffled and joined back to them with a join that Spark can split.
 
+The same sort finds passages by words: a text's letters are then not its bytes
+but 64-bit hashes of its words (runs of other than ASCII white space), WORD_BYTES
+wide, so that white space between words does not matter.
+
 Defined results: a null text is empty; texts shorter than ``depth`` bytes keep
 every byte; a text is a row, so equal rows repeat each other; rows with a null
 id take part like others; further columns are ignored.
@@ -32,6 +36,7 @@ id take part like others; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +47,8 @@ from pyspark.sql import functions as F
 from starwright.llm.common import Scratch, batch_limits, unused, whole_text
 
 DEPTH, GRAM, STEP = 400, 64, 42
+WORD_BYTES, WORD_GRAM, WORD_STEP = 8, 8, 6
+_WORD = re.compile(rb"\S+")
 # Bytes looked at together; positions in a buffer take the low bits of a key.
 BUFFER_BITS = 20
 _BUFFER = 1 << BUFFER_BITS
@@ -52,6 +59,11 @@ _ROW = ("doc_id", "text_key")  # names a row: its id and a hash of its text
 
 # ---------------------------------------------------------------- positions
 
+def _letters(data: bytes, width: int) -> bytes:
+    """A text as letters of ``width`` bytes: its bytes, or hashes of its words."""
+    return data if width == 1 else b"".join(map(xxhash.xxh3_64_digest, data.split()))
+
+
 class _Grams:
     """Hashes of all grams of a buffer, by one multiplication per byte."""
 
@@ -107,22 +119,23 @@ def _runs_of(data: np.ndarray, ends: np.ndarray, grams: _Grams, depth: int):
     return starts, stop - starts, own[starts], h[own[starts]]
 
 
-def _buffers(rows, depth: int):
-    """Texts joined to buffers of at most _BUFFER bytes; longer texts are cut
+def _buffers(rows, depth: int, width: int = 1):
+    """Texts joined to buffers of at most _BUFFER letters; longer texts are cut
     with an overlap that gives each suffix to one buffer.  Yields the buffer,
     where its texts begin and end, and (row, offset of the buffer in it)."""
     parts, marks, size = [], [], 0
     for row, text in rows:
-        for cut in range(0, max(len(text) - depth + 1, 1), _BUFFER - depth + 1):
-            own = text[cut: cut + _BUFFER]
-            if len(own) < depth:
+        for cut in range(0, max(len(text) // width - depth + 1, 1), _BUFFER - depth + 1):
+            own = text[cut * width: (cut + _BUFFER) * width]
+            n = len(own) // width
+            if n < depth:
                 continue
-            if size + len(own) > _BUFFER:
+            if size + n > _BUFFER:
                 yield b"".join(parts), marks
                 parts, marks, size = [], [], 0
-            marks.append((row, cut, size, size + len(own)))
+            marks.append((row, cut, size, size + n))
             parts.append(own)
-            size += len(own)
+            size += n
     if parts:
         yield b"".join(parts), marks
 
@@ -133,7 +146,7 @@ def _digest(view: memoryview, start: np.ndarray, stop: np.ndarray) -> np.ndarray
     return np.frombuffer(join, "<i8").reshape(-1, 2)
 
 
-def find_runs(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
+def find_runs(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, width: int = 1) -> DataFrame:
     """Runs of all texts: doc_id, text_key, start, n (suffixes), gram_at (offset
     of the gram from the start), digit (the gram), whole_a, whole_b."""
 
@@ -141,14 +154,14 @@ def find_runs(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFram
         grams = _Grams(gram)
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1)
-            texts = [t.as_buffer().to_pybytes() for t in batch.column(2)]
-            for data, marks in _buffers(enumerate(texts), depth):
+            texts = [_letters(t.as_buffer().to_pybytes(), width) for t in batch.column(2)]
+            for data, marks in _buffers(enumerate(texts), depth, width):
                 rows, cuts, begins, stops = (np.array(x) for x in zip(*marks))
                 ends = np.repeat(stops, stops - begins)
-                start, n, at, digit = _runs_of(np.frombuffer(data, np.uint8), ends, grams, depth)
+                start, n, at, digit = _runs_of(np.frombuffer(data, f"<u{width}"), ends, grams, depth)
                 if not start.size:
                     continue
-                whole = _digest(memoryview(data), start, start + n - 1 + depth)
+                whole = _digest(memoryview(data), start * width, (start + n - 1 + depth) * width)
                 own = np.searchsorted(begins, start, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(rows[own])), keys.take(pa.array(rows[own])),
@@ -161,7 +174,7 @@ def find_runs(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFram
                                 "whole_a long, whole_b long")
 
 
-def split_runs(runs: DataFrame, depth: int = DEPTH, step: int = STEP) -> DataFrame:
+def split_runs(runs: DataFrame, depth: int = DEPTH, step: int = STEP, width: int = 1) -> DataFrame:
     """Parts of runs with their bytes: suffixes whose gram has an offset in one
     stretch of ``step``; digit is the hash of the bytes they all share."""
 
@@ -172,9 +185,9 @@ def split_runs(runs: DataFrame, depth: int = DEPTH, step: int = STEP) -> DataFra
                 # Offsets of the gram in the run's suffixes: gram_at down to gram_at - n + 1.
                 for k in range((gram_at - n + 1) // step, gram_at // step + 1):
                     lo, hi = max(gram_at - (k + 1) * step + 1, 0), min(gram_at - k * step, n - 1)
-                    core = data[gram_at - k * step: gram_at - (k + 1) * step + 1 + depth]
+                    core = data[(gram_at - k * step) * width: (gram_at - (k + 1) * step + 1 + depth) * width]
                     out.append((i, start + lo, hi - lo + 1, start, xxhash.xxh3_64_intdigest(core, k) - (1 << 63)))
-                    whole.append(xxhash.xxh3_128_digest(data[lo: hi + depth]))
+                    whole.append(xxhash.xxh3_128_digest(data[lo * width: (hi + depth) * width]))
             if out:
                 i, at, n, of, digit = zip(*out)
                 whole = np.frombuffer(b"".join(whole), "<i8").reshape(-1, 2)
@@ -188,7 +201,7 @@ def split_runs(runs: DataFrame, depth: int = DEPTH, step: int = STEP) -> DataFra
         run, "doc_id long, text_key long, start int, n int, run int, digit long, whole_a long, whole_b long")
 
 
-def single_suffixes(parts: DataFrame, depth: int = DEPTH) -> DataFrame:
+def single_suffixes(parts: DataFrame, depth: int = DEPTH, width: int = 1) -> DataFrame:
     """Each suffix of parts, given with their run's start and bytes, with the
     hash of its window."""
 
@@ -199,7 +212,7 @@ def single_suffixes(parts: DataFrame, depth: int = DEPTH) -> DataFrame:
                 for p in range(start, start + n):
                     rows.append(i)
                     at.append(p)
-                    whole.append(xxhash.xxh3_128_digest(data[p - of: p - of + depth]))
+                    whole.append(xxhash.xxh3_128_digest(data[(p - of) * width: (p - of + depth) * width]))
             whole = np.frombuffer(b"".join(whole), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64())),
@@ -232,10 +245,32 @@ def _same_row(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
 
-def _spans(repeated: DataFrame, depth: int) -> DataFrame:
-    """Byte ranges per text that repeated suffixes cover."""
+def _spans(repeated: DataFrame, depth: int, width: int) -> DataFrame:
+    """Ranges of letters per text that repeated suffixes cover."""
     return repeated.groupBy(*_ROW).agg(F.collect_list(F.struct(
-        "start", (F.col("start") + F.col("n") - 1 + depth).alias("stop"))).alias("spans"))
+        "start", (F.col("start") + F.col("n") - 1 + depth).alias("stop"), F.lit(width).alias("width"))).alias("spans"))
+
+
+def _word_runs(texts: DataFrame) -> DataFrame:
+    """The letters of runs of words; the last columns are text and runs."""
+
+    def run(batches):
+        for batch in batches:
+            rows, out = [], []
+            for i, (text, runs) in enumerate(zip(batch.column(2), batch.column(3).to_pylist())):
+                data = _letters(text.as_buffer().to_pybytes(), WORD_BYTES)
+                for r in runs:
+                    rows.append(i)
+                    out.append((r["start"], r["n"], r["gram_at"],
+                                data[r["start"] * WORD_BYTES: r["stop"] * WORD_BYTES]))
+            if out:
+                start, n, gram_at, data = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)),
+                     *(pa.array(c, pa.int32()) for c in (start, n, gram_at)), pa.array(data, pa.binary())],
+                    ["doc_id", "text_key", "start", "n", "gram_at", "bytes"])
+
+    return texts.mapInArrow(run, "doc_id long, text_key long, start int, n int, gram_at int, bytes binary")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -243,34 +278,41 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """doc_id, text_key and spans (array of struct(start, stop), not merged):
-    the bytes covered by windows of ``depth`` bytes that start more than once."""
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
+                   width: int = 1) -> DataFrame:
+    """doc_id, text_key and spans (array of struct(start, stop, width), not
+    merged): the letters covered by windows of ``depth`` letters that start more
+    than once.  ``width`` 1: letters are bytes; WORD_BYTES: words."""
+    gram, step = (GRAM, STEP) if width == 1 else (WORD_GRAM, WORD_STEP)
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     batch_limits(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
-    runs = scratch.write(find_runs(rows, depth, min(GRAM, depth)), "runs")
+    runs = scratch.write(find_runs(rows, depth, min(gram, depth), width), "runs")
     done, open_runs = _pass(runs, scratch, "gram", "gram_at")
 
     # The bytes of the open runs, read from their texts.
     wanted = open_runs.groupBy(*_ROW).agg(F.collect_list(F.struct("start", "n", "gram_at")).alias("runs"))
     wanted = wanted.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "runs")
     on = rows["doc_id"].eqNullSafe(wanted["own_id"]) & (rows["text_key"] == wanted["own_key"])
-    data = rows.join(wanted, on).select(*_ROW, F.encode("text", "utf-8").alias("data"), F.explode("runs").alias("r")).select(
-        *_ROW, "r.*", F.expr(f"substring(data, r.start + 1, r.n - 1 + {depth})").alias("bytes"))
+    if width == 1:
+        data = rows.join(wanted, on).select(*_ROW, F.encode("text", "utf-8").alias("data"), F.explode("runs").alias("r")).select(
+            *_ROW, "r.*", F.expr(f"substring(data, r.start + 1, r.n - 1 + {depth})").alias("bytes"))
+    else:
+        data = _word_runs(rows.join(wanted, on).select(*_ROW, "text", F.expr(
+            f"transform(runs, r -> struct(r.start, r.n, r.gram_at, r.start + r.n - 1 + {depth} AS stop))").alias("runs")))
     open_bytes = scratch.write(data, "open")
-    parts = scratch.write(split_runs(open_bytes, depth), "parts")
+    parts = scratch.write(split_runs(open_bytes, depth, step, width), "parts")
     done_parts, open_parts = _pass(parts, scratch, "core", "run")
 
     of = open_bytes.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"),
                            F.col("start").alias("of_start"), "bytes")
     on = (open_parts["doc_id"].eqNullSafe(of["of_id"]) & (open_parts["text_key"] == of["of_key"])
           & (open_parts["run"] == of["of_start"]))
-    windows = scratch.write(single_suffixes(open_parts.join(of, on), depth), "windows")
+    windows = scratch.write(single_suffixes(open_parts.join(of, on), depth, width), "windows")
     whole = ["whole_a", "whole_b"]
     again = windows.groupBy(*whole).agg(F.count("*").alias("same")).where("same > 1").select(*whole)
     done_windows = windows.join(again, whole).select(*_ROW, "start", F.lit(1).alias("n"))
-    out = scratch.write(_spans(done.unionByName(done_parts).unionByName(done_windows), depth), "spans")
+    out = scratch.write(_spans(done.unionByName(done_parts).unionByName(done_windows), depth, width), "spans")
     scratch.drop("runs", "gram-classes", "open", "parts", "core-classes", "windows")
     return out
 
@@ -285,12 +327,21 @@ def _merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _byte_ranges(data: bytes, spans) -> list[tuple[int, int]]:
+    """Spans of bytes and of words as byte ranges."""
+    out = [(s["start"], s["stop"]) for s in spans if s["width"] == 1]
+    if len(out) < len(spans):
+        words = [m.span() for m in _WORD.finditer(data)]
+        out += [(words[s["start"]][0], words[s["stop"] - 1][1]) for s in spans if s["width"] > 1]
+    return out
+
+
 def _kept(batch):
     """(bytes of the text, merged spans, bytes kept) for each row of a batch
     whose last columns are text and spans."""
     for text, spans in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()):
         data = text.as_buffer().to_pybytes() if text.is_valid else b""
-        merged = _merged((s["start"], s["stop"]) for s in spans or ())
+        merged = _merged(_byte_ranges(data, spans or ()))
         at, kept = 0, []
         for start, stop in merged:
             kept.append(data[at:start])
@@ -316,10 +367,16 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
+                   words: int | None = None) -> DataFrame:
     """``docs`` with the repeated bytes taken out of the text, columns as they
-    are.  Characters of which only some bytes are left are dropped with them."""
+    are.  Characters of which only some bytes are left are dropped with them.
+    With ``words``, passages of so many words that occur more than once go too,
+    however few bytes they have; both are looked for in the texts as given."""
     spans = repeated_spans(docs, id_col, text_col, depth)
+    if words:
+        spans = spans.unionByName(repeated_spans(docs, id_col, text_col, words, WORD_BYTES)).groupBy(*_ROW).agg(
+            F.flatten(F.collect_list("spans")).alias("spans"))
     key, cut_at = unused("text_key", docs), unused("spans", docs)
     keyed = docs.withColumn(key, F.xxhash64(whole_text(text_col)))
     spans = spans.select(F.col("doc_id").alias(unused("own_id", keyed)), F.col("text_key").alias(unused("own_key", keyed)),

@@ -1,0 +1,92 @@
+import random
+import re
+import zlib
+from collections import Counter
+
+import corpus_pipeline
+import numpy as np
+import pytest
+from corpora import make
+from pyspark.sql import functions as F
+from test_exact_dedup import norm
+from test_ngram_join import brute as linked
+from test_packing import library_ids
+
+from starwright.llm import suffix_dedup, toxicity
+
+
+def brute(rows, depth, n):
+    """Texts left when windows of ``depth`` bytes and of ``n`` words go."""
+    data = [(i, (t or "").encode()) for i, t in rows]
+    words = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)] for _, t in data]
+    near = [[tuple(t[a:b] for a, b in w[k:k + n]) for k in range(len(w) - n + 1)] for (_, t), w in zip(data, words)]
+    runs, windows = Counter(k for own in near for k in own), Counter(
+        t[p:p + depth] for _, t in data for p in range(len(t) - depth + 1))
+    out = []
+    for (i, t), w, own in zip(data, words, near):
+        gone = bytearray(len(t))
+        for a, b in [(p, p + depth) for p in range(len(t) - depth + 1) if windows[t[p:p + depth]] > 1] + [
+                (w[k][0], w[k + n - 1][1]) for k, key in enumerate(own) if runs[key] > 1]:
+            gone[a:b] = b"\1" * (b - a)
+        out.append((i, bytes(b for b, g in zip(t, gone) if not g).decode("utf-8", "ignore")))
+    return sorted(out, key=str)
+
+
+def test_pipeline_removes_passages_of_over_fifty_words(spark):
+    """Passages of 51 to 65 words and under 400 bytes go from both documents
+    that hold them, also when their line breaks differ; 50 words stay."""
+    rng = random.Random(1)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 6))) for _ in range(n))
+    rows, want = [], {}
+    for n in range(49, 66):
+        passage = prose(n)
+        assert len(passage) < 400
+        for k, own in enumerate((passage, passage.replace(" ", "\n", 30))):
+            head, tail = prose(80), prose(80)
+            rows.append((2 * n + k, f"{head} {own} {tail}"))
+            want[2 * n + k] = f"{head}  {tail}" if n > 50 else rows[-1][1]
+    got = corpus_pipeline.remove_repeats(spark, make(spark, rows), None).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_words_and_bytes_match_brute_force(spark, documents, seed):
+    rng = random.Random(seed)
+    base = [rng.choice(("a", "bé", "cc", "한글", "dddd" * 9)) for _ in range(300)]
+    rows = [(None if i == 3 else 1000 + i, " \n".join(rng.choices("vwxyz", k=9)) + "\t"
+             + " ".join(base[(a := rng.randrange(250)):a + rng.randrange(5, 40)])) for i in range(25)]
+    rows += [(2000, "w " * 200), (2001, "w  x " * 60), *documents]
+    got = suffix_dedup.remove_repeats(make(spark, rows, extra=True), depth=100, words=12).collect()
+    assert sorted(((r["doc_id"], r["text"] or "") for r in got), key=str) == brute(rows, 100, 12)
+
+
+def test_long_text_over_several_buffers(spark):
+    """Cuts inside a text of over a million words lose no window."""
+    rng = random.Random(3)
+    words = [f"{rng.randrange(1 << 30):x}" for _ in range(suffix_dedup._BUFFER + 4000)]
+    at = suffix_dedup._BUFFER - 25
+    rows = [(1, " ".join(words)), (2, " ".join(words[at:at + 51])), (3, " ".join(words[:40]))]
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(make(spark, rows), words=51).collect()}
+    assert got[2] == "" and got[3] == rows[2][1]
+    assert got[1] == " ".join(words[:at]) + "  " + " ".join(words[at + 51:])
+
+
+def test_pipeline_matches_the_stages_by_hand(spark, tmp_dir):
+    source, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    source.write.parquet(f"{tmp_dir}/sf/documents.parquet")
+    labels.write.parquet(f"{tmp_dir}/sf/labels.parquet")
+    model = toxicity.fit(source, labels, F.lit(True))
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(source, model).collect()}
+    rows = sorted((r["doc_id"], r["text"]) for r in source.collect() if scores[r["doc_id"]] < corpus_pipeline.REJECT)
+    first = {}
+    for i, t in rows:
+        first.setdefault(norm(t), (i, t))
+    rows = sorted(first.values())
+    low = {i for i, _, low in linked(rows) if i == low}
+    kept = brute([(i, t) for i, t in rows if i in low], 400, 51)
+    want = []
+    for (i, _), ids in zip(kept, library_ids([t for _, t in kept])):
+        ids = np.array([*ids, 0], "<u4")
+        want += [(i, k, zlib.crc32(ids[s:s + 2048].tobytes())) for k, s in enumerate(range(0, len(ids), 2048))]
+    got = [(r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, f"{tmp_dir}/sf").collect()]
+    assert sorted(got) == sorted(want)
