@@ -13,7 +13,10 @@ out).  Both dictionaries hold the same ordinary text, so that they differ by
 these strings only; near copies among the training documents count once.
 
 Training reads a bounded sample: at most MAX_TOXIC and MAX_ORDINARY labelled
-documents of at most MAX_CHARS characters.  Scoring reads every whole text.
+documents of at most MAX_CHARS characters.  The toxic share is counted over all
+labels, and the curve is fitted with class weights that restore it, so that
+scores mean the same whether the bounds bind or not.  Scoring reads every whole
+text.
 
 Defined results: null and empty texts have no window and get the score of no
 evidence; without documents of both classes every score is the share of toxic
@@ -144,10 +147,12 @@ class Distance:
         return sum(saved) / len(windows) ** 0.5, float(max(saved)), np.log1p(len(saved))
 
 
-def train(sample: list[tuple[str, int]]) -> Model:
+def train(sample: list[tuple[str, int]], share: float | None = None) -> Model:
     """Model from (text, label) pairs: two of three make the dictionaries, the
-    third fits the curve."""
-    share = float(np.mean([y for _, y in sample])) if sample else 0.0
+    third fits the curve.  ``share``: toxic documents among all labelled ones, if
+    the sample holds them in another share."""
+    if share is None:
+        share = float(np.mean([y for _, y in sample])) if sample else 0.0
     build = [s for i, s in enumerate(sample) if i % 3]
     toxic, ordinary = (_without_copies([t for t, y in build if y == label]) for label in (1, 0))
     if not toxic or not ordinary:
@@ -163,12 +168,16 @@ def train(sample: list[tuple[str, int]]) -> Model:
     y = np.array([label for _, label in rest], float)
     if not 0 < y.sum() < len(y):
         return Model(share=share)
-    weights = fit_logistic(np.array([distance.features(t) for t, _ in rest]), y, ridge=1.0)
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    weights = fit_logistic(np.array([distance.features(t) for t, _ in rest]), y, weight, ridge=1.0)
     return Model(model.ordinary, model.toxic, tuple(weights), share)
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column) -> Model:
-    return train(labelled_sample(docs, labels, "toxic", keep, {1: MAX_TOXIC, 0: MAX_ORDINARY}, MAX_CHARS))
+    share = labels.where(F.col("doc_id").isNotNull() & keep).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).agg(
+        F.avg(F.col("toxic").cast("double")).alias("share")).first()["share"]
+    sample = labelled_sample(docs, labels, "toxic", keep, {1: MAX_TOXIC, 0: MAX_ORDINARY}, MAX_CHARS)
+    return train(sample, 0.0 if share is None else float(share))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
