@@ -10,7 +10,10 @@ Training of the toxic dictionary: of all byte strings inside the words of toxic
 documents, those are taken that are far more frequent there than in ordinary
 ones (log-likelihood ratio; every string that a longer one explains is left
 out).  Both dictionaries hold the same ordinary text, so that they differ by
-these strings only; near copies among the training documents count once.
+these strings only; near copies among the training documents count once.  The
+ordinary text is at most ORDINARY_BYTES: of as many ordinary documents of the
+sample as fit, in the order of a hash of their text, TEXT_PIECES pieces of at
+most PIECE_BYTES in whole words, one from each equal part of the text.
 
 Training reads a bounded sample: at most MAX_TOXIC and MAX_ORDINARY labelled
 documents of at most MAX_CHARS characters.  The toxic share is counted over all
@@ -41,6 +44,7 @@ from starwright.llm.labels import fit_logistic, labelled_sample
 
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2000, 5000, 20_000
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 8, 48_000, 4_000
+TEXT_PIECES, PIECE_BYTES = 2, 200
 STRING_LENGTHS, MIN_RATIO, MIN_EVIDENCE = range(4, 12), 25.0, 15.0
 LEAST_SAVED = 2  # bytes; smaller savings are rounding
 THRESHOLD = 0.3
@@ -122,6 +126,29 @@ def toxic_strings(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     return out
 
 
+def ordinary_text(texts: list[str]) -> bytes:
+    """Pieces of texts, chosen by hash, for both dictionaries."""
+    out: list[bytes] = []
+    size = 0
+    for key, text in sorted((xxhash.xxh3_64_intdigest(t.encode()), t) for t in texts):
+        data = b"".join(_words(text))
+        part = len(data) // TEXT_PIECES
+        if part <= PIECE_BYTES:
+            pieces = [data[:TEXT_PIECES * PIECE_BYTES]]
+        else:
+            pieces = []
+            for i in range(TEXT_PIECES):
+                at = i * part + key % (part - PIECE_BYTES + 1)
+                piece = data[at: at + PIECE_BYTES]
+                first, last = piece.find(b" "), piece.rfind(b" ")
+                pieces.append(piece[first:last] if first < last else piece)
+        out += pieces
+        size += sum(map(len, pieces))
+        if size >= ORDINARY_BYTES:
+            break
+    return b"".join(out)[:ORDINARY_BYTES]
+
+
 class Distance:
     """Bytes saved by the toxic dictionary, window by window."""
 
@@ -157,8 +184,7 @@ def train(sample: list[tuple[str, int]], share: float | None = None) -> Model:
     toxic, ordinary = (_without_copies([t for t, y in build if y == label]) for label in (1, 0))
     if not toxic or not ordinary:
         return Model(share=share)
-    step = max(1, ORDINARY_BYTES // 400)
-    base = b"".join(b"".join(_words(t))[:500] for t in ordinary[:step])[:ORDINARY_BYTES]
+    base = ordinary_text(ordinary)
     marks = b"".join(reversed(toxic_strings(toxic, ordinary)))
     # Bytes that occur in no text keep the distances to the ordinary part equal.
     filler = bytes(np.random.default_rng(1).integers(245, 256, len(marks)).astype(np.uint8))

@@ -20,3 +20,14 @@ def test_scores_do_not_depend_on_the_sample_bounds(spark, monkeypatch):
         assert abs(model.share - share) < 1e-9
         means.append(toxicity.score(known, model).agg(F.avg("score")).first()[0])
     assert np.abs(np.array(means) - share).max() < 0.03
+
+
+def test_ordinary_text_comes_from_the_whole_sample():
+    """Neither the first texts only nor their beginnings only."""
+    texts = [" ".join(f"{i}x{k}x" for k in range(300)) for i in range(1000)]
+    model = toxicity.train([(t, 0) for t in texts] + [(f"{t[:50]} zymurgy", 1) for t in texts[:90]])
+    words = [w.split(b"x") for w in model.ordinary.split() if w.count(b"x") == 2 and w.endswith(b"x")]
+    own, place = np.array([(int(i), int(k)) for i, k, _ in words if i.isdigit() and k.isdigit()]).T
+    assert len(set(own)) > 100 and 400 < np.median(own) < 600
+    assert place.max() > 290 and place.min() < 10 and 100 < np.median(place) < 200
+    assert toxicity.ordinary_text(texts) == toxicity.ordinary_text(texts[::-1])
