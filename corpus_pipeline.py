@@ -18,9 +18,9 @@ from starwright.llm import exact_dedup, ngram_join, packing, suffix_dedup, toxic
 from starwright.llm.common import Scratch, table
 from starwright.llm.tokens import tokenizer_path
 
-# Documents at or above this score are rejected.  It lies above the query's
-# threshold, as a clean document that is lost here cannot come back.
-REJECT = 0.5
+# Documents at or above this score are rejected: all that the query predicts
+# toxic.
+REJECT = toxicity.THRESHOLD
 # The shortest repeated passage that is removed: over 50 words.
 PASSAGE_WORDS = 51
 
