@@ -2,19 +2,23 @@
 
 Compiled once per process from a model file:
 
-* the *normaliser* transducer: a dummy blank in front, every blank to the
-  escape character (models whose normaliser does more are refused);
+* no normaliser: texts get a dummy blank in front and every blank becomes the
+  escape character, by plain string replacement; models whose normaliser does
+  more (a character map, white-space removal) are refused;
 * the *pieces* transducer: a trie over the vocabulary, one arc per piece;
 * the *byte fallback*: for a character without a piece, one path over the
   pieces of its UTF-8 bytes, at a cost of BYTE each;
 * for models that merge pairs (BPE), the *neighbour* acceptor: it reads pieces
   and lets piece b follow piece a only if merging the text of both gives a and
   b again.  A sequence of pieces is the merge result of its text just when all
-  its neighbours pass, so the composition has one path of least weight.  For
-  unigram models arcs weigh minus the log probability, and any piece may follow.
-
-A text is composed with these and the path of least weight (tropical semiring)
-is read off, left to right; a state is a position and the piece that ends there.
+  its neighbours pass, so the composition has one accepted path, and its arcs
+  carry no weights.  For unigram models arcs weigh minus the log probability,
+  and any piece may follow.
+
+A text is composed with these; a state is a position and the piece that ends
+there.  For models that merge pairs the one accepted path is searched depth
+first, with backtracking; for unigram models the path of least weight (tropical
+semiring) is read off, left to right.
 The composition is done chunk by chunk: no piece holds a blank after another
 character, so paths never cross there, nor between two characters that are
 neighbours in no piece.  Paths of chunks seen before are kept (a bounded
