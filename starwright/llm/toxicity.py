@@ -1,8 +1,10 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary and one on toxic text.
-A text is cut into windows of WINDOW words; each is compressed with either
-dictionary, and the bytes that the toxic one saves are its evidence.  A logistic
+A text is cut into windows of WINDOW words (longer ones than WINDOW_BYTES, as in
+text without white space, into overlapping windows of that length, so that the
+dictionary stays in reach); each is compressed with either dictionary, and the
+bytes that the toxic one saves are its evidence.  A logistic
 curve, fitted on labelled documents that the dictionaries have not seen, turns
 the evidence of a document's windows into a calibrated score.
 
@@ -45,6 +47,7 @@ from starwright.llm.labels import fit_logistic, labelled_sample
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2000, 5000, 20_000
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 8, 48_000, 4_000
 TEXT_PIECES, PIECE_BYTES = 2, 200
+WINDOW_BYTES = 4096
 STRING_LENGTHS, MIN_RATIO, MIN_EVIDENCE = range(4, 12), 25.0, 15.0
 LEAST_SAVED = 2  # bytes; smaller savings are rounding
 THRESHOLD = 0.3
@@ -66,8 +69,12 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _windows(text: str | None) -> list[bytes]:
-    words = _words(text)
-    return [_MARK + b"".join(words[i:i + WINDOW]) for i in range(0, len(words), WINDOW)]
+    words, shared = _words(text), max(STRING_LENGTHS)
+    out = []
+    for i in range(0, len(words), WINDOW):
+        own = b"".join(words[i:i + WINDOW])
+        out += [_MARK + own[k:k + WINDOW_BYTES] for k in range(0, max(len(own) - shared, 1), WINDOW_BYTES - shared)]
+    return out
 
 
 def _without_copies(texts: list[str]) -> list[str]:

@@ -31,3 +31,20 @@ def test_ordinary_text_comes_from_the_whole_sample():
     assert len(set(own)) > 100 and 400 < np.median(own) < 600
     assert place.max() > 290 and place.min() < 10 and 100 < np.median(place) < 200
     assert toxicity.ordinary_text(texts) == toxicity.ordinary_text(texts[::-1])
+
+
+def test_every_part_of_a_text_without_white_space_is_compared():
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcdefg"), 5)) for _ in range(300)]
+    clean = [" ".join(rng.choice(words, 60)) for _ in range(60)]
+    toxic = [" ".join([*rng.choice(words, 50), "zymurgy", "quixotic"]) for _ in range(40)]
+    distance = toxicity.Distance(toxicity.train([(t, 1) for t in toxic] + [(t, 0) for t in clean]))
+    han = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 200_000)))  # 600,000 bytes
+    marked = han[:195_000] + "zymurgyquixotic" + han[195_000:]
+    assert distance.features(marked)[0] > distance.features(han)[0]
+    assert max(map(len, toxicity._windows(marked))) <= toxicity.WINDOW_BYTES + len(toxicity._MARK)
+    # No string is lost at a cut, and texts of short windows stay as they were.
+    data, shared = (" " + marked).encode(), max(toxicity.STRING_LENGTHS)
+    parts = [w[len(toxicity._MARK):] for w in toxicity._windows(marked)]
+    assert parts[0] + b"".join(p[shared:] for p in parts[1:]) == data
+    assert toxicity._windows("a b") == [toxicity._MARK + b" a b"]
