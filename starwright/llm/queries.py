@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starwright.llm import (chat_format, exact_dedup, lz_fingerprint, ngram_join, packing, piece_fst, quality,
-                            suffix_dedup, token_files, toxicity)
+from starwright.llm import (byte_bpe, chat_format, conversation_trie, exact_dedup, fill_in_middle, lz_fingerprint,
+                            ngram_join, packing, piece_fst, quality, suffix_dedup, token_files, toxicity)
 from starwright.llm.common import Scratch, table
 from starwright.llm.labels import remainder
 from starwright.llm.tokens import tokenizer_path
@@ -120,6 +120,89 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, model), held_out, quality.THRESHOLD)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and put together anew, and put back again."""
+    how = fill_in_middle.Infill()
+    out = fill_in_middle.transform(table(spark, sf_dir, "documents"), how)
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"),
+                      sha(fill_in_middle.restored(F.col("output"), F.col("form"), how)).alias("restored_sha256"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS c2,
+             CAST('0x' || h[17:24] AS BIGINT) % 100 AS h3, CAST('0x' || h[25:32] AS BIGINT) % 100 AS h4 FROM d),
+c AS (SELECT doc_id, text, n, least(c1, c2) AS p, greatest(c1, c2) AS m,
+             CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 90 THEN 'plain'
+                  WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+o AS (SELECT *, left(text, p) AS prefix, substring(text, p + 1, m - p) AS middle, substring(text, m + 1) AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN m - p END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM o
+"""
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to byte-level tokens and decoded again."""
+    path = byte_bpe.tokenizer_path()
+    back = byte_bpe.decode_ids(byte_bpe.encode_texts(table(spark, sf_dir, "documents"), path), path)
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+                       sha(F.col("text")).alias("decoded_sha256"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, rebuilt to share their
+    first turns."""
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
+# crc32 of the decimal id, bit by bit.
+OP13_SQL = """
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, count(*) AS n_own,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+           string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]),
+             lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 6 AS h
+  FROM own GROUP BY conv_id),
+lent AS (SELECT c.*, least(c.h, coalesce(b.n_own, 0)) AS lent FROM convs c LEFT JOIN convs b ON b.conv_id = c.base),
+t AS (
+  SELECT l.conv_id, o.pos, o.role, o.text FROM lent l JOIN own o ON o.conv_id = l.base AND o.pos < l.lent
+  UNION ALL
+  SELECT l.conv_id, o.pos - l.h + l.lent, o.role, o.text FROM lent l JOIN own o USING (conv_id) WHERE o.pos >= l.h),
+m AS (
+  SELECT conv_id, pos + 1 AS depth, length(text) AS chars, list(md5(length(role) || ':' || role || text)) OVER (
+           PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS path FROM t
+  UNION ALL SELECT conv_id, 0, 0, [] FROM convs),
+nodes AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM m GROUP BY depth, path),
+kids AS (SELECT path[:-2] AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (depth, path)),
+below AS (
+  SELECT m.depth, m.path, count(*) FILTER (u.n_children = 0) AS n_leaves,
+         CAST(sum((u.n_convs - 1) * u.chars) AS BIGINT) AS saved_tokens
+  FROM full_nodes u JOIN m ON m.conv_id = u.conv_id AND m.depth <= u.depth GROUP BY m.depth, m.path),
+last AS (SELECT conv_id, max(depth) AS depth FROM m GROUP BY conv_id),
+ends AS (
+  SELECT m.depth, m.path, sha256(string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id)) AS ends_sha256
+  FROM m JOIN last USING (conv_id, depth) GROUP BY m.depth, m.path)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens,
+       coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM full_nodes n JOIN below b USING (depth, path) LEFT JOIN ends e USING (depth, path)
+LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = n.path[:-2]
+"""
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -131,9 +214,14 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
     "op9_chat_format": OP9_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }
