@@ -1,6 +1,6 @@
 """Command line: run the pipeline steps.
 
-    python -m starwright build  SRC OUT --calendar 2005-01-01 2017-01-01 [--orders]
+    python -m starwright build  SRC OUT --calendar 2005-01-01 2017-01-01 [--orders] [--keys DIR]
     python -m starwright check  OUT
     python -m starwright export OUT CSV_ROOT
     python -m starwright dashboard OUT --calendar-start 2005-01-01 --range 2005-05-01 2006-02-28 [--stores 1 2]
@@ -37,6 +37,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     b.add_argument("out")
     b.add_argument("--calendar", nargs=2, required=True)
     b.add_argument("--orders", action="store_true")
+    b.add_argument("--keys", help="folder of the surrogate keys that later builds keep")
     c = sub.add_parser("check")
     c.add_argument("out")
     e = sub.add_parser("export")
@@ -54,17 +55,19 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         spark = get_session()
 
     if args.cmd == "build":
+        from starwright.operators.stable_keys import KeyStore
         from starwright.plans.warehouse import build_warehouse
         from starwright.sources.tables import TableSource
         tables = TableSource(spark, args.src)
+        keys = KeyStore(spark, args.keys) if args.keys else None
         if args.orders:
             from starwright.sources.order_adapter import CATEGORY_LABELS, PART_FEATURES, OrderAdapter
             wh = build_warehouse(spark, OrderAdapter(tables), args.out, tuple(args.calendar), CATEGORY_LABELS,
                                  PART_FEATURES, store_from_staff=True,
-                                 carry=("inventory_film_id", "inventory_staff_id"))
+                                 carry=("inventory_film_id", "inventory_staff_id"), keys=keys)
         else:
             from starwright.sources.rental_tables import RentalTables
-            wh = build_warehouse(spark, RentalTables(tables), args.out, tuple(args.calendar))
+            wh = build_warehouse(spark, RentalTables(tables), args.out, tuple(args.calendar), keys=keys)
         for name in sorted(wh.paths):
             print(f"{name}\t{wh.paths[name]}")
     elif args.cmd == "check":

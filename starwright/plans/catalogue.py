@@ -11,6 +11,7 @@ top-k has a unique tie-break, flags are INTEGER 0/1, counts BIGINT.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +24,13 @@ from starwright.operators import aggregates, calendar, quality
 from starwright.operators.defaults import apply_defaults
 from starwright.operators.joins import left_join_detail
 from starwright.operators.keys import assign_key
+from starwright.operators.stable_keys import KeyStore
 from starwright.plans import dimensions as dims
 from starwright.plans import facts, marts
 from starwright.schemas import (
     ADDRESS_KEY_START, CATEGORY_PREFIX, CITY_KEY_START, COUNTRY_KEY_START, FACT_DEFAULTS, category_column,
 )
-from starwright.session import apply_runtime_conf
+from starwright.session import apply_runtime_conf, ensure_checkpoint_dir
 from starwright.sources.csv_load import reconcile, split_typed
 from starwright.sources.order_adapter import CATEGORY_LABELS, PART_FEATURES, PART_TYPES, OrderAdapter
 from starwright.sources.tables import TableSource
@@ -310,6 +312,38 @@ def q_surrogate_keys(spark, sf_dir):
     return assign_key(orders, "order_key", "o_orderkey")
 
 
+# Orders arrive in three loads; each delivers all orders placed before its day.
+LOAD_DAYS = ("1993-01-01", "1996-01-01", "9999-01-01")
+SQL_LOAD = "CASE " + " ".join(
+    f"WHEN CAST(o_orderdate AS DATE) < DATE '{day}' THEN {k + 1}" for k, day in enumerate(LOAD_DAYS)) + " END"
+
+
+def _keyed_in_loads(spark, sf_dir, id_col: str, key: str) -> DataFrame:
+    orders = _tables(spark, sf_dir)("orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    keys = KeyStore(spark, f"{ensure_checkpoint_dir(spark)}/keys-{uuid.uuid4().hex}").table(key, id_col)
+    for day in LOAD_DAYS:
+        keys.extend(orders.where(F.col("o_orderdate") < F.lit(day).cast("date")))
+    return keys.known().select(id_col, key, "key_load")
+
+
+@register("stable_keys", f"""
+SELECT o_orderkey, row_number() OVER (ORDER BY {SQL_LOAD}, o_orderkey) AS order_key, {SQL_LOAD} AS key_load
+FROM orders""")
+def q_stable_keys(spark, sf_dir):
+    """Order keys over three loads: earlier keys stay, new orders go on from
+    the largest one."""
+    return _keyed_in_loads(spark, sf_dir, "o_orderkey", "order_key")
+
+
+@register("stable_customer_keys", f"""
+WITH c AS (SELECT o_custkey, min({SQL_LOAD}) AS key_load FROM orders GROUP BY o_custkey)
+SELECT o_custkey, row_number() OVER (ORDER BY key_load, o_custkey) AS customer_key, key_load FROM c""")
+def q_stable_customer_keys(spark, sf_dir):
+    """Customer keys from the same loads: an id comes again in every load, and
+    in many rows of one."""
+    return _keyed_in_loads(spark, sf_dir, "o_custkey", "customer_key")
+
+
 @register("location_rollup", f"""
 WITH {SQL_CITY}
 SELECT city.location_country_name AS country_name, city.location_city_name AS city_name,

@@ -4,6 +4,8 @@ Each builder is a lazy plan except for the surrogate-key step, which pins
 its numbering with a reliable checkpoint (see ``operators.keys``).  A child
 dimension resolves its parent's key by joining the parent dimension, in
 the dependency order country -> city -> address -> store / customer.
+``number`` gives the keys: ``assign_key`` numbers each build anew,
+``operators.stable_keys.KeyStore.assign`` keeps the keys of earlier builds.
 """
 
 from __future__ import annotations
@@ -23,53 +25,53 @@ from starwright.schemas import (
 NOW = "CURRENT_TIMESTAMP"
 
 
-def dim_actor(actor: DataFrame) -> DataFrame:
+def dim_actor(actor: DataFrame, number=assign_key) -> DataFrame:
     src = actor.select(
         F.col("actor_id"), F.col("first_name").alias("actor_first_name"),
         F.col("last_name").alias("actor_last_name"), F.col("last_update").alias("actor_last_update"))
-    keyed = assign_key(src, "actor_key", "actor_id")
+    keyed = number(src, "actor_key", "actor_id")
     return apply_defaults(keyed, {"actor_last_update": NOW})
 
 
-def dim_staff(staff: DataFrame) -> DataFrame:
+def dim_staff(staff: DataFrame, number=assign_key) -> DataFrame:
     src = staff.select(
         F.col("staff_id"), F.col("first_name").alias("staff_first_name"),
         F.col("last_name").alias("staff_last_name"), F.col("store_id").alias("staff_store_id"),
         F.col("last_update").alias("staff_last_update"))
-    keyed = assign_key(src, "staff_key", "staff_id")
+    keyed = number(src, "staff_key", "staff_id")
     return apply_defaults(keyed, {"staff_last_update": NOW})
 
 
-def dim_country(country: DataFrame, start: int = COUNTRY_KEY_START) -> DataFrame:
+def dim_country(country: DataFrame, start: int = COUNTRY_KEY_START, number=assign_key) -> DataFrame:
     src = country.select(
         F.col("country_id").alias("location_country_id"), F.col("country").alias("location_country_name"),
         F.col("last_update").alias("location_country_last_update"))
-    keyed = assign_key(src, "location_country_key", "location_country_id", start=start)
+    keyed = number(src, "location_country_key", "location_country_id", start=start)
     return apply_defaults(keyed, {"location_country_last_update": NOW})
 
 
-def dim_city(city: DataFrame, countries: DataFrame, start: int = CITY_KEY_START) -> DataFrame:
+def dim_city(city: DataFrame, countries: DataFrame, start: int = CITY_KEY_START, number=assign_key) -> DataFrame:
     """City with its country's key.  The source-country table is not joined:
     the country dimension already carries the id it would match."""
     parent = countries.select("location_country_id", "location_country_key")
     src = city.join(parent, city.country_id == parent.location_country_id, "inner").select(
         "location_country_key", F.col("city_id").alias("location_city_id"),
         F.col("city").alias("location_city_name"), F.col("last_update").alias("location_city_last_update"))
-    keyed = assign_key(src, "location_city_key", "location_city_id", start=start)
+    keyed = number(src, "location_city_key", "location_city_id", start=start)
     return apply_defaults(keyed, {"location_city_last_update": NOW})
 
 
-def dim_address(address: DataFrame, cities: DataFrame, start: int = ADDRESS_KEY_START) -> DataFrame:
+def dim_address(address: DataFrame, cities: DataFrame, start: int = ADDRESS_KEY_START, number=assign_key) -> DataFrame:
     parent = cities.select("location_city_id", "location_city_key")
     src = address.join(parent, address.city_id == parent.location_city_id, "inner").select(
         "location_city_key", F.col("address_id").alias("location_address_id"),
         F.col("address").alias("location_address"), F.col("postal_code").alias("location_address_postal_code"),
         F.col("last_update").alias("location_address_last_update"))
-    keyed = assign_key(src, "location_address_key", "location_address_id", start=start)
+    keyed = number(src, "location_address_key", "location_address_id", start=start)
     return apply_defaults(keyed, {"location_address_last_update": NOW})
 
 
-def dim_store(store: DataFrame, addresses: DataFrame, staff: DataFrame) -> DataFrame:
+def dim_store(store: DataFrame, addresses: DataFrame, staff: DataFrame, number=assign_key) -> DataFrame:
     """Store with its address key and its manager's names."""
     addr = addresses.select("location_address_id", "location_address_key")
     mgr = staff.select(F.col("staff_id").alias("__mgr_id"), F.col("first_name").alias("store_manager_first_name"),
@@ -81,19 +83,19 @@ def dim_store(store: DataFrame, addresses: DataFrame, staff: DataFrame) -> DataF
                 "store_id", F.col("manager_staff_id").alias("store_manager_staff_id"),
                 "store_manager_first_name", "store_manager_last_name")
     )
-    keyed = assign_key(src, "store_key", "store_id")
+    keyed = number(src, "store_key", "store_id")
     return apply_defaults(keyed, {"store_last_update": "CURRENT_TIMESTAMP"}).withColumn(
         "store_last_update", F.col("store_last_update").cast("string"))
 
 
-def dim_customer(customer: DataFrame, addresses: DataFrame) -> DataFrame:
+def dim_customer(customer: DataFrame, addresses: DataFrame, number=assign_key) -> DataFrame:
     addr = addresses.select("location_address_id", "location_address_key")
     src = customer.join(addr, customer.address_id == addr.location_address_id, "inner").select(
         "location_address_key", F.col("last_update").alias("customer_last_update"), "customer_id",
         F.col("first_name").alias("customer_first_name"), F.col("last_name").alias("customer_last_name"),
         F.col("email").alias("customer_email"), F.col("active").alias("customer_active"),
         F.col("create_date").alias("customer_created"))
-    keyed = assign_key(src, "customer_key", "customer_id")
+    keyed = number(src, "customer_key", "customer_id")
     return apply_defaults(keyed, {"customer_last_update": NOW})
 
 
@@ -156,12 +158,13 @@ def dim_film(
     labels: Sequence[str] = FILM_CATEGORIES,
     features: Mapping[str, str] = FILM_FEATURES,
     strict: bool = False,
+    number=assign_key,
 ) -> DataFrame:
     """:func:`film_flags` with ``film_key`` (ordered by film id, then by the
     category flags in strict mode)."""
     src = film_flags(film, language, categories, labels, features, strict)
     order = ["film_id"] + ([category_column(lbl) for lbl in labels] if strict else [])
-    keyed = assign_key(src, "film_key", order)
+    keyed = number(src, "film_key", order)
     return apply_defaults(keyed, {"film_last_update": NOW})
 
 

@@ -19,9 +19,12 @@ from pyspark.sql import types as T
 from starwright.operators import quality
 from starwright.operators.calendar import date_dim, numbers, numbers_small
 from starwright.operators.defaults import apply_defaults
+from starwright.operators.keys import assign_key
+from starwright.operators.stable_keys import KeyStore
 from starwright.plans import dimensions as dims
 from starwright.plans import facts
 from starwright.schemas import DATE_DEFAULTS, FILM_CATEGORIES, FILM_FEATURES, WAREHOUSE, category_column
+from starwright.sources.publish import read_published
 from starwright.sources.sinks import write_table
 
 
@@ -49,7 +52,7 @@ class Warehouse:
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return read_published(self.spark, self.path(name))
 
 
 def table_schema(name: str, df: DataFrame, labels: Sequence[str] = FILM_CATEGORIES,
@@ -81,10 +84,16 @@ def build_warehouse(
     store_from_staff: bool = False,
     carry: Sequence[str] = ("inventory_id",),
     count_drops: bool = False,
+    keys: KeyStore | None = None,
 ) -> Warehouse:
     """Build every warehouse table from a rental-shaped source (``RentalTables``
     or ``OrderAdapter``) into ``out_root``, with the declared columns and types
-    (a source may declare ``wider_types`` for values that do not fit)."""
+    (a source may declare ``wider_types`` for values that do not fit).
+
+    With ``keys``, a build over what an earlier one left keeps its surrogate
+    keys and numbers only new ids; tables are replaced one by one, each as a
+    whole."""
+    number = keys.assign if keys else assign_key
     wh = Warehouse(spark, out_root)
     lo = dt.date.fromisoformat(calendar[0]) if isinstance(calendar[0], str) else calendar[0]
     hi = dt.date.fromisoformat(calendar[1]) if isinstance(calendar[1], str) else calendar[1]
@@ -93,14 +102,15 @@ def build_warehouse(
     wh.write("numbers", numbers(spark))
     wh.write("dim_date", apply_defaults(date_dim(spark, lo, hi), DATE_DEFAULTS))
 
-    wh.write("dim_actor", dims.dim_actor(src.actor()))
-    staff = wh.write("dim_staff", dims.dim_staff(src.staff()))
-    countries = wh.write("dim_location_country", dims.dim_country(src.country()))
-    cities = wh.write("dim_location_city", dims.dim_city(src.city(), countries))
-    addresses = wh.write("dim_location_address", dims.dim_address(src.address(), cities))
-    stores = wh.write("dim_store", dims.dim_store(src.store(), addresses, src.staff()))
-    customers = wh.write("dim_customer", dims.dim_customer(src.customer(), addresses))
-    films = dims.dim_film(src.film(), src.language(), src.film_category_names(), labels, features, strict=strict_film)
+    wh.write("dim_actor", dims.dim_actor(src.actor(), number=number))
+    staff = wh.write("dim_staff", dims.dim_staff(src.staff(), number=number))
+    countries = wh.write("dim_location_country", dims.dim_country(src.country(), number=number))
+    cities = wh.write("dim_location_city", dims.dim_city(src.city(), countries, number=number))
+    addresses = wh.write("dim_location_address", dims.dim_address(src.address(), cities, number=number))
+    stores = wh.write("dim_store", dims.dim_store(src.store(), addresses, src.staff(), number=number))
+    customers = wh.write("dim_customer", dims.dim_customer(src.customer(), addresses, number=number))
+    films = dims.dim_film(src.film(), src.language(), src.film_category_names(), labels, features, strict=strict_film,
+                          number=number)
     wider = getattr(src, "wider_types", None)
     films = wh.write("dim_film", films, schema=table_schema("dim_film", films, labels, features, wider=wider))
     wh.write("dim_film_actor_bridge", dims.film_actor_bridge(src.film_actor(), wh.read("dim_actor"), films))
