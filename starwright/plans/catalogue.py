@@ -31,8 +31,9 @@ from starwright.schemas import (
     ADDRESS_KEY_START, CATEGORY_PREFIX, CITY_KEY_START, COUNTRY_KEY_START, FACT_DEFAULTS, category_column,
 )
 from starwright.session import apply_runtime_conf, ensure_checkpoint_dir
-from starwright.sources.csv_load import reconcile, split_typed
+from starwright.sources.csv_load import profile, read_numbered_fields, reconcile, split_typed
 from starwright.sources.order_adapter import CATEGORY_LABELS, PART_FEATURES, PART_TYPES, OrderAdapter
+from starwright.sources.sinks import export_tables
 from starwright.sources.tables import TableSource
 
 # Dashboard filter used by the base-set marts: order dates and supplier
@@ -688,6 +689,21 @@ def _order_text(o: DataFrame) -> DataFrame:
                     .otherwise(F.col("o_custkey").cast("string")).alias("raw_value"))
 
 
+@register("split_records", """
+SELECT doc_id, 1 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS n_lines,
+       md5(coalesce(text, '')) AS text_md5
+FROM documents""")
+def q_split_records(spark, sf_dir):
+    """Documents exported as quoted CSV, line breaks and all, and read back in
+    splits: the lines of each record and its text."""
+    docs = _tables(spark, sf_dir)("documents", ["doc_id", "text"])
+    paths = export_tables({"documents": docs}, f"{ensure_checkpoint_dir(spark)}/split-records-{uuid.uuid4().hex}")
+    fields = read_numbered_fields(spark, paths["documents"], ["doc_id", "text"], profile("flex").with_options(trim_space=False))
+    text = F.coalesce("text", F.lit(""))
+    return fields.select(F.col("doc_id").cast("long").alias("doc_id"),
+                         (F.regexp_count("raw_record", F.lit("\n")) + 1).cast("long").alias("n_lines"), F.md5(text).alias("text_md5"))
+
+
 @register("utf8_check", """
 SELECT count(*) AS docs, CAST(0 AS BIGINT) AS invalid_docs,
        count(*) FILTER (WHERE contains(text, chr(65533))) AS docs_with_replacement

@@ -5,6 +5,10 @@ rules, then converts each field with ``try_*`` casts.  A row whose
 non-NULL field fails to convert is rejected (with file, column, raw value
 and reason) and the rest of the file still loads.  Short rows are padded
 with NULL and extra fields dropped; that alone is not an error.
+
+With ``numbered=True`` files are read in splits even where quoted fields hold
+line breaks (:mod:`starwright.sources.records`), and rejects carry the record as
+it stands in the file and the number of the line it begins on.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starwright.functions.flags import null_if_tokens
+from starwright.sources.records import read_records
+from starwright.sources.sinks import write_table
 
 
 @dataclass(frozen=True)
@@ -64,6 +70,10 @@ PROFILES = {
 BARE_N_TOKEN = "N"
 
 
+# What names a record of a file, and the record itself.
+_RECORD = ["file_path", "line_number", "raw_record"]
+
+
 class LoadResult(NamedTuple):
     rows: DataFrame
     rejects: DataFrame
@@ -123,6 +133,29 @@ def read_text_fields(
     return df
 
 
+def read_numbered_fields(
+    spark: SparkSession, path: str, columns: list[str], fmt: CsvFormat, by_name: bool = False,
+) -> DataFrame:
+    """The fields of :func:`read_text_fields` with file_path, line_number and
+    raw_record instead of the file's name."""
+    if fmt.encoding.upper().replace("-", "") != "UTF8":
+        raise ValueError("numbered records are read as UTF-8")
+    records = read_records(spark, path, fmt.delimiter, fmt.quote, _record_escape(fmt), fmt.trim_space, fmt.header or by_name)
+    stored = columns
+    if by_name:  # the header alone is parsed here
+        stored = _reader(spark, fmt).option("header", "true").option("inferSchema", "false").load(path).columns
+    ddl = ", ".join(f"c{k} string" for k in range(len(stored)))
+    opts = {k: v for k, v in reader_options(fmt).items() if k not in ("header", "encoding", "multiLine")}
+    parsed = records.withColumn("__sw_fields", F.from_csv("raw_record", ddl, opts))
+    place = {c.lower(): k for k, c in enumerate(stored)}
+    field = lambda c: F.col(f"__sw_fields.c{place[c.lower()]}") if c.lower() in place else F.lit(None).cast("string")
+    return parsed.select("file_path", "line_number", "raw_record", *[field(c).alias(c) for c in columns])
+
+
+def _record_escape(fmt: CsvFormat) -> str | None:
+    return None if fmt.doubled_quotes else fmt.escape
+
+
 # Guards: each pattern matches a superset of the text the conversion can
 # accept, so guarding never changes a result; text outside it is NULL at
 # once instead of failing inside the cast, which is far slower per row.
@@ -188,16 +221,23 @@ def load_csv(
     fmt: CsvFormat | str = "utf8",
     by_name: bool = False,
     bare_n_is_null: bool = False,
+    numbered: bool = False,
 ) -> LoadResult:
     """Load delimited files into ``schema``; returns (rows, rejects).
 
     ``rejects`` has one row per field that failed to convert:
     (file_name, column_name, raw_value, reason).  Both frames are lazy, and
     each reads the files once; :func:`load_table` writes both and reconciles
-    them."""
+    them.  ``numbered``: rejects have (file_path, line_number, raw_record,
+    column_name, raw_value, reason), and the files are read once, right away,
+    into a scratch table of lines."""
     if isinstance(fmt, str):
         fmt = profile(fmt)
     names = [f.name for f in schema.fields]
+    if numbered:
+        text = clean_fields(read_numbered_fields(spark, path, names, fmt, by_name), schema, fmt, bare_n_is_null)
+        rows, rejects = split_typed(text, _RECORD, schema, fmt)
+        return LoadResult(rows.drop(*_RECORD), rejects)
     text = read_text_fields(spark, path, names, fmt, by_name=by_name)
     text = clean_fields(text, schema, fmt, bare_n_is_null).withColumnRenamed("__sw_file", "file_name")
     rows, rejects = split_typed(text, ["file_name"], schema, fmt)
@@ -279,22 +319,32 @@ def load_table(
     by_name: bool = False,
     bare_n_is_null: bool = False,
     source: DataFrame | None = None,
+    numbered: bool = False,
 ) -> DataFrame:
     """Load files into the Parquet table ``target`` and their rejects into
     ``rejects`` (file_name, record, column_name, raw_value, reason), each from
     its own pass over the files, and return the reconciliation of what was
     written.  ``source`` (one row ``rows_read``) may give the number of rows
-    that were exported; by default the records of the files are counted."""
+    that were exported; by default the records of the files are counted.
+    ``numbered``: as in :func:`load_csv`, with file_path, line_number and
+    raw_record in place of file_name and record."""
     if isinstance(fmt, str):
         fmt = profile(fmt)
     names = [f.name for f in schema.fields]
+    if numbered:
+        fields = read_numbered_fields(spark, path, names, fmt, by_name)
+        rows, bad = split_typed(clean_fields(fields, schema, fmt, bare_n_is_null), _RECORD, schema, fmt)
+        write_table(rows.drop(*_RECORD), target)
+        write_table(bad, rejects)
+        read = fields.agg(F.count("line_number").alias("rows_read")) if source is None else source
+        return reconcile(table_name or path, read, spark.read.parquet(target), spark.read.parquet(rejects), _RECORD[:2])
     text = read_text_fields(spark, path, names, fmt, by_name=by_name)
     text = clean_fields(text, schema, fmt, bare_n_is_null).withColumnRenamed("__sw_file", "file_name")
     # A record's number holds for one pass, and all its rejects are of one pass.
     text = text.withColumn("record", F.monotonically_increasing_id())
     rows, bad = split_typed(text, ["file_name", "record"], schema, fmt)
-    rows.drop("file_name", "record").write.mode("overwrite").parquet(target)
-    bad.write.mode("overwrite").parquet(rejects)
+    write_table(rows.drop("file_name", "record"), target)
+    write_table(bad, rejects)
     return reconcile(table_name or path, source if source is not None else count_records(spark, path, fmt),
                      spark.read.parquet(target), spark.read.parquet(rejects), ["file_name", "record"])
 
@@ -309,9 +359,9 @@ def preview(spark: SparkSession, path: str, fmt: CsvFormat | str = "flex", n: in
     ``n`` data lines of every file (header lines skipped when the profile
     has a header).
 
-    Only each file's first split is read (``file_block_start = 0``), so a file
-    whose lines are so long that the split holds fewer than ``n`` shows fewer;
-    the per-file row limit is applied before any shuffle."""
+    Each file's first split is read (``file_block_start = 0``), and more of a
+    file only where its lines are so long that the split holds too few; the
+    per-file row limit is applied before any shuffle."""
     if isinstance(fmt, str):
         fmt = profile(fmt)
     skip = 1 if fmt.header else 0
@@ -335,14 +385,25 @@ def preview_raw(spark: SparkSession, path: str, n: int = 3, skip_header: bool =
 
 def _first_lines(spark: SparkSession, path: str, n: int, skip: int) -> DataFrame:
     """(file_name, line_number, value) of the first ``n`` lines after ``skip``
-    ones, from each file's first split."""
-    lines = (
-        spark.read.text(path)
-        .select("value", F.col("_metadata.file_name").alias("file_name"),
-                F.col("_metadata.file_block_start").alias("block"))
-        .where(F.col("block") == 0)
-        .withColumn("__sw_pos", F.monotonically_increasing_id())
-    )
-    w = Window.partitionBy("file_name").orderBy("__sw_pos")
-    numbered = lines.withColumn("line_number", F.row_number().over(w)).where(F.col("line_number") <= n + skip)
-    return numbered.where(F.col("line_number") > skip).withColumn("line_number", F.col("line_number") - skip)
+    ones of every file."""
+
+    def lines(paths) -> DataFrame:
+        return spark.read.text(paths).select(
+            "value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"),
+            F.col("_metadata.file_block_start").alias("block"),
+            (F.col("_metadata.file_size") > F.col("_metadata.file_block_length")).alias("more"),
+            F.monotonically_increasing_id().alias("__sw_pos"))
+
+    def numbered(df: DataFrame) -> DataFrame:
+        w = Window.partitionBy("file_path").orderBy("block", "__sw_pos")
+        return df.withColumn("line_number", F.row_number().over(w)).where(F.col("line_number") <= n + skip).select(
+            "file_path", "file_name", "line_number", "value")
+
+    begins = lines(path).where("block = 0")
+    few = begins.where("more").groupBy("file_path").agg(F.count("*").alias("n")).where(F.col("n") < n + skip)
+    long = sorted(r[0] for r in few.select("file_path").collect())  # files of very long lines only
+    out = numbered(begins)
+    if long:
+        out = out.where(~F.col("file_path").isin(long)).unionByName(numbered(lines(long)))
+    return out.where(F.col("line_number") > skip).select(
+        "file_name", (F.col("line_number") - skip).alias("line_number"), "value")
