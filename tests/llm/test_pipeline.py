@@ -5,6 +5,7 @@ from corpora import make
 from test_exact_dedup import norm
 from test_ngram_join import brute
 from test_packing import library_ids
+from test_passages import brute as passages_removed
 
 from starwright.llm import suffix_dedup, toxicity
 
@@ -21,19 +22,7 @@ def stages_by_hand(spark, rows, model):
     rows = sorted(first.values())
     keep = {i for i, _, low in brute(rows) if i == low}
     rows = [(i, t) for i, t in rows if i in keep]
-    data = [(i, (t or "").encode()) for i, t in rows]
-    seen = {}
-    for _, t in data:
-        for p in range(len(t) - 399):
-            seen[t[p:p + 400]] = seen.get(t[p:p + 400], 0) + 1
-    out = []
-    for i, t in data:
-        gone = bytearray(len(t))
-        for p in range(len(t) - 399):
-            if seen[t[p:p + 400]] > 1:
-                gone[p:p + 400] = b"\1" * 400
-        out.append((i, bytes(b for b, g in zip(t, gone) if not g).decode("utf-8", "ignore")))
-    return out
+    return passages_removed(rows, suffix_dedup.DEPTH, corpus_pipeline.PASSAGE_WORDS)
 
 
 def test_matches_the_stages_by_hand(spark, tmp_dir):
