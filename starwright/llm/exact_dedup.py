@@ -74,13 +74,17 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without the copies, columns as they are."""
+    """The rows of ``docs`` without the copies, columns as they are.  The rows
+    meet one narrow table of what goes; of rows that repeat both id and text, if
+    there are any, one comes back."""
     groups = copy_groups(docs, id_col, text_col)
-    copies = groups.where("doc_id <> keep_id").select("doc_id", "text_sha256")
-    again = groups.where("doc_id = keep_id and rows > 1").select("doc_id", "text_sha256")
+    gone = groups.where("doc_id <> keep_id or rows > 1").select("doc_id", "text_sha256")
     sha = unused("text_sha256", docs)
     hashed = docs.withColumn(sha, text_hash(text_col))
     on = lambda left, other: (left[id_col] == other["doc_id"]) & (left[sha] == other["text_sha256"])
-    left = hashed.join(copies, on(hashed, copies), "left_anti")
-    once = left.join(again, on(left, again), "left_semi").dropDuplicates([id_col, sha])
-    return left.join(again, on(left, again), "left_anti").unionByName(once).drop(sha)
+    kept = hashed.join(gone, on(hashed, gone), "left_anti").drop(sha)
+    again = groups.where("doc_id = keep_id and rows > 1").select("doc_id", "text_sha256")
+    if again.isEmpty():
+        return kept
+    once = hashed.join(again, on(hashed, again), "left_semi").dropDuplicates([id_col, sha])
+    return kept.unionByName(once.drop(sha))
