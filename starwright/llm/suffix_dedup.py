@@ -313,7 +313,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = windows.groupBy(*whole).agg(F.count("*").alias("same")).where("same > 1").select(*whole)
     done_windows = windows.join(again, whole).select(*_ROW, "start", F.lit(1).alias("n"))
     out = scratch.write(_spans(done.unionByName(done_parts).unionByName(done_windows), depth, width), "spans")
-    scratch.drop("runs", "gram-classes", "open", "parts", "core-classes", "windows")
+    scratch.drop("runs", "gram-again", "gram-classes", "open", "parts", "core-again", "core-classes", "windows")
     return out
 
 
