@@ -31,7 +31,7 @@ from starwright.schemas import (
     ADDRESS_KEY_START, CATEGORY_PREFIX, CITY_KEY_START, COUNTRY_KEY_START, FACT_DEFAULTS, category_column,
 )
 from starwright.session import apply_runtime_conf, ensure_checkpoint_dir
-from starwright.sources.csv_load import profile, read_numbered_fields, reconcile, split_typed
+from starwright.sources.csv_load import load_csv, profile, read_numbered_fields, reconcile, split_typed
 from starwright.sources.order_adapter import CATEGORY_LABELS, PART_FEATURES, PART_TYPES, OrderAdapter
 from starwright.sources.sinks import export_tables
 from starwright.sources.tables import TableSource
@@ -763,6 +763,33 @@ def q_row_counts(spark, sf_dir):
     return aggregates.row_counts({name: t(name) for name in ROW_COUNT_TABLES})
 
 
+@register("footer_counts", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ROW_COUNT_TABLES))
+def q_footer_counts(spark, sf_dir):
+    """The counts of :func:`q_row_counts` from the files' footers alone."""
+    t = _tables(spark, sf_dir)
+    return aggregates.footer_counts(spark, {name: t.path(name) for name in ROW_COUNT_TABLES})
+
+
+def _sql_content(columns: list[str]) -> str:
+    told = " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in columns)
+    return f"CAST(coalesce(sum(CAST('0x' || substr(md5({told}), 1, 15) AS BIGINT)), 0) AS VARCHAR)"
+
+
+@register("load_content", f"""
+WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(o_custkey AS VARCHAR) AS c, o_orderstatus AS s, o_orderpriority AS p,
+                  CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d FROM orders),
+s AS (SELECT count(*) AS n, {_sql_content(["k", "c", "s", "p", "d"])} AS content FROM o)
+SELECT 'orders' AS table_name, n AS rows_source, content AS content_source, n AS rows_target, content AS content_target,
+       true AS balanced FROM s""")
+def q_load_content(spark, sf_dir):
+    """Orders exported to files and loaded back: the content of both."""
+    o = _tables(spark, sf_dir)("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"])
+    o = o.withColumn("o_orderdate", F.to_date("o_orderdate"))
+    paths = export_tables({"orders": o}, f"{ensure_checkpoint_dir(spark)}/load-content-{uuid.uuid4().hex}")
+    return quality.compare_content("orders", o, load_csv(spark, paths["orders"], o.schema, "format").rows)
+
+
 @register("check_unique", """
 SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
 def q_check_unique(spark, sf_dir):

@@ -7,11 +7,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starwright.operators.aggregates import row_counts
+from starwright.operators.quality import compare_content
 from starwright.plans.warehouse import Warehouse
 from starwright.schemas import WAREHOUSE
-from starwright.sources.csv_load import CsvFormat, load_table
+from starwright.sources.csv_load import CsvFormat, clean_fields, load_table, profile
 from starwright.sources.sinks import conform, export_tables
 
 
@@ -43,3 +46,25 @@ def load_exported(
     for r in reports[1:]:
         report = report.unionByName(r)
     return {n: spark.read.parquet(f"{root}/{n}") for n in paths}, report.orderBy("table_name")
+
+
+def compare_exported(
+    wh: Warehouse, tables: Mapping[str, DataFrame], fmt: CsvFormat | str = "utf8",
+) -> DataFrame:
+    """Content of the loaded tables against that of the warehouse they were
+    exported from, one row each (:func:`compare_content`).  Texts count as the
+    profile reads them (trimmed, NULL tokens) and times to the second, which is
+    what the files hold."""
+    if isinstance(fmt, str):
+        fmt = profile(fmt)
+    report = None
+    for name, loaded in sorted(tables.items()):
+        source = conform(wh.read(name), WAREHOUSE[name].schema)
+        texts = T.StructType([f for f in source.schema.fields if isinstance(f.dataType, T.StringType)])
+        times = [f.name for f in source.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+        source = clean_fields(source, texts, fmt) if texts.fields else source
+        source = source.withColumns({c: F.date_trunc("second", c) for c in times}) if times else source
+        shown = [F.col(c).cast("timestamp_ntz").alias(c) if c in times else c for c in source.columns]
+        row = compare_content(name, source.select(*shown), loaded.select(*shown))
+        report = row if report is None else report.unionByName(row)
+    return report.orderBy("table_name")
