@@ -80,7 +80,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     elif args.cmd == "dashboard":
         from starwright.plans.marts import SECTIONS, dashboard
         wh = _warehouse(spark, args.out)
-        out = dashboard(wh.read("fact_rental"), wh.read("dim_customer"), wh.read("dim_store"),
+        out = dashboard(wh.stored("fact_rental"), wh.read("dim_customer"), wh.read("dim_store"),
                         wh.read("dim_film"), args.calendar_start, args.range[0], args.range[1],
                         store_ids=args.stores, sections=SECTIONS)
         for name, df in out.items():

@@ -14,6 +14,30 @@ from starwright.operators.defaults import apply_defaults
 from starwright.operators.joins import left_join_detail, lookup_key
 from starwright.schemas import FACT_DEFAULTS
 
+# The written fact is partitioned by stretches of so many days.
+PERIOD, PERIOD_DAYS = "rental_period", 30
+
+
+def by_period(fact: DataFrame) -> DataFrame:
+    """The fact as it is written: with the period of its rental date, rows of a
+    period together and sorted by date.  Ranges go on to the rental id, so a day
+    that holds much of the fact is several tasks' work, each with few files."""
+    order = [PERIOD, "rental_date_key", "rental_id"]
+    return fact.withColumn(PERIOD, F.floor(F.col("rental_date_key") / PERIOD_DAYS).cast("int")).repartitionByRange(
+        *order).sortWithinPartitions(*order)
+
+
+def in_keys(fact: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    """Rows of a range of rental date keys, both ends included; of a fact with
+    periods only the folders of the range are read."""
+    for value, at_least in ((low, True), (high, False)):
+        if value is None:
+            continue
+        for column, bound in (("rental_date_key", value), (PERIOD, value // PERIOD_DAYS)):
+            if column in fact.columns:
+                fact = fact.where(F.col(column) >= bound if at_least else F.col(column) <= bound)
+    return fact.drop(PERIOD)
+
 
 def rental_lines(rental: DataFrame, inventory: DataFrame, payment: DataFrame) -> DataFrame:
     """Rental joined to its inventory item and left-joined to payments.

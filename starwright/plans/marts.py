@@ -28,6 +28,7 @@ from starwright.operators.filters import (
 )
 from starwright.operators.joins import attach, attach_top
 from starwright.operators.reshape import flag_labels, unpivot_flags
+from starwright.plans.facts import in_keys
 from starwright.schemas import CATEGORY_PREFIX, FALLBACK_DATE_RANGE
 
 
@@ -54,14 +55,11 @@ def base_from_fact(fact: DataFrame, calendar_start: str | dt.date,
     filters on the calendar date, which makes the join inner.  The calendar
     is keyed by day offset, so the date is ``start + key``: no join.  A
     date range given here becomes a literal range on ``rental_date_key``,
-    which reaches the Parquet scan (the written fact is sorted by that key,
-    so row groups outside the range are skipped)."""
+    which reaches the Parquet scan, and, on the fact as it is stored, on the
+    periods that name its folders, so that others are not opened."""
     origin = _py_date(calendar_start)
-    df = fact
-    if start is not None:
-        df = df.where(F.col("rental_date_key") >= F.lit((_py_date(start) - origin).days))
-    if end is not None:
-        df = df.where(F.col("rental_date_key") <= F.lit((_py_date(end) - origin).days))
+    key = lambda day: None if day is None else (_py_date(day) - origin).days
+    df = in_keys(fact, key(start), key(end))
     return df.withColumn("rental_date", F.date_add(F.lit(origin), F.col("rental_date_key").cast("int"))) \
         .withColumnRenamed("dollar_amount", "payment_amount")
 

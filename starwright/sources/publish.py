@@ -84,6 +84,9 @@ def publish(df: DataFrame, path: str, partition_by: Sequence[str] = (), replace:
         w = w.partitionBy(*partition_by)
     try:
         w.parquet(new.toString())
+        if partition_by and all(s.getPath().getName().startswith("_") for s in folder.fs.listStatus(new)):
+            # No rows, so no partitions: an empty file keeps the columns.
+            df.limit(0).write.mode("append").parquet(new.toString())
     except BaseException:
         folder.fs.delete(new, True)
         raise

@@ -1,0 +1,65 @@
+"""The stored fact by periods: a date range opens only their folders."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from starwright.plans import facts
+from starwright.plans.marts import base_filtered, base_from_fact
+from starwright.plans.warehouse import Warehouse
+
+
+def _warehouse(spark, root, days=400, hot=0):
+    rows = spark.range(days * 20).select(
+        F.col("id").alias("rental_id"), F.when(F.col("id") < hot, 77).otherwise(F.col("id") % days).cast("long").alias("rental_date_key"),
+        (F.col("id") % 3).alias("store_key"), F.lit(2.5).alias("dollar_amount"))
+    wh = Warehouse(spark, root)
+    schema = T.StructType([*rows.schema.fields, T.StructField(facts.PERIOD, T.IntegerType())])
+    wh.write("fact_rental", facts.by_period(rows), [facts.PERIOD], schema)
+    return wh, rows
+
+
+def _files(df) -> int:
+    """Files that the scan of a plan without shuffles reads."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numFiles").value()
+
+
+def test_a_date_range_reads_its_periods_only(spark, tmp_dir):
+    wh, rows = _warehouse(spark, f"{tmp_dir}/dw")
+    stored = wh.stored("fact_rental")
+    start, end = "2005-05-01", "2005-06-15"  # keys 120 to 165: periods 4 and 5
+    base = base_filtered(base_from_fact(stored, "2005-01-01", start, end), start, end)
+    assert facts.PERIOD not in base.columns
+    plan = base._jdf.queryExecution().toString()
+    assert f"PartitionFilters: [isnotnull({facts.PERIOD}" in plan and "PushedFilters" in plan
+    assert sorted(r["rental_id"] for r in base.collect()) == sorted(
+        r["rental_id"] for r in rows.where("rental_date_key between 120 and 165").collect())
+    every = _files(stored.select("rental_id"))
+    assert 2 <= _files(base.select("rental_id")) <= every // 3
+    assert _files(wh.read("fact_rental").where("rental_date_key between 120 and 165")) == every  # without periods
+
+
+def test_the_fact_reads_as_declared(spark, tmp_dir):
+    wh, rows = _warehouse(spark, f"{tmp_dir}/dw")
+    back = wh.read("fact_rental")
+    assert back.columns == rows.columns
+    assert back.exceptAll(rows).count() == 0 and rows.exceptAll(back).count() == 0
+    open_ends = [base_from_fact(wh.stored("fact_rental"), "2005-01-01", s, e).count() for s, e in (
+        (None, None), ("2005-12-01", None), (None, "2005-01-30"))]
+    want = [8000, rows.where(F.col("rental_date_key") >= (dt.date(2005, 12, 1) - dt.date(2005, 1, 1)).days).count(),
+            rows.where("rental_date_key <= 29").count()]
+    assert open_ends == want
+
+
+def test_a_hot_day_is_several_files(spark, tmp_dir):
+    """A day that holds half of the fact is not one task's work."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if it were large
+    try:
+        wh, rows = _warehouse(spark, f"{tmp_dir}/dw", hot=4000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    hot = wh.stored("fact_rental").where("rental_date_key = 77").select(F.input_file_name().alias("f"))
+    sizes = [r["count"] for r in hot.groupBy("f").count().collect()]
+    assert len(sizes) > 1 and sum(sizes) == rows.where("rental_date_key = 77").count()
