@@ -57,10 +57,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     ``spark.checkpoint.dir`` names a shared folder and is used as is.  Where it
     is unset, the folder is one below the warehouse, which driver and executors
-    share by definition; machine-local temporary folders are never used.
+    share by definition; machine-local temporary folders are never used.  On a
+    cluster, a warehouse on the driver's own disk is refused.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder:
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            local = "://" not in warehouse or warehouse.startswith("file:")
+            if local and not sc.master.startswith("local"):
+                raise RuntimeError(f"set spark.checkpoint.dir to a shared folder: {warehouse} is on the driver's disk")
+            folder = f"{warehouse}/_checkpoints"
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()

@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from pyspark.sql import types as T
 
 from starwright.schemas import DIM_COUNTRY
@@ -68,8 +70,14 @@ def test_checkpoint_dir_guard():
             self.dir = d
 
     class S:
-        def __init__(self, sc):
-            self.sparkContext, self.conf = sc, Conf({"spark.sql.warehouse.dir": "hdfs:///warehouse"})
+        def __init__(self, sc, warehouse="hdfs:///warehouse"):
+            self.sparkContext, self.conf = sc, Conf({"spark.sql.warehouse.dir": warehouse})
 
     assert ensure_checkpoint_dir(S(SC("yarn", {}))) == "hdfs:///warehouse/_checkpoints"
     assert ensure_checkpoint_dir(S(SC("yarn", {"spark.checkpoint.dir": "hdfs:///ckpt"}))) == "hdfs:///ckpt"
+    # On a cluster, the driver's own disk is refused; in local mode it is shared.
+    for own in ("file:/tmp/spark-warehouse", "/tmp/spark-warehouse"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            ensure_checkpoint_dir(S(SC("yarn", {}), own))
+        assert ensure_checkpoint_dir(S(SC("yarn", {"spark.checkpoint.dir": "hdfs:///c"}), own)) == "hdfs:///c"
+        assert ensure_checkpoint_dir(S(SC("local[4]", {}), own)) == f"{own}/_checkpoints"
