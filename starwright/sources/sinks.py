@@ -52,7 +52,7 @@ def append_load(df: DataFrame, path: str, columns: Sequence[str], load_id: str |
     rows, and a load run again replaces its own rows only, also when it then has
     fewer or no rows.  Loads of different ids may run at the same time.  Columns
     must have the names and types of the loads that are there."""
-    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9.-]*", str(load_id)):
+    if not re.match(r"[A-Za-z0-9][A-Za-z0-9.-]*\Z", str(load_id)):
         raise ValueError(f"load id {load_id!r} is not of letters, digits, dots and dashes")
     rows = df.select(*columns)
     if LOAD_COLUMN in rows.columns:
