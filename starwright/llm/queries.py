@@ -78,19 +78,25 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     and read back from the formatted text and its loss spans."""
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)],
-                                  "conv_id long, turn long, role string, text string")
-    out = chat_format.format_chats(chats.unionByName(extra))
-    turns = chat_format.read_turns(F.col("formatted"))
-    lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    back = out.select("conv_id", "valid", F.length("formatted").cast("long").alias("formatted_chars"),
-                      turns.alias("turns"),
-                      chat_format.read_loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss_text"))
-    return back.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
-        F.length("loss_text").cast("long").alias("loss_chars"),
-        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), "formatted_chars", "valid")
+    extra = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(tricky).alias("text"))
+    out = chat_format.format_turns(chats.unionByName(extra))
+    turn = chat_format.read_turn(F.col("formatted"))
+    back = out.select(
+        "conv_id", "seq", "step_valid", F.length("formatted").cast("long").alias("chars"),
+        F.concat(turn["role"], F.lit("\n"), turn["text"], F.lit("\n")).alias("line"),
+        chat_format.read_turn_loss(F.col("formatted"), F.col("start"), F.col("loss_start"),
+                                   F.col("loss_length")).alias("loss"))
+    # The digests are of whole conversations: what is read back of one has to fit into a row.
+    whole = back.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_turns"), F.coalesce(F.sum(F.length("loss").cast("long")), F.lit(0)).alias("loss_chars"),
+        F.sum("chars").alias("formatted_chars"), F.bool_and("step_valid").alias("valid"),
+        F.sort_array(F.collect_list(F.struct("seq", "line", "loss"))).alias("turns"))
+    joined = lambda name: F.array_join(F.transform("turns", lambda x: x[name]), "")
+    return whole.select(
+        "conv_id", "n_turns", F.sha2(joined("line").cast("binary"), 256).alias("turns_sha256"), "loss_chars",
+        F.sha2(joined("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars", "valid")
 
 
 OP9_SQL = r"""

@@ -84,3 +84,34 @@ def test_query_matches_brute_force(spark):
         want.add((conv, len(turns), sha("".join(f"{r}\n{x}\n" for _, r, x in turns)), len(loss), sha(loss)))
     got = op9_chat_format(spark, sf).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_turns_as_rows_over_stretches(spark, monkeypatch):
+    """Stretches of two turn numbers: the same whole conversations as by one stretch."""
+    whole = read(spark)
+    monkeypatch.setattr(c, "STRETCH", 1)
+    assert read(spark) == whole
+    rows = {}
+    for r in c.format_turns(chats(spark)).collect():
+        rows.setdefault(r["conv_id"], []).append(r)
+    for conv, turns in rows.items():
+        turns.sort(key=lambda r: r["seq"])
+        assert [r["seq"] for r in turns] == list(range(len(turns)))
+        assert "".join(r["formatted"] for r in turns) == whole[conv]["formatted"]
+        assert [sum(len(x["formatted"]) for x in turns[:i]) for i in range(len(turns))] == [r["start"] for r in turns]
+        assert [(r["loss_start"], r["loss_length"]) for r in turns if r["loss_start"] is not None] == [
+            (s["start"], s["length"]) for s in whole[conv]["loss_spans"]]
+
+
+def test_long_conversation(spark):
+    n = 30000
+    long = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                 F.concat(F.lit("## "), F.col("id").cast("string")).alias("text"))
+    row = c.format_chats(long.repartition(4, F.rand(1))).first()
+    roles = ("User", "Assistant")
+    want = [f"### {roles[i % 2].lower()}: ## {i}</turn>\n" for i in range(n)]
+    assert row["n_turns"] == n and row["valid"] and row["formatted"] == "".join(want)
+    spans = row["loss_spans"]
+    assert len(spans) == n // 2
+    assert [row["formatted"][s["start"]:s["start"] + s["length"]] for s in spans] == [f"## {i}" for i in range(1, n, 2)]
