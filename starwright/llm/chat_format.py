@@ -105,14 +105,14 @@ def format_turns(conversations: DataFrame, t: Template = CHAT) -> DataFrame:
     rows = conversations.where(F.col("conv_id").isNotNull()).select(
         "conv_id", number.alias("turn"), whole_text("role").alias("role"), whole_text("text").alias("text"),
         F.coalesce(F.shiftright(number, STRETCH), F.lit(-(1 << 62))).alias("stretch"))
-    rows = rows.withColumn("segments", _segments(F.col("role"), F.col("text"), t))
-    rows = rows.withColumn("formatted", F.concat(*[F.col("segments")[i]["text"] for i in range(3)]))
-    chars = F.length("formatted").cast("long")
+    # Only the length goes with the text where rows move; the segments are made after that.
+    segments = _segments(F.col("role"), F.col("text"), t)
+    rows = rows.withColumn("chars", sum((F.length(segments[i]["text"]).cast("long") for i in range(3)), F.lit(0)))
 
     earlier = Window.partitionBy("conv_id").orderBy("stretch")
     before = earlier.rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("conv_id", "stretch").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(chars).alias("chars"), F.max(F.struct("turn", "role"))["role"].alias("last"))
+        F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.max(F.struct("turn", "role"))["role"].alias("last"))
     totals = totals.select(
         "conv_id", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
         F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("chars_before"),
@@ -121,14 +121,15 @@ def format_turns(conversations: DataFrame, t: Template = CHAT) -> DataFrame:
     within = Window.partitionBy("conv_id", "stretch").orderBy("turn", "role", "text")
     rows = rows.select(
         "*", (F.row_number().over(within) - 1).alias("place"), F.lag("role").over(within).alias("previous"),
-        F.coalesce(F.sum(chars).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
-    rows = rows.join(totals, ["conv_id", "stretch"])
+        F.coalesce(F.sum("chars").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
+    rows = rows.drop("chars").join(totals, ["conv_id", "stretch"])
+    rows = rows.withColumn("segments", segments)
     start = F.col("chars_before") + F.col("at")
     loss = F.col("segments")[1]["loss"]
     return rows.select(
         "conv_id", (F.col("n_before") + F.col("place")).alias("seq"),
         _step(F.coalesce("previous", "role_before"), F.col("role"), t).alias("step_valid"),
-        "segments", "formatted", start.alias("start"),
+        "segments", F.concat(*[F.col("segments")[i]["text"] for i in range(3)]).alias("formatted"), start.alias("start"),
         F.when(loss, start + F.length(F.col("segments")[0]["text"])).alias("loss_start"),
         F.when(loss, F.length(F.col("segments")[1]["text"]).cast("long")).alias("loss_length"))
 
