@@ -31,6 +31,7 @@ from starwright.schemas import (
     ADDRESS_KEY_START, CATEGORY_PREFIX, CITY_KEY_START, COUNTRY_KEY_START, FACT_DEFAULTS, category_column,
 )
 from starwright.session import apply_runtime_conf, ensure_checkpoint_dir
+from starwright.sources.bucketed import lookup_bucketed, write_bucketed
 from starwright.sources.csv_load import load_csv, profile, read_numbered_fields, reconcile, split_typed
 from starwright.sources.order_adapter import CATEGORY_LABELS, PART_FEATURES, PART_TYPES, OrderAdapter
 from starwright.sources.sinks import export_tables
@@ -470,6 +471,25 @@ def _film_keys(a: OrderAdapter) -> DataFrame:
     return assign_key(films, "film_key", "film_id")
 
 
+@register("fact_bucketed", """
+WITH film AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_partkey) AS film_key FROM part)
+SELECT l.l_orderkey AS rental_id, l.l_linenumber AS rental_line, film.film_key,
+       film.p_size AS film_rental_duration, l.l_extendedprice AS dollar_amount
+FROM lineitem l LEFT JOIN film ON l.l_partkey = film.p_partkey""")
+def q_fact_bucketed(spark, sf_dir):
+    """Film keys of all lines, looked up between tables stored in the same
+    buckets of the film: the lines move when they are stored, never again."""
+    a = _src(spark, sf_dir)
+    lines = a.t("lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]).select(
+        F.col("l_orderkey").alias("rental_id"), F.col("l_linenumber").alias("rental_line"),
+        F.col("l_partkey").alias("film_id"), F.col("l_extendedprice").alias("dollar_amount"))
+    root = f"{ensure_checkpoint_dir(spark)}/bucketed-{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = write_bucketed(lines, f"{root}/lines", "film_id", buckets)
+    films = write_bucketed(_film_keys(a), f"{root}/films", "film_id", buckets, unique=True)
+    return lookup_bucketed(stored, films, ["film_key", "film_rental_duration"], "left").drop("film_id")
+
+
 # ---------------------------------------------------------------------------
 # dashboard marts over the filtered base
 # ---------------------------------------------------------------------------
