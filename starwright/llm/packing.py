@@ -19,7 +19,7 @@ the piece) + (pieces of that length in earlier tasks).  No length is gathered
 in one task.
 
 Defined results: null texts are empty documents (the end id alone); rows with
-equal ids and texts are separate documents; further columns are ignored.
+equal ids and texts are separate documents, also those with a null id; further columns are ignored.
 """
 
 from __future__ import annotations

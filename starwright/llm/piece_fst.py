@@ -28,8 +28,8 @@ Decoding is the inverse transduction: pieces to text, byte pieces to bytes (bad
 UTF-8 becomes U+FFFD), escapes to blanks, without the dummy blank.
 
 Defined results: null and empty texts have no ids and decode to the empty text;
-U+2581 in a text decodes to a blank; rows that repeat are separate rows; further
-columns are ignored.
+U+2581 in a text decodes to a blank; rows that repeat are separate rows and rows
+with a null id are kept; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ A text is cut into windows of WINDOW words (longer ones than WINDOW_BYTES, as in
 text without white space, into overlapping windows of that length, so that the
 dictionary stays in reach); each is compressed with either dictionary, and the
 bytes that the toxic one saves are its evidence.  A logistic
-curve, fitted on labelled documents that the dictionaries have not seen, turns
-the evidence of a document's windows into a calibrated score.
+curve turns the evidence of a document's windows into a calibrated score.  It is
+fitted on all labelled documents of the sample, each part of them measured by
+dictionaries made of the other parts; the dictionaries in use are made of all.
 
 Training of the toxic dictionary: of all byte strings inside the words of toxic
 documents, those are taken that are far more frequent there than in ordinary
@@ -24,7 +25,9 @@ scores mean the same whether the bounds bind or not.  Scoring reads every whole
 text.
 
 Defined results: null and empty texts have no window and get the score of no
-evidence; without documents of both classes every score is the share of toxic
+evidence, but a label of a null text is not learnt from; rows with a null id are
+scored like any other and are neither learnt from nor marked held out
+(``held_out`` is null in the query); without documents of both classes every score is the share of toxic
 labels (0 without labels); several labels of one id count as the largest;
 further columns are ignored.
 """
@@ -32,7 +35,7 @@ further columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,7 @@ MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2000, 5000, 20_000
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 8, 48_000, 4_000
 TEXT_PIECES, PIECE_BYTES = 2, 200
 WINDOW_BYTES = 4096
+PARTS = 3  # of the sample: each is measured by dictionaries made of the others
 STRING_LENGTHS, MIN_RATIO, MIN_EVIDENCE = range(4, 12), 25.0, 15.0
 LEAST_SAVED = 2  # bytes; smaller savings are rounding
 THRESHOLD = 0.3
@@ -164,9 +168,11 @@ class Distance:
 
     @staticmethod
     def _compressor(content: bytes):
+        # Matches are found by binary trees: the row tables that the plainer lazy
+        # search takes for large dictionaries miss strings that stand there once.
         params = zstandard.ZstdCompressionParameters(
-            window_log=18, hash_log=17, chain_log=17, search_log=3, min_match=4, target_length=64,
-            strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+            window_log=18, hash_log=17, chain_log=17, search_log=6, min_match=4, target_length=64,
+            strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
         known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         known.precompute_compress(compression_params=params)
         return zstandard.ZstdCompressor(dict_data=known, compression_params=params)
@@ -181,29 +187,38 @@ class Distance:
         return sum(saved) / len(windows) ** 0.5, float(max(saved)), np.log1p(len(saved))
 
 
-def train(sample: list[tuple[str, int]], share: float | None = None) -> Model:
-    """Model from (text, label) pairs: two of three make the dictionaries, the
-    third fits the curve.  ``share``: toxic documents among all labelled ones, if
-    the sample holds them in another share."""
-    if share is None:
-        share = float(np.mean([y for _, y in sample])) if sample else 0.0
-    build = [s for i, s in enumerate(sample) if i % 3]
-    toxic, ordinary = (_without_copies([t for t, y in build if y == label]) for label in (1, 0))
+def _dictionaries(sample: list[tuple[str, int]], share: float) -> Model | None:
+    """Both dictionaries from (text, label) pairs; none without both classes."""
+    toxic, ordinary = (_without_copies([t for t, y in sample if y == label]) for label in (1, 0))
     if not toxic or not ordinary:
-        return Model(share=share)
+        return None
     base = ordinary_text(ordinary)
     marks = b"".join(reversed(toxic_strings(toxic, ordinary)))
     # Bytes that occur in no text keep the distances to the ordinary part equal.
     filler = bytes(np.random.default_rng(1).integers(245, 256, len(marks)).astype(np.uint8))
-    model = Model(base + filler + _MARK, base + marks + _MARK, share=share)
-    distance = Distance(model)
-    rest = [s for i, s in enumerate(sample) if i % 3 == 0]
-    y = np.array([label for _, label in rest], float)
-    if not 0 < y.sum() < len(y):
-        return Model(share=share)
+    return Model(base + filler + _MARK, base + marks + _MARK, share=share)
+
+
+def train(sample: list[tuple[str, int]], share: float | None = None) -> Model:
+    """Model from (text, label) pairs.  The curve is fitted on every pair, each
+    measured by dictionaries that are made without its part of the sample; the
+    model's own dictionaries are made of all pairs.  ``share``: toxic documents
+    among all labelled ones, if the sample holds them in another share."""
+    if share is None:
+        share = float(np.mean([y for _, y in sample])) if sample else 0.0
+    x, y = [], []
+    for part in range(PARTS):
+        model = _dictionaries([s for i, s in enumerate(sample) if i % PARTS != part], share)
+        if model is None:
+            return Model(share=share)
+        distance = Distance(model)
+        for text, label in sample[part::PARTS]:
+            x.append(distance.features(text))
+            y.append(float(label))
+    y = np.array(y)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    weights = fit_logistic(np.array([distance.features(t) for t, _ in rest]), y, weight, ridge=1.0)
-    return Model(model.ordinary, model.toxic, tuple(weights), share)
+    weights = fit_logistic(np.array(x), y, weight, ridge=1.0)
+    return replace(_dictionaries(sample, share), weights=tuple(weights))
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column) -> Model:

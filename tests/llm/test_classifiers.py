@@ -51,6 +51,18 @@ def test_strings_and_distance():
     assert distance.features(None) == distance.features("  ") == (0.0, 0.0, 0.0)
 
 
+@pytest.mark.parametrize("size", [5_000, 20_000, 48_000])
+def test_strings_are_found_in_dictionaries_of_any_size(size):
+    rng = np.random.default_rng(0)
+    words = [" " + "".join(rng.choice(list("abcdefg"), 5)) for _ in range(300)]
+    base = "".join(rng.choice(words, size // 6)).encode()
+    marks = [b" zymurgy", b" quixotic", b" foobarx", b" lastone"]
+    filler = b"\xff" * sum(map(len, marks))
+    distance = toxicity.Distance(toxicity.Model(base + filler + toxicity._MARK, base + b"".join(marks) + toxicity._MARK))
+    for mark in marks:
+        assert distance.features(f"abcde fgabc{mark.decode()} gfedc")[1] >= toxicity.LEAST_SAVED
+
+
 def test_drop_toxic_keeps_columns(spark, documents):
     docs = make(spark, documents, extra=True)
     model = toxicity.Model(share=0.1)
@@ -91,3 +103,47 @@ def test_pairwise_weights_rank():
     model = quality.train(good + bad, 0.75, pairs=2000)
     scores = model.scores(np.array([quality.features(t) for t, _ in good + bad]))
     assert scores[:60].min() >= quality.THRESHOLD > scores[60:].max()
+
+
+@pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality, "quality")])
+def test_null_ids_and_null_texts(spark, documents, module, label):
+    """Null ids are scored and kept, and teach nothing, as labels of null texts do not."""
+    rng = np.random.default_rng(0)
+    known = [(i, int(rng.random() < 0.5), int(rng.random() < 0.5)) for i, _ in documents if i is not None]
+    schema = "doc_id long, quality int, toxic int"
+    model = module.fit(make(spark, documents), spark.createDataFrame(known, schema), F.lit(True))
+    more = make(spark, [*documents, (None, "null id"), (990_001, None), (990_002, "")])
+    other = module.fit(more, spark.createDataFrame([*known, (None, 1, 1), (990_001, 1, 1), (990_001, 0, 0)], schema), F.lit(True))
+    # The labels are counted in the classes' share; the texts teach the same.
+    if module is toxicity:
+        assert (other.ordinary, other.toxic) == (model.ordinary, model.toxic)
+    assert abs(other.share - model.share) < 0.1
+    out = module.score(more, model).select("doc_id", "score", (labels.remainder("doc_id", 4) == 2).alias("held_out")).collect()
+    assert len(out) == len(documents) + 3 and all(0 <= r["score"] <= 1 for r in out)
+    assert all((r["held_out"] is None) == (r["doc_id"] is None) for r in out)
+    assert len({r["score"] for r in out if r["doc_id"] in (990_001, 990_002)}) == 1
+
+
+def test_quality_of_a_very_long_text(spark):
+    """The whole text counts, not its beginning, in bounded blocks."""
+    clean = "A plain sentence about the weather in the valley. " * 60_000  # 3 MB
+    spam = clean[:1_500_000] + "BUY!! 100% $$$ " * 100_000
+    rows = make(spark, [(1, clean), (2, spam)])
+    rng = np.random.default_rng(0)
+    good = [(" ".join(f"w{x}" for x in rng.integers(0, 500, 80)) + ".", 1) for _ in range(60)]
+    model = quality.train(good + [("SPAM!! $$ " * int(rng.integers(10, 60)), 0) for _ in range(20)], 0.75, pairs=2000)
+    got = {r["doc_id"]: r["score"] for r in quality.score(rows, model).collect()}
+    want = model.scores(np.array([quality.features(clean), quality.features(spam)]))
+    assert [got[1], got[2]] == list(want) and quality.features(spam) != quality.features(spam[:1_500_000])
+
+
+def test_curve_is_fitted_on_documents_the_dictionaries_have_not_seen():
+    """Words that single toxic documents have for themselves promise nothing."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefg"), 5)) for _ in range(300)]
+    text = lambda *own: " ".join([*rng.choice(words, 60), *own])
+    noise = [(text(*[f"own{i}word{k}" for k in range(8)]), i % 4 == 0) for i in range(400)]
+    model = toxicity.train([(t, int(y)) for t, y in noise])
+    scores = [1 / (1 + np.exp(-(np.dot(model.weights[:-1], toxicity.Distance(model).features(text())) + model.weights[-1])))
+              for _ in range(5)]
+    assert abs(np.mean(scores) - 0.25) < 0.1
