@@ -4,25 +4,27 @@ Two texts link when the Jaccard likeness of their sets of word n-grams is at
 least NUMERATOR / DENOMINATOR.  Texts with equal sets are one class from the
 start; only classes are joined.
 
-1. *Order.*  All n-grams get one global order, rare ones first: by how many
-   documents have an n-gram of the same cell (a table of fixed size over the
-   whole corpus, of fixed size), then by hash.  Any global order gives the same
-   links; a good one only keeps common n-grams out of the prefixes.
-2. *Candidates.*  Sets of likeness t share an n-gram within their first
-   n - ceil(t n) + 1 ones.  Prefix n-grams meet by key; those of one class are
-   dropped.  In groups of up to SMALL classes the pairs are counted, and a pair
-   must share as many prefix n-grams as its sizes ask for.
-3. *Large groups* never make all their pairs.  Their classes are held against
-   LEADERS of them first.  Classes that are linked over any path need no further
-   comparison, so in a second turn only those outside the largest component of
-   their group are held against the others, block by block.  A pair is made only
-   if the classes' bit patterns allow a link.
-4. *Prefix trees.*  The sets to be compared with one class, in blocks of BLOCK,
-   form a trie in the global order.  The class's set walks down the trie: sets
-   that begin alike share their partial overlap, and a subtree is left as soon
-   as the lengths that remain cannot reach the overlap needed.
-
-Keys with very many records are dealt out over several tasks by a second hash.
+1. *Order.*  All n-grams get one global order, rare ones first, by the exact
+   number of classes that have them.  N-grams meet once, packed into blobs of a
+   few bytes each, and only those that two classes share come back to their
+   class; n-grams of one class are the first of its order and need no further
+   work.  N-grams in cells (a table of fixed size over the whole corpus) with
+   very many documents are not counted: they are the last ones of the order.
+2. *Prefixes.*  Sets of likeness t share an n-gram within their first
+   n - ceil(t n) + 1 ones.  A class that shares no n-gram there is out.
+3. *Prefix trees.*  Classes with the same n-gram in their prefix form a group,
+   and what follows it in their order a trie.  A class walks down the trie: sets
+   that go on alike share their partial overlap, and a subtree is left as soon
+   as the lengths that remain cannot reach the overlap needed, or if it holds
+   nothing but the class's own component.
+4. *Two turns.*  Classes linked over any path need no further comparison.  In
+   the first turn each class takes one partner of each of its groups, so there
+   are no more pairs than prefix n-grams, whatever the sizes of the groups.  In
+   the second turn the classes outside the largest component of their group
+   walk the tries again and take all partners in other components.  Groups of
+   any size take the same way; they are dealt out in blocks of GROUP_BLOCK.
+5. *Check.*  Pairs are checked on the whole sets: those to be compared with one
+   class form tries as well, in blocks of BLOCK.
 
 Defined results: null and wordless texts have an empty set and are linked with
 nothing; texts of fewer than N words have one n-gram, the whole sequence; rows
@@ -32,9 +34,9 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
-from collections import Counter
-
+import math
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -46,9 +48,12 @@ from starwright.llm.components import components
 
 N, NUMERATOR, DENOMINATOR = 5, 80, 100
 CELL_BITS = 20
-SMALL, LEADERS, BLOCK = 32, 4, 256
-BITS, GROUP_BLOCK = 4096, 1024
-HOT = 50_000  # records of a key from which on it is dealt out over several tasks
+LEADERS, BLOCK, GROUP_BLOCK = 4, 256, 4096
+HOT = 50_000  # documents of a cell from which on its n-grams are not counted
+BUCKET = 1 << 22  # n-grams counted at a time, about
+REST = 16  # n-grams that follow one in a record; what lies beyond counts as possibly shared
+_LOW = np.uint64((1 << 48) - 1)
+_MOST = (1 << 15) - 1  # largest count that the order tells apart
 _CHUNK = 1 << 16  # cells in one record while they are summed
 
 
@@ -228,197 +233,315 @@ def _set_key(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def prefix_records(docs: DataFrame, shared) -> DataFrame:
-    """token, share, set_key, n: the prefix n-grams of all documents; ``share``
-    deals a very frequent one out over several keys (0 of 1 if it is not)."""
+# ---------------------------------------------------------------- the global order
+#
+# In the global order an n-gram is one number: its count in the upper 15 bits,
+# 48 bits of its hash below.  Hashes that coincide in two sets only weaken the
+# filters; two of one set coincide with a chance of 2^-48.
+
+BLOBS = "bucket int, hot boolean, keys binary, counts binary, grams binary"
+_BLOBS = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary()),
+                    ("grams", pa.binary())])
+
+
+def _blobs(bucket: np.ndarray, key: np.ndarray, gram: np.ndarray, width: int, hot: bool = False) -> pa.RecordBatch:
+    """One row per bucket: its keys, how many n-grams each has, and the n-grams
+    in ``width`` bytes.  Equal keys of a bucket stand next to each other."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, key, gram = bucket[order], key[order], gram[order]
+    packed = gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])) if len(bucket) else [0]
+    rows = []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        own = key[lo:hi]
+        first = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1))
+        counts = np.diff(np.append(first, hi - lo)).astype("<u4")
+        rows.append((int(bucket[lo]), hot, own[first].astype("<i8").tobytes(), counts.tobytes(), packed[lo:hi].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOBS.types)] if rows else
+                                      [pa.array([], t) for t in _BLOBS.types], schema=_BLOBS)
+
+
+def _unpacked(keys: bytes, counts: bytes, grams: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and n-grams of a blob, one of each per n-gram."""
+    full = np.zeros((len(grams) // width, 8), np.uint8)
+    full[:, :width] = np.frombuffer(grams, np.uint8).reshape(-1, width)
+    return np.repeat(np.frombuffer(keys, "<i8"), np.frombuffer(counts, "<u4")), full.view("<u8").ravel()
+
+
+def all_grams(docs: DataFrame, shared, buckets: int, hot: int) -> DataFrame:
+    """Blobs of all n-grams of the documents.  Those of cells with over ``hot``
+    documents go by their class and are marked, others by their hash."""
 
     def run(batches):
         cells = shared.value
         for batch in batches:
             # Copies in one batch are sent once.
-            sent = {_set_key(s): s for s in shingler().sets(batch.column(1).to_pylist())}
-            keys, sets = list(sent), list(sent.values())
-            prefixes = [_ordered(s, cells)[:prefix_length(len(s))] for s in sets]
-            lengths = [len(p) for p in prefixes]
-            tokens = np.concatenate(prefixes) if prefixes else np.empty(0, np.uint64)
-            own = np.repeat(np.array(keys, np.int64), lengths)
-            parts = cells[_cell(tokens)] // HOT + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens.view(np.int64)), pa.array(np.where(parts > 1, 1 + own % parts, 0).astype(np.int32)),
-                 pa.array(own), pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), lengths))],
-                ["token", "share", "set_key", "n"])
+            sent = {_set_key(s): s for s in shingler().sets(batch.column(1).to_pylist()) if len(s)}
+            if not sent:
+                continue
+            gram = np.concatenate(list(sent.values()))
+            key = np.repeat(np.array(list(sent), np.int64), [len(s) for s in sent.values()])
+            many = cells[_cell(gram)] > hot
+            bucket = np.where(many, key % buckets, ((gram >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64))
+            for is_hot in (False, True):
+                own = many == is_hot
+                if own.any():
+                    yield _blobs(bucket[own], key[own], gram[own] & _LOW, 6, is_hot)
+
+    return docs.select("doc_id", "text").mapInArrow(run, BLOBS)
+
+
+def shared_grams(blobs: DataFrame, buckets: int) -> DataFrame:
+    """Blobs, by class, of the n-grams that more than one class has, as numbers
+    of the global order.  One bucket is counted at a time."""
+
+    def ranked(held):
+        key, gram = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(gram)
+        gram = gram[order]
+        same = gram[1:] == gram[:-1]
+        some = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        key, gram = key[order][some], gram[some]
+        order = np.lexsort((key, gram))  # copies of a class count once
+        key, gram = key[order], gram[order]
+        new = np.concatenate(([True], gram[1:] != gram[:-1])) if len(gram) else np.empty(0, bool)
+        once = new.copy()
+        once[1:] |= key[1:] != key[:-1]
+        key, gram, new = key[once], gram[once], new[once]
+        group = np.cumsum(new) - 1
+        count = np.bincount(group)[group] if len(group) else group
+        key, gram, count = (x[count > 1] for x in (key, gram, count))
+        return key, gram | (np.minimum(count, _MOST - 1).astype(np.uint64) << np.uint64(48))
+
+    def by_class(key, gram):
+        order = np.argsort(key, kind="stable")
+        return _blobs(key[order] % buckets, key[order], gram[order], 8)
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            for bucket, hot, *blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if hot:
+                    key, gram = _unpacked(*blob, 6)
+                    yield by_class(key, gram | np.uint64(_MOST << 48))
+                    continue
+                if bucket != at and held:
+                    yield by_class(*ranked(held))
+                    held = []
+                at = bucket
+                held.append(_unpacked(*blob, 6))
+        if held:
+            yield by_class(*ranked(held))
+
+    n = min(buckets, shuffle_partitions(blobs.sparkSession))
+    return blobs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, BLOBS)
+
+
+RECORDS = "token long, set_key long, n int, pos int, rest binary"
+
+
+def prefix_records(grams: DataFrame, members: DataFrame, buckets: int) -> DataFrame:
+    """RECORDS: the shared n-grams in the prefixes of all classes that may link:
+    the place in the class's order and up to REST n-grams that follow it."""
+    sizes = members.where("n > 0").select(
+        F.pmod("set_key", F.lit(buckets)).cast("int").alias("bucket"), F.lit(True).alias("hot"), "set_key", "n").distinct()
+    rows = grams.select("bucket", F.lit(False).alias("hot"), F.lit(None).cast("long").alias("set_key"),
+                        F.lit(None).cast("int").alias("n"), "keys", "counts", "grams").unionByName(
+        sizes, allowMissingColumns=True)
+
+    def of_bucket(sizes, held):
+        if not sizes or not held:
+            return
+        key, gram = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((gram, key))
+        key, gram = key[order], gram[order]
+        # N-grams that several copies sent stand next to each other.
+        once = np.concatenate(([True], (key[1:] != key[:-1]) | (gram[1:] != gram[:-1])))
+        key, gram = key[once], gram[once]
+        cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+        out = []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            k = int(key[lo])
+            n = sizes[k]
+            alone = n - (hi - lo)
+            inside = min(prefix_length(n) - alone, hi - lo)
+            if inside <= 0:
+                continue
+            own = gram[lo:hi]
+            packed = own.astype("<u8").tobytes()
+            out += [(int(own[i]), k, n, alone + i, packed[8 * i + 8:8 * min(i + 1 + REST, hi - lo)]) for i in range(inside)]
+            if len(out) > 20_000:
+                yield _records(out)
+                out = []
+        if out:
+            yield _records(out)
+
+    def run(batches):
+        at, sizes, held = None, {}, []
+        for batch in batches:
+            for bucket, is_size, set_key, n, *blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != at:
+                    yield from of_bucket(sizes, held)
+                    at, sizes, held = bucket, {}, []
+                if is_size:
+                    sizes[set_key] = n
+                else:
+                    held.append(_unpacked(*blob, 8))
+        yield from of_bucket(sizes, held)
+
+    n = min(buckets, shuffle_partitions(grams.sparkSession))
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, RECORDS)
 
-    return docs.mapInArrow(run, "token long, share int, set_key long, n int")
+
+def _records(rows: list) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                                      ["token", "set_key", "n", "pos", "rest"])
 
 
 # ---------------------------------------------------------------- candidates
 
-FOUND = "large boolean, a long, b long, na int, nb int, shared int"
+class Beginnings:
+    """Prefix tree of what follows an n-gram in the order of its classes."""
+
+    __slots__ = ("edge", "children", "ends", "least", "most", "only")
+
+    def __init__(self, edge: tuple):
+        self.edge, self.children, self.ends = edge, {}, []
+        self.least, self.most, self.only = 1 << 62, 0, None
+
+    def _holds(self, n: int, left: int, component: int, first: bool) -> None:
+        self.least, self.most = min(self.least, n), max(self.most, left)
+        self.only = component if first or self.only == component else None
 
+    def add(self, key: int, n: int, left: int, component: int, rest: tuple) -> None:
+        """A class with ``left`` n-grams after this one, which begin with ``rest``."""
+        node, at, end = self, 0, (key, n, left, component)
+        while True:
+            node._holds(n, left, component, not node.ends and not node.children)
+            if at == len(rest):
+                node.ends.append(end)
+                return
+            child = node.children.get(rest[at])
+            if child is None:
+                child = node.children[rest[at]] = Beginnings(rest[at:])
+                at = len(rest)
+            else:
+                same = next((i for i, (x, y) in enumerate(zip(child.edge, rest[at:])) if x != y),
+                            min(len(child.edge), len(rest) - at))
+                if same < len(child.edge):  # branch inside the edge
+                    upper = Beginnings(child.edge[:same])
+                    upper.least, upper.most, upper.only = child.least, child.most, child.only
+                    child.edge = child.edge[same:]
+                    upper.children[child.edge[0]] = child
+                    node.children[rest[at]] = child = upper
+                at += same
+            node = child
+
+    def partners(self, n: int, left: int, component: int, rest: tuple):
+        """Keys of classes in other components whose overlap may suffice."""
+        known, last = set(rest), rest[-1] if len(rest) < left and rest else 1 << 64
+        if not rest and left:
+            last = -1
+        # Overlap so far, n-grams of the tree's class and of this one gone by.
+        stack = [(self, 1, 0, 0)]
+        while stack:
+            node, overlap, theirs, own = stack.pop()
+            for x in node.edge:
+                if x > last:
+                    break  # may be shared: beyond what is known of this class
+                theirs += 1
+                overlap += x in known
+            if node.edge:
+                own = bisect.bisect_right(rest, node.edge[-1])
+            if node.only == component or overlap + min(node.most - theirs, left - own) < needed(n, node.least):
+                continue
+            for key, size, more, of in node.ends:
+                if of != component and overlap + min(more - theirs, left - own) >= needed(n, size) and (
+                        DENOMINATOR * min(n, size) >= NUMERATOR * max(n, size)):
+                    yield key
+            stack += [(child, overlap, theirs, own) for child in reversed(node.children.values())]
 
-def meet(records: DataFrame) -> DataFrame:
-    """Pairs of classes in small groups with the prefix n-grams they share so
-    far (large = false), and the records of large groups (large = true: a is the
-    n-gram, b the class).  Records come sorted by n-gram; the group at the end
-    of a batch is held over, and once it is large only its key is."""
+
+def find(rows: DataFrame, every: bool) -> DataFrame:
+    """Pairs a < b of classes of one block of a group that may link.  With
+    ``every`` each class takes its first partner, else those that walk take all.
+    A block's own classes come before those that walk over it."""
 
     def run(batches):
-        pairs: Counter = Counter()
-        large: list[tuple] = []
-        held, over = None, False
-
-        def pair_up(keys, sizes):
-            own = sorted(zip(keys.tolist(), sizes.tolist()))
-            for i, (a, na) in enumerate(own):
-                for b, nb in own[i + 1:]:
-                    if DENOMINATOR * min(na, nb) >= NUMERATOR * max(na, nb):
-                        pairs[a, b, na, nb] += 1
-
-        def group(token, share, keys, sizes, was_over):
-            keys, first = np.unique(keys, return_index=True)
-            if was_over or share or len(keys) > SMALL:
-                large.extend((token, k, 0, n) for k, n in zip(keys.tolist(), sizes[first].tolist()))
-            elif len(keys) > 1:
-                pair_up(keys, sizes[first])
+        at, own, walkers, found = None, [], [], set()
+
+        def block():
+            if len(own) < 2 and not walkers or (not every and not walkers):
+                return
+            index = any(pos < n - needed(n, n) + 1 for _, n, pos, *_ in own + walkers)
+            if not index:  # the smaller class of a link has the n-gram this early
+                return
+            unpacked = lambda rest: tuple(np.frombuffer(rest, "<u8").tolist())
+            tree = Beginnings(())
+            for key, n, pos, component, rest in own:
+                tree.add(key, n, n - pos - 1, component, unpacked(rest))
+            for key, n, pos, component, rest in own if every else walkers:
+                for other in tree.partners(n, n - pos - 1, component, unpacked(rest)):
+                    found.add((min(key, other), max(key, other)))
+                    if every:
+                        break
 
         def out():
-            rows = [(False, *p, c) for p, c in pairs.items()] + [(True, *r, 0) for r in large]
-            pairs.clear()
-            large.clear()
-            types = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                                              ["large", "a", "b", "na", "nb", "shared"])
+            rows = _links(sorted(found))
+            found.clear()
+            return rows
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                columns = [np.concatenate(x) for x in zip(held, columns)]
-            token, share, keys, sizes = columns
-            change = (token[1:] != token[:-1]) | (share[1:] != share[:-1])
-            starts = np.concatenate(([0], np.flatnonzero(change) + 1))
-            stops = np.append(starts[1:], len(token))
-            # Groups of one record are dropped here, by far the most.
-            some = (stops - starts > 1) | (share[starts] > 0)
-            some[0] |= over
-            some[-1] = False
-            for i in np.flatnonzero(some):
-                lo, hi = starts[i], stops[i]
-                group(int(token[lo]), int(share[lo]), keys[lo:hi], sizes[lo:hi], over and i == 0)
-            over = over and len(starts) == 1
-            lo = starts[-1]
-            kept, first = np.unique(keys[lo:], return_index=True)
-            if over or len(kept) > SMALL:
-                group(int(token[lo]), int(share[lo]), keys[lo:], sizes[lo:], True)
-                over, first = True, first[:1]
-            held = [c[lo:][first] for c in columns]
-            if len(pairs) + len(large) > 50_000:
+            for token, part, walks, *record in zip(*(c.to_pylist() for c in batch.columns)):
+                if (token, part) != at:
+                    block()
+                    at, own, walkers = (token, part), [], []
+                (walkers if walks else own).append(record)
+                if len(walkers) == GROUP_BLOCK:  # the tree is built again for the next ones
+                    block()
+                    walkers = []
+            if len(found) > 50_000:
                 yield out()
-        if held is not None:
-            group(int(held[0][0]), int(held[1][0]), held[2], held[3], over)
-        if pairs or large:
-            yield out()
-
-    n = shuffle_partitions(records.sparkSession)
-    return records.repartition(n, "token", "share").sortWithinPartitions("token", "share").mapInArrow(run, FOUND)
-
-
-def pair_candidates(found: DataFrame, large: DataFrame) -> DataFrame:
-    """Pairs (a, b) of small groups that share as many prefix n-grams as their
-    sizes ask for; n-grams of large groups count as shared."""
-    pairs = found.where("not large").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    more = large.groupBy("set_key").agg(F.count("*").alias("more"))
-    for side in "ab":
-        pairs = pairs.join(more.withColumnsRenamed({"set_key": side, "more": f"more_{side}"}), side, "left")
-    need = F.ceil(F.lit(NUMERATOR) * (F.col("na") + F.col("nb")) / F.lit(NUMERATOR + DENOMINATOR))
-    length = lambda n: n - F.ceil(F.lit(NUMERATOR) * n / F.lit(DENOMINATOR)) + 1
-    # With overlap ``need``, the first n - need + k of either set share k.
-    least = F.least(*[length(F.col(n)) - F.col(n) + need for n in ("na", "nb")])
-    more = F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
-    return pairs.where(F.col("shared") + more >= least).select("a", "b")
-
-
-def leaders(large: DataFrame) -> DataFrame:
-    """``large`` with a component (each class its own) and whether the class
-    leads its group: the LEADERS classes that are in most large groups, as they
-    have fewest n-grams of their own."""
-    spread = large.groupBy("set_key").agg(F.count("*").alias("tokens"))
-    known = large.join(spread, "set_key")
-    first = lambda order: F.max(F.struct(*order, "set_key"))["set_key"]
-    of = known.groupBy("token").agg(F.array(
-        first(["tokens"]), *(first([F.xxhash64("set_key", F.lit(i))]) for i in range(1, LEADERS))).alias("first"))
-    return large.join(of, "token").select("token", "set_key", "n", F.col("set_key").alias("component"),
-                                          F.array_contains("first", F.col("set_key")).alias("walks"))
-
-
-def not_yet_linked(large: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
-    """``large`` with components, without the groups that lie in one component;
-    the classes outside the largest component of their group walk."""
-    placed = scratch.write(large.join(groups, large["set_key"] == groups["node"], "left").select(
-        "token", "set_key", "n", F.coalesce("component", "set_key").alias("component")), "placed")
+        block()
+        yield out()
+
+    n = shuffle_partitions(rows.sparkSession)
+    return rows.select("token", "block", "walks", "set_key", "n", "pos", "component", "rest").repartition(
+        n, "token", "block").sortWithinPartitions("token", "block", "walks", "set_key").mapInArrow(
+        run, "a long, b long").distinct()
+
+
+def first_turn(records: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One partner per class and group.  In groups of several blocks LEADERS
+    classes of the group are in all blocks, so that blocks are linked."""
+    record = ["set_key", "n", "pos", "rest"]
+    dealt = records.join(blocks, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = dealt.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    first = [F.min(F.struct(F.xxhash64("set_key", F.lit(i)), *record)) for i in range(LEADERS)]
+    leaders = records.join(blocks, "token").groupBy("token", "blocks").agg(F.array(*first).alias("first"))
+    spread = leaders.select("token", "blocks", F.explode("first").alias("of")).select(
+        "token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        *(F.col(f"of.{c}").alias(c) for c in record))
+    columns = ["token", "block", *record]
+    rows = own.select(*columns).unionByName(spread.select(*columns)).dropDuplicates(["token", "block", "set_key"])
+    return find(rows.withColumns({"walks": F.lit(False), "component": F.col("set_key")}), True)
+
+
+def second_turn(records: DataFrame, blocks: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """All partners in other components of the classes outside the largest
+    component of their group.  Groups that lie in one component are done."""
+    placed = scratch.write(records.join(groups, records["set_key"] == groups["node"], "left").select(
+        *records.columns, F.coalesce("component", "set_key").alias("component")), "placed")
     sizes = placed.groupBy("token", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("n", "component"))["component"].alias("largest"),
-                                         F.count("*").alias("components")).where("components > 1")
-    return placed.join(largest, "token").select("token", "set_key", "n", "component",
-                                                (F.col("component") != F.col("largest")).alias("walks"))
-
-
-def near_pairs(records: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a: a class that walks, b) of one large group in different
-    components that may link: their sizes allow it, and their sets, hashed to
-    BITS bits, differ in no more bits than linked sets differ in n-grams.
-
-    The classes of a group are dealt out in blocks of GROUP_BLOCK; those that
-    walk go to every block.  Only pairs that pass are made."""
-    blocks = records.groupBy("token").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"))
-    dealt = records.join(blocks, "token")
-    members = dealt.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")).withColumn(
-        "walks", F.lit(False))
-    walking = dealt.where("walks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["token", "block", "walks", "set_key", "n", "component"]
-    rows = members.select(*columns).unionByName(walking.select(*columns)).join(sets.select("set_key", "bits"), "set_key")
-
-    def passing(walkers, stay):
-        mk, mn, mc, mb = stay
-        out = []
-        for lo in range(0, len(walkers[0]), 64):  # bounds the tables of all combinations
-            wk, wn, wc, wb = (x[lo:lo + 64] for x in walkers)
-            low, high = np.minimum(wn[:, None], mn), np.maximum(wn[:, None], mn)
-            w, m = np.nonzero((DENOMINATOR * low >= NUMERATOR * high) & (wc[:, None] != mc))
-            for i in range(0, len(w), 4096):
-                x, y = w[i:i + 4096], m[i:i + 4096]
-                total = wn[x] + mn[y]
-                allowed = total - 2 * -(-NUMERATOR * total // (NUMERATOR + DENOMINATOR))
-                near = np.bitwise_count(wb[x] ^ mb[y]).sum(axis=1, dtype=np.int64) <= allowed
-                out.append(np.column_stack([wk[x[near]], mk[y[near]]]))
-        return out
-
-    def run(batches):
-        at, stay = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            token, block, walks, key, n, component = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 0, 4, 5))
-            bits = np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u8").reshape(-1, BITS // 64)
-            n = n.astype(np.int64)
-            change = (token[1:] != token[:-1]) | (block[1:] != block[:-1]) | (walks[1:] != walks[:-1])
-            cuts = np.concatenate(([0], np.flatnonzero(change) + 1, [len(token)]))
-            out = []
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                own = (key[lo:hi], n[lo:hi], component[lo:hi], bits[lo:hi])
-                here = (token[lo], block[lo])
-                if not walks[lo]:  # the block's own classes come first
-                    stay = own if here != at else tuple(np.concatenate(x) for x in zip(stay, own))
-                    at = here
-                else:
-                    out += passing(own, stay)
-            pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    n = shuffle_partitions(records.sparkSession)
-    return rows.select("set_key", "token", "block", "walks", "n", "component", "bits").repartition(
-        n, "token", "block").sortWithinPartitions("token", "block", "walks").mapInArrow(run, "a long, b long").distinct()
+                                         F.count("*").alias("components")).where("components > 1").drop("components")
+    dealt = placed.join(largest, "token").join(blocks, "token", "left").withColumn(
+        "blocks", F.coalesce("blocks", F.lit(1)))
+    own = dealt.withColumns({"block": F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"), "walks": F.lit(False)})
+    walking = dealt.where("component <> largest").withColumns({
+        "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "walks": F.lit(True)})
+    return find(own.unionByName(walking), False)
 
 
 # ---------------------------------------------------------------- prefix trees
@@ -514,15 +637,8 @@ def _links(rows: list) -> pa.RecordBatch:
                                        pa.array([b for _, b in rows], pa.int64())], ["a", "b"])
 
 
-def _bits(hashes: np.ndarray) -> bytes:
-    """The set hashed to BITS bits."""
-    out = np.zeros(BITS, np.uint8)
-    out[(hashes % np.uint64(BITS)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little").tobytes()
-
-
 def ordered_sets(docs: DataFrame, wanted: DataFrame, shared) -> DataFrame:
-    """set_key, hashes (in the global order) and bits of the wanted documents."""
+    """set_key and hashes, rare cells first, of the wanted documents."""
 
     def run(batches):
         cells = shared.value
@@ -530,11 +646,10 @@ def ordered_sets(docs: DataFrame, wanted: DataFrame, shared) -> DataFrame:
             sets = shingler().sets(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_set_key(s) for s in sets], pa.int64()),
-                 pa.array([_ordered(s, cells).tobytes() for s in sets], pa.binary()),
-                 pa.array([_bits(s) for s in sets], pa.binary())], ["set_key", "hashes", "bits"])
+                 pa.array([_ordered(s, cells).tobytes() for s in sets], pa.binary())], ["set_key", "hashes"])
 
     return docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
-        run, "set_key long, hashes binary, bits binary")
+        run, "set_key long, hashes binary")
 
 
 # ---------------------------------------------------------------- the join
@@ -549,28 +664,30 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("doc_id").isNotNull())
     members, cells = first_pass(docs, scratch)
     shared = spark.sparkContext.broadcast(cells)  # of fixed size
-    found = scratch.write(meet(prefix_records(docs, shared)), "found")
-    large = scratch.write(found.where("large").select(
-        F.col("a").alias("token"), F.col("b").alias("set_key"), F.col("nb").alias("n")).distinct(), "large")
-    candidates = scratch.write(pair_candidates(found, large), "candidates")
+    total = members.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    hot = max(HOT, 2 * math.ceil(total / (1 << CELL_BITS)))
+    buckets = max(shuffle_partitions(spark), math.ceil(total / BUCKET))
+    grams = shared_grams(all_grams(docs, shared, buckets, hot), buckets)
+    records = scratch.write(prefix_records(grams, members, buckets), "records")
+    blocks = records.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_BLOCK).select(
+        "token", F.ceil(F.col("n") / GROUP_BLOCK).cast("int").alias("blocks"))
+    blocks = scratch.write(blocks, "blocks")
 
     # A class is named by its set and stands for its document of smallest id.
     classes = members.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    involved = candidates.select(F.explode(F.array("a", "b")).alias("set_key")).unionByName(large.select("set_key"))
-    wanted = scratch.write(classes.join(involved.distinct(), "set_key", "left_semi").select("doc_id"), "wanted")
-    sets = scratch.write(ordered_sets(docs, wanted, shared).dropDuplicates(["set_key"]), "sets")
-    scratch.drop("found")
-
-    if large.isEmpty():
-        groups = components(compare(candidates, sets))
-    else:
-        led = scratch.write(near_pairs(leaders(large), sets).unionByName(candidates).distinct(), "led")
-        groups = components(compare(led, sets))
-        rest = near_pairs(not_yet_linked(large, groups, scratch), sets)
-        rest = scratch.write(rest.join(led, ["a", "b"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            groups = components(stars.unionByName(compare(rest, sets)))
+
+    def whole_sets(pairs, name):
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+        wanted = scratch.write(classes.join(involved, "set_key", "left_semi").select("doc_id"), f"wanted-{name}")
+        return scratch.write(ordered_sets(docs, wanted, shared).dropDuplicates(["set_key"]), f"sets-{name}")
+
+    first = scratch.write(first_turn(records, blocks), "first")
+    links = scratch.write(compare(first, whole_sets(first, "first")), "links")
+    groups = scratch.write(components(links), "groups")
+    rest = scratch.write(second_turn(records, blocks, groups, scratch).join(first, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        groups = components(stars.unionByName(compare(rest, whole_sets(rest, "rest"))))
 
     # The smallest document of each component, then back to every document.
     of = classes.join(groups, classes["set_key"] == groups["node"], "left").select(
@@ -582,7 +699,8 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         members.join(named, "set_key", "left").select(
             "doc_id", F.col("n").cast("long").alias("n_shingles"),
             F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "out")
-    scratch.drop("members", "large", "candidates", "wanted", "sets", "led", "placed", "rest", "of")
+    scratch.drop("members", "records", "blocks", "first", "links", "groups", "placed", "rest", "of", "wanted-first",
+                 "sets-first", "wanted-rest", "sets-rest")
     return out
 
 

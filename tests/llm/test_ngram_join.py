@@ -40,8 +40,12 @@ def test_matches_brute_force(spark, documents):
     assert sorted(tuple(r) for r in got) == brute(documents)
 
 
-def test_large_groups(spark, documents):
-    """Groups beyond SMALL go by leaders, then over tries of their cluster."""
+@pytest.mark.parametrize("limits", [{}, {"GROUP_BLOCK": 20}, {"HOT": 3, "BUCKET": 500}, {"HOT": 40, "GROUP_BLOCK": 7}])
+def test_large_groups(spark, documents, monkeypatch, limits):
+    """Groups of many classes, whole and dealt out in blocks, with n-grams that
+    are counted and with such that are too frequent for it."""
+    for name, value in limits.items():
+        monkeypatch.setattr(j, name, value)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(60)]
     rows = list(documents)
@@ -71,34 +75,63 @@ def test_shingler_on_buffers_and_long_words():
         assert seen.setdefault(frozenset(shingles(t)), x.tobytes()) == x.tobytes()
 
 
-def test_meet_across_batches(spark):
-    """Groups that end in another batch than they begin in are put together."""
+def test_letters_with_own_words(spark):
+    """Letters of one template, own words at or beyond what a link allows: the
+    n-grams of the template come too late in the order to make any pair."""
+    body = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(body[:15] + [f"a{i}"] + body[15:35] + [f"b{i}"] + body[35:])) for i in range(300)]
+    assert sorted(tuple(r) for r in j.linked_groups(make(spark, rows)).collect()) == brute(rows)
+    docs = make(spark, rows).select("doc_id", "text")
+    scratch = j.Scratch(spark, "test")
+    members, cells = j.first_pass(docs, scratch)
+    grams = j.shared_grams(j.all_grams(docs, spark.sparkContext.broadcast(cells), 4, 10**6), 4)
+    records = scratch.write(j.prefix_records(grams, members, 4), "records")
+    assert j.first_turn(records, records.selectExpr("token", "1 blocks").limit(0)).count() == 0
+
+
+def test_order_is_by_exact_counts(spark, documents):
+    """Places and followers of the prefix n-grams, against counts by hand."""
+    docs = make(spark, documents).select("doc_id", "text").where("doc_id is not null")
+    scratch = j.Scratch(spark, "test")
+    members, cells = j.first_pass(docs, scratch)
+    sets = {j._set_key(x): x for x in j.shingler().sets([r["text"] for r in docs.collect()]) if len(x)}
+    count = {}
+    for x in sets.values():
+        for g in x.tolist():
+            count[g] = count.get(g, 0) + 1
+    want = set()
+    for key, x in sets.items():
+        order = sorted((count[g] << 48 | g & ((1 << 48) - 1), count[g]) for g in x.tolist())
+        for i, (g, c) in enumerate(order[:j.prefix_length(len(x))]):
+            if c > 1:
+                want.add((g, key, len(x), i, tuple(o for o, _ in order[i + 1:i + 1 + j.REST])))
+    for buckets in (1, 3, 50):
+        grams = j.shared_grams(j.all_grams(docs, spark.sparkContext.broadcast(cells), buckets, 10**6), buckets)
+        got = [(r["token"], r["set_key"], r["n"], r["pos"], tuple(np.frombuffer(r["rest"], "<u8").tolist()))
+               for r in j.prefix_records(grams, members, buckets).collect()]
+        assert set(got) == want and len(got) == len(want) and want
+
+
+def test_beginnings_miss_no_link():
+    """Whatever begins alike is found by both sides, and nothing in the class's
+    own component; the bound never takes a linked pair away."""
     rng = random.Random(4)
-    rows = [(t, 0, rng.randrange(60), 0) for t in range(40) for _ in range(rng.choice([1, 2, 5, 30, 400]))]
-    rows = [(t, s, k, 100 + k % 9) for t, s, k, _ in rows] + [(99, 1, 7, 107), (99, 2, 8, 108)]
-    records = spark.createDataFrame(rows, "token long, share int, set_key long, n int")
-    groups = {}
-    for t, s, k, n in rows:
-        groups.setdefault(t, {})[k] = n
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    for size in ("7", "10000"):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-        found = j.meet(records).collect()
-        large = {(r["a"], r["b"], r["nb"]) for r in found if r["large"]}
-        assert large == {(t, k, n) for t, g in groups.items() if len(g) > j.SMALL or t == 99 for k, n in g.items()}
-        pairs = {}
-        for r in found:
-            if not r["large"]:
-                pairs[r["a"], r["b"]] = pairs.get((r["a"], r["b"]), 0) + r["shared"]
-        want = {}
-        for t, g in groups.items():
-            if len(g) <= j.SMALL and t != 99:
-                for a in g:
-                    for b in g:
-                        if a < b:
-                            want[a, b] = want.get((a, b), 0) + 1
-        assert pairs == want
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for few in (0, 1, 4, 99):
+        sets = {}
+        for key in range(120):
+            own = set(rng.sample(range(1, 60), 40)) if key % 2 else set(range(1, 41)) - set(rng.sample(range(1, 41), 5))
+            sets[key] = [0, *sorted(own)]  # all have n-gram 0
+        tree = j.Beginnings(())
+        for key, x in sets.items():
+            tree.add(key, len(x), len(x) - 1, key % 7, tuple(x[1:1 + few]))
+        for key, x in sets.items():
+            got = list(tree.partners(len(x), len(x) - 1, key % 7, tuple(x[1:1 + few])))
+            assert len(got) == len(set(got)) and all(k % 7 != key % 7 for k in got)
+            linked = {k for k, y in sets.items() if k % 7 != key % 7
+                      and 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y))}
+            assert linked <= set(got)
+            if few == 99:
+                assert linked == set(got)
 
 
 def test_trie_finds_what_brute_force_finds():
