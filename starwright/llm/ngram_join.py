@@ -16,11 +16,13 @@ start; only classes are joined.
    and what follows it in their order a trie.  A class walks down the trie: sets
    that go on alike share their partial overlap, and a subtree is left as soon
    as the lengths that remain cannot reach the overlap needed, or if it holds
-   nothing but the class's own component.
+   nothing but the class's own component.  What is found must also pass by
+   parity: as many n-grams at least are in one set only as there are bits in
+   which the parities of the sets, hashed to PARITY bits, differ.
 4. *Two turns.*  Classes linked over any path need no further comparison.  In
-   the first turn each class takes one partner of each of its groups, so there
-   are no more pairs than prefix n-grams, whatever the sizes of the groups.  In
-   the second turn the classes outside the largest component of their group
+   the first turn each class takes one partner in all, the one that most of its
+   groups name, so there are no more pairs than classes, whatever the sizes of
+   the groups.  In the second turn the classes outside the largest component of their group
    walk the tries again and take all partners in other components.  Groups of
    any size take the same way; they are dealt out in blocks of GROUP_BLOCK.
 5. *Check.*  Pairs are checked on the whole sets: those to be compared with one
@@ -37,6 +39,7 @@ from __future__ import annotations
 import bisect
 import functools
 import math
+from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -51,7 +54,8 @@ CELL_BITS = 20
 LEADERS, BLOCK, GROUP_BLOCK = 4, 256, 4096
 HOT = 50_000  # documents of a cell from which on its n-grams are not counted
 BUCKET = 1 << 22  # n-grams counted at a time, about
-REST = 16  # n-grams that follow one in a record; what lies beyond counts as possibly shared
+PARITY = 1024
+REST = 8  # n-grams that follow one in a record; what lies beyond counts as possibly shared
 _LOW = np.uint64((1 << 48) - 1)
 _MOST = (1 << 15) - 1  # largest count that the order tells apart
 _CHUNK = 1 << 16  # cells in one record while they are summed
@@ -333,16 +337,16 @@ def shared_grams(blobs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield by_class(*ranked(held))
 
-    n = min(buckets, shuffle_partitions(blobs.sparkSession))
-    return blobs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, BLOBS)
+    return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, BLOBS)
 
 
-RECORDS = "token long, set_key long, n int, pos int, rest binary"
+RECORDS = "token long, set_key long, n int, pos int, alone int, parity binary, rest binary"
 
 
 def prefix_records(grams: DataFrame, members: DataFrame, buckets: int) -> DataFrame:
     """RECORDS: the shared n-grams in the prefixes of all classes that may link:
-    the place in the class's order and up to REST n-grams that follow it."""
+    the place in the class's order, how many n-grams only the class has, the
+    parities of the others, and up to REST n-grams that follow."""
     sizes = members.where("n > 0").select(
         F.pmod("set_key", F.lit(buckets)).cast("int").alias("bucket"), F.lit(True).alias("hot"), "set_key", "n").distinct()
     rows = grams.select("bucket", F.lit(False).alias("hot"), F.lit(None).cast("long").alias("set_key"),
@@ -369,7 +373,9 @@ def prefix_records(grams: DataFrame, members: DataFrame, buckets: int) -> DataFr
                 continue
             own = gram[lo:hi]
             packed = own.astype("<u8").tobytes()
-            out += [(int(own[i]), k, n, alone + i, packed[8 * i + 8:8 * min(i + 1 + REST, hi - lo)]) for i in range(inside)]
+            odd = np.bincount((own % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) % 2
+            parity = np.packbits(odd.astype(np.uint8)).tobytes()
+            out += [(int(own[i]), k, n, alone + i, alone, parity, packed[8 * i + 8:8 * min(i + 1 + REST, hi - lo)]) for i in range(inside)]
             if len(out) > 20_000:
                 yield _records(out)
                 out = []
@@ -389,14 +395,13 @@ def prefix_records(grams: DataFrame, members: DataFrame, buckets: int) -> DataFr
                     held.append(_unpacked(*blob, 8))
         yield from of_bucket(sizes, held)
 
-    n = min(buckets, shuffle_partitions(grams.sparkSession))
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, RECORDS)
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, RECORDS)
 
 
 def _records(rows: list) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                                      ["token", "set_key", "n", "pos", "rest"])
+                                      ["token", "set_key", "n", "pos", "alone", "parity", "rest"])
 
 
 # ---------------------------------------------------------------- candidates
@@ -414,9 +419,10 @@ class Beginnings:
         self.least, self.most = min(self.least, n), max(self.most, left)
         self.only = component if first or self.only == component else None
 
-    def add(self, key: int, n: int, left: int, component: int, rest: tuple) -> None:
-        """A class with ``left`` n-grams after this one, which begin with ``rest``."""
-        node, at, end = self, 0, (key, n, left, component)
+    def add(self, key: int, n: int, left: int, component: int, alone: int, parity: int, rest: tuple) -> None:
+        """A class with ``left`` n-grams after this one, which begin with
+        ``rest``; ``alone`` n-grams are in no other set, ``parity`` is of the rest."""
+        node, at, end = self, 0, (key, n, left, component, alone, parity)
         while True:
             node._holds(n, left, component, not node.ends and not node.children)
             if at == len(rest):
@@ -438,7 +444,7 @@ class Beginnings:
                 at += same
             node = child
 
-    def partners(self, n: int, left: int, component: int, rest: tuple):
+    def partners(self, n: int, left: int, component: int, alone: int, parity: int, rest: tuple):
         """Keys of classes in other components whose overlap may suffice."""
         known, last = set(rest), rest[-1] if len(rest) < left and rest else 1 << 64
         if not rest and left:
@@ -456,20 +462,27 @@ class Beginnings:
                 own = bisect.bisect_right(rest, node.edge[-1])
             if node.only == component or overlap + min(node.most - theirs, left - own) < needed(n, node.least):
                 continue
-            for key, size, more, of in node.ends:
-                if of != component and overlap + min(more - theirs, left - own) >= needed(n, size) and (
-                        DENOMINATOR * min(n, size) >= NUMERATOR * max(n, size)):
+            for key, size, more, of, single, odd in node.ends:
+                if of == component:
+                    continue
+                need = needed(n, size)
+                if overlap + min(more - theirs, left - own) >= need and (
+                        alone + single + (parity ^ odd).bit_count() <= n + size - 2 * need):
                     yield key
             stack += [(child, overlap, theirs, own) for child in reversed(node.children.values())]
 
 
 def find(rows: DataFrame, every: bool) -> DataFrame:
-    """Pairs a < b of classes of one block of a group that may link.  With
-    ``every`` each class takes its first partner, else those that walk take all.
-    A block's own classes come before those that walk over it."""
+    """Pairs (a: a class that walks, b) of one block of a group that may link,
+    and in how many blocks they were found.  With ``every`` all classes walk and
+    take their first partner, else those that walk take all.  A block's own
+    classes come before those that walk over it."""
 
     def run(batches):
-        at, own, walkers, found = None, [], [], set()
+        at, own, walkers, found = None, [], [], Counter()
+
+        def unpacked(alone, parity, rest):
+            return alone, int.from_bytes(parity), tuple(np.frombuffer(rest, "<u8").tolist())
 
         def block():
             if len(own) < 2 and not walkers or (not every and not walkers):
@@ -477,20 +490,20 @@ def find(rows: DataFrame, every: bool) -> DataFrame:
             index = any(pos < n - needed(n, n) + 1 for _, n, pos, *_ in own + walkers)
             if not index:  # the smaller class of a link has the n-gram this early
                 return
-            unpacked = lambda rest: tuple(np.frombuffer(rest, "<u8").tolist())
             tree = Beginnings(())
-            for key, n, pos, component, rest in own:
-                tree.add(key, n, n - pos - 1, component, unpacked(rest))
-            for key, n, pos, component, rest in own if every else walkers:
-                for other in tree.partners(n, n - pos - 1, component, unpacked(rest)):
-                    found.add((min(key, other), max(key, other)))
+            for key, n, pos, component, *more in own:
+                tree.add(key, n, n - pos - 1, component, *unpacked(*more))
+            for key, n, pos, component, *more in own if every else walkers:
+                for other in tree.partners(n, n - pos - 1, component, *unpacked(*more)):
+                    found[key, other] += 1
                     if every:
                         break
 
         def out():
-            rows = _links(sorted(found))
+            rows = [(*pair, votes) for pair, votes in found.items()]
             found.clear()
-            return rows
+            columns = zip(*rows) if rows else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "votes"])
 
         for batch in batches:
             for token, part, walks, *record in zip(*(c.to_pylist() for c in batch.columns)):
@@ -507,15 +520,16 @@ def find(rows: DataFrame, every: bool) -> DataFrame:
         yield out()
 
     n = shuffle_partitions(rows.sparkSession)
-    return rows.select("token", "block", "walks", "set_key", "n", "pos", "component", "rest").repartition(
+    return rows.select("token", "block", "walks", "set_key", "n", "pos", "component", "alone", "parity", "rest").repartition(
         n, "token", "block").sortWithinPartitions("token", "block", "walks", "set_key").mapInArrow(
-        run, "a long, b long").distinct()
+        run, "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
 
 
 def first_turn(records: DataFrame, blocks: DataFrame) -> DataFrame:
-    """One partner per class and group.  In groups of several blocks LEADERS
-    classes of the group are in all blocks, so that blocks are linked."""
-    record = ["set_key", "n", "pos", "rest"]
+    """(a: partner, b: class): one partner per class, the one found most often.
+    In groups of several blocks LEADERS classes of the group are in all blocks,
+    so that blocks are linked."""
+    record = ["set_key", "n", "pos", "alone", "parity", "rest"]
     dealt = records.join(blocks, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = dealt.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     first = [F.min(F.struct(F.xxhash64("set_key", F.lit(i)), *record)) for i in range(LEADERS)]
@@ -525,11 +539,12 @@ def first_turn(records: DataFrame, blocks: DataFrame) -> DataFrame:
         *(F.col(f"of.{c}").alias(c) for c in record))
     columns = ["token", "block", *record]
     rows = own.select(*columns).unionByName(spread.select(*columns)).dropDuplicates(["token", "block", "set_key"])
-    return find(rows.withColumns({"walks": F.lit(False), "component": F.col("set_key")}), True)
+    found = find(rows.withColumns({"walks": F.lit(False), "component": F.col("set_key")}), True)
+    return found.groupBy(F.col("a").alias("b")).agg(F.max(F.struct("votes", "b"))["b"].alias("a")).select("a", "b")
 
 
 def second_turn(records: DataFrame, blocks: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
-    """All partners in other components of the classes outside the largest
+    """All partners (a < b) in other components of the classes outside the largest
     component of their group.  Groups that lie in one component are done."""
     placed = scratch.write(records.join(groups, records["set_key"] == groups["node"], "left").select(
         *records.columns, F.coalesce("component", "set_key").alias("component")), "placed")
@@ -541,7 +556,7 @@ def second_turn(records: DataFrame, blocks: DataFrame, groups: DataFrame, scratc
     own = dealt.withColumns({"block": F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"), "walks": F.lit(False)})
     walking = dealt.where("component <> largest").withColumns({
         "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "walks": F.lit(True)})
-    return find(own.unionByName(walking), False)
+    return find(own.unionByName(walking), False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 # ---------------------------------------------------------------- prefix trees
@@ -684,7 +699,8 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = scratch.write(first_turn(records, blocks), "first")
     links = scratch.write(compare(first, whole_sets(first, "first")), "links")
     groups = scratch.write(components(links), "groups")
-    rest = scratch.write(second_turn(records, blocks, groups, scratch).join(first, ["a", "b"], "left_anti"), "rest")
+    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = scratch.write(second_turn(records, blocks, groups, scratch).join(done, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
         groups = components(stars.unionByName(compare(rest, whole_sets(rest, "rest"))))

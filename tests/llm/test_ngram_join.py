@@ -102,12 +102,16 @@ def test_order_is_by_exact_counts(spark, documents):
     want = set()
     for key, x in sets.items():
         order = sorted((count[g] << 48 | g & ((1 << 48) - 1), count[g]) for g in x.tolist())
+        odd = np.zeros(j.PARITY, np.uint8)
+        for g, c in order:
+            odd[g % j.PARITY] ^= c > 1
+        parity = np.packbits(odd).tobytes()
         for i, (g, c) in enumerate(order[:j.prefix_length(len(x))]):
             if c > 1:
-                want.add((g, key, len(x), i, tuple(o for o, _ in order[i + 1:i + 1 + j.REST])))
+                want.add((g, key, len(x), i, sum(o == 1 for _, o in order), parity, tuple(o for o, _ in order[i + 1:i + 1 + j.REST])))
     for buckets in (1, 3, 50):
         grams = j.shared_grams(j.all_grams(docs, spark.sparkContext.broadcast(cells), buckets, 10**6), buckets)
-        got = [(r["token"], r["set_key"], r["n"], r["pos"], tuple(np.frombuffer(r["rest"], "<u8").tolist()))
+        got = [(r["token"], r["set_key"], r["n"], r["pos"], r["alone"], bytes(r["parity"]), tuple(np.frombuffer(r["rest"], "<u8").tolist()))
                for r in j.prefix_records(grams, members, buckets).collect()]
         assert set(got) == want and len(got) == len(want) and want
 
@@ -116,21 +120,27 @@ def test_beginnings_miss_no_link():
     """Whatever begins alike is found by both sides, and nothing in the class's
     own component; the bound never takes a linked pair away."""
     rng = random.Random(4)
-    for few in (0, 1, 4, 99):
+    for few, width in ((0, 16), (1, 4), (4, 64), (99, 1), (99, 64), (0, 1024)):
+        def parity(x):
+            odd = 0
+            for g in x:
+                odd ^= 1 << g % width
+            return odd
+
         sets = {}
         for key in range(120):
             own = set(rng.sample(range(1, 60), 40)) if key % 2 else set(range(1, 41)) - set(rng.sample(range(1, 41), 5))
             sets[key] = [0, *sorted(own)]  # all have n-gram 0
         tree = j.Beginnings(())
         for key, x in sets.items():
-            tree.add(key, len(x), len(x) - 1, key % 7, tuple(x[1:1 + few]))
+            tree.add(key, len(x), len(x) - 1, key % 7, 0, parity(x), tuple(x[1:1 + few]))
         for key, x in sets.items():
-            got = list(tree.partners(len(x), len(x) - 1, key % 7, tuple(x[1:1 + few])))
+            got = list(tree.partners(len(x), len(x) - 1, key % 7, 0, parity(x), tuple(x[1:1 + few])))
             assert len(got) == len(set(got)) and all(k % 7 != key % 7 for k in got)
             linked = {k for k, y in sets.items() if k % 7 != key % 7
                       and 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y))}
             assert linked <= set(got)
-            if few == 99:
+            if few == 99 or width >= 64:
                 assert linked == set(got)
 
 
