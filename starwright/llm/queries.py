@@ -122,8 +122,10 @@ FROM t GROUP BY conv_id
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from the labels not held out."""
     docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 0
-    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
-    return _judged(quality.score(docs, model), held_out, quality.THRESHOLD)
+    labels = table(spark, sf_dir, "labels")
+    measured = quality.measure(docs, labels, ~held_out)
+    model = quality.fit_measured(measured, labels, ~held_out)
+    return _judged(quality.score_measured(measured, model), held_out, quality.THRESHOLD)
 
 
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

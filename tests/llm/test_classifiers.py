@@ -147,3 +147,49 @@ def test_curve_is_fitted_on_documents_the_dictionaries_have_not_seen():
     scores = [1 / (1 + np.exp(-(np.dot(model.weights[:-1], toxicity.Distance(model).features(text())) + model.weights[-1])))
               for _ in range(5)]
     assert abs(np.mean(scores) - 0.25) < 0.1
+
+
+def _texts(n, seed):
+    """Plain texts (1) and shouted ones (0), some of them with the other's label."""
+    rng = np.random.default_rng(seed)
+    plain = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 300, k)) + "."
+    out = []
+    for i in range(n):
+        good, k = i % 4 != 0, int(rng.integers(20, 90))
+        text = plain(k) if good else " ".join("SPAM!!" if rng.random() < 0.3 else f"w{rng.integers(0, 300)}" for _ in range(k))
+        out.append((text, int(good != (i % 10 == 3))))
+    return out
+
+
+def test_quality_learns_from_every_labelled_document(spark):
+    """Long texts teach like short ones, and the model is that of all labels."""
+    sample = [(t + " " + "and so on, " * 2500 if i % 3 == 0 else t, y) for i, (t, y) in enumerate(_texts(240, 1))]
+    assert sum(len(t) > 20_000 for t, _ in sample) == 80
+    docs = make(spark, list(enumerate(t for t, _ in sample)))
+    table = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(sample)], "doc_id long, quality int")
+    got = quality.fit(docs, table, F.lit(True))
+    want = quality.train(sample, float(np.mean([y for _, y in sample])))
+    x = np.array([quality.features(t) for t, _ in sample])
+    assert np.abs(got.scores(x) - want.scores(x)).max() < 1e-6
+    measured = quality.measure(docs, table, F.lit(True))
+    scores = {r["doc_id"]: r["score"] for r in quality.score_measured(measured, got).collect()}
+    assert np.abs(np.array([scores[i] for i in range(len(sample))]) - got.scores(x)).max() < 1e-9
+    only_long = docs.where(F.length("text") > 20_000)
+    assert quality.fit(only_long, table, F.lit(True)).weights
+
+
+def test_quality_weights_are_those_of_all_pairs():
+    sample = _texts(200, 2)
+    x, y = np.array([quality.features(t) for t, _ in sample]), np.array([label for _, label in sample])
+    difference = (x[y == 1][:, None] - x[y == 0]).reshape(-1, x.shape[1])
+    scale = np.sqrt((x[y == 1].var(0) + x[y == 0].var(0)) + (x[y == 1].mean(0) - x[y == 0].mean(0)) ** 2) + 1e-9
+    z, w = difference / scale, np.zeros(x.shape[1])
+    for _ in range(60):  # Newton's method on every pair by itself
+        p = 1 / (1 + np.exp(np.clip(z @ w, -30, 30)))
+        grad = -(z.T @ p) / len(z) + quality.RIDGE / quality.PAIRS * w
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z / len(z) + np.eye(len(w)) * quality.RIDGE / quality.PAIRS, grad)
+        w -= step * min(1.0, 4 / np.sqrt(step @ step + 1e-30))
+    model = quality.train(sample, float(y.mean()))
+    strength = x @ np.array(model.weights)
+    assert np.corrcoef(strength, x @ (w / scale))[0, 1] > 0.999
+    assert abs((strength >= model.cut).mean() - y.mean()) < 0.011  # the cut is the quantile of all strengths
