@@ -98,8 +98,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col
         encoder, ranks, part = word_encoder(tokenizer), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             rows = []
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc_id, packed in zip(ids, encoder.encode(texts)):
+            for doc_id, packed in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 packed += end
                 for piece, start in enumerate(range(0, len(packed) // 4, capacity)):
                     own = packed[4 * start: 4 * (start + capacity)]

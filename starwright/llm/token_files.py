@@ -49,7 +49,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     def run(batches):
         encoder = word_encoder(tokenizer, "<u2")
         for batch in batches:
-            ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
+            ids = [x + end for x in encoder.encode(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     batch_limits(docs.sparkSession)

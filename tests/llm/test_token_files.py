@@ -67,3 +67,18 @@ def test_empty_table(spark, tmp_dir):
     path = f"{tmp_dir}/files"
     token_files.write_files(make(spark, []), path, tokenizer_path())
     assert token_files.read_digests(spark, path).count() == 0
+
+
+def test_new_words_are_encoded_many_at_a_time():
+    from starwright.llm import tokens
+
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcdefgäßé"), 6)) for _ in range(3000)] + ["\ufb01ne", "\ufb1d", "\u0130zmir"]  # two split by their normal form
+    texts = [" ".join([*rng.choice(words, 200), "a<|endoftext|>. b!!", "e\u0301! J\u030c. x**;", "it's 5%, ½!"]) for _ in range(60)]
+    encoder = tokens.WordEncoder(tokenizer_path(), "<u2")
+    calls, plain = [], encoder._pack
+    encoder._pack = lambda some: (calls.extend(some), plain(some))[1]
+    got = encoder.encode(texts)
+    assert got == [np.array(ids, "<u2").tobytes() for ids in library_ids(texts)]
+    assert len(calls) < 3 * tokens.AT_ONCE  # words one by one: marks, and parts with words that split
+    assert encoder.encode([]) == [] and encoder.encode(["", "a"])[0] == b""
