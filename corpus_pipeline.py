@@ -22,7 +22,7 @@ from starwright.llm.tokens import tokenizer_path
 # toxic.
 REJECT = toxicity.THRESHOLD
 # The shortest repeated passage that is removed: over 50 words.
-PASSAGE_WORDS = 51
+PASSAGE_WORDS = suffix_dedup.PASSAGE_WORDS
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

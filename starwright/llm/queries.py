@@ -13,8 +13,9 @@ from starwright.llm.tokens import tokenizer_path
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the removal of repeated 400-byte passages leaves of every text."""
-    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+    """What the removal of repeated 400-byte passages leaves of every text, and
+    how much of it repeated passages of over 50 words cover."""
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"), words=suffix_dedup.PASSAGE_WORDS)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,8 @@ from starwright.llm.common import Scratch, batch_limits, unused, whole_text
 
 DEPTH, GRAM, STEP = 400, 64, 42
 WORD_BYTES, WORD_GRAM, WORD_STEP = 8, 8, 6
+# The shortest repeated passage that counts by its words: over 50 words.
+PASSAGE_WORDS = 51
 _WORD = re.compile(rb"\S+")
 # Bytes looked at together; positions in a buffer take the low bits of a key.
 BUFFER_BITS = 20
@@ -317,6 +319,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out
 
 
+def _all_spans(docs: DataFrame, id_col: str, text_col: str, depth: int, words: int | None) -> DataFrame:
+    """Spans of ``depth`` bytes and, with ``words``, of so many words, in one row per text."""
+    spans = repeated_spans(docs, id_col, text_col, depth)
+    if words:
+        spans = spans.unionByName(repeated_spans(docs, id_col, text_col, words, WORD_BYTES)).groupBy(*_ROW).agg(
+            F.flatten(F.collect_list("spans")).alias("spans"))
+    return spans
+
+
 def _merged(spans) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for start, stop in sorted(spans):
@@ -336,35 +347,43 @@ def _byte_ranges(data: bytes, spans) -> list[tuple[int, int]]:
     return out
 
 
-def _kept(batch):
-    """(bytes of the text, merged spans, bytes kept) for each row of a batch
-    whose last columns are text and spans."""
+def _kept(batch, apart: bool = False):
+    """(bytes of the text, merged spans, bytes kept, passages) for each row of a
+    batch whose last columns are text and spans.  ``apart``: spans of words are
+    not removed, but given as passages, merged."""
     for text, spans in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()):
         data = text.as_buffer().to_pybytes() if text.is_valid else b""
-        merged = _merged(_byte_ranges(data, spans or ()))
+        gone = [s for s in spans or () if not apart or s["width"] == 1]
+        merged = _merged(_byte_ranges(data, gone))
+        passages = _merged(_byte_ranges(data, [s for s in spans or () if s["width"] > 1])) if apart else []
         at, kept = 0, []
         for start, stop in merged:
             kept.append(data[at:start])
             at = stop
-        yield data, merged, b"".join([*kept, data[at:]])
+        yield data, merged, b"".join([*kept, data[at:]]), passages
 
 
-def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
+                    words: int | None = None) -> DataFrame:
     """One row per text: doc_id, n_bytes, n_removed, n_spans (maximal removed
-    ranges), kept_sha256 (of the bytes that stay)."""
+    ranges), kept_sha256 (of the bytes that stay).  With ``words``, n_passages
+    and n_passage_bytes follow: the maximal ranges, and their bytes, covered by
+    passages of so many words that occur more than once.  They are looked for in
+    the texts as given and change nothing of what is removed."""
     rows = _rows(docs, id_col, text_col)
-    spans = repeated_spans(docs, id_col, text_col, depth)
+    spans = _all_spans(docs, id_col, text_col, depth, words)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["n_passages", "n_passage_bytes"] * bool(words)]
 
     def run(batches):
         for batch in batches:
-            out = [(len(data), len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest())
-                   for data, merged, kept in _kept(batch)]
+            out = [(len(data), len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(),
+                    len(passages), sum(stop - start for start, stop in passages))
+                   for data, merged, kept, passages in _kept(batch, apart=True)]
             if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in zip(*out))],
-                                                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in zip(*out))][:len(names)], names)
 
     return rows.join(spans, _same_row(rows, spans), "left").select(rows["doc_id"], "text", "spans").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        run, ", ".join(f"{n} {'string' if n == 'kept_sha256' else 'long'}" for n in names))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
@@ -373,10 +392,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are.  Characters of which only some bytes are left are dropped with them.
     With ``words``, passages of so many words that occur more than once go too,
     however few bytes they have; both are looked for in the texts as given."""
-    spans = repeated_spans(docs, id_col, text_col, depth)
-    if words:
-        spans = spans.unionByName(repeated_spans(docs, id_col, text_col, words, WORD_BYTES)).groupBy(*_ROW).agg(
-            F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = _all_spans(docs, id_col, text_col, depth, words)
     key, cut_at = unused("text_key", docs), unused("spans", docs)
     keyed = docs.withColumn(key, F.xxhash64(whole_text(text_col)))
     spans = spans.select(F.col("doc_id").alias(unused("own_id", keyed)), F.col("text_key").alias(unused("own_key", keyed)),
@@ -387,7 +403,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         for batch in batches:
-            kept = [data.decode("utf-8", "ignore") for _, _, data in _kept(batch)]
+            kept = [data.decode("utf-8", "ignore") for _, _, data, _ in _kept(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(others)], pa.array(kept, pa.string())],
                                              [*others, text_col])
 

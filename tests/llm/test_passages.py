@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ from test_ngram_join import brute as linked
 from test_packing import library_ids
 
 from starwright.llm import suffix_dedup, toxicity
+from starwright.llm.queries import op1_suffix_dedup
 
 
 def brute(rows, depth, n):
@@ -90,3 +92,47 @@ def test_pipeline_matches_the_stages_by_hand(spark, tmp_dir):
         want += [(i, k, zlib.crc32(ids[s:s + 2048].tobytes())) for k, s in enumerate(range(0, len(ids), 2048))]
     got = [(r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, f"{tmp_dir}/sf").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_op1_shows_passages_of_over_fifty_words(spark, tmp_dir):
+    """The contract's columns go by 400 bytes alone; passages of 51 to 65 words
+    and under 400 bytes stand in columns of their own, 50 words do not."""
+    rng = random.Random(2)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 6))) for _ in range(n))
+    rows, want = [(900, prose(300)), (901, None), (902, "")], {900: (0, 0), 901: (0, 0), 902: (0, 0)}
+    for n in range(49, 66):
+        passage = prose(n)
+        assert len(passage) < 400
+        for k, own in enumerate((passage, passage.replace(" ", "\n\n", 30))):
+            rows.append((2 * n + k, f"{prose(80)} {own} {prose(80)}"))
+            want[2 * n + k] = (1, len(own)) if n > 50 else (0, 0)
+    make(spark, rows).write.parquet(f"{tmp_dir}/sf/documents.parquet")
+    got = op1_suffix_dedup(spark, f"{tmp_dir}/sf")
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = got.collect()
+    assert {r["doc_id"]: (r["n_passages"], r["n_passage_bytes"]) for r in got} == want
+    assert {tuple(r)[:5] for r in got} == {
+        (i, len(t or ""), 0, 0, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
+
+
+def test_passages_beside_removed_bytes_match_brute_force(spark, documents):
+    rng = random.Random(4)
+    base = [rng.choice(("a", "bé", "cc", "한글", "dddd" * 9)) for _ in range(300)]
+    rows = [(1000 + i, " \n".join(rng.choices("vwxyz", k=9)) + "\t"
+             + " ".join(base[(a := rng.randrange(250)):a + rng.randrange(5, 40)])) for i in range(25)]
+    rows += [(2000, "w " * 200), (2001, "w  x " * 60), *documents]
+    data = [(i, (t or "").encode()) for i, t in rows]
+    words = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)] for _, t in data]
+    near = [[tuple(t[a:b] for a, b in w[k:k + 12]) for k in range(len(w) - 11)] for (_, t), w in zip(data, words)]
+    runs, want = Counter(k for own in near for k in own), []
+    for (i, t), w, own in zip(data, words, near):
+        held = bytearray(len(t) + 1)
+        for k, key in enumerate(own):
+            if runs[key] > 1:
+                held[w[k][0]:w[k + 11][1]] = b"\1" * (w[k + 11][1] - w[k][0])
+        want.append((i, len(re.findall(rb"\x01+", held)), sum(held)))
+    docs = make(spark, rows, extra=True)
+    got = suffix_dedup.removal_digests(docs, depth=100, words=12).collect()
+    assert sorted((tuple(r)[:1] + tuple(r)[5:] for r in got), key=str) == sorted(want, key=str)
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(
+        map(tuple, suffix_dedup.removal_digests(docs, depth=100).collect()), key=str)
